@@ -42,8 +42,8 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
           case when o_orderkey % 29 = 0 then 'absent' else split_part(p_name, ' ', 1) end as keyword,
           cast(1440 + o_orderkey % 520 as int) as year,
           cast(1 + o_orderkey % 23 as int) as n_words
-        from {orders} join {part} on p_partkey = o_orderkey % (select count(*) from {part})
-    """, orders=orders, part=part)
+        from {orders} cross join {n_part} join {part} on p_partkey = o_orderkey % n_part
+    """, orders=orders, part=part, n_part=F.broadcast(part.agg(F.count(F.lit(1)).alias("n_part"))))
 
 
 def sense_items(spark: SparkSession, sf_dir: str) -> DataFrame:
