@@ -296,7 +296,7 @@ def sample_episodes(df: DataFrame, n_episodes: int, lemma: str = "lemma", sense:
     wlo = Window.orderBy(lemma).rowsBetween(Window.unboundedPreceding, -1)
     dim = dim.select(lemma, "_n", F.row_number().over(Window.orderBy(lemma)).alias("_li"),
                      F.coalesce(F.sum("_n").over(wlo), F.lit(0)).alias("_lo"))
-    tot = dim.agg(F.count(F.lit(1)).alias("_L"), F.sum("_n").alias("_N"))
+    tot = dim.agg(F.count(F.lit(1)).alias("_L"), F.sum("_n").alias("_rows"))
     draws = spark.range(n_episodes).select(F.col("id").alias("episode")).crossJoin(
         spark.range(attempts).select(F.col("id").cast("int").alias("attempt"))).crossJoin(
         F.broadcast(tot))
@@ -305,7 +305,7 @@ def sample_episodes(df: DataFrame, n_episodes: int, lemma: str = "lemma", sense:
         draws = draws.withColumn("_pick", F.pmod(u, F.col("_L")) + 1)
         chosen = draws.join(F.broadcast(dim), F.col("_pick") == F.col("_li"))
     else:
-        draws = draws.withColumn("_pick", F.pmod(u, F.col("_N")))
+        draws = draws.withColumn("_pick", F.pmod(u, F.col("_rows")))
         chosen = draws.join(F.broadcast(dim), (F.col("_pick") >= F.col("_lo")) &
                             (F.col("_pick") < F.col("_lo") + F.col("_n")))
     chosen = chosen.select("episode", "attempt", lemma)
