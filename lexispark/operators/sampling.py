@@ -48,10 +48,10 @@ def exact_rank(df: DataFrame, by, key: Column, id_col: str, out: str = "rank",
     w = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*by, b, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*by, b).orderBy("_key", id_col)
-    ranked = keyed.withColumn("_rn", F.row_number().over(inner))
+    ranked = keyed.withColumn("_xrn", F.row_number().over(inner))
     return (ranked.join(offsets, by + [b])
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_key", b, "_rn", "_off"))
+            .withColumn(out, (F.col("_off") + F.col("_xrn")).cast("bigint"))
+            .drop("_key", b, "_xrn", "_off"))
 
 
 def group_sizes(df: DataFrame, by, out: str = "n") -> DataFrame:

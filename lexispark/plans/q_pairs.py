@@ -1 +1,200 @@
-"""Queries registered by this module."""
+"""Pair generation and join queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexispark.functions import text as X
+from lexispark.functions.arrays import dot
+from lexispark.functions.keys import r6
+from lexispark.operators import lexicon as L
+from lexispark.operators import pairs as J
+from lexispark.plans.q_sampling import md5k
+from lexispark.plans.registry import register
+from lexispark.sources import fixtures as fx
+from lexispark.sources.tables import table
+
+
+def sint(seed: str, *cols: str) -> str:
+    return f"('0x' || substr({md5k(seed, *cols)}, 1, 8))::bigint"
+
+
+# --- word-in-context pairs --------------------------------------------------------------------
+
+_WIC = f"""
+b as (select quote_id, lemma, array_to_string(string_split(regexp_replace(numbering, '\\.+$', ''), '.')[1:1], '.')
+  as sense from quotes),
+ml as (select lemma from b group by lemma having min(sense) <> max(sense)),
+r as (select b.*, row_number() over (partition by lemma, sense order by {md5k('wic-row', 'quote_id')}, quote_id) - 1
+  as rn, count(*) over (partition by lemma, sense) as c from b where lemma in (select lemma from ml)),
+sd as (select lemma, sense, c, row_number() over (partition by lemma order by {md5k('wic-sense', 'sense')}, sense) - 1
+  as sn, count(*) over (partition by lemma) as s from (select distinct lemma, sense, c from r)),
+base as (select r.quote_id, r.lemma, r.sense, r.rn, r.c, sd.sn, sd.s from r join sd on r.lemma = sd.lemma
+  and r.sense = sd.sense where r.c >= 2),
+pos as (select base.quote_id as q1, t.quote_id as q2, 1 as label, base.lemma from base join r t
+  on t.lemma = base.lemma and t.sense = base.sense
+  and t.rn = (base.rn + 1 + ({sint('wic-pos', 'base.quote_id')} % (base.c - 1))) % base.c),
+neg as (select base.quote_id as q1, t.quote_id as q2, 0 as label, base.lemma from base
+  join sd o on o.lemma = base.lemma and o.sn = (base.sn + 1 + {sint('wic-neg', 'base.quote_id')} % (base.s - 1)) % base.s
+  join r t on t.lemma = o.lemma and t.sense = o.sense and t.rn = {sint('wic-negrow', 'base.quote_id')} % o.c),
+wic as (select * from pos union all select * from neg)"""
+WIC = f"{fx.duck_with('quotes')}, {_WIC.strip()}\n"
+
+
+def wic_pairs(spark, sf):
+    q = fx.quotes(spark, sf).withColumn("sense", X.depth_key("numbering", 1, "."))
+    return J.sense_pairs(q, "lemma", "sense", "quote_id", nneg=1, npos=1)
+
+
+@register("wic_pairs", f"{WIC}select q1, q2, cast(label as int) as label, lemma from wic")
+def q_wic_pairs(spark, sf):
+    return wic_pairs(spark, sf).select("q1", "q2", F.col("label").cast("int").alias("label"), "lemma")
+
+
+@register("multi_sense_lemmas", f"""{fx.duck_with('quotes')}select lemma, count(*) as n from quotes
+where lemma in (select lemma from quotes group by lemma having min(numbering) <> max(numbering)) group by lemma""")
+def multi_sense_lemmas(spark, sf):
+    q = J.multi_sense_lemmas(fx.quotes(spark, sf), "lemma", "numbering")
+    return q.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("pair_export", f"""{WIC}select q1, q2, cast(label as int) as label, wic.lemma, a.quote as quote_1,
+  a.keyword as keyword_1, a.year as year_1, c.quote as quote_2, c.keyword as keyword_2, c.year as year_2
+from wic join quotes a on a.quote_id = q1 join quotes c on c.quote_id = q2""")
+def pair_export(spark, sf):
+    p = wic_pairs(spark, sf).withColumn("label", F.col("label").cast("int"))
+    return J.pair_export(p, fx.quotes(spark, sf))
+
+
+@register("dedup_pairs_unique", f"""{WIC}select q1, q2, cast(label as int) as label, lemma from wic
+where (least(q1, q2), greatest(q1, q2)) in (select (least(q1, q2), greatest(q1, q2)) from wic group by all
+  having count(*) = 1)""")
+def dedup_pairs_unique(spark, sf):
+    p = wic_pairs(spark, sf).withColumn("label", F.col("label").cast("int"))
+    return J.dedup_pairs(p, "unique")
+
+
+@register("dedup_pairs_distinct", f"""{WIC}select q1, q2, cast(label as int) as label, lemma from (
+  select *, row_number() over (partition by least(q1, q2), greatest(q1, q2) order by q1, q2, label) as k from wic)
+where k = 1""")
+def dedup_pairs_distinct(spark, sf):
+    p = wic_pairs(spark, sf).withColumn("label", F.col("label").cast("int"))
+    return J.dedup_pairs(p, "distinct")
+
+
+# --- dated pairs ------------------------------------------------------------------------------------
+
+DATED_SIZE = 5000
+_DATED = f"""
+src as (select quote_id, lemma from quotes where n_words >= 5 and year > 1450 and year < 1950),
+dim as (select lemma, count(*) as n, row_number() over (order by {md5k('dated', 'lemma')}, lemma) - 1 as li from src group by lemma),
+nl as (select count(*) as l from dim),
+dr as (select range as id, {sint('dated-a', 'range')} % l as a, {sint('dated-b', 'range')} % (l - 1) as o, l
+  from range({DATED_SIZE * 4}), nl where l >= 2),
+ab as (select id, least(a, (a + 1 + o) % l) as i, greatest(a, (a + 1 + o) % l) as j from dr),
+lp as (select i, j from (select i, j, row_number() over (partition by i, j order by id) as k from ab) where k = 1
+  order by {md5k('dated-keep', 'i', 'j')}, i, j limit {DATED_SIZE}),
+rows as (select quote_id, lemma, row_number() over (partition by lemma order by {md5k('dated-rows', 'quote_id')}, quote_id) - 1
+  as rn from src),
+sel as (select da.lemma as lemma_1, db.lemma as lemma_2, {sint('dated-ra', 'i', 'j')} % da.n as ra,
+  {sint('dated-rb', 'i', 'j')} % db.n as rb from lp join dim da on da.li = i join dim db on db.li = j)"""
+
+
+@register("dated_pairs", f"""{fx.duck_with('quotes')}, {_DATED.strip()}
+select x.quote_id as q1, y.quote_id as q2, lemma_1, lemma_2 from sel
+join rows x on x.lemma = lemma_1 and x.rn = ra join rows y on y.lemma = lemma_2 and y.rn = rb""")
+def dated_pairs(spark, sf):
+    q = L.filter_years(L.filter_words(fx.quotes(spark, sf), 5, strict=False))
+    return J.dated_pairs(q, DATED_SIZE, "lemma", "quote_id")
+
+
+@register("order_label", f"""{fx.duck_with('pairs')}select pair_id, y1, y2, (y1 > y2)::int as label from pairs""")
+def order_label(spark, sf):
+    return J.order_label(fx.pairs(spark, sf)).select("pair_id", "y1", "y2", "label")
+
+
+# --- contrastive pairs on vectors ----------------------------------------------------------------------
+
+_CON = f"""
+r as (select quote_id, lemma, row_number() over (partition by lemma order by {md5k('contrast-row', 'quote_id')}, quote_id) - 1
+  as rn from sense_items),
+dim as (select lemma, count(*) as c, row_number() over (order by lemma) - 1 as li from sense_items group by lemma),
+nl as (select count(*) as l from dim),
+base as (select r.*, dim.c, dim.li, nl.l from r join dim on r.lemma = dim.lemma, nl),
+pos as (select base.quote_id as q1, t.quote_id as q2, 1 as y from base, range(1) tp(t) join r t
+  on t.lemma = base.lemma and t.rn = {sint('contrast-pos', 'base.quote_id', 'tp.t')} % base.c),
+negd as (select base.quote_id, tn.t, (base.li + 1 + {sint('contrast-lab', 'base.quote_id', 'tn.t')} % (base.l - 1)) % base.l as oli
+  from base, range(2) tn(t) where base.l >= 2),
+neg as (select negd.quote_id as q1, t.quote_id as q2, 0 as y from negd join dim o on o.li = negd.oli
+  join r t on t.lemma = o.lemma and t.rn = {sint('contrast-neg', 'negd.quote_id', 'negd.t')} % o.c),
+con as (select * from pos union all select * from neg)"""
+CON = f"{fx.duck_with('sense_items')}, {_CON.strip()}\n"
+
+
+def contrastive(spark, sf):
+    return J.contrastive_pairs(fx.sense_items(spark, sf), "lemma", "quote_id", ratio=2, npos=1)
+
+
+@register("contrastive_pairs", f"{CON}select q1, q2, cast(y as int) as y from con")
+def contrastive_pairs(spark, sf):
+    return contrastive(spark, sf).select("q1", "q2", F.col("y").cast("int").alias("y"))
+
+
+@register("pair_vectors", f"""{CON}select q1, q2, cast(y as int) as y,
+  round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as dot
+from con join sense_items a on a.quote_id = q1 join sense_items b on b.quote_id = q2""")
+def pair_vectors(spark, sf):
+    p = J.with_vectors(contrastive(spark, sf), fx.sense_items(spark, sf), "quote_id", "embedding")
+    return p.select("q1", "q2", F.col("y").cast("int").alias("y"), r6(dot("e1", "e2")).alias("dot"))
+
+
+@register("complete_lemmas", f"""{fx.duck_with('quotes')}select lemma, count(*) as n_rows,
+  count(e.vec_id) as n_with_vector, bool_and(e.vec_id is not null) as complete
+from quotes left join embeddings e on e.vec_id = quotes.quote_id group by lemma""")
+def complete_lemmas(spark, sf):
+    q = fx.quotes(spark, sf)
+    v = table(spark, sf, "embeddings", "vec_id").withColumnRenamed("vec_id", "quote_id")
+    flagged = q.join(v.withColumn("_has", F.lit(True)), "quote_id", "left")
+    ok = J.complete_lemmas(q, v, ["lemma"], id_col="quote_id").withColumn("complete", F.lit(True))
+    agg = flagged.groupBy("lemma").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.count("_has").alias("n_with_vector"))
+    return agg.join(ok, "lemma", "left").select(
+        "lemma", "n_rows", "n_with_vector", F.coalesce("complete", F.lit(False)).alias("complete"))
+
+
+# --- products with bounded sides --------------------------------------------------------------------
+
+@register("cross_with_background", f"""{fx.duck_with('scores')}select item_id, bg_id, item_year, bg_year,
+  round(score, 6) as score from scores""")
+def cross_with_background(spark, sf):
+    s = fx.scores(spark, sf)
+    return s.withColumn("score", r6("score"))
+
+
+@register("span_product", f"""{fx.duck_with('sense_items')},
+p as (select quote_id, year, cast(floor(year / 50) * 50 as int) as b, row_number() over (partition by floor(year / 50)
+  order by {md5k('span', 'quote_id')}, quote_id) as r from sense_items)
+select x.b as span_bin, x.quote_id as a_id, x.year as a_year, y.quote_id as b_id, y.year as b_year
+from p x join p y on x.b = y.b where x.r <= 5 and y.r > 5 and y.r <= 10""")
+def span_product(spark, sf):
+    return J.span_product(fx.sense_items(spark, sf), "year", 50, 10, "quote_id") \
+        .select("span_bin", "a_id", "a_year", "b_id", "b_year")
+
+
+@register("background_product", f"""{fx.duck_with('background_pool')},
+p as (select bg_id, bg_year, row_number() over (partition by floor(bg_year / 50)
+  order by {md5k('bgprod', 'bg_id')}, bg_id) as r from background_pool)
+select x.bg_id as a_id, x.bg_year as a_year, y.bg_id as b_id, y.bg_year as b_year
+from p x, p y where x.r <= 5 and y.r <= 5""")
+def background_product(spark, sf):
+    return J.background_product(fx.background_pool(spark, sf), "bg_year", 50, 5, "bg_id")
+
+
+@register("common_vocab", f"""{fx.duck_with('tagged')},
+v as (select distinct source as model, lower(unnest(tokens)) as token from tagged)
+select token from v group by token having count(distinct model) = (select count(distinct model) from v)""")
+def common_vocab(spark, sf):
+    t = fx.tagged(spark, sf)
+    v = t.select(F.col("source").alias("model"), F.explode("tokens").alias("token")) \
+        .select("model", F.lower("token").alias("token")).distinct()
+    return J.common_vocab(v, "token", "model")
