@@ -135,8 +135,9 @@ def support_ladder(train: DataFrame, test: DataFrame, keys, sizes: Sequence[int
     big = 2 ** 31 - 1
     size_t = spark.createDataFrame([(big if s is None else int(s), "all" if s is None else str(s))
                                     for s in sizes], "n int, n_items string")
-    w = Window.partitionBy(*keys, sense).orderBy(rkey(seed, id_col), id_col)
-    ranked = train.withColumn("_r", F.row_number().over(w))
+    from lexispark.operators.sampling import exact_rank
+    # skew-safe: a hot (lemma, sense) is ranked in md5-prefix cells, not one task
+    ranked = exact_rank(train, keys + [sense], rkey(seed, id_col), id_col, out="_r")
     drawn = ranked.join(F.broadcast(size_t), F.col("_r") <= F.col("n")).drop("_r", "n")
     cents = centroids(drawn, keys + ["n_items"], vec_col, sense=sense)
     tests = test.crossJoin(F.broadcast(size_t.select("n_items")))

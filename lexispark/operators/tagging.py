@@ -58,19 +58,25 @@ def group_subwords(df: DataFrame, id_col: str, pieces: str, prefix: str = SUBWOR
                    specials=("[CLS]", "[SEP]", "[PAD]")) -> DataFrame:
     """(id, word_no, word, idx) from sub-tokens: specials skipped, '##' continues a word.
 
-    posexplode + running count of word starts inside the sentence (window partitioned by
-    sentence: bounded by its length) + per-word aggregate.
+    Sentence-local: word starts and their ends (the next start or special) are found with
+    array functions inside the row, then exploded; no window, no shuffle.
     """
-    e = df.select(id_col, F.posexplode(pieces).alias("pos", "piece"))
-    e = e.where(~F.col("piece").isin(list(specials)))
-    start = (~F.col("piece").startswith(prefix)).cast("int")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("word_no", F.sum(start).over(w) - 1)
-    g = e.groupBy(id_col, "word_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("_p"))
-    return g.select(id_col, "word_no",
-                    F.array_join(F.transform("_p", lambda x: F.regexp_replace(x["piece"], "^##", "")), "").alias("word"),
-                    F.transform("_p", lambda x: x["pos"]).alias("idx"))
+    p = F.col(pieces)
+    spec = F.array(*[F.lit(x) for x in specials])
+    kinds = F.transform(p, lambda x: F.when(F.array_contains(spec, x), F.lit(-1))
+                        .when(~x.startswith(prefix), F.lit(1)).otherwise(F.lit(0)))
+    d = df.select(id_col, p.alias("_p"), kinds.alias("_k"))
+    breaks = F.filter(F.transform("_k", lambda k, i: F.when(k != 0, i)), lambda i: i.isNotNull())
+    d = d.withColumn("_b", breaks)
+    words = F.filter(F.transform("_b", lambda b, j: F.struct(
+        b.alias("s"), F.coalesce(F.get(F.col("_b"), j + 1), F.size("_p")).alias("e"),
+        F.get(F.col("_k"), b).alias("k"))), lambda w: w["k"] == 1)
+    e = d.select(id_col, "_p", F.posexplode(words).alias("word_no", "_w"))
+    s, n = F.col("_w.s"), F.col("_w.e") - F.col("_w.s")
+    word = F.array_join(F.transform(F.slice("_p", s + 1, n),
+                                    lambda x: F.regexp_replace(x, "^" + prefix, "")), "")
+    return e.select(id_col, "word_no", word.alias("word"),
+                    F.sequence(s, F.col("_w.e") - 1).alias("idx"))
 
 
 def pool_word_vector(groups: DataFrame, token_vectors: DataFrame, keywords: DataFrame,
