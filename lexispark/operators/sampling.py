@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.keys import hex_bucket, rkey, seeded_unit
+from lexispark.functions.keys import hex_bucket, rkey, seeded_int, seeded_unit
 
 
 def _list(x) -> list:
@@ -309,26 +309,42 @@ def sample_episodes(df: DataFrame, n_episodes: int, lemma: str = "lemma", sense:
         chosen = draws.join(F.broadcast(dim), (F.col("_pick") >= F.col("_lo")) &
                             (F.col("_pick") < F.col("_lo") + F.col("_n")))
     chosen = chosen.select("episode", "attempt", lemma)
-    rows = kept.join(chosen, lemma)
-    strata = ["episode", "attempt", lemma, sense]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    w = Window.partitionBy(*strata).orderBy(rkey(seed, "episode", "attempt", id_col), id_col)
-    rows = rows.withColumn("_n", n).withColumn("_r", F.row_number().over(w))
-    cut = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.5)))
-    rows = rows.withColumn("role", F.when(F.col("_r") <= cut, "support").otherwise("query"))
-    # caps: per episode over the role, seeded order
+    # Rows are ranked once per (lemma, sense) (skew-safe); an episode rotates that order by
+    # a seeded offset and addresses only the rows it needs, so its work is bounded by
+    # senses x caps, not by the size of the lemma.
+    ranked = exact_rank(kept, [lemma, sense], rkey(seed, id_col), id_col, out="_r") \
+        .withColumn("_r0", F.col("_r") - 1).drop("_r")
+    strata = chosen.join(sc.where(F.col("_c") >= 2), lemma)
+    n = F.col("_c")
+    cut = F.least(n - 1, F.greatest(F.lit(1), F.ceil(n * 0.5))).cast("bigint")
+    off = F.pmod(seeded_int(seed, "episode", "attempt", sense), n)
+    big = 2 ** 31 - 1
+    ms = F.least(cut, F.lit(max_support or big))
+    mq = F.least(n - cut, F.lit(max_query or big))
+    strata = strata.withColumn("_cut", cut).withColumn("_o", off)
+    sup = strata.where(ms > 0).select("episode", "attempt", lemma, sense, "_c", "_o", "_cut",
+                                      F.lit("support").alias("role"),
+                                      F.explode(F.sequence(F.lit(0), ms - 1)).alias("_t")) \
+        .withColumn("_r0", F.pmod(F.col("_o") + F.col("_t"), F.col("_c")))
+    qry = strata.where(mq > 0).select("episode", "attempt", lemma, sense, "_c", "_o", "_cut",
+                                      F.lit("query").alias("role"),
+                                      F.explode(F.sequence(F.lit(0), mq - 1)).alias("_t")) \
+        .withColumn("_r0", F.pmod(F.col("_o") + F.col("_cut") + F.col("_t"), F.col("_c")))
+    want = sup.unionByName(qry).select("episode", "attempt", lemma, sense, "role", "_r0")
+    rows = want.join(ranked, [lemma, sense, "_r0"]).drop("_r0")
+    # global caps per episode and role, in seeded order (rows here are already bounded)
     wc = Window.partitionBy("episode", "attempt", "role").orderBy(
         rkey(seed + "-cap", "episode", "attempt", id_col), id_col)
-    rows = rows.withColumn("_c", F.row_number().over(wc))
-    cap = F.when(F.col("role") == "support", F.lit(max_support or 2 ** 31 - 1)) \
-        .otherwise(F.lit(max_query or 2 ** 31 - 1))
-    rows = rows.where(F.col("_c") <= cap)
-    sup = rows.where(F.col("role") == "support").select("episode", "attempt", sense).distinct()
-    qry = rows.where(F.col("role") == "query").join(sup, ["episode", "attempt", sense], "left_semi")
-    rows = rows.where(F.col("role") == "support").unionByName(qry)
-    ok = qry.groupBy("episode", "attempt").agg(F.lit(1).alias("_ok"))
+    rows = rows.withColumn("_cp", F.row_number().over(wc))
+    cap = F.when(F.col("role") == "support", F.lit(max_support or big)) \
+        .otherwise(F.lit(max_query or big))
+    rows = rows.where(F.col("_cp") <= cap).drop("_cp")
+    sup_s = rows.where(F.col("role") == "support").select("episode", "attempt", sense).distinct()
+    qry_r = rows.where(F.col("role") == "query").join(sup_s, ["episode", "attempt", sense], "left_semi")
+    rows = rows.where(F.col("role") == "support").unionByName(qry_r)
+    ok = qry_r.groupBy("episode", "attempt").agg(F.lit(1).alias("_ok"))
     first = ok.groupBy("episode").agg(F.min("attempt").alias("attempt"))
-    return rows.join(first, ["episode", "attempt"], "left_semi").drop("_n", "_r", "_c")
+    return rows.join(first, ["episode", "attempt"], "left_semi")
 
 
 def n_batches_for(n_rows: int, size: int) -> int:

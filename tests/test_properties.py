@@ -79,3 +79,14 @@ def test_streaming_map_only(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == spark.read.parquet(src).count()
     assert got.where("pos is null").count() == 0
+
+
+def test_episodes_bounded_and_covered(spark):
+    q = fx.quotes(spark, SF001).select("quote_id", "lemma", F.substring("numbering", 1, 1).alias("sense"))
+    ep = S.sample_episodes(q, 30, id_col="quote_id", max_support=6, max_query=4).cache()
+    sizes = {(r["episode"], r["role"]): r["count"] for r in ep.groupBy("episode", "role").count().collect()}
+    assert all(c <= (6 if role == "support" else 4) for (_, role), c in sizes.items())
+    sup = ep.where("role = 'support'").select("episode", "sense").distinct()
+    assert ep.where("role = 'query'").join(sup, ["episode", "sense"], "left_anti").count() == 0
+    assert ep.groupBy("episode", "quote_id").count().where("count > 1").count() == 0
+    assert ep.select("episode").distinct().count() == 30
