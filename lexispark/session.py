@@ -34,7 +34,16 @@ def get_session(master: str | None = None, app: str = "lexispark",
     return spark
 
 
+def ship_package() -> None:
+    """Pickle this package's functions by value, so Python workers need not have it installed
+    (the Arrow operators run our functions inside tasks)."""
+    import lexispark
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(lexispark)
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
+    ship_package()
     for key, value in DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
