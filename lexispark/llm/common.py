@@ -90,7 +90,7 @@ def write_once(uri: str, parts) -> int:
     files, path = open_out(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     part, size = f"{path}.{uuid.uuid4().hex}", 0
-    with files.open_output_stream(part) as out:
+    with files.open_output_stream(part, compression=None) as out:
         for x in parts:
             size += len(x)
             out.write(x)

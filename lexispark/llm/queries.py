@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import licences, mixing, near_dups, pieces, quality_classifier, quality_rules
+from lexispark.llm import (
+    licences, mixing, near_dups, pieces, quality_classifier, quality_rules, token_blocks, warc,
+)
 from lexispark.llm.common import crc_fold
 from lexispark.sources.tables import table
 
@@ -17,6 +19,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_archives(files).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
@@ -47,8 +55,14 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.read_tokens(token_blocks.write_tokens(
+        table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_quality_classifier, op4_sentencepiece, op6_near_duplicates, op8_licence_scan,
-    op9_adaptive_quality)}
-ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op8_licence_scan": licences.licence_sql(),
+    op1_mix_sources, op2_warc_archives, op3_quality_classifier, op4_sentencepiece,
+    op6_near_duplicates, op8_licence_scan, op9_adaptive_quality, op10_token_blocks)}
+ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op2_warc_archives": warc.WARC_SQL,
+           "op8_licence_scan": licences.licence_sql(),
            "op9_adaptive_quality": quality_rules.QUALITY_SQL}
