@@ -10,8 +10,8 @@ equal to their weighted Jaccard similarity.
 
 Documents with equal words are collapsed first.  BANDS bands of ROWS coordinates make buckets; in
 a bucket, candidates are compared until all its members are in one class or have been compared:
-a large bucket compares everyone with one leader a round (no pairs inside it), a small one
-(SMALL members at most) compares its pairs.  A pair is a link if its signatures agree well enough
+a large bucket compares everyone with a few leaders a round (no pairs inside it) and its leaders
+leave, a small one (SMALL members at most, later LATER) compares its pairs.  A pair is a link if its signatures agree well enough
 (six standard errors below the threshold) and its exact weighted Jaccard similarity reaches
 ``threshold``.  Classes are the connected components of the links, found by alternating stars.
 
@@ -32,7 +32,7 @@ from lexispark.llm.common import SPACE, byte_hashes, mix64, settle
 BANDS, ROWS = 24, 5
 COORDS = BANDS * ROWS
 SHINGLE = 5
-SMALL = 8
+SMALL, LATER, LEADERS = 8, 64, 32   # see _lead: pairs of a row in a bucket stay below LATER
 CHUNK_WORDS = 400_000   # words handled at once in a task; a longer text is a chunk of its own
 _U = np.uint64
 
@@ -219,24 +219,35 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _lead(members: DataFrame, turn: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs a, b; members of buckets that go on)."""
-    pick = F.min("node") if turn % 2 == 0 else F.max("node")
+def _lead(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs a, b; members of buckets that go on) for members (bucket, node, class).
+
+    The first turn has one leader a bucket, its smallest node.  Later turns see only buckets of
+    several classes and have LEADERS leaders, each of the highest class label of its share of the
+    bucket: the largest class of a bucket mostly has the lowest label, so those outside it lead."""
     stats = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"),
-        pick.alias("leader")).filter("lo < hi")
-    live = settle(members.join(stats.select("bucket", "n", "leader"), "bucket"), "live")
-    few = live.filter(F.col("n") <= small).select("bucket", "node", "class")
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")
+    ).filter("lo < hi").select("bucket", "n")
+    live = settle(members.join(stats, "bucket"), "live")
+    few = live.filter(F.col("n") <= (SMALL if turn == 0 else LATER)).select(
+        "bucket", "node", "class")
     x, y = few.toDF("bucket", "a", "ca"), few.toDF("bucket", "b", "cb")
     pairs = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
-    many = live.filter(F.col("n") > small)
-    led = many.filter("node <> leader").select(F.least("node", "leader").alias("a"),
-                                               F.greatest("node", "leader").alias("b"))
-    return (pairs.union(led).distinct(),
-            many.filter("node <> leader").select("bucket", "node", "class"))
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = SMALL) -> DataFrame:
+    many = live.filter(F.col("n") > (SMALL if turn == 0 else LATER)).select(
+        "bucket", "node", "class")
+    if turn == 0:
+        leaders = many.groupBy("bucket").agg(F.min("node").alias("leader"))
+    else:
+        leaders = many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("s")).agg(
+            F.max_by("node", "class").alias("leader")).drop("s")
+    led = settle(leaders, "leaders")
+    pairs = pairs.union(many.join(led, "bucket").filter("node <> leader").select(
+        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+    rest = many.join(led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
+    return pairs.distinct(), rest
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, content, class_id (smallest doc_id of the class), kept (exactly one row a class) for
     every row of ``docs``."""
     keyed = docs.select("doc_id", "text", content_key(F.col("text")).alias("content"))
@@ -262,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = SMALL)
     error = (threshold * (1 - threshold) / COORDS) ** 0.5
     links, roots, turn = None, None, 0
     while not members.isEmpty():
-        pairs, members = _lead(members, turn, small)
+        pairs, members = _lead(members, turn)
         close = (pairs.join(known.toDF("a", "sig_a"), "a").join(known.toDF("b", "sig_b"), "b")
                  .mapInArrow(_agreeing(threshold - 6 * error), "a bigint, b bigint"))
         close = settle(close, "close")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import (
-    licences, mixing, near_dups, pieces, quality_classifier, quality_rules, token_blocks, warc,
+    licences, mixing, near_dups, pieces, quality_classifier, quality_rules, token_blocks, topk,
+    warc,
 )
 from lexispark.llm.common import crc_fold
 from lexispark.sources.tables import table
@@ -44,6 +45,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "class_id", "kept")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(
+        F.col("vec_id").alias("id"), topk.quantised(F.col("embedding"), 64.0).alias("v"))
+    return topk.top_k(rows, rows.filter("id % 20 = 0"), 20)
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -62,7 +69,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_warc_archives, op3_quality_classifier, op4_sentencepiece,
-    op6_near_duplicates, op8_licence_scan, op9_adaptive_quality, op10_token_blocks)}
+    op6_near_duplicates, op7_exact_top_k, op8_licence_scan, op9_adaptive_quality, op10_token_blocks)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op2_warc_archives": warc.WARC_SQL,
-           "op8_licence_scan": licences.licence_sql(),
+           "op7_exact_top_k": topk.TOPK_SQL, "op8_licence_scan": licences.licence_sql(),
            "op9_adaptive_quality": quality_rules.QUALITY_SQL}
