@@ -104,7 +104,7 @@ class Best:
     def add(self, q, vec, score):
         q, vec, score = (np.concatenate([a, b]) for a, b in (
             (self.q, q), (self.vec, vec), (self.score, score)))
-        order = np.lexsort((vec, -score, q))
+        order = np.lexsort((vec, ~score, q))      # ~ turns the order and cannot overflow
         q, vec, score = q[order], vec[order], score[order]
         first = np.searchsorted(q, np.arange(len(self.ids)))
         keep = np.arange(len(q)) - first[q] < self.k

@@ -102,7 +102,8 @@ def archive(records: Iterator[bytes], level: int = 3, sample_bytes: int = SAMPLE
     shared = dictionary(held, dictionary_bytes)
     frame = zstandard.ZstdCompressor(level=19).compress(shared.as_bytes())
     yield struct.pack("<II", DICTIONARY_MAGIC, len(frame)) + frame
-    pack = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True)
+    pack = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True,
+                                      write_checksum=True)
     for r in held:
         yield pack.compress(r)
     held.clear()
@@ -186,15 +187,17 @@ def _page(urn: str | None) -> int | None:
 
 def read_archives(files: DataFrame) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for
-    revisits) of every record; a response whose payload does not have its digest is an error."""
+    revisits) of every record in ``files`` (path, n_records).  A response whose payload does not
+    have its digest and a file that does not hold its number of records are errors."""
     n = max(1, files.count())
 
     def run(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                rows, held = [], 0
+            for path, n_records in zip(*(batch.column(c).to_pylist() for c in (
+                    "path", "n_records"))):
+                rows, held, n_read = [], 0, 0
                 for head, block in read_records(path):
-                    payload = None
+                    payload, n_read = None, n_read + 1
                     kind = head["WARC-Type"]
                     said = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(head["X-Payload-Length"])
@@ -208,8 +211,10 @@ def read_archives(files: DataFrame) -> DataFrame:
                     if held > 8 << 20 or len(rows) == 10_000:
                         yield _frame(rows)
                         rows, held = [], 0
+                if n_read != n_records:
+                    raise ValueError(f"{path} holds {n_read} of {n_records} records")
                 yield _frame(rows)
-    return files.select("path").repartition(n).mapInArrow(run, SCHEMA)
+    return files.select("path", "n_records").repartition(n).mapInArrow(run, SCHEMA)
 
 
 SCHEMA = ("page_id bigint, url string, record_type string, payload_bytes bigint, "

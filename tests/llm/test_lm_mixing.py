@@ -71,7 +71,7 @@ def test_context_that_tells_is_learnt():
     mixer = M.Mixer(6, 3)
     mixer.learn(code[:30_000], [before[:30_000], noise[:30_000]])
     bits = -mixer.log2(code[30_000:], [before[30_000:], noise[30_000:]])
-    assert bits[1::2].mean() < 2.5 < 5 < bits[::2].mean() < 8
+    assert bits[1::2].mean() < 4 < 5.9 < bits[::2].mean() < 8     # 6 bits without the context
 
 
 def test_models_of_tasks_add_up():
