@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
+TWO_60 = float(1 << 60)
 
 
 def _as_col(c) -> Column:
@@ -24,13 +24,13 @@ def rkey(seed, *cols) -> Column:
 
 
 def seeded_int(seed, *cols) -> Column:
-    """Uniform integer in [0, 2^32) drawn from the first 8 hex digits of rkey."""
-    return F.conv(F.substring(rkey(seed, *cols), 1, 8), 16, 10).cast("bigint")
+    """Uniform integer in [0, 2^60) drawn from the first 15 hex digits of rkey."""
+    return F.conv(F.substring(rkey(seed, *cols), 1, 15), 16, 10).cast("bigint")
 
 
 def seeded_unit(seed, *cols) -> Column:
     """Uniform double in [0, 1)."""
-    return seeded_int(seed, *cols) / F.lit(TWO_32)
+    return seeded_int(seed, *cols) / F.lit(TWO_60)
 
 
 def hex_bucket(key: Column, digits: int = 3) -> Column:

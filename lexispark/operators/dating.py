@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.arrays import dot
 from lexispark.functions.keys import rkey
 from lexispark.functions.text import year_bin
 from lexispark.operators.sampling import _list
@@ -99,14 +98,27 @@ def mae(knees: DataFrame, truth: DataFrame, models=("model",), item: str = "item
         F.sum(F.col(knee_col).isNull().cast("int")).alias("n_missing"))
 
 
+def threshold_hits(scores: DataFrame, thresholds: DataFrame, models=("model",),
+                   score: str = "score") -> DataFrame:
+    """``scores`` with hit = 1.0 where the score is above its model's cut-off (models, threshold).
+    There is one cut-off a model, so the join side is a few rows."""
+    models = _list(models)
+    return (scores.join(thresholds.select(*models, F.col("threshold").alias("_th")), models)
+            .withColumn("hit", (F.col(score) > F.col("_th")).cast("double")).drop("_th"))
+
+
 def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], iterations: int,
                      span: int = 50, bg_id: str = "bg_id", bg_year: str = "bg_year",
-                     seed="bgcurve") -> DataFrame:
+                     seed="bgcurve", thresholds: DataFrame | None = None) -> DataFrame:
     """Learning curve of the dating error against background size: for each (n, iteration),
-    n background rows per span (nested draws, one ranking per iteration) -> knees -> MAE.
+    n background rows per span (nested draws, one ranking per iteration) -> knees -> MAE of every
+    model over the items that have a knee in all models.
+
+    ``scores`` has a model column.  With ``thresholds`` (model, threshold) the knees of the
+    thresholded counts follow with kind 'threshold'; kind 'raw' are those of the scores.
 
-    The draw table is built on the small background pool and broadcast-joined to the score
-    rows, so the score table is pruned to drawn background ids before any window.
+    The draws are built on the background pool, whose size a parameter bounds, and broadcast to
+    the score rows, so the score table is pruned to drawn background ids before any window.
     """
     spark = bg.sparkSession
     its = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"))
@@ -115,11 +127,19 @@ def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], ite
     b = b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(sizes))
     size_t = spark.createDataFrame([(int(s),) for s in sizes], "n int")
     draws = b.join(F.broadcast(size_t), F.col("_r") <= F.col("n")).select("n", "iteration", bg_id)
-    s = scores.join(F.broadcast(draws), bg_id)
-    keys = ["n", "iteration", "item_id"]
-    k = knee(cumulative_curve(s, keys), keys).withColumn("model", F.lit("raw"))
+    keys = ["n", "iteration", "model", "item_id"]
+    values = [F.struct(F.lit("raw").alias("kind"), F.col("score").alias("v"))]
+    rows = scores
+    if thresholds is not None:
+        rows = threshold_hits(scores, thresholds)
+        values.append(F.struct(F.lit("threshold").alias("kind"), F.col("hit").alias("v")))
+    rows = rows.withColumn("_v", F.explode(F.array(*values))).select(
+        "item_id", "item_year", bg_id, bg_year, "model", F.col("_v.kind").alias("kind"),
+        F.col("_v.v").alias("score"))
+    drawn = rows.join(F.broadcast(draws), bg_id)
+    k = knee(cumulative_curve(drawn, [*keys, "kind"]), [*keys, "kind"])
     truth = scores.select("item_id", "item_year").distinct()
-    return mae(k, truth, ["model"], by=["n", "iteration"])
+    return mae(k, truth, ["model"], by=["n", "iteration", "kind"])
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "model",
@@ -158,4 +178,4 @@ def attention_pool(tokens: DataFrame, keys=("sent",), vec: str = "vec", logit: s
 
 __all__ = ["unpivot_pairs", "ordinal_ids", "dating_scores", "ordinal_loss", "cumulative_curve",
            "knee", "date_items", "mae", "background_curve", "melt", "summarize_attributions",
-           "attention_pool", "dot"]
+           "attention_pool", "threshold_hits"]

@@ -12,18 +12,6 @@ from pyspark.sql import functions as F
 from lexispark.functions.keys import rkey, seeded_int
 from lexispark.operators.sampling import _list, group_sizes
 
-# Largest table we broadcast without a second thought (rows); beyond it we let the
-# planner shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a bounded
-    count); otherwise return it unchanged so the planner picks a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def index_within(df: DataFrame, group, id_col: str, seed, out: str) -> DataFrame:
     """0-based seeded position of each row inside its group (random but reproducible)."""
     from lexispark.operators.sampling import exact_rank
@@ -142,33 +130,41 @@ def dedup_pairs(pairs: DataFrame, mode: str = "distinct") -> DataFrame:
 
 # --- J9/J10 dated pairs -----------------------------------------------------------------------
 
+STEP = (1 << 61) - 1   # a prime above any number of lemma pairs, so steps of it meet each once
+
+
 def dated_pairs(df: DataFrame, size: int, lemma: str = "lemma", id_col: str = "id",
-                seed="dated", oversample: int = 4) -> DataFrame:
-    """Up to ``size`` pairs of quotes from two different lemmas, each unordered lemma pair
-    at most once, one seeded quote from each lemma.
+                seed="dated") -> DataFrame:
+    """``size`` pairs of quotes (all, if there are fewer) from two different lemmas: each unordered
+    pair of lemmas at most once, one seeded quote from each.
 
-    Lemma pairs are drawn as index pairs (i, j) from spark.range — never the L^2 product —
-    unless all L(L-1)/2 pairs fit in ``oversample * size``.  The lemma dimension (one row
-    per lemma) is small and broadcast.
+    The L (L - 1) / 2 lemma pairs are numbered; the i-th draw is pair (offset + i * STEP) modulo
+    their number, a permutation, so nothing is drawn twice and no product is made.  A number is
+    decoded to its two lemma indices, and quotes are addressed by index.
     """
     spark = df.sparkSession
     dim = df.groupBy(lemma).agg(F.count(F.lit(1)).alias("_n"))
-    dim = dim.select(lemma, "_n", (F.row_number().over(
-        Window.orderBy(rkey(seed, lemma), lemma)) - 1).alias("_li"))
-    n_l = dim.agg(F.count(F.lit(1)).alias("_L"))
-    draws = spark.range(int(size) * oversample).crossJoin(F.broadcast(n_l)).where("_L >= 2")
-    a = F.pmod(seeded_int(f"{seed}-a", "id"), F.col("_L"))
-    b = F.pmod(a + 1 + F.pmod(seeded_int(f"{seed}-b", "id"), F.col("_L") - 1), F.col("_L"))
-    draws = draws.select("id", F.least(a, b).alias("_i"), F.greatest(a, b).alias("_j"))
-    w = Window.partitionBy("_i", "_j").orderBy("id")
-    lp = draws.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    lp = lp.orderBy(rkey(f"{seed}-keep", "_i", "_j"), "_i", "_j").limit(size)
+    dim = index_within(dim, [], lemma, seed, "_li")
+    n_p = dim.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).cast("bigint").alias("_M"))
+    draws = spark.range(int(size)).crossJoin(F.broadcast(n_p)).where("id < _M")  # one row
+    big = lambda c: c.cast("decimal(38,0)")
+    p = ((big(F.pmod(seeded_int(f"{seed}-offset", F.lit("pairs")), F.col("_M")))
+          + big(F.col("id")) * big(F.pmod(F.lit(STEP), F.col("_M")))) % big(F.col("_M"))).cast("bigint")
+    draws = draws.select(p.alias("_p"))
+    i = F.floor((F.sqrt(8.0 * F.col("_p") + 1.0) + 1.0) / 2.0).cast("bigint")
+    draws = draws.withColumn("_i", i)
+    below = lambda c: (c * (c - 1) / 2).cast("bigint")
+    # the square root is off by one at most, far beyond 2^52 pairs
+    draws = draws.withColumn("_i", F.when(below(F.col("_i")) > F.col("_p"), F.col("_i") - 1)
+                             .when(below(F.col("_i") + 1) <= F.col("_p"), F.col("_i") + 1)
+                             .otherwise(F.col("_i")))
+    lp = draws.select((F.col("_p") - below(F.col("_i"))).alias("_i"), F.col("_i").alias("_j"))
     da = dim.select(F.col(lemma).alias("lemma_1"), F.col("_li").alias("_i"), F.col("_n").alias("_na"))
     db = dim.select(F.col(lemma).alias("lemma_2"), F.col("_li").alias("_j"), F.col("_n").alias("_nb"))
-    lp = lp.join(F.broadcast(da), "_i").join(F.broadcast(db), "_j")
+    lp = lp.join(da, "_i").join(db, "_j")
     lp = lp.withColumn("_ra", F.pmod(seeded_int(f"{seed}-ra", "_i", "_j"), F.col("_na"))) \
         .withColumn("_rb", F.pmod(seeded_int(f"{seed}-rb", "_i", "_j"), F.col("_nb")))
-    rows = index_within(df, [lemma], id_col, f"{seed}-rows", "_rn")
+    rows = index_within(df.select(lemma, id_col), [lemma], id_col, f"{seed}-rows", "_rn")
     ra = rows.select(F.col(lemma).alias("lemma_1"), F.col("_rn").alias("_ra"),
                      F.col(id_col).alias("q1"))
     rb = rows.select(F.col(lemma).alias("lemma_2"), F.col("_rn").alias("_rb"),
@@ -191,9 +187,9 @@ def contrastive_pairs(df: DataFrame, label: str = "label", id_col: str = "id", r
     spark = df.sparkSession
     rows = index_within(df, [label], id_col, f"{seed}-row", "_rn")
     dim = group_sizes(df, [label], "_c")
-    dim = dim.select(label, "_c", (F.row_number().over(Window.orderBy(label)) - 1).alias("_li"))
+    dim = index_within(dim, [], label, f"{seed}-label", "_li").select(label, "_c", "_li")
     n_l = dim.agg(F.count(F.lit(1)).alias("_L"))
-    base = rows.join(F.broadcast(dim), label).crossJoin(F.broadcast(n_l))
+    base = rows.join(dim, label).crossJoin(F.broadcast(n_l))  # n_l is one row
     target = rows.select(F.col(label).alias("_tl"), F.col("_rn").alias("_trn"),
                          F.col(id_col).alias("q2"))
     tp = spark.range(npos).select(F.col("id").cast("int").alias("_t"))
@@ -206,7 +202,7 @@ def contrastive_pairs(df: DataFrame, label: str = "label", id_col: str = "id", r
         "_oli", F.pmod(F.col("_li") + 1 + F.pmod(seeded_int(f"{seed}-lab", id_col, "_t"),
                                                  F.col("_L") - 1), F.col("_L")))
     od = dim.select(F.col(label).alias("_ol"), F.col("_li").alias("_oli"), F.col("_c").alias("_oc"))
-    neg = neg.join(F.broadcast(od), "_oli").withColumn(
+    neg = neg.join(od, "_oli").withColumn(
         "_prn", F.pmod(seeded_int(f"{seed}-neg", id_col, "_t"), F.col("_oc")))
     neg = neg.join(target, (F.col("_tl") == F.col("_ol")) & (F.col("_trn") == F.col("_prn"))) \
         .select(F.col(id_col).alias("q1"), "q2", F.lit(0).alias("y"))
@@ -215,41 +211,54 @@ def contrastive_pairs(df: DataFrame, label: str = "label", id_col: str = "id", r
 
 # --- J13-J15 products with a bounded side --------------------------------------------------------
 
-def cross_with_background(items: DataFrame, background: DataFrame,
-                          direction: str = "forward", max_bg: int = BROADCAST_ROWS) -> DataFrame:
-    """Every item against every background row.  The background is a bounded pool (a
-    fixed number per time bin), checked before it is broadcast; items stream through."""
-    bg = checked_broadcast(background, max_bg)
-    out = items.crossJoin(bg)
-    return out.withColumn("direction", F.lit(direction)) if direction != "forward" else out
+def cross_with_background(items: DataFrame, background: DataFrame, direction: str = "forward",
+                          item_id: str = "item_id", bg_id: str = "bg_id") -> DataFrame:
+    """Every item against every background row, with s1_id, s2_id (which sentence comes first:
+    the item forward, the background row backward) and direction.
+
+    The background is a pool of a fixed number of rows per time bin, so it is broadcast; items
+    stream through."""
+    if direction not in ("forward", "backward"):
+        raise ValueError(direction)
+    first, second = (item_id, bg_id) if direction == "forward" else (bg_id, item_id)
+    return (items.crossJoin(F.broadcast(background))
+            .withColumn("s1_id", F.col(first)).withColumn("s2_id", F.col(second))
+            .withColumn("direction", F.lit(direction)))
+
+
+def _per_span(df: DataFrame, year: str, span: int, n: int, id_col: str, seed) -> DataFrame:
+    """At most n seeded rows of each span, numbered from 1 (a window-group limit runs first)."""
+    from lexispark.functions.text import year_bin
+    binned = df.select(F.col(id_col).alias("_id"), F.col(year).alias("_year"),
+                       year_bin(year, span).alias("_bin"))
+    w = Window.partitionBy("_bin").orderBy(rkey(seed, "_id"), "_id")
+    return binned.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
 
 
 def span_product(df: DataFrame, year: str, span: int, n: int, id_col: str = "id",
                  seed="span") -> DataFrame:
-    """n rows per year span, split 50/50 by seeded order; product of the halves within
-    each span.  Both halves are bounded by n per span."""
-    from lexispark.functions.text import year_bin
-    binned = df.withColumn("_bin", year_bin(year, span))
-    w = Window.partitionBy("_bin").orderBy(rkey(seed, id_col), id_col)
-    picked = binned.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    left = picked.where(F.col("_r") <= (n + 1) // 2).select(
-        "_bin", F.col(id_col).alias("a_id"), F.col(year).alias("a_year"))
-    right = picked.where(F.col("_r") > (n + 1) // 2).select(
-        "_bin", F.col(id_col).alias("b_id"), F.col(year).alias("b_year"))
-    return left.join(right, "_bin").withColumnRenamed("_bin", "span_bin")
+    """n seeded rows of each year span are split in two halves (the second is the larger one);
+    the first halves of all spans together meet the second halves of all spans.  Both sides have
+    n / 2 rows a span, which bounds what is broadcast."""
+    picked = _per_span(df, year, span, n, id_col, seed)
+    size = picked.groupBy(F.col("_bin").alias("_b")).agg(F.max("_r").alias("_m"))
+    picked = picked.join(size, F.col("_bin") == F.col("_b"))
+    half = F.floor(F.col("_m") / 2)
+    left = picked.where(F.col("_r") <= half).select(
+        F.col("_id").alias("a_id"), F.col("_year").alias("a_year"), F.col("_bin").alias("a_span"))
+    right = picked.where(F.col("_r") > half).select(
+        F.col("_id").alias("b_id"), F.col("_year").alias("b_year"), F.col("_bin").alias("b_span"))
+    return left.crossJoin(F.broadcast(right))
 
 
 def background_product(bg: DataFrame, year: str, span: int, n: int, id_col: str = "id",
                        seed="bgprod") -> DataFrame:
     """n per span sampled twice with the same seed (so the same rows), crossed: self-pairs
-    occur, as in the reference.  Bounded by (n * spans)^2."""
-    from lexispark.functions.text import year_bin
-    binned = bg.withColumn("_bin", year_bin(year, span))
-    w = Window.partitionBy("_bin").orderBy(rkey(seed, id_col), id_col)
-    s = binned.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    a = s.select(F.col(id_col).alias("a_id"), F.col(year).alias("a_year"))
-    b = s.select(F.col(id_col).alias("b_id"), F.col(year).alias("b_year"))
-    return a.crossJoin(checked_broadcast(b))
+    occur, as in the reference.  Either side has n rows a span, which bounds the broadcast."""
+    s = _per_span(bg, year, span, n, id_col, seed)
+    a = s.select(F.col("_id").alias("a_id"), F.col("_year").alias("a_year"))
+    b = s.select(F.col("_id").alias("b_id"), F.col("_year").alias("b_year"))
+    return a.crossJoin(F.broadcast(b))
 
 
 # --- J17 ---------------------------------------------------------------------------------------

@@ -10,7 +10,6 @@ Scale notes
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,9 +106,10 @@ def sample_per_group(df: DataFrame, group, n: int | None, seed="sample", id_col:
     if short == "drop":
         return picked.join(sizes.where(F.col("_gn") >= n).select(*group), group, "left_semi")
     if short == "error":
-        return picked.join(sizes, group).withColumn(
-            "_chk", F.when(F.col("_gn") < n, F.raise_error(F.lit(
-                f"group smaller than sample size {n}")))).drop("_gn", "_chk")
+        small = F.raise_error(F.lit(f"group smaller than sample size {n}")).cast("boolean")
+        # a filter on the check: an unused column would be pruned and never run
+        return picked.join(sizes, group).where(
+            F.when(F.col("_gn") < n, small).otherwise(F.lit(True))).drop("_gn")
     raise ValueError(short)
 
 
@@ -260,8 +260,9 @@ def weighted_sample(df: DataFrame, group, weight: Column | str, n: int, seed="we
         .drop("_rn", "_es")
 
 
-def sense_weight(df: DataFrame, sense: str, mode: str = "uniform") -> DataFrame:
-    """Row weight from its sense's size: 1/count ('uniform') or count ('proportional')."""
+def sense_weight(df: DataFrame, sense, mode: str = "uniform") -> DataFrame:
+    """Row weight from its sense's size: 1/count ('uniform') or count ('proportional').  ``sense``
+    names the columns that tell a sense apart, the lemma included: labels repeat over lemmas."""
     sized = with_group_size(df, sense, "_sc")
     w = 1.0 / F.col("_sc") if mode == "uniform" else F.col("_sc").cast("double")
     return sized.withColumn("weight", w).drop("_sc")
@@ -345,7 +346,3 @@ def sample_episodes(df: DataFrame, n_episodes: int, lemma: str = "lemma", sense:
     ok = qry_r.groupBy("episode", "attempt").agg(F.lit(1).alias("_ok"))
     first = ok.groupBy("episode").agg(F.min("attempt").alias("attempt"))
     return rows.join(first, ["episode", "attempt"], "left_semi")
-
-
-def n_batches_for(n_rows: int, size: int) -> int:
-    return max(1, math.ceil(n_rows / size))

@@ -1,8 +1,8 @@
 """Sense classification and its metrics.
 
 Vectors are averaged with ``Summarizer.mean`` (a JVM aggregate with partial merge), never
-by exploding d rows per vector.  Centroid tables are one row per (run, lemma, sense) and
-are broadcast only after a size check; test rows meet them with an equi-join on the lemma.
+by exploding d rows per vector.  Test rows meet centroids with an equi-join on the lemma and
+no hint: adaptive execution broadcasts a side that is small in bytes and splits hot lemmas.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.arrays import dot, l2_normalize
 from lexispark.functions.keys import seeded_int
-from lexispark.operators.pairs import checked_broadcast
 from lexispark.operators.sampling import _list
 
 
@@ -42,7 +41,7 @@ def nearest_centroid(test: DataFrame, cents: DataFrame, keys, metric: str = "cos
     if metric == "cosine":
         c = c.withColumn("_cv", l2_normalize("_cv"))
         t = t.withColumn(vec_col, l2_normalize(vec_col))
-    j = t.join(checked_broadcast(c), keys).withColumn("_sim", dot(vec_col, "_cv"))
+    j = t.join(c, keys).withColumn("_sim", dot(vec_col, "_cv"))
     return j.groupBy(id_col, *keys).agg(
         F.max_by("_cs", F.struct("_sim", "_cs")).alias(out), F.max("_sim").alias("sim"))
 
@@ -72,7 +71,7 @@ def frequency_baseline(train: DataFrame, test: DataFrame, keys, sense: str = "se
         .withColumn("_lo", F.col("_hi") - F.col("_c")) \
         .withColumn("_tot", F.sum("_c").over(Window.partitionBy(*keys)))
     t = test.select(id_col, *keys)
-    j = t.join(checked_broadcast(dim), keys).withColumn(
+    j = t.join(dim, keys).withColumn(
         "_u", F.pmod(seeded_int(seed, id_col), F.col("_tot")))
     return j.where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))) \
         .select(id_col, *keys, F.col(sense).alias(out))
@@ -132,13 +131,12 @@ def support_ladder(train: DataFrame, test: DataFrame, keys, sizes: Sequence[int
     keys = _list(keys)
     from lexispark.functions.keys import rkey
     spark = train.sparkSession
-    big = 2 ** 31 - 1
-    size_t = spark.createDataFrame([(big if s is None else int(s), "all" if s is None else str(s))
-                                    for s in sizes], "n int, n_items string")
+    size_t = spark.createDataFrame([(s, "all" if s is None else str(s)) for s in sizes],
+                                   "n bigint, n_items string")
     from lexispark.operators.sampling import exact_rank
     # skew-safe: a hot (lemma, sense) is ranked in md5-prefix cells, not one task
     ranked = exact_rank(train, keys + [sense], rkey(seed, id_col), id_col, out="_r")
-    drawn = ranked.join(F.broadcast(size_t), F.col("_r") <= F.col("n")).drop("_r", "n")
+    drawn = ranked.join(F.broadcast(size_t), F.col("n").isNull() | (F.col("_r") <= F.col("n"))).drop("_r", "n")
     cents = centroids(drawn, keys + ["n_items"], vec_col, sense=sense)
     tests = test.crossJoin(F.broadcast(size_t.select("n_items")))
     pred = nearest_centroid(tests, cents, keys + ["n_items"], metric, vec_col, sense, id_col)
@@ -188,7 +186,7 @@ def best_threshold(scores: DataFrame, score: str = "score", label: str = "label"
     df = scores.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).alias("_y"))
     if lo is None or hi is None:
         mm = df.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-        df = df.join(F.broadcast(mm), by) if by else df.crossJoin(F.broadcast(mm))
+        df = df.join(mm, by) if by else df.crossJoin(F.broadcast(mm))
     else:
         df = df.withColumn("_lo", F.lit(float(lo))).withColumn("_hi", F.lit(float(hi)))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(n - 1)
@@ -216,7 +214,7 @@ def best_threshold(scores: DataFrame, score: str = "score", label: str = "label"
 def bilinear_scores(pairs: DataFrame, weights: DataFrame, lemma: str = "lemma",
                     e1: str = "e1", e2: str = "e2") -> DataFrame:
     """p = sigmoid(w_lemma . [e1; e2]) with a weight vector per lemma (joined on lemma)."""
-    j = pairs.join(checked_broadcast(weights.select(lemma, F.col("weight").alias("_w"))), lemma)
+    j = pairs.join(weights.select(lemma, F.col("weight").alias("_w")), lemma)
     z = dot(F.concat(F.col(e1).cast("array<double>"), F.col(e2).cast("array<double>")), "_w")
     return j.withColumn("p", 1.0 / (1.0 + F.exp(-z))).drop("_w")
 

@@ -1,8 +1,8 @@
 """Sequence tagging and masked-word evaluation.
 
 Per-sentence work stays inside the row (higher-order array functions); corpus-level
-counts explode tokens and aggregate.  Token-level joins with a vocabulary use a size
--checked broadcast and otherwise a shuffle join (AQE splits hot tokens).
+counts explode tokens and aggregate.  Tokens are counted before they meet a vocabulary, so a
+hot word is a few rows at the join.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.operators.pairs import checked_broadcast
 from lexispark.operators.sampling import _list
 
 IGNORE, UNSEEN = -100, -101  # fixed label sentinels

@@ -46,7 +46,7 @@ def _preds(spark, sf):
 
 
 _PRED = f"""pr as (select ub.*, mp.class_id, greatest(0, least(k - 1, class_id +
-  ({"('0x' || substr(" + md5k('pred', 'pair_id', 'side') + ", 1, 8))::bigint"}) % 3 - 1)) as pred_class
+  ({"('0x' || substr(" + md5k('pred', 'pair_id', 'side') + ", 1, 15))::bigint"}) % 3 - 1)) as pred_class
   from ub join mp on ub.bin = mp.bin, (select count(*) as k from mp))"""
 
 
@@ -106,8 +106,7 @@ def knee_raw(spark, sf):
 
 
 _THR = """s0 as (select score, (item_year > bg_year)::int as y from scores),
-mm as (select min(score) as lo, max(score) as hi from s0),
-t as (select range as i, lo + range * (hi - lo) / 49 as th from range(50), mm),
+t as (select range as i, range / 49.0::double as th from range(50)),
 acc as (select i, th, avg(((score > th)::int = y)::int::double) as a from t, s0 group by i, th),
 best as (select th from acc order by a desc, i limit 1),
 sth as (select scores.*, (score > (select th from best))::int::double as hit from scores)"""
@@ -116,7 +115,7 @@ sth as (select scores.*, (score > (select th from best))::int::double as hit fro
 def _both(spark, sf):
     s = fx.scores(spark, sf)
     th = C.best_threshold(s.select("score", (F.col("item_year") > F.col("bg_year")).cast("int").alias("y")),
-                          "score", "y", n=50, lo=None, hi=None, strict=True).select("threshold")
+                          "score", "y", n=50, strict=True).select("threshold")
     raw = D.date_items(s).withColumn("model", F.lit("raw"))
     st = s.crossJoin(F.broadcast(th)).withColumn("hit", (F.col("score") > F.col("threshold")).cast("double"))
     thr = D.knee(D.cumulative_curve(st, ["item_id"], score="hit"), ["item_id"]).withColumn("model", F.lit("thr"))
@@ -161,39 +160,69 @@ def dating_mae_long(spark, sf):
         "model", r6("mae").alias("mae"))
 
 
-_SIZES, _ITS = (5, 10, 20), 3
+_SIZES, _ITS = tuple(range(10, 101, 10)), 10
 
 
-@register("background_curve", f"""{S},
+def two_models(spark, sf):
+    """The scores of two models: the stand-in's own and a flatter one."""
+    s = fx.scores(spark, sf)
+    return s.withColumn("model", F.lit("a")).unionByName(s.withColumn("model", F.lit("b")).withColumn(
+        "score", F.col("score") * F.col("score")))
+
+
+def _model_thresholds(s):
+    return C.best_threshold(s.select("model", "score", (F.col("item_year") > F.col("bg_year")).cast("int")
+                                     .alias("y")), "score", "y", n=50, strict=True, by=["model"])
+
+
+_TWO = """two as (select *, 'a' as model from scores
+  union all select item_id, bg_id, item_year, bg_year, score * score as score, 'b' as model from scores),
+t as (select range as i, range / 49.0::double as th from range(50)),
+acc as (select model, i, th, avg(((score > th)::int = (item_year > bg_year)::int)::int::double) as a
+  from t, two group by model, i, th),
+best as (select model, th, a from acc qualify row_number() over (partition by model order by a desc, i) = 1)"""
+
+
+@register("dating_model_thresholds", f"""{S}, {_TWO} select model, round(th, 6) as threshold,
+  round(a, 6) as accuracy from best""")
+def dating_model_thresholds(spark, sf):
+    b = _model_thresholds(two_models(spark, sf))
+    return b.select("model", r6("threshold").alias("threshold"), r6("accuracy").alias("accuracy"))
+
+
+@register("background_curve", f"""{S}, {_TWO},
 bgp as (select bg_id, bg_year, cast(floor(bg_year / 50) * 50 as int) as b from background_pool),
 rk as (select it.iteration, bgp.bg_id, row_number() over (partition by it.iteration, bgp.b
   order by {md5k('bgcurve', 'it.iteration', 'bgp.bg_id')}, bgp.bg_id) as r
   from bgp, (select range::int as iteration from range({_ITS})) it),
 dr as (select sz.n, rk.iteration, rk.bg_id from rk join (select unnest({list(_SIZES)}) as n) sz on rk.r <= sz.n),
-sc as (select dr.n, dr.iteration, scores.* from scores join dr on dr.bg_id = scores.bg_id),
-{_knee_sql('sc', 'n, iteration, item_id').strip()},
-ok as (select n, iteration, item_id, bool_and(knee is not null) as ok from kk group by all),
+vals as (select two.*, 'raw' as kind, score as v from two
+  union all select two.*, 'threshold' as kind, (score > th)::int::double as v from two join best using (model)),
+sc as (select dr.n, dr.iteration, vals.* from vals join dr on dr.bg_id = vals.bg_id),
+{_knee_sql('sc', 'n, iteration, kind, model, item_id', 'v').strip()},
+ok as (select n, iteration, kind, item_id, bool_and(knee is not null) as ok from kk group by all),
 tr as (select distinct item_id, item_year from scores)
-select n, iteration, 'raw' as model, round(avg(case when ok then abs(knee - item_year) end), 6) as mae,
+select n, iteration, kind, model, round(avg(case when ok then abs(knee - item_year) end), 6) as mae,
   cast(sum(ok::int) as bigint) as n_items, cast(sum((knee is null)::int) as bigint) as n_missing
-from kk join ok using (n, iteration, item_id) join tr using (item_id) group by n, iteration""")
+from kk join ok using (n, iteration, kind, item_id) join tr using (item_id) group by n, iteration, kind, model""")
 def background_curve(spark, sf):
-    s = fx.scores(spark, sf)
-    out = D.background_curve(s, fx.background_pool(spark, sf), _SIZES, _ITS)
-    return out.select("n", "iteration", "model", r6("mae").alias("mae"), F.col("n_items").cast("bigint"),
-                      F.col("n_missing").cast("bigint"))
+    s = two_models(spark, sf)
+    out = D.background_curve(s, fx.background_pool(spark, sf), _SIZES, _ITS, thresholds=_model_thresholds(s))
+    return out.select("n", "iteration", "kind", "model", r6("mae").alias("mae"),
+                      F.col("n_items").cast("bigint"), F.col("n_missing").cast("bigint"))
 
 
-# token-level stand-in: each 64-d vector read as 8 tokens of 8 dims
+# token-level stand-in: each vector read as tokens of 8 dimensions, all of them
 TOK = f"""{fx.duck_with('sense_items')}, tok as (select quote_id as pair, t.token_no,
   list_slice(embedding::double[], t.token_no * 8 + 1, t.token_no * 8 + 8) as attr
-  from sense_items, (select range::int as token_no from range(8)) t)"""
+  from sense_items, lateral (select unnest(range(0, (len(embedding) + 7) // 8))::int as token_no) t)"""
 
 
 def tokens(spark, sf):
     si = fx.sense_items(spark, sf)
     t = si.select(F.col("quote_id").alias("pair"), "embedding",
-                  F.explode(F.sequence(F.lit(0), F.lit(7))).alias("token_no"))
+                  F.explode(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 8).cast("int") - 1))
+                  .alias("token_no"))
     return t.select("pair", "token_no", F.slice(F.col("embedding").cast("array<double>"),
                                                F.col("token_no") * 8 + 1, F.lit(8)).alias("attr"))
 

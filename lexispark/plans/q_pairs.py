@@ -16,7 +16,7 @@ from lexispark.sources.tables import table
 
 
 def sint(seed: str, *cols: str) -> str:
-    return f"('0x' || substr({md5k(seed, *cols)}, 1, 8))::bigint"
+    return f"('0x' || substr({md5k(seed, *cols)}, 1, 15))::bigint"
 
 
 # --- word-in-context pairs --------------------------------------------------------------------
@@ -87,14 +87,14 @@ def dedup_pairs_distinct(spark, sf):
 DATED_SIZE = 5000
 _DATED = f"""
 src as (select quote_id, lemma from quotes where n_words >= 5 and year > 1450 and year < 1950),
-dim as (select lemma, count(*) as n, row_number() over (order by {md5k('dated', 'lemma')}, lemma) - 1 as li from src group by lemma),
-nl as (select count(*) as l from dim),
-dr as (select range as id, {sint('dated-a', 'range')} % l as a, {sint('dated-b', 'range')} % (l - 1) as o, l
-  from range({DATED_SIZE * 4}), nl where l >= 2),
-ab as (select id, least(a, (a + 1 + o) % l) as i, greatest(a, (a + 1 + o) % l) as j from dr),
-lp as (select i, j from (select i, j, row_number() over (partition by i, j order by id) as k from ab) where k = 1
-  order by {md5k('dated-keep', 'i', 'j')}, i, j limit {DATED_SIZE}),
-rows as (select quote_id, lemma, row_number() over (partition by lemma order by {md5k('dated-rows', 'quote_id')}, quote_id) - 1
+dim as materialized (select lemma, count(*) as n, row_number() over (order by {md5k('dated', 'lemma')}, lemma) - 1 as li
+  from src group by lemma),
+nl as (select count(*) * (count(*) - 1) // 2 as m from dim),
+dr as (select (({sint('dated-offset', "'pairs'")} % m + range::hugeint * ({J.STEP} % m)) % m)::bigint as p
+  from range({DATED_SIZE}), nl where range < m),
+all_lp as (select x.li as i, y.li as j, y.li * (y.li - 1) // 2 + x.li as p from dim x join dim y on x.li < y.li),
+lp as materialized (select i, j from all_lp join dr using (p)),
+rows as materialized (select quote_id, lemma, row_number() over (partition by lemma order by {md5k('dated-rows', 'quote_id')}, quote_id) - 1
   as rn from src),
 sel as (select da.lemma as lemma_1, db.lemma as lemma_2, {sint('dated-ra', 'i', 'j')} % da.n as ra,
   {sint('dated-rb', 'i', 'j')} % db.n as rb from lp join dim da on da.li = i join dim db on db.li = j)"""
@@ -118,7 +118,8 @@ def order_label(spark, sf):
 _CON = f"""
 r as (select quote_id, lemma, row_number() over (partition by lemma order by {md5k('contrast-row', 'quote_id')}, quote_id) - 1
   as rn from sense_items),
-dim as (select lemma, count(*) as c, row_number() over (order by lemma) - 1 as li from sense_items group by lemma),
+dim as (select lemma, count(*) as c, row_number() over (order by {md5k('contrast-label', 'lemma')}, lemma) - 1 as li
+  from sense_items group by lemma),
 nl as (select count(*) as l from dim),
 base as (select r.*, dim.c, dim.li, nl.l from r join dim on r.lemma = dim.lemma, nl),
 pos as (select base.quote_id as q1, t.quote_id as q2, 1 as y from base, range(1) tp(t) join r t
@@ -171,14 +172,22 @@ def cross_with_background(spark, sf):
     return s.withColumn("score", r6("score"))
 
 
+@register("cross_backward", f"""{fx.duck_with('dating_items', 'background_pool')}select i.item_id, g.bg_id,
+  g.bg_id as s1_id, i.item_id as s2_id, 'backward' as direction from dating_items i, background_pool g""")
+def cross_backward(spark, sf):
+    x = J.cross_with_background(fx.dating_items(spark, sf), fx.background_pool(spark, sf), "backward")
+    return x.select("item_id", "bg_id", "s1_id", "s2_id", "direction")
+
+
 @register("span_product", f"""{fx.duck_with('sense_items')},
 p as (select quote_id, year, cast(floor(year / 50) * 50 as int) as b, row_number() over (partition by floor(year / 50)
-  order by {md5k('span', 'quote_id')}, quote_id) as r from sense_items)
-select x.b as span_bin, x.quote_id as a_id, x.year as a_year, y.quote_id as b_id, y.year as b_year
-from p x join p y on x.b = y.b where x.r <= 5 and y.r > 5 and y.r <= 10""")
+  order by {md5k('span', 'quote_id')}, quote_id) as r, least(10, count(*) over (partition by floor(year / 50))) as m
+  from sense_items)
+select x.quote_id as a_id, x.year as a_year, x.b as a_span, y.quote_id as b_id, y.year as b_year, y.b as b_span
+from p x, p y where x.r <= x.m // 2 and y.r > y.m // 2 and y.r <= y.m""")
 def span_product(spark, sf):
     return J.span_product(fx.sense_items(spark, sf), "year", 50, 10, "quote_id") \
-        .select("span_bin", "a_id", "a_year", "b_id", "b_year")
+        .select("a_id", "a_year", "a_span", "b_id", "b_year", "b_span")
 
 
 @register("background_product", f"""{fx.duck_with('background_pool')},

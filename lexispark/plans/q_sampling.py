@@ -20,7 +20,7 @@ def md5k(seed: str, *cols: str) -> str:
 
 
 def unit(seed: str, *cols: str) -> str:
-    return f"(('0x' || substr({md5k(seed, *cols)}, 1, 8))::bigint / 4294967296.0::double)"
+    return f"(('0x' || substr({md5k(seed, *cols)}, 1, 15))::bigint / 1152921504606846976.0::double)"
 
 
 SENSES = f"""{Q}, sq as (select quote_id, lemma, year,
@@ -185,11 +185,11 @@ def first_n(spark, sf):
 
 
 @register("weighted_sample", f"""{SENSES},
-w as (select *, 1.0::double / count(*) over (partition by sense) as weight from sq)
+w as (select *, 1.0::double / count(*) over (partition by lemma, sense) as weight from sq)
 select quote_id, lemma from (select quote_id, lemma, row_number() over (partition by lemma order by
   -ln(greatest({unit('weighted', 'quote_id')}, 1e-12)) / weight, quote_id) as rn from w) where rn <= 10""")
 def weighted_sample(spark, sf):
-    w = S.sense_weight(senses(spark, sf), "sense", "uniform")
+    w = S.sense_weight(senses(spark, sf), ["lemma", "sense"], "uniform")
     return S.weighted_sample(w, "lemma", "weight", 10, id_col="quote_id").select("quote_id", "lemma")
 
 

@@ -10,7 +10,7 @@ from lexispark.operators import pairs as J
 from lexispark.operators import sampling as S
 from lexispark.operators import senses as C
 from lexispark.plans.q_pairs import CON, contrastive
-from lexispark.plans.q_sampling import md5k, unit
+from lexispark.plans.q_sampling import md5k
 from lexispark.plans.registry import register
 from lexispark.sources import fixtures as fx
 
@@ -39,8 +39,8 @@ FREQ = f"""fq as (select te.quote_id, te.lemma, te.sense as gold, d.sense as pre
   select lemma, sense, sum(c) over (partition by lemma order by sense) as hi,
     sum(c) over (partition by lemma order by sense) - c as lo, sum(c) over (partition by lemma) as tot
   from (select lemma, sense, count(*) as c from tr group by lemma, sense)) d on d.lemma = te.lemma
-  where ({"('0x' || substr(" + md5k('freq', 'te.quote_id') + ", 1, 8))::bigint"}) % d.tot >= d.lo
-    and ({"('0x' || substr(" + md5k('freq', 'te.quote_id') + ", 1, 8))::bigint"}) % d.tot < d.hi)"""
+  where ({"('0x' || substr(" + md5k('freq', 'te.quote_id') + ", 1, 15))::bigint"}) % d.tot >= d.lo
+    and ({"('0x' || substr(" + md5k('freq', 'te.quote_id') + ", 1, 15))::bigint"}) % d.tot < d.hi)"""
 BASE = f"{SI}, {_ST}, {CENT}, {NEAR}"
 
 
@@ -108,10 +108,10 @@ def wsd_class_index(spark, sf):
 
 
 @register("wsd_query_not_covered", f"""{SI}, {_ST} select quote_id, lemma, sense from te
-where (lemma, sense) not in (select (lemma, sense) from tr where year < 1500)""")
+where (lemma, sense) not in (select (lemma, sense) from tr where year < 1800)""")
 def wsd_query_not_covered(spark, sf):
     tr, te = split(spark, sf)
-    v = C.query_not_covered(tr.where("year < 1500"), te, ["lemma"])
+    v = C.query_not_covered(tr.where("year < 1800"), te, ["lemma"])
     return v.select("quote_id", "lemma", "sense")
 
 
@@ -147,13 +147,13 @@ def wsd_per_class(spark, sf):
                     r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
-_LADDER_SIZES = [1, 2, 5, 10, None]
+_LADDER_SIZES = [1, 2, 5, 10, 20, None]
 
 
 @register("wsd_support_ladder", f"""{SI}, {_ST},
 rk as (select *, row_number() over (partition by lemma, sense order by {md5k('ladder', 'quote_id')}, quote_id) as r from tr),
-sz as (select * from (values (1, '1'), (2, '2'), (5, '5'), (10, '10'), (2147483647, 'all')) t(n, n_items)),
-dr as (select rk.*, sz.n_items from rk join sz on r <= n),
+sz as (select * from (values (1, '1'), (2, '2'), (5, '5'), (10, '10'), (20, '20'), (null, 'all')) t(n, n_items)),
+dr as (select rk.*, sz.n_items from rk join sz on n is null or r <= n),
 cent as {_cent_sql('dr', 'n_items, lemma, sense')},
 p as (select n_items, quote_id, gold, pred from (select c.n_items, te.quote_id, te.sense as gold, c.sense as pred,
   row_number() over (partition by c.n_items, te.quote_id order by list_cosine_similarity(te.embedding::double[], c.centroid) desc,
@@ -197,13 +197,12 @@ def pair_best_threshold(spark, sf):
 
 @register("dating_best_threshold", f"""{fx.duck_with('scores')},
 s as (select score, (item_year > bg_year)::int as y from scores),
-mm as (select min(score) as lo, max(score) as hi from s),
-t as (select range as i, lo + range * (hi - lo) / 49 as th from range(50), mm),
+t as (select range as i, range / 49.0::double as th from range(50)),
 acc as (select i, th, avg(((score > th)::int = y)::int::double) as accuracy from t, s group by i, th)
 select round(th, 6) as threshold, round(accuracy, 6) as accuracy from acc order by accuracy desc, i limit 1""")
 def dating_best_threshold(spark, sf):
     s = fx.scores(spark, sf).select("score", (F.col("item_year") > F.col("bg_year")).cast("int").alias("y"))
-    b = C.best_threshold(s, "score", "y", n=50, lo=None, hi=None, strict=True)
+    b = C.best_threshold(s, "score", "y", n=50, strict=True)
     return b.select(r6("threshold").alias("threshold"), r6("accuracy").alias("accuracy"))
 
 
@@ -224,5 +223,3 @@ def pair_bce(spark, sf):
     out = C.bce(sc, "p", "y").crossJoin(sc.agg(F.avg("p").alias("mean_p")))
     return out.select(r6("bce").alias("bce"), r6("mean_p").alias("mean_p"))
 
-
-del unit

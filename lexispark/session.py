@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,19 +54,17 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset (local tests)
-    do we make a private scratch folder.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a session within one
+    process (tests) gets a private folder; on a cluster it is an error, as every executor would
+    write to a disk of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexispark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A table location under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), name)

@@ -6,9 +6,8 @@ statements (``DUCK``) are used by the SQL oracles; both engines produce identica
 Deviations from a literal reading of the fixture notes, taken so the work covers whole
 tables and whole texts:
 * ``tagged`` keeps every token of a document (no prefix cut);
-* ``scores`` uses a hashed 10% of vectors as items and a background pool of at most
-  20 vectors per decade drawn from the rest (the reference's background pool), instead
-  of id ranges.
+* ``scores`` uses a background pool of at most BG_PER_DECADE vectors per decade, and every
+  vector outside the pool is an item, instead of id ranges.
 """
 
 from __future__ import annotations
@@ -16,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions.keys import rkey, seeded_unit
+from lexispark.functions.keys import seeded_unit
 from lexispark.sources.tables import table
 
 # Fixed values of the stand-in data (both engines must agree on them).
-ITEM_CUT = "1a"            # md5 prefix below which a vector is a dating item (~10%)
-BG_PER_DECADE = 20         # background pool size per decade
+BG_PER_DECADE = 5          # background pool size per decade
 CAND_WORDS = ["small", "red", "ring", "widget", "blue", "absent", "thou"]
 KW_WORDS = ["small", "red", "ring", "gear", "blue"]
 
@@ -73,16 +71,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dating_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings", "vec_id")
-    return emb.where(rkey("items", "vec_id") < ITEM_CUT).select(
+    pool = background_pool(spark, sf_dir).select(F.col("bg_id").alias("vec_id"))
+    return emb.join(pool, "vec_id", "left_anti").select(
         F.col("vec_id").alias("item_id"),
         (F.lit(1450) + (F.col("vec_id") * 13) % 500).cast("int").alias("item_year"))
 
 
 def background_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most BG_PER_DECADE vectors per decade from the non-item vectors (bounded)."""
+    """At most BG_PER_DECADE vectors per decade (bounded)."""
     from lexispark.operators.sampling import sample_per_group
     emb = table(spark, sf_dir, "embeddings", "vec_id")
-    rest = emb.where(rkey("items", "vec_id") >= ITEM_CUT).select(
+    rest = emb.select(
         F.col("vec_id").alias("bg_id"),
         (F.lit(1450) + F.lit(10) * (F.col("vec_id") % 50)).cast("int").alias("bg_year"))
     return sample_per_group(rest, "bg_year", BG_PER_DECADE, seed="bg", id_col="bg_id")
@@ -98,14 +97,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text", "lang")
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return spark.sql("""
         select doc_id as sent_id, source, tokens,
           transform(tokens, x -> concat('T', cast(length(x) % 5 as string))) as tags,
           transform(tokens, x -> case when md5(concat(cast(doc_id as string), x)) < '33' then 'T0'
             else concat('T', cast(length(x) % 5 as string)) end) as preds
-        from (select doc_id, source, filter(split(text, '[^A-Za-z]+'), x -> length(x) > 0) as tokens
-              from {docs} where lang = 'en')
+        from (select doc_id, source, filter(split(text, '[^\\\\p{{L}}]+'), x -> length(x) > 0) as tokens
+              from {docs})
     """, docs=docs)
 
 
@@ -153,22 +152,22 @@ DUCK = {
           cast(1451 + (a.o_orderkey * 31) % 498 as int) as y1,
           cast(1451 + (b.o_orderkey * 31) % 498 as int) as y2
         from orders a join orders b on b.o_orderkey = a.o_orderkey + 1""",
-    "dating_items": f"""
+    "dating_items": """
         select vec_id as item_id, cast(1450 + (vec_id * 13) % 500 as int) as item_year
-        from embeddings where md5(concat_ws(':', 'items', cast(vec_id as varchar))) < '{ITEM_CUT}'""",
+        from embeddings where vec_id not in (select bg_id from background_pool)""",
     "background_pool": f"""
         select bg_id, bg_year from (
           select vec_id as bg_id, cast(1450 + 10 * (vec_id % 50) as int) as bg_year,
             row_number() over (partition by 1450 + 10 * (vec_id % 50)
               order by md5(concat_ws(':', 'bg', cast(vec_id as varchar))), vec_id) as rn
-          from embeddings where md5(concat_ws(':', 'items', cast(vec_id as varchar))) >= '{ITEM_CUT}')
+          from embeddings)
         where rn <= {BG_PER_DECADE}""",
     "scores": """
         select item_id, bg_id, item_year, bg_year,
           case when item_year > bg_year then 0.5::double + 0.5::double * u else 0.6::double * u end as score
         from (select i.item_id, g.bg_id, i.item_year, g.bg_year,
-          ('0x' || substr(md5(concat_ws(':', 'sc', cast(i.item_id as varchar), cast(g.bg_id as varchar))), 1, 8))::bigint
-            / 4294967296.0::double as u
+          ('0x' || substr(md5(concat_ws(':', 'sc', cast(i.item_id as varchar), cast(g.bg_id as varchar))), 1, 15))::bigint
+            / 1152921504606846976.0::double as u
           from dating_items i cross join background_pool g)""",
     "tagged": """
         select doc_id as sent_id, source, tokens,
@@ -176,8 +175,8 @@ DUCK = {
           list_transform(tokens, lambda x: case when md5(concat(cast(doc_id as varchar), x)) < '33' then 'T0'
             else concat('T', cast(length(x) % 5 as varchar)) end) as preds
         from (select doc_id, source,
-                list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) > 0) as tokens
-              from documents where lang = 'en')""",
+                list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: length(x) > 0) as tokens
+              from documents)""",
     "candidates": f"""
         select quote_id, kw, list_transform(range(0, 5), lambda i: {{
             'token_str': [{_CW}][((quote_id + i * 3) % 7)::int + 1],
@@ -186,7 +185,7 @@ DUCK = {
 }
 
 # Which fixtures each fixture needs first (for CTE assembly).
-_DEPS = {"scores": ["dating_items", "background_pool"]}
+_DEPS = {"scores": ["dating_items", "background_pool"], "dating_items": ["background_pool"]}
 
 
 def duck_with(*names: str) -> str:
