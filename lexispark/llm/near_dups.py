@@ -26,27 +26,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from lexispark.llm.common import SPACE, byte_hashes, mix64, settle
+from lexispark.llm.common import byte_hashes, mix64, settle
 
 BANDS, ROWS = 24, 5
 COORDS = BANDS * ROWS
 SHINGLE = 5
-SMALL, LATER, LEADERS = 8, 64, 32   # see _lead: pairs of a row in a bucket stay below LATER
+SMALL, LATER, LEADERS = 8, 256, 64   # see _lead: pairs of a row in a bucket stay below LATER
 CHUNK_WORDS = 400_000   # words handled at once in a task; a longer text is a chunk of its own
 _U = np.uint64
 
 
-def content_key(text: Column) -> Column:
-    """Equal for texts with equal words."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-                      "abcdefghijklmnopqrstuvwxyz")
-    return F.unhex(F.md5(F.trim(F.regexp_replace(low, SPACE, " "))))
+def row_key(text: Column) -> Column:
+    """Tells rows with the same id but other texts apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_lists(texts: list[str | None]) -> list[list[bytes]]:
+    return [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+
+
+def shingle_sets(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document number, shingle hash, count), sorted by document and hash."""
-    lists = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     h = byte_hashes([w for x in lists for w in x])
     doc = np.repeat(np.arange(len(lists)), sizes)
@@ -58,7 +60,7 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     left = np.repeat(sizes, sizes) - at                 # words from here to the end of the text
     for i in range(SHINGLE):
         nxt = np.zeros(n, _U)
-        nxt[:n - i if i else n] = h[i:]
+        nxt[:max(0, n - i)] = h[i:]
         use = left > i                                  # short texts take the words they have
         rolled = np.where(use, mix64(rolled * _U(0x9E3779B97F4A7C15) + nxt + _U(i + 1)), rolled)
     starts = (left >= SHINGLE) | (at == 0)
@@ -75,8 +77,8 @@ def dart_signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_doc
                     coords: int = COORDS) -> np.ndarray:
     """n_docs x coords dart identities (uint32); documents without weight have zeros.
     Weights are any non-negative reals."""
-    best_rank = np.full(n_docs * coords, np.inf)
-    best_dart = np.zeros(n_docs * coords, np.uint32)
+    empty = _U(0xFFFFFFFFFFFFFFFF)
+    best = np.full(n_docs * coords, empty)              # rank (as float32) and dart in one number
     total = np.bincount(doc, weight, n_docs)
     wanted = np.where(total > 0, coords * (np.log(coords) + 4.0), 0.0)
     todo = total > 0
@@ -87,34 +89,34 @@ def dart_signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_doc
         columns = np.ceil(w).astype(np.int64)           # unit-wide columns of each region
         d, x, w = (np.repeat(v, columns) for v in (d, x, w))
         ends = np.cumsum(columns)
-        column = (np.arange(len(d)) - np.repeat(ends - columns, columns)).astype(_U)
-        seed = mix64(x ^ mix64(column + _U(0x51ED2701)))
-        rank, top = np.zeros(len(d)), limit[d]
-        keys, ranks, darts = [], [], []
-        step = 0
-        while len(d):                                   # next dart of every column still below
-            step += 1
-            a = mix64(seed + _U(step * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
-            rank = rank - np.log(((a >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53)
-            live = rank <= top
-            d, seed, rank, top, w, column, a = (
-                v[live] for v in (d, seed, rank, top, w, column, a))
-            b = mix64(a + _U(0x9E3779B97F4A7C15))
-            height = column + ((b >> _U(32)).astype(np.float64) + 0.5) * 2.0 ** -32
-            hit = height < w
-            c = mix64(b[hit])
-            keys.append(d[hit] * coords + ((c >> _U(32)) % _U(coords)).astype(np.int64))
-            ranks.append(rank[hit])
-            darts.append((c & _U(0xFFFFFFFF)).astype(np.uint32))
-        k, r, v = map(np.concatenate, (keys, ranks, darts))
-        order = np.lexsort((r, k))
-        k, r, v = k[order], r[order], v[order]
-        first = np.ones(len(k), bool)
-        first[1:] = k[1:] != k[:-1]
-        best_rank[k[first]], best_dart[k[first]] = r[first], v[first]
-        todo &= ~np.isfinite(best_rank.reshape(n_docs, coords)).all(1)
+        column = np.arange(len(d)) - np.repeat(ends - columns, columns)
+        seed = mix64(x ^ mix64(column.astype(_U) + _U(0x51ED2701)))
+        share = w - column                              # how much of the column is inside
+        whole = bool((share >= 1.0).all())
+        rank, top, step = np.zeros(len(d)), limit[d], 0
+        while len(d):                                   # next darts of every column still below
+            some = 1 if step < 6 else 32                # few columns need many darts
+            a = mix64(seed[:, None] + (np.arange(step + 1, step + some + 1, dtype=np.int64).astype(
+                _U) * _U(0xD1342543DE82EF95))[None])
+            gap = -np.log(((a >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53)
+            ranks = rank[:, None] + (np.cumsum(gap, axis=1) if some > 1 else gap)
+            row, at = np.nonzero(ranks <= top[:, None])
+            dart, r = a[row, at], ranks[row, at]
+            if not whole:
+                inside = ((mix64(dart + _U(0x9E3779B97F4A7C15)) >> _U(11)).astype(np.float64) + 0.5
+                          ) * 2.0 ** -53 < share[row]
+                row, dart, r = row[inside], dart[inside], r[inside]
+            c = mix64(dart + _U(0x2545F4914F6CDD1D))
+            key = d[row] * coords + ((c >> _U(32)) % _U(coords)).astype(np.int64)
+            np.minimum.at(best, key, r.astype(np.float32).view(np.uint32).astype(_U) << _U(32)
+                          | (c & _U(0xFFFFFFFF)))
+            live = ranks[:, -1] <= top
+            d, seed, rank, top, share = (v[live] for v in (d, seed, ranks[:, -1], top, share))
+            step += some
+        todo &= ~(best.reshape(n_docs, coords) != empty).all(1)
         wanted *= 2                                     # a coordinate without dart: throw further
-    return best_dart.reshape(n_docs, coords)
+    return np.where(best == empty, 0, best & _U(0xFFFFFFFF)).astype(np.uint32).reshape(
+        n_docs, coords)
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -139,27 +141,30 @@ def _chunks(texts: list) -> list[tuple[int, int]]:
 
 def _sign(batches):
     for batch in batches:
-        texts, sigs, bands, n = batch.column("text").to_pylist(), [], [], []
+        texts, sigs, bands, n, same = batch.column("text").to_pylist(), [], [], [], []
         for a, b in _chunks(texts):
-            doc, item, count = shingle_sets(texts[a:b])
+            words = word_lists(texts[a:b])
+            same += [xxh3_128_digest(b" ".join(x)) for x in words]
+            doc, item, count = shingle_sets(words)
             s = dart_signatures(doc, item, count.astype(np.float64), b - a)
             sigs += [x.tobytes() for x in s]
             bands.append(band_keys(s))
             n.append(np.bincount(doc, count, b - a))
         keys = np.concatenate(bands) if bands else np.zeros((0, BANDS), np.int64)
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("content"), pa.array(sigs, pa.binary()),
+            batch.column("doc_id"), batch.column("raw"), pa.array(same, pa.binary()),
+            pa.array(sigs, pa.binary()),
             pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * BANDS,
                                      pa.array(keys.reshape(-1))),
             pa.array(np.concatenate(n) if n else [], pa.float64())],
-            names=["doc_id", "content", "sig", "bands", "weight"])
+            names=["doc_id", "raw", "content", "sig", "bands", "weight"])
 
 
 def _shingle_rows(batches):
     for batch in batches:
         texts, h, c = batch.column("text").to_pylist(), [], []
         for a, b in _chunks(texts):
-            doc, item, count = shingle_sets(texts[a:b])
+            doc, item, count = shingle_sets(word_lists(texts[a:b]))
             cut = np.searchsorted(doc, np.arange(b - a + 1))
             for i in range(b - a):
                 h.append(item[cut[i]:cut[i + 1]].tobytes())
@@ -248,15 +253,15 @@ def _lead(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, content, class_id (smallest doc_id of the class), kept (exactly one row a class) for
+    """doc_id, raw (row_key of its text), class_id (smallest doc_id of the class), kept (exactly one row a class) for
     every row of ``docs``."""
-    keyed = docs.select("doc_id", "text", content_key(F.col("text")).alias("content"))
-    kind = dict(keyed.dtypes)["doc_id"]
-    signed = settle(keyed.mapInArrow(
-        _sign, f"doc_id {kind}, content binary, sig binary, bands array<bigint>, weight double")
-        .withColumn("uid", F.monotonically_increasing_id()), "signed")
+    rows_in = docs.select("doc_id", "text")
+    kind = dict(rows_in.dtypes)["doc_id"]
+    signed = settle(rows_in.withColumn("raw", row_key(F.col("text"))).mapInArrow(
+        _sign, f"doc_id {kind}, raw binary, content binary, sig binary, bands array<bigint>, "
+        "weight double").withColumn("uid", F.monotonically_increasing_id()), "signed")
     nodes = settle(signed.groupBy("content").agg(F.min("uid").alias("node")), "nodes")
-    heads = signed.select("uid", "doc_id", "content", "sig", "bands", "weight").join(
+    heads = signed.select("uid", "doc_id", "raw", "sig", "bands", "weight").join(
         nodes.select("node"), F.col("uid") == F.col("node")).drop("uid").filter("weight > 0")
     buckets = heads.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -265,9 +270,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     candidates = members.select("node").distinct()
     known = settle(heads.join(candidates, "node").select("node", "sig"), "candidates")
     places = heads.join(candidates, "node").select(
-        "node", F.col("doc_id").alias("d"), F.col("content").alias("c"))
-    texts = keyed.join(places, F.col("doc_id").eqNullSafe(F.col("d"))
-                       & (F.col("content") == F.col("c"))).select("node", "text")
+        "node", F.col("doc_id").alias("d"), "raw")
+    texts = (rows_in.join(places, F.col("doc_id").eqNullSafe(F.col("d")))
+             .filter(row_key(F.col("text")) == F.col("raw")).select("node", "text"))
     sets = settle(texts.mapInArrow(_shingle_rows, "node bigint, items binary, counts binary")
                   .dropDuplicates(["node"]), "shingles")
     error = (threshold * (1 - threshold) / COORDS) ** 0.5
@@ -290,14 +295,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     if roots is not None:
         classes = (nodes.join(roots, "node", "left")
                    .withColumn("class", F.coalesce("root", "node")))
-    rows = signed.select("uid", "doc_id", "content").join(
+    rows = signed.select("uid", "doc_id", "raw", "content").join(
         classes.select(F.col("content").alias("c"), "class"), F.col("content") == F.col("c"))
-    rows = settle(rows.select("uid", "doc_id", "content", "class"), "rows")
+    rows = settle(rows.select("uid", "doc_id", "raw", "class"), "rows")
     least = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     stay = (rows.join(least, "class").filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
             .groupBy("class").agg(F.min("uid").alias("stays")))
     return (rows.join(least, "class").join(stay, "class")
-            .select("doc_id", "content", "class_id",
+            .select("doc_id", "raw", "class_id",
                     (F.col("uid") == F.col("stays")).alias("kept")))
 
 
@@ -305,9 +310,9 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of each class (smallest doc_id), with all columns of ``docs``."""
     names = docs.columns
     stay = near_duplicates(docs, threshold).filter("kept").select(
-        F.col("doc_id").alias("__d"), F.col("content").alias("__c"))
+        F.col("doc_id").alias("__d"), F.col("raw").alias("__r"))
     packed = docs.select(F.struct(*names).alias("__row"), F.col("doc_id").alias("__doc"),
-                         content_key(F.col("text")).alias("__content"))
+                         row_key(F.col("text")).alias("__raw"))
     return (packed.join(stay, F.col("__doc").eqNullSafe(F.col("__d"))
-                        & (F.col("__content") == F.col("__c")), "left_semi")
-            .dropDuplicates(["__doc", "__content"]).select("__row.*"))
+                        & (F.col("__raw") == F.col("__r")), "left_semi")
+            .dropDuplicates(["__doc", "__raw"]).select("__row.*"))
