@@ -44,15 +44,6 @@ def cosine(a, b) -> Column:
     return dot(a, b) / (F.sqrt(sq_norm(a)) * F.sqrt(sq_norm(b)))
 
 
-def vsum(a, b) -> Column:
-    return F.zip_with(as_double(a), as_double(b), lambda x, y: x + y)
-
-
 def vscale(a, s) -> Column:
     s = _c(s) if not isinstance(s, (int, float)) else F.lit(float(s))
     return F.transform(as_double(a), lambda x: x * s)
-
-
-def argmax_index(scores) -> Column:
-    """1-based position of the first maximum (0 for an empty array)."""
-    return F.array_position(_c(scores), F.array_max(_c(scores)))

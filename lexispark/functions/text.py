@@ -62,23 +62,24 @@ def qualify(lemma, sense, sep: str = "+") -> Column:
 def keyword_pattern(keyword) -> Column:
     """Regex matching the keyword's words (quoted) separated by any whitespace."""
     words = F.split(py_strip(keyword), r"\s+")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))),
-                        r"\s+")
+    quoted = lambda w: F.concat(
+        F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
+    return F.array_join(F.transform(words, quoted), r"\s+")
 
 
 def keyword_span(quote, keyword) -> Column:
     """struct(start, end) half-open char offsets of the first whole-token occurrence of the
     keyword in the quote; NULL if absent.
 
-    Tokens are runs of ASCII word characters or single other non-space characters, so a
-    keyword matches when it is not glued to a word character on either side.
+    Tokens are runs of Unicode word characters or single other non-space characters, so a
+    keyword matches when it is not glued to a word character on either side.  One regex pass: the
+    quote is cut in two at the first match.
     """
-    pat = F.concat(F.lit(r"^(.*?(?:^|\W))("), keyword_pattern(keyword), F.lit(r")(?:\W|$)"))
-    found = F.regexp_like(_c(quote), pat)
-    pre = F.call_function("regexp_extract", _c(quote), pat, F.lit(1))
-    hit = F.call_function("regexp_extract", _c(quote), pat, F.lit(2))
-    start = F.length(pre)
-    return F.when(found, F.struct(start.alias("start"), (start + F.length(hit)).alias("end")))
+    pat = F.concat(F.lit(r"(?U)(?<!\w)"), keyword_pattern(keyword), F.lit(r"(?!\w)"))
+    cut = F.split(_c(quote), pat, 2)
+    start = F.length(F.get(cut, 0))
+    end = F.length(_c(quote)) - F.length(F.get(cut, 1))
+    return F.when(F.size(cut) == 2, F.struct(start.alias("start"), end.alias("end")))
 
 
 def mask_first(quote, keyword, mask: str = "[MASK]") -> Column:

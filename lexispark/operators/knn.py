@@ -1,162 +1,196 @@
 """Neighbour retrieval.
 
-Exact top-k uses a tile grid: vectors are hashed into T tiles of bounded bytes, each tile
-is packed once into one row (ids + float64 matrix bytes + carried labels), every target
-tile is replicated to every query tile with an equi-join on the query tile number, and a
-``mapInPandas`` keeps a running top-k per query tile across the target tiles it sees.
-Work is O(N^2 d) by nature; shuffle volume is T x data.  For large N use ``knn_approx``.
+Exact top-k uses a grid of tiles.  Partitions pack their vectors into tiles of TILE_ROWS rows (one
+row a tile: ids, matrix bytes, carried labels).  Every tile of targets meets every tile of queries:
+cells are (query tile, stripe of targets), a cell's task holds one tile of either kind and the
+running top-k of its queries, and the k best of each stripe are merged by a window.  Scores are
+chosen first and ids and labels are gathered for the winners only, so a task's arrays are bounded
+by TILE_ROWS x TILE_ROWS.  Work is O(N^2 d) by nature; for large N use ``knn_approx``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.functions.arrays import l2_normalize
-from lexispark.functions.keys import r6, seeded_int
-
-TILE_BYTES = 32 << 20
-CHUNK_ROWS = 1024
+from lexispark.functions.arrays import dot, l2_normalize
+from lexispark.functions.keys import r6
 
+TILE_ROWS = 2048
+STRIPES = 4
 
-def _tile_count(vectors: DataFrame, vec_col: str, tile_bytes: int) -> int:
-    row = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    n, d = int(row["n"] or 0), int(row["d"] or 0)
-    return max(1, math.ceil(n * max(d, 1) * 8 / tile_bytes))
 
-
-def _pack_schema(carry):
-    fields = [T.StructField("tile", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())),
+def _tile_schema(carry):
+    fields = [T.StructField("tile", T.LongType()), T.StructField("ids", T.BinaryType()),
               T.StructField("mat", T.BinaryType()), T.StructField("d", T.IntegerType())]
     fields += [T.StructField(f"c_{c}", T.ArrayType(T.StringType())) for c in carry]
     return T.StructType(fields)
 
 
-def _packer(carry):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        row = {"tile": [int(pdf["tile"].iloc[0])], "ids": [pdf["id"].to_numpy(np.int64)],
-               "mat": [mat.tobytes()], "d": [mat.shape[1]]}
-        for c in carry:
-            row[f"c_{c}"] = [pdf[c].astype(str).to_numpy()]
-        return pd.DataFrame(row)
-    return pack
-
-
-def _merge_topk(run_s, run_i, run_x, s, i, x, k):
-    """Merge running top-k (sims, ids, extra arrays) with new candidates; order by
-    (sim desc, id asc)."""
-    S = np.concatenate([run_s, s], axis=1)
-    I = np.concatenate([run_i, i], axis=1)
-    X = [np.concatenate([a, b], axis=1) for a, b in zip(run_x, x)]
-    kk = min(k, S.shape[1])
-    if S.shape[1] > kk:
-        thr = -np.partition(-S, kk - 1, axis=1)[:, kk - 1:kk]
-        mask = S >= thr
-        if (mask.sum(1) == kk).all():
-            S, I = S[mask].reshape(-1, kk), I[mask].reshape(-1, kk)
-            X = [a[mask].reshape(-1, kk) for a in X]
-    order = np.lexsort((I, -S), axis=1)[:, :kk]
-    take = lambda a: np.take_along_axis(a, order, 1)
-    return take(S), take(I), [take(a) for a in X]
-
-
-def _grid_topk(k: int, carry):
+def _packer(carry, tile_rows: int):
     def run(batches):
-        state = {}  # query tile -> running top-k of its rows
+        from pyspark import TaskContext
+        number, seq, held = TaskContext.get().partitionId(), 0, []
+
+        def emit(pdf):
+            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
+            row = {"tile": [number << 32 | seq], "ids": [pdf["id"].to_numpy("<i8").tobytes()],
+                   "mat": [mat.tobytes()], "d": [mat.shape[1]]}
+            for c in carry:
+                row[f"c_{c}"] = [pdf[c].to_numpy(object)]
+            return pd.DataFrame(row)
         for pdf in batches:
-            for r in pdf.to_dict("records"):
-                qt, d = r["qtile"], int(r["d"])
-                if qt not in state:
-                    qids = np.asarray(r["qids"], dtype=np.int64)
-                    m = len(qids)
-                    state[qt] = {"ids": qids,
-                                 "mat": np.frombuffer(r["qmat"], dtype=np.float64).reshape(m, d),
-                                 "q": [np.asarray(r[f"q_{c}"], dtype=object) for c in carry],
-                                 "s": np.empty((m, 0)), "i": np.empty((m, 0), np.int64),
-                                 "x": [np.empty((m, 0), dtype=object) for _ in carry]}
-                st = state[qt]
-                tids = np.asarray(r["tids"], dtype=np.int64)
-                tm = np.frombuffer(r["tmat"], dtype=np.float64).reshape(len(tids), d)
-                tx = [np.asarray(r[f"t_{c}"], dtype=object) for c in carry]
-                parts = []
-                for lo in range(0, len(st["ids"]), CHUNK_ROWS):
-                    sl = slice(lo, lo + CHUNK_ROWS)
-                    sims = st["mat"][sl] @ tm.T
-                    shape = sims.shape
-                    parts.append(_merge_topk(st["s"][sl], st["i"][sl], [a[sl] for a in st["x"]],
-                                             sims, np.broadcast_to(tids, shape),
-                                             [np.broadcast_to(a, shape) for a in tx], k))
-                if parts:
-                    st["s"] = np.concatenate([p[0] for p in parts])
-                    st["i"] = np.concatenate([p[1] for p in parts])
-                    st["x"] = [np.concatenate([p[2][j] for p in parts]) for j in range(len(carry))]
-        for st in state.values():
-            m, kk = st["s"].shape
-            out = {"qid": np.repeat(st["ids"], kk), "rank": np.tile(np.arange(1, kk + 1), m),
-                   "nid": st["i"].ravel(), "sim": st["s"].ravel()}
+            held.append(pdf)
+            while sum(map(len, held)) >= tile_rows:
+                whole = pd.concat(held, ignore_index=True)
+                seq += 1
+                yield emit(whole[:tile_rows])
+                held = [whole[tile_rows:]]
+        rest = pd.concat(held, ignore_index=True) if held else []
+        if len(rest):
+            seq += 1
+            yield emit(rest)
+    return run
+
+
+class _Tile:
+    def __init__(self, r, carry):
+        self.ids = np.frombuffer(r["ids"], "<i8")
+        self.mat = np.frombuffer(r["mat"], np.float64).reshape(len(self.ids), int(r["d"]))
+        self.carry = [np.asarray(r[f"c_{c}"], dtype=object) for c in carry]
+
+
+def _winners(score: np.ndarray, ids: np.ndarray, k: int):
+    """(row, column) of the k best of each row, best first, ties to the smaller id."""
+    k = min(k, score.shape[1])
+    if not k:
+        return np.zeros((len(score), 0), np.int64)
+    if score.shape[1] > k:
+        # by id among equal scores: the k-th best score may be shared by more columns than fit
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
+        row, col = np.nonzero(score >= least)
+    else:
+        row, col = (x.ravel() for x in np.indices(score.shape))
+    order = np.lexsort((np.broadcast_to(ids, score.shape)[row, col], -score[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(score)))
+    return col[np.arange(len(row)) - first[row] < k].reshape(len(score), k)
+
+
+def _cells(k: int, carry):
+    """Rows come sorted by (cell, stripe), the query tile first."""
+    def run(batches):
+        here, q, s, i, x = None, None, None, None, None
+
+        def out():
+            m, kk = s.shape
+            pdf = {"qid": np.repeat(q.ids, kk), "nid": i.ravel(), "sim": s.ravel()}
             for j, c in enumerate(carry):
-                out[f"q_{c}"] = np.repeat(st["q"][j], kk)
-                out[f"n_{c}"] = st["x"][j].ravel()
-            yield pd.DataFrame(out)
+                pdf[f"q_{c}"] = np.repeat(q.carry[j], kk)
+                pdf[f"n_{c}"] = x[j].ravel()
+            return pd.DataFrame(pdf)
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                tile = _Tile(r, carry)
+                if r["kind"] == 0:
+                    if q is not None:
+                        yield out()
+                    here, q = (r["cell"], r["stripe"]), tile
+                    s, i = np.empty((len(q.ids), 0)), np.empty((len(q.ids), 0), np.int64)
+                    x = [np.empty((len(q.ids), 0), object) for _ in carry]
+                elif here == (r["cell"], r["stripe"]):
+                    sims = q.mat @ tile.mat.T
+                    col = _winners(sims, tile.ids, k)
+                    s = np.concatenate([s, np.take_along_axis(sims, col, 1)], axis=1)
+                    i = np.concatenate([i, tile.ids[col]], axis=1)
+                    x = [np.concatenate([a, t[col]], axis=1) for a, t in zip(x, tile.carry)]
+                    best = np.lexsort((i, -s), axis=1)[:, :k]
+                    s, i = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+                    x = [np.take_along_axis(a, best, 1) for a in x]
+        if q is not None:
+            yield out()
     return run
 
 
 def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-        metric: str = "ip", carry=(), tiles: int | None = None,
-        tile_bytes: int = TILE_BYTES) -> DataFrame:
+        metric: str = "ip", carry=(), tile_rows: int = TILE_ROWS, stripes: int = STRIPES) -> DataFrame:
     """Exact top-k neighbours of every vector among all vectors (self included).
 
     Output (qid, rank, nid, sim [, q_<c>, n_<c> for carried columns]); ties by nid.
     metric 'cosine' normalises first (zero vectors are dropped: no direction).
     """
     carry = list(carry)
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"),
-                       *[F.col(c).cast("string").alias(c) for c in carry])
+    v = vectors.select(F.col(id_col).cast("bigint").alias("id"),
+                       F.col(vec_col).cast("array<double>").alias("vec"),
+                       *[F.col(c).cast("string").alias(c) for c in carry]).where(F.col("vec").isNotNull())
     if metric == "cosine":
         v = v.withColumn("vec", l2_normalize("vec")).where(F.col("vec").isNotNull())
-    if tiles is None:
-        tiles = _tile_count(v, "vec", tile_bytes)
-    v = v.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    packed = v.groupBy("tile").applyInPandas(_packer(carry), _pack_schema(carry))
-    q = packed.select(F.col("tile").alias("qtile"), F.col("ids").alias("qids"),
-                      F.col("mat").alias("qmat"), "d", *[F.col(f"c_{c}").alias(f"q_{c}") for c in carry])
-    t = packed.select(F.col("ids").alias("tids"), F.col("mat").alias("tmat"),
-                      *[F.col(f"c_{c}").alias(f"t_{c}") for c in carry],
-                      F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("qtile"))
-    grid = t.join(q, "qtile").sortWithinPartitions("qtile")
-    fields = [T.StructField("qid", T.LongType()), T.StructField("rank", T.IntegerType()),
-              T.StructField("nid", T.LongType()), T.StructField("sim", T.DoubleType())]
+    # read several times below: one packing for all, kept in the shared checkpoint folder
+    tiles = v.mapInPandas(_packer(carry, tile_rows), _tile_schema(carry)).checkpoint()
+    wide = ["ids", "mat", "d", *[f"c_{c}" for c in carry]]
+    # every tile's number meets every tile: a row of a few bytes for TILE_ROWS vectors
+    cells = tiles.select(F.col("tile").alias("cell"))
+    stripe = F.pmod(F.xxhash64("tile"), F.lit(stripes)).cast("int").alias("stripe")
+    met = tiles.select(F.lit(1).alias("kind"), "tile", stripe, *wide).crossJoin(cells)
+    held = tiles.select(F.lit(0).alias("kind"), "tile", F.explode(F.sequence(
+        F.lit(0), F.lit(stripes - 1))).alias("stripe"), *wide, F.col("tile").alias("cell"))
+    fields = [T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
+              T.StructField("sim", T.DoubleType())]
     for c in carry:
         fields += [T.StructField(f"q_{c}", T.StringType()), T.StructField(f"n_{c}", T.StringType())]
-    return grid.mapInPandas(_grid_topk(k, carry), T.StructType(fields))
+    found = (met.unionByName(held).repartition("cell", "stripe")
+             .sortWithinPartitions("cell", "stripe", "kind", "tile")
+             .mapInPandas(_cells(k, carry), T.StructType(fields)))
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "nid")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("qid", "rank", "nid", "sim", *[x for c in carry for x in (f"q_{c}", f"n_{c}")])
 
 
 def knn_approx(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-               bucket_length: float = 1.0, tables: int = 4, threshold: float = 1.5) -> DataFrame:
-    """Approximate cosine top-k: LSH candidate join on normalised vectors, exact re-rank.
-
-    Uses pyspark.ml's BucketedRandomProjectionLSH (Euclidean order on unit vectors equals
-    cosine order).  Recall is measured against ``knn`` in the tests.
+               tables: int = 24, bits: int = 6, most: int = 512, seed: int = 7,
+               deeper: int = 8) -> DataFrame:
+    """Approximate cosine top-k: signed random projections, exact re-rank of the candidates.
+
+    Every vector has a bucket in each of ``tables`` tables, by the signs of ``bits`` projections.
+    A bucket of more than ``most`` vectors is split by further signs, one at a time up to
+    ``deeper`` of them, and what is still larger meets in blocks of ``most`` by hash; so a vector
+    meets at most ``most`` others a table and none is left out.  Recall against ``knn`` is
+    measured in the tests.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
     v = vectors.select(F.col(id_col).cast("bigint").alias("id"),
                        l2_normalize(vec_col).alias("vec")).where(F.col("vec").isNotNull())
-    v = v.withColumn("features", array_to_vector("vec"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                        bucketLength=bucket_length, numHashTables=tables,
-                                        seed=7).fit(v)
-    pairs = model.approxSimilarityJoin(v, v, threshold, distCol="dist")
-    cand = pairs.select(F.col("datasetA.id").alias("qid"), F.col("datasetB.id").alias("nid"),
-                        (1.0 - F.col("dist") * F.col("dist") / 2.0).alias("sim"))
+    total = bits + deeper
+
+    @F.pandas_udf("array<string>")
+    def signs(vec: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype=object)
+        mat = np.stack([np.asarray(x, np.float64) for x in vec])
+        planes = np.random.default_rng(seed).normal(size=(mat.shape[1], tables * total))
+        bit = np.where((mat @ planes).reshape(len(mat), tables, total) > 0, "1", "0")
+        return pd.Series([["".join(t) for t in row] for row in bit])
+    placed = v.withColumn("_s", signs("vec")).select("id", "vec", F.posexplode("_s").alias("_t", "_s"))
+    # the shortest prefix of the signs whose bucket is small enough
+    prefix = placed.select("id", "_t", "_s", F.explode(F.sequence(F.lit(bits), F.lit(total))).alias("_b"))
+    key = F.expr("substring(_s, 1, _b)")
+    sizes = prefix.select("_t", key.alias("_p")).groupBy("_t", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    fits = prefix.withColumn("_p", key).join(sizes, ["_t", "_p"])
+    depth = fits.groupBy("id", "_t").agg(F.coalesce(
+        F.min(F.when(F.col("_n") <= most, F.col("_b"))), F.lit(total)).alias("_b"),
+        F.min("_n").alias("_n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(most)))
+    where = placed.join(depth, ["id", "_t"]).select(
+        "id", "vec", "_t", F.expr("substring(_s, 1, _b)").alias("_p"),
+        F.when(F.col("_n") > most, F.pmod(F.xxhash64("id"), parts)).otherwise(0).alias("_h"))
+    a = where.select(F.col("id").alias("qid"), F.col("vec").alias("_qv"), "_t", "_p", "_h")
+    b = where.select(F.col("id").alias("nid"), F.col("vec").alias("_nv"), "_t", "_p", "_h")
+    pairs = a.join(b, ["_t", "_p", "_h"]).select("qid", "nid", dot("_qv", "_nv").alias("sim"))
+    best = pairs.groupBy("qid", "nid").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "nid")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select("qid", "rank", "nid", "sim")
 
 
@@ -211,62 +245,67 @@ def micro_macro(scores: DataFrame, label: str, key: str | None = None) -> DataFr
 
 # --- V8/V9 random baselines ---------------------------------------------------------------------
 
+def _pooled(labels: DataFrame, label: str, within: str | None, id_col: str) -> DataFrame:
+    """id, label, pool, _N (rows of the pool) and _tn (rows of the pool with the row's label); the
+    pool is the row's ``within`` group or the whole table."""
+    lab = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("_lab"),
+                        (F.col(within) if within else F.lit(1)).alias("_w"))
+    n = lab.groupBy("_w", "_lab").agg(F.count(F.lit(1)).alias("_tn"))
+    pool = n.groupBy(F.col("_w").alias("_pw")).agg(F.sum("_tn").alias("_N"))
+    sizes = n.join(pool, F.col("_w").eqNullSafe(F.col("_pw"))).select(
+        F.col("_w").alias("_sw"), F.col("_lab").alias("_sl"), "_tn", "_N")
+    return lab.join(sizes, F.col("_w").eqNullSafe(F.col("_sw")) & F.col("_lab").eqNullSafe(F.col("_sl")))
+
+
 def random_baseline_expected(labels: DataFrame, label: str, k: int, within: str | None = None,
                              id_col: str = "id") -> DataFrame:
-    """Closed form of the random baselines: E[retrieved] = min(k, N) * n / N per row, with N
-    the candidate pool (whole table, or the row's ``within`` group) and n the label size."""
-    lab = labels.select(id_col, label, *([within] if within else []))
-    sizes = lab.groupBy(label).agg(F.count(F.lit(1)).alias("nNeighbors"))
-    if within:
-        pool = lab.groupBy(within).agg(F.count(F.lit(1)).alias("_N"))
-        base = lab.join(sizes, label).join(pool, within)
-    else:
-        base = lab.join(sizes, label).crossJoin(F.broadcast(lab.agg(F.count(F.lit(1)).alias("_N"))))
-    exp = F.least(F.lit(k), F.col("_N")) * F.col("nNeighbors") / F.col("_N")
-    return base.select(id_col, label, "nNeighbors", exp.alias("exp_retrieved"),
-                       (exp / F.least(F.col("nNeighbors"), F.lit(k))).alias("exp_accuracy"))
+    """Closed form of the random baselines: E[retrieved] = min(k, N) * n / N per row, with N the
+    candidate pool (whole table, or the row's ``within`` group) and n = nNeighbors the rows of the
+    pool that have the row's label."""
+    base = _pooled(labels, label, within, id_col)
+    exp = F.least(F.lit(k), F.col("_N")) * F.col("_tn") / F.col("_N")
+    return base.select(F.col("id").alias(id_col), F.col("_lab").alias(label),
+                       F.col("_tn").alias("nNeighbors"), exp.alias("exp_retrieved"),
+                       (exp / F.least(F.col("_tn"), F.lit(k))).alias("exp_accuracy"))
+
+
+def _uniform(seed: int, ids: np.ndarray, i: int) -> np.ndarray:
+    """A uniform number of each id, by the splitmix64 finaliser."""
+    mask = (1 << 64) - 1
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = x + np.uint64((seed * 0xD1342543DE82EF95 + (i + 1) * 0x2545F4914F6CDD1D) & mask)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
 
 
 def _baseline_sampler(k: int, seed: int):
+    """Draw the first k of a random permutation one by one, for all rows of a batch at once."""
     def run(batches):
         for pdf in batches:
-            out_r, out_ap = [], []
-            for rid, N, n in zip(pdf["id"].to_numpy(), pdf["_N"].to_numpy(), pdf["_tn"].to_numpy()):
-                rng = np.random.default_rng([seed, int(rid) & 0xFFFFFFFF, int(rid) >> 32])
-                draws = min(k, int(N))
-                hits = rng.hypergeometric(int(n), int(N) - int(n), draws) if draws > 0 else 0
-                if hits:
-                    pos = np.sort(rng.choice(draws, size=hits, replace=False)) + 1
-                    ap = float(np.mean(np.arange(1, hits + 1) / pos))
-                else:
-                    ap = 0.0
-                out_r.append(int(hits))
-                out_ap.append(ap)
-            yield pd.DataFrame({"id": pdf["id"], "retrieved": out_r, "ap": out_ap})
+            ids = pdf["id"].to_numpy(np.int64)
+            left, good = pdf["_N"].to_numpy(np.float64), pdf["_tn"].to_numpy(np.float64)
+            hits, ap = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
+            for i in range(k):
+                hit = (left > 0) & (_uniform(seed, ids, i) * np.maximum(left, 1) < good)
+                hits += hit
+                ap += np.where(hit, hits / (i + 1), 0.0)
+                good, left = good - hit, left - 1
+            yield pdf.assign(retrieved=hits, ap=np.where(hits > 0, ap / np.maximum(hits, 1), 0.0))
     return run
 
 
 def random_baseline(labels: DataFrame, label: str, k: int, within: str | None = None,
                     id_col: str = "id", seed: int = 1001) -> DataFrame:
-    """Sampled random baseline without the N x k explode: the hits of a random permutation's
-    first k among N with n targets are hypergeometric, and their ranks a uniform subset.
-    Drawn per row with a generator seeded by the row id (Arrow batches, no shuffle)."""
-    lab = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("_lab"),
-                        *([F.col(within).alias("_w")] if within else []))
-    if within:
-        # targets are rows of the same label inside the row's pool group
-        n = lab.groupBy("_w", "_lab").agg(F.count(F.lit(1)).alias("_tn"))
-        pool = lab.groupBy("_w").agg(F.count(F.lit(1)).alias("_N"))
-        base = lab.join(n, ["_w", "_lab"]).join(pool, "_w")
-    else:
-        n = lab.groupBy("_lab").agg(F.count(F.lit(1)).alias("_tn"))
-        base = lab.join(n, "_lab").crossJoin(F.broadcast(lab.agg(F.count(F.lit(1)).alias("_N"))))
-    drawn = base.select("id", "_N", "_tn").mapInPandas(
-        _baseline_sampler(k, seed), "id bigint, retrieved bigint, ap double")
-    res = base.join(drawn, "id")
-    return res.select(F.col("id").alias(id_col), F.col("_lab").alias(label),
-                      F.col("_tn").alias("nNeighbors"), "retrieved", "ap",
-                      (F.col("retrieved") / F.least(F.col("_tn"), F.lit(k))).alias("accuracy"))
+    """Sampled random baseline without the N x k explode: each row draws k neighbours without
+    replacement from its pool, seeded by its id (Arrow batches, no shuffle for the draw)."""
+    base = _pooled(labels, label, within, id_col).select(
+        "id", F.col("_lab").cast("string").alias("_lab"), "_tn", "_N")
+    drawn = base.mapInPandas(_baseline_sampler(k, seed),
+                             "id bigint, _lab string, _tn bigint, _N bigint, retrieved bigint, ap double")
+    return drawn.select(F.col("id").alias(id_col), F.col("_lab").alias(label),
+                        F.col("_tn").alias("nNeighbors"), "retrieved", "ap",
+                        (F.col("retrieved") / F.least(F.col("_tn"), F.lit(k))).alias("accuracy"))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -276,4 +315,4 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 __all__ = ["knn", "knn_approx", "retrieval_scores", "micro_macro", "random_baseline",
-           "random_baseline_expected", "seeded_int"]
+           "random_baseline_expected"]

@@ -80,11 +80,6 @@ def add_depth_keys(df: DataFrame, depths: Sequence[int], numbering: str = "numbe
     return df
 
 
-def occurring_depths(df: DataFrame, numbering: str = "numbering") -> list[int]:
-    """Driver-size: the distinct depths (a handful of integers)."""
-    return sorted(r[0] for r in df.select(sense_depth(numbering)).distinct().collect())
-
-
 def has_keyword(df: DataFrame, quote: str = "quote", keyword: str = "keyword"):
     return df.where(F.col(quote).contains(F.col(keyword)))
 

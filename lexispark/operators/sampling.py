@@ -3,7 +3,8 @@
 Scale notes
 * ``exact_rank`` never sends a whole group to one task: rows are ranked inside
   (group, md5-prefix bucket) cells and offset by a cumulative count over the small
-  bucket histogram.  A group holding a third of all rows is split into 16**digits cells.
+  bucket histogram, which gives the group's size too.  A group holding a third of all rows is
+  split into 16**digits cells.
 * ``sample_per_group`` keeps the literal ``row_number() <= n`` shape so Spark inserts a
   partial WindowGroupLimit before the shuffle: at most n rows per group leave each map task.
 """
@@ -35,22 +36,33 @@ def hex_threshold(frac: float, digits: int = 8) -> str:
 # --- ranking ------------------------------------------------------------------------------
 
 def exact_rank(df: DataFrame, by, key: Column, id_col: str, out: str = "rank",
-               digits: int = 3) -> DataFrame:
-    """Exact 1-based rank of each row inside its group, ordered by (key, id).
+               digits: int = 2, size: str | None = None) -> DataFrame:
+    """Exact 1-based rank of each row inside its group, ordered by (key, id); with ``size`` also
+    the group's number of rows.
 
-    ``key`` must be an md5 hex column.  Skew-safe: see module notes.
+    ``key`` must be an md5 hex column.  Rows are ranked in (group, key prefix) cells; a histogram
+    of the cells gives each cell's offset and the group's size, so no join is on a bare group.
+    Null group keys form a group.
     """
     by = _list(by)
     b = "_bucket"
     keyed = df.withColumn("_key", key).withColumn(b, hex_bucket(F.col("_key"), digits))
     hist = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(*by, b, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_h{i}" for i in range(len(by) + 1)]
+    offsets = hist.select(*[F.col(c).alias(n) for c, n in zip([*by, b], names)],
+                          F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                          F.sum("_cnt").over(Window.partitionBy(*by)).alias("_all"))
     inner = Window.partitionBy(*by, b).orderBy("_key", id_col)
     ranked = keyed.withColumn("_xrn", F.row_number().over(inner))
-    return (ranked.join(offsets, by + [b])
-            .withColumn(out, (F.col("_off") + F.col("_xrn")).cast("bigint"))
-            .drop("_key", b, "_xrn", "_off"))
+    same = None
+    for c, n in zip([*by, b], names):
+        one = F.col(c).eqNullSafe(F.col(n))
+        same = one if same is None else same & one
+    ranked = ranked.join(offsets, same).withColumn(out, (F.col("_off") + F.col("_xrn")).cast("bigint"))
+    if size:
+        ranked = ranked.withColumn(size, F.col("_all").cast("bigint"))
+    return ranked.drop("_key", b, "_xrn", "_off", "_all", *names)
 
 
 def group_sizes(df: DataFrame, by, out: str = "n") -> DataFrame:
@@ -59,8 +71,14 @@ def group_sizes(df: DataFrame, by, out: str = "n") -> DataFrame:
 
 
 def with_group_size(df: DataFrame, by, out: str = "n") -> DataFrame:
-    """Attach the group's row count (aggregate + equi-join, not a window over wide rows)."""
-    return df.join(group_sizes(df, by, out), _list(by))
+    """Attach the group's row count (aggregate + join; adaptive execution splits hot groups)."""
+    by = _list(by)
+    sizes = group_sizes(df, by, out).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], out)
+    same = None
+    for i, c in enumerate(by):
+        one = F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        same = one if same is None else same & one
+    return df.join(sizes, same).drop(*[f"_g{i}" for i in range(len(by))])
 
 
 # --- P1/P2 proportional split --------------------------------------------------------------
@@ -77,9 +95,7 @@ def split_by_fraction(df: DataFrame, id_col: str, fractions: Sequence[float] = (
         for c, name in reversed(list(zip(cum, names[:-1]))):
             expr = F.when(u < F.lit(c), F.lit(name)).otherwise(expr)
         return df.withColumn(out, expr)
-    ranked = exact_rank(df, [], rkey(seed, id_col), id_col, out="_r")
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.crossJoin(F.broadcast(total))  # one-row table
+    ranked = exact_rank(df, [], rkey(seed, id_col), id_col, out="_r", size="_n")
     expr = F.lit(names[-1])
     for c, name in reversed(list(zip(cum, names[:-1]))):
         expr = F.when(F.col("_r") <= F.floor(F.col("_n") * F.lit(c)), F.lit(name)).otherwise(expr)
@@ -152,8 +168,7 @@ def stratified_split(df: DataFrame, strata, frac: float = 0.5, seed="strat", id_
     """Per stratum of n rows: the first max(1, ceil(n*frac)) (at most n-1) in seeded order
     are 'train', the rest 'test'.  Every stratum with >= 2 rows has both sides."""
     strata = _list(strata)
-    ranked = exact_rank(with_group_size(df, strata, "_n"), strata, rkey(seed, id_col), id_col,
-                        out="_r")
+    ranked = exact_rank(df, strata, rkey(seed, id_col), id_col, out="_r", size="_n")
     cut = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(frac))))
     return ranked.withColumn(out, F.when(F.col("_r") <= cut, "train").otherwise("test")) \
         .drop("_n", "_r")
@@ -205,11 +220,13 @@ def fewshot_draws(train: DataFrame, strata, iterations: int = 20,
     top = max(sizes)
     w = Window.partitionBy("iteration", *strata).orderBy(
         rkey(seed, "iteration", id_col), F.col(id_col))
-    ranked = (train.crossJoin(F.broadcast(its))
+    # only ids and strata are multiplied; the other columns join the drawn rows
+    ranked = (train.select(id_col, *strata).crossJoin(F.broadcast(its))
               .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top))
     size_t = spark.createDataFrame([(int(s),) for s in sizes], "n int")
     drawn = ranked.join(F.broadcast(size_t), F.col("_rn") <= F.col("n")) \
-        .withColumn("n_items", F.col("n").cast("string")).drop("_rn", "n")
+        .withColumn("n_items", F.col("n").cast("string")).select(id_col, "iteration", "n_items")
+    drawn = train.join(drawn, id_col)
     if full:
         drawn = drawn.unionByName(train.withColumn("iteration", F.lit(0))
                                   .withColumn("n_items", F.lit("full")))
@@ -279,70 +296,78 @@ def assign_batches(df: DataFrame, size: int, seed="batches", id_col: str = "id",
 
 # --- P14 episodes ---------------------------------------------------------------------------
 
+#: Primes for permutations i -> (offset + i * prime) mod n of a group's row indices.
+PRIMES = (2147483647, 4294967291, 1000000007, 1000000009, 998244353, 999999937, 4294967279, 2147483629)
+LAST_PRIME = (1 << 61) - 1
+
+
 def sample_episodes(df: DataFrame, n_episodes: int, lemma: str = "lemma", sense: str = "sense",
                     id_col: str = "id", strategy: str = "uniform", max_support: int | None = None,
                     max_query: int | None = None, attempts: int = 10, seed="episodes"):
-    """Few-shot episodes: draw a lemma per episode (uniform over lemmas or by row
-    frequency), split its senses 50/50 into support/query, cap both, keep query rows whose
-    sense is in the support; retry up to ``attempts`` draws and keep the first non-empty.
+    """Few-shot episodes: draw a lemma per episode (uniform over lemmas or by row frequency),
+    split its senses 50/50 into support and query, cap the support, keep query rows whose sense
+    is in the capped support, cap these; retry up to ``attempts`` draws and keep the first with a
+    query.
+
+    Rows are ranked once per (lemma, sense), skew-safe; an episode permutes these indices by a
+    prime and an offset of its own and fetches only the positions it needs, so its work is bounded
+    by senses x caps, not by the size of the lemma.  Caps of None mean all rows.
 
-    Output: (episode, attempt, role, lemma, sense, id...).  The lemma dimension is one row
-    per lemma, so it is broadcast; the data side is joined on lemma.
+    Output: the columns of ``df`` with episode, attempt, role.
     """
     spark = df.sparkSession
-    # singleton senses can never be stratified
-    sc = df.groupBy(lemma, sense).agg(F.count(F.lit(1)).alias("_c"))
-    kept = df.join(sc.where(F.col("_c") >= 2).select(lemma, sense), [lemma, sense], "left_semi")
-    dim = kept.groupBy(lemma).agg(F.count(F.lit(1)).alias("_n"))
-    wlo = Window.orderBy(lemma).rowsBetween(Window.unboundedPreceding, -1)
-    dim = dim.select(lemma, "_n", F.row_number().over(Window.orderBy(lemma)).alias("_li"),
-                     F.coalesce(F.sum("_n").over(wlo), F.lit(0)).alias("_lo"))
-    tot = dim.agg(F.count(F.lit(1)).alias("_L"), F.sum("_n").alias("_rows"))
+    sc = df.groupBy(lemma, sense).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= 2)
+    dim = sc.groupBy(lemma).agg(F.sum("_c").alias("_n"))
+    dim = exact_rank(dim, [], rkey(f"{seed}-lemma", lemma), lemma, out="_li", size="_L")
     draws = spark.range(n_episodes).select(F.col("id").alias("episode")).crossJoin(
-        spark.range(attempts).select(F.col("id").cast("int").alias("attempt"))).crossJoin(
-        F.broadcast(tot))
-    u = F.conv(F.substring(rkey(seed, "episode", "attempt"), 1, 12), 16, 10).cast("bigint")
+        spark.range(attempts).select(F.col("id").cast("int").alias("attempt")))
     if strategy == "uniform":
-        draws = draws.withColumn("_pick", F.pmod(u, F.col("_L")) + 1)
-        chosen = draws.join(F.broadcast(dim), F.col("_pick") == F.col("_li"))
+        one = dim.agg(F.count(F.lit(1)).alias("_L"))
+        draws = draws.crossJoin(F.broadcast(one)).where("_L > 0")   # one row
+        chosen = draws.withColumn("_pick", F.pmod(seeded_int(seed, "episode", "attempt"), "_L") + 1) \
+            .join(dim.select(lemma, "_li"), F.col("_pick") == F.col("_li"))
     else:
-        draws = draws.withColumn("_pick", F.pmod(u, F.col("_rows")))
-        chosen = draws.join(F.broadcast(dim), (F.col("_pick") >= F.col("_lo")) &
-                            (F.col("_pick") < F.col("_lo") + F.col("_n")))
+        # a row drawn uniformly names its lemma: ranks over all rows of all lemmas
+        rows = exact_rank(df.join(sc.select(lemma, sense), [lemma, sense], "left_semi")
+                          .select(lemma, id_col), [], rkey(f"{seed}-row", id_col), id_col, out="_ri")
+        one = dim.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"))
+        draws = draws.crossJoin(F.broadcast(one)).where("_rows > 0")   # one row
+        chosen = draws.withColumn("_pick", F.pmod(seeded_int(seed, "episode", "attempt"), "_rows") + 1) \
+            .join(rows.select(lemma, "_ri"), F.col("_pick") == F.col("_ri"))
     chosen = chosen.select("episode", "attempt", lemma)
-    # Rows are ranked once per (lemma, sense) (skew-safe); an episode rotates that order by
-    # a seeded offset and addresses only the rows it needs, so its work is bounded by
-    # senses x caps, not by the size of the lemma.
-    ranked = exact_rank(kept, [lemma, sense], rkey(seed, id_col), id_col, out="_r") \
-        .withColumn("_r0", F.col("_r") - 1).drop("_r")
-    strata = chosen.join(sc.where(F.col("_c") >= 2), lemma)
+    ranked = exact_rank(df.join(sc.select(lemma, sense), [lemma, sense], "left_semi"), [lemma, sense],
+                        rkey(seed, id_col), id_col, out="_r").withColumn("_r0", F.col("_r") - 1).drop("_r")
     n = F.col("_c")
-    cut = F.least(n - 1, F.greatest(F.lit(1), F.ceil(n * 0.5))).cast("bigint")
-    off = F.pmod(seeded_int(seed, "episode", "attempt", sense), n)
-    big = 2 ** 31 - 1
-    ms = F.least(cut, F.lit(max_support or big))
-    mq = F.least(n - cut, F.lit(max_query or big))
-    strata = strata.withColumn("_cut", cut).withColumn("_o", off)
-    sup = strata.where(ms > 0).select("episode", "attempt", lemma, sense, "_c", "_o", "_cut",
-                                      F.lit("support").alias("role"),
-                                      F.explode(F.sequence(F.lit(0), ms - 1)).alias("_t")) \
-        .withColumn("_r0", F.pmod(F.col("_o") + F.col("_t"), F.col("_c")))
-    qry = strata.where(mq > 0).select("episode", "attempt", lemma, sense, "_c", "_o", "_cut",
-                                      F.lit("query").alias("role"),
-                                      F.explode(F.sequence(F.lit(0), mq - 1)).alias("_t")) \
-        .withColumn("_r0", F.pmod(F.col("_o") + F.col("_cut") + F.col("_t"), F.col("_c")))
-    want = sup.unionByName(qry).select("episode", "attempt", lemma, sense, "role", "_r0")
-    rows = want.join(ranked, [lemma, sense, "_r0"]).drop("_r0")
-    # global caps per episode and role, in seeded order (rows here are already bounded)
-    wc = Window.partitionBy("episode", "attempt", "role").orderBy(
-        rkey(seed + "-cap", "episode", "attempt", id_col), id_col)
-    rows = rows.withColumn("_cp", F.row_number().over(wc))
-    cap = F.when(F.col("role") == "support", F.lit(max_support or big)) \
-        .otherwise(F.lit(max_query or big))
-    rows = rows.where(F.col("_cp") <= cap).drop("_cp")
-    sup_s = rows.where(F.col("role") == "support").select("episode", "attempt", sense).distinct()
-    qry_r = rows.where(F.col("role") == "query").join(sup_s, ["episode", "attempt", sense], "left_semi")
-    rows = rows.where(F.col("role") == "support").unionByName(qry_r)
-    ok = qry_r.groupBy("episode", "attempt").agg(F.lit(1).alias("_ok"))
-    first = ok.groupBy("episode").agg(F.min("attempt").alias("attempt"))
-    return rows.join(first, ["episode", "attempt"], "left_semi")
+    prime = F.element_at(F.array(*[F.lit(p).cast("bigint") for p in PRIMES]), (F.pmod(
+        seeded_int(f"{seed}-prime", "episode", "attempt", sense), F.lit(len(PRIMES))) + 1).cast("int"))
+    strata = chosen.join(sc, lemma).withColumn("_a", prime).withColumn(
+        "_a", F.when(F.pmod("_a", n) == 0, F.lit(LAST_PRIME)).otherwise(F.col("_a"))).withColumn(
+        "_o", F.pmod(seeded_int(seed, "episode", "attempt", sense), n)).withColumn(
+        "_cut", F.least(n - 1, F.greatest(F.lit(1), F.ceil(n * 0.5))).cast("bigint"))
+
+    def positions(role, first, last):
+        """Permuted row indices of positions first..last - 1."""
+        at = strata.where(last > first).select(
+            "episode", "attempt", lemma, sense, "_c", "_o", "_a", F.lit(role).alias("role"),
+            F.explode(F.sequence(first, last - 1)).alias("_t"))
+        big = lambda c: F.col(c).cast("decimal(38,0)")
+        return at.select("episode", "attempt", lemma, sense, "role", (
+            (big("_o") + big("_t") * big("_a")) % big("_c")).cast("bigint").alias("_r0"))
+
+    def capped(rows, cap):
+        if cap is None:
+            return rows
+        w = Window.partitionBy("episode", "attempt").orderBy(
+            rkey(seed + "-cap", "episode", "attempt", id_col), id_col)
+        return rows.withColumn("_cp", F.row_number().over(w)).where(F.col("_cp") <= cap).drop("_cp")
+
+    cut = F.col("_cut")
+    zero = F.lit(0).cast("bigint")
+    sup = positions("support", zero, cut if max_support is None else F.least(cut, F.lit(max_support)))
+    qry = positions("query", cut, n if max_query is None else F.least(n, cut + max_query))
+    sup = capped(sup.join(ranked, [lemma, sense, "_r0"]).drop("_r0"), max_support)
+    have = sup.select("episode", "attempt", sense).distinct()
+    qry = qry.join(have, ["episode", "attempt", sense], "left_semi")
+    qry = capped(qry.join(ranked, [lemma, sense, "_r0"]).drop("_r0"), max_query)
+    first = qry.groupBy("episode").agg(F.min("attempt").alias("attempt"))
+    return sup.unionByName(qry).join(first, ["episode", "attempt"], "left_semi")

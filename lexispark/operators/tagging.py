@@ -164,20 +164,46 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).distinct()
 
 
-def oov_counts(test: DataFrame, vocab: DataFrame, id_col: str, tokens: str = "tokens",
-               tags: str = "tags", preds: str = "preds") -> DataFrame:
-    """Per (sentence, gold tag, known): token total and correct predictions."""
+def _tagged_tokens(test: DataFrame, labels: DataFrame | None, keep, tokens, tags, preds) -> DataFrame:
     z = F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t"), F.col(preds).alias("p"))
-    e = test.select(id_col, F.explode(z).alias("z")).select(
-        id_col, F.col("z.w").alias("token"), F.col("z.t").alias("tag"), F.col("z.p").alias("pred"))
-    v = checked_broadcast(vocab.select("token").withColumn("_known", F.lit(True)))
-    e = e.join(v, "token", "left").withColumn("known", F.coalesce("_known", F.lit(False)))
-    return e.groupBy(id_col, "tag", "known").agg(
-        F.count(F.lit(1)).alias("total"), F.sum((F.col("tag") == F.col("pred")).cast("long")).alias("correct"))
-
-
-def oov_report(counts: DataFrame) -> DataFrame:
-    """Accuracy per (tag, known) with roll-up totals (NULL = all)."""
+    e = test.select(*keep, F.explode(z).alias("z")).select(
+        *keep, F.col("z.w").alias("token"), F.col("z.t").alias("tag"), F.col("z.p").alias("pred"))
+    if labels is not None:
+        e = e.join(labels.select("tag"), "tag", "left_semi")
+    return e.groupBy(*keep, "token", "tag").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum((F.col("tag") == F.col("pred")).cast("long")).alias("_ok"))
+
+
+def _by_known(counted: DataFrame, vocab: DataFrame, keep) -> DataFrame:
+    v = vocab.select("token").withColumn("_known", F.lit(True))
+    e = counted.join(v, "token", "left").withColumn("known", F.coalesce("_known", F.lit(False)))
+    return e.groupBy(*keep, "tag", "known").agg(
+        F.sum("_n").alias("total"), F.coalesce(F.sum("_ok"), F.lit(0)).alias("correct"))
+
+
+def oov_counts(test: DataFrame, vocab: DataFrame, id_col: str, labels: DataFrame | None = None,
+               tokens: str = "tokens", tags: str = "tags", preds: str = "preds") -> DataFrame:
+    """Per (sentence, gold tag, known): token total and correct predictions.  With ``labels`` (the
+    label index, column tag), tokens whose gold tag is not in it are skipped."""
+    return _by_known(_tagged_tokens(test, labels, [id_col], tokens, tags, preds), vocab, [id_col])
+
+
+def oov_maps(counts: DataFrame, id_col: str) -> DataFrame:
+    """One row a sentence with four maps tag -> count: known_total, unknown_total, known, unknown
+    (the last two count correct predictions).  Entries are bounded by the number of tags."""
+    def as_map(known, value):
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(
+            F.col("known") == known, F.struct("tag", value)))))
+    return counts.groupBy(id_col).agg(
+        as_map(True, "total").alias("known_total"), as_map(False, "total").alias("unknown_total"),
+        as_map(True, "correct").alias("known"), as_map(False, "correct").alias("unknown"))
+
+
+def oov_report(test: DataFrame, vocab: DataFrame, labels: DataFrame | None = None,
+               tokens: str = "tokens", tags: str = "tags", preds: str = "preds") -> DataFrame:
+    """Accuracy per (tag, known) with roll-up totals (NULL = all).  Tokens are counted over the whole
+    corpus before they meet the vocabulary: a hot word is one row a tag at the join."""
+    counts = _by_known(_tagged_tokens(test, labels, [], tokens, tags, preds), vocab, [])
     return counts.rollup("tag", "known").agg(F.sum("total").alias("total"), F.sum("correct").alias("correct")) \
         .withColumn("accuracy", F.col("correct") / F.col("total"))
 
@@ -236,7 +262,9 @@ def bigram_model(sentences: DataFrame, tokens: str = "tokens", k: int = 5) -> Da
 
 
 def fill_mask(df: DataFrame, model: DataFrame, id_col: str, prev: str = "prev") -> DataFrame:
-    """Ranked candidates per row from the bigram model (<= k per row, so collect is bounded)."""
-    j = df.select(id_col, prev).join(model, prev)
-    return j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
+    """Ranked candidates per row from the bigram model.  The model becomes one row a previous word
+    with its <= k candidates first, so rows meet it in one join that keeps their number."""
+    lists = model.groupBy(F.col("prev").alias("_prev")).agg(F.array_sort(F.collect_list(F.struct(
         F.col("rank"), F.col("word").alias("token_str"), F.col("score")))).alias("candidates"))
+    return df.select(id_col, prev).join(lists, F.col(prev) == F.col("_prev")).select(
+        id_col, "candidates")

@@ -102,7 +102,7 @@ def lex_has_keyword(spark, sf):
     return L.has_keyword(fx.quotes(spark, sf)).select("quote_id", "keyword")
 
 
-_KP = "'^(.*?(?:^|\\W))(\\Q' || keyword || '\\E)(?:\\W|$)'"
+_KP = "'^((?s:.*?)(?:^|[^\\p{L}\\p{M}\\p{N}_]))(\\Q' || keyword || '\\E)(?:[^\\p{L}\\p{M}\\p{N}_]|$)'"
 
 
 @register("lex_find_keyword", f"""{Q}select quote_id, cast(length(regexp_extract(quote, {_KP}, 1)) as int) as start,

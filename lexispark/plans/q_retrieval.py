@@ -101,19 +101,36 @@ def retrieval_summary(spark, sf_dir):
     return K.rounded(K.micro_macro(s, "lemma"), "micro_acc", "macro_acc", "micro_ap", "macro_ap")
 
 
-@register("random_baseline_expected", f"""{fx.duck_with('sense_items')},
-sz as (select sense, count(*) as n from sense_items group by sense),
-pool as (select lemma, count(*) as npool from sense_items group by lemma)
-select s.quote_id, s.sense, sz.n as nNeighbors,
-  round(least({K_NEIGHBOURS}, pool.npool) * sz.n / pool.npool, 6) as exp_retrieved,
-  round(least({K_NEIGHBOURS}, pool.npool) * sz.n / pool.npool / least(sz.n, {K_NEIGHBOURS}), 6) as exp_accuracy
-from sense_items s join sz on s.sense = sz.sense join pool on s.lemma = pool.lemma""")
-def random_baseline_expected(spark, sf_dir):
-    items = fx.sense_items(spark, sf_dir)
-    e = K.random_baseline_expected(items, "sense", K_NEIGHBOURS, within="lemma", id_col="quote_id")
+def _expected_sql(label: str, pool: str) -> str:
+    return f"""{fx.duck_with('sense_items')},
+x as (select quote_id, {label} as l, {pool} as w from sense_items),
+c as (select quote_id, l, count(*) over (partition by w, l) as n, count(*) over (partition by w) as npool from x)
+select quote_id, l as {{name}}, n as nNeighbors, round(least({K_NEIGHBOURS}, npool) * n / npool, 6) as exp_retrieved,
+  round(least({K_NEIGHBOURS}, npool) * n / npool / least(n, {K_NEIGHBOURS}), 6) as exp_accuracy from c"""
+
+
+def _expected(items, label, within):
+    e = K.random_baseline_expected(items, label, K_NEIGHBOURS, within=within, id_col="quote_id")
     return K.rounded(e, "exp_retrieved", "exp_accuracy")
 
 
+@register("random_baseline_expected", _expected_sql("sense", "lemma").format(name="sense"))
+def random_baseline_expected(spark, sf_dir):
+    return _expected(fx.sense_items(spark, sf_dir), "sense", "lemma")
+
+
+@register("random_baseline_whole_table", _expected_sql("lemma", "1").format(name="lemma"))
+def random_baseline_whole_table(spark, sf_dir):
+    return _expected(fx.sense_items(spark, sf_dir), "lemma", None)
+
+
+@register("random_baseline_shared_labels", _expected_sql("split_part(sense, '+', 2)", "lemma").format(name="kind"))
+def random_baseline_shared_labels(spark, sf_dir):
+    """A label that several pools share: only the pool's own rows count."""
+    items = fx.sense_items(spark, sf_dir).withColumn("kind", F.substring_index("sense", "+", -1))
+    return _expected(items, "kind", "lemma")
+
+
 @register("random_baseline_sampled")
 def random_baseline_sampled(spark, sf_dir):
     items = fx.sense_items(spark, sf_dir)

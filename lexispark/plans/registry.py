@@ -29,6 +29,6 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from lexispark.plans import (  # noqa: F401
-        q_retrieval, q_lexicon, q_sampling, q_pairs, q_senses, q_dating, q_tagging, q_masked,
+        q_retrieval, q_lexicon, q_sampling, q_pairs, q_senses, q_dating, q_tagging,
         q_vectors,
     )

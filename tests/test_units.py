@@ -87,7 +87,7 @@ def test_knn_grid_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(300, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, embedding array<float>")
-    got = K.knn(df, 7, tiles=4).orderBy("qid", "rank").toPandas()
+    got = K.knn(df.repartition(3), 7, tile_rows=16).orderBy("qid", "rank").toPandas()
     m = vecs.astype(np.float64)
     sims = m @ m.T
     for q in (0, 17, 299):
