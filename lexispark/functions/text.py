@@ -82,6 +82,18 @@ def keyword_span(quote, keyword) -> Column:
     return F.when(F.size(cut) == 2, F.struct(start.alias("start"), end.alias("end")))
 
 
+def subtoken_span(offsets, start, end) -> Column:
+    """struct(first, last) half-open sub-token indices of the character span [start, end): the last
+    sub-token that begins at ``start`` and the one that ends at ``end``.  NULL where no sub-token
+    does.  ``offsets`` is an array of (start, end); sub-tokens without characters are ignored."""
+    o, s, e = _c(offsets), _c(start), _c(end)
+    at = F.filter(F.transform(o, lambda x, i: F.struct(x["start"].alias("s"), x["end"].alias("e"), i.alias("i"))),
+                  lambda x: x["s"] < x["e"])
+    first = F.array_max(F.transform(F.filter(at, lambda x: x["s"] == s), lambda x: x["i"]))
+    last = F.array_max(F.transform(F.filter(at, lambda x: x["e"] == e), lambda x: x["i"]))
+    return F.when(first.isNotNull() & last.isNotNull(), F.struct(first.alias("first"), (last + 1).alias("last")))
+
+
 def mask_first(quote, keyword, mask: str = "[MASK]") -> Column:
     """Replace only the first occurrence of the keyword (instr + overlay); unchanged if absent."""
     pos = F.instr(_c(quote), _c(keyword))

@@ -1,14 +1,17 @@
 """Sentence dating.
 
 Curves are per-item running sums ordered by background year: a window partitioned by the
-item (rows per item = the bounded background pool).  Knees use the chord form of Kneedle
-(normalise x and y, take the first argmax of y - x), which is pure SQL.
+item (rows per item = the bounded background pool).  Knees come from a polynomial fit, as
+the evaluation has it, or from the curve's chord, which is pure SQL.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +84,71 @@ def knee(curve: DataFrame, keys=("item_id",), x: str = "bg_year", y: str = "curv
     return c.groupBy(*keys).agg(F.max_by(F.col(x), F.when(F.col("_d").isNotNull(), first)).alias("knee"))
 
 
-def date_items(scores: DataFrame, threshold: float | None = None, keys=("item_id",)) -> DataFrame:
-    """Knee year per item, from the raw cumulative score or the thresholded count."""
-    return knee(cumulative_curve(scores, keys, threshold), keys)
+def find_knee(x: np.ndarray, curves: np.ndarray, sensitivity: float = 1.0, degree: int = 7) -> np.ndarray:
+    """Knees of concave rising curves (rows) over the ascending x by Kneedle with a polynomial fit;
+    nan where there is none.
+
+    The fitted curve and x are scaled to 0..1.  A local maximum of their difference is the knee if
+    the difference falls below (maximum - sensitivity * mean step of x) before it rises to another
+    maximum; a local minimum sets that bound to 0."""
+    out = np.full(len(curves), np.nan)
+    if len(x) < 2 or x[0] == x[-1]:
+        return out
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")          # the fit of years is ill conditioned, as intended
+        fit = np.polyfit(x, curves.T, min(degree, len(np.unique(x)) - 1))
+    value = np.vander(x, len(fit)) @ fit         # x by curve
+    low, span = value.min(0), np.ptp(value, axis=0)
+    ok = span > 1e-12 * np.maximum(1.0, np.abs(value).max(0))
+    xn = (x - x[0]) / (x[-1] - x[0])
+    d = (value - low) / np.where(ok, span, 1.0) - xn[:, None]
+    before, after = np.vstack([d[:1], d[:-1]]), np.vstack([d[1:], d[-1:]])
+    peak, dip = (d >= before) & (d >= after), (d <= before) & (d <= after)
+    at = np.arange(len(x))[:, None]
+    last_peak = np.maximum.accumulate(np.where(peak, at, -1), axis=0)
+    last_dip = np.maximum.accumulate(np.where(dip, at, -1), axis=0)
+    bound = np.where(last_dip >= last_peak, 0.0, np.take_along_axis(
+        d, np.maximum(last_peak, 0), 0) - sensitivity * abs(np.diff(xn).mean()))
+    fell = (last_peak >= 0)[:-1] & (d[1:] < bound[:-1]) & ok
+    first = fell.argmax(0)
+    found = fell.any(0)
+    out[found] = x[last_peak[first[found], np.flatnonzero(found)]]
+    return out
+
+
+def knee_polynomial(curve: DataFrame, keys=("item_id",), x: str = "bg_year", y: str = "curve",
+                    order=("bg_year", "bg_id")) -> DataFrame:
+    """``find_knee`` of each key's curve.  A key has as many rows as the bounded background pool,
+    so its curve is one array; batches of curves over the same years are fitted together."""
+    keys = _list(keys)
+    kind = dict(curve.dtypes)[x]
+    rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y")))).alias("_c"))
+    rows = rows.select(*keys, F.transform("_c", lambda c: c["x"]).alias("_x"),
+                       F.transform("_c", lambda c: c["y"]).alias("_y"))
+
+    @F.pandas_udf("double")
+    def knees(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = np.full(len(xs), np.nan)
+        same: dict[bytes, list[int]] = {}
+        for i, v in enumerate(xs):
+            same.setdefault(np.asarray(v, np.float64).tobytes(), []).append(i)
+        for raw, at in same.items():
+            out[at] = find_knee(np.frombuffer(raw), np.stack([np.asarray(ys.iloc[i], np.float64) for i in at]))
+        return pd.Series(out)
+    found = rows.withColumn("_k", knees("_x", "_y"))
+    return found.select(*keys, F.when(~F.isnan("_k"), F.col("_k")).cast(kind).alias("knee"))
+
+
+def date_items(scores: DataFrame, threshold: float | None = None, keys=("item_id",),
+               method: str = "chord") -> DataFrame:
+    """Knee year per item, from the raw cumulative score or the thresholded count.  'chord' takes the
+    first maximum of the curve above its chord, 'polynomial' the knee of a polynomial fit."""
+    return KNEES[method](cumulative_curve(scores, keys, threshold), keys)
+
+
+KNEES = {"chord": knee, "polynomial": knee_polynomial}
 
 
 def mae(knees: DataFrame, truth: DataFrame, models=("model",), item: str = "item_id",
@@ -109,7 +174,8 @@ def threshold_hits(scores: DataFrame, thresholds: DataFrame, models=("model",),
 
 def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], iterations: int,
                      span: int = 50, bg_id: str = "bg_id", bg_year: str = "bg_year",
-                     seed="bgcurve", thresholds: DataFrame | None = None) -> DataFrame:
+                     seed="bgcurve", thresholds: DataFrame | None = None,
+                     method: str = "polynomial") -> DataFrame:
     """Learning curve of the dating error against background size: for each (n, iteration),
     n background rows per span (nested draws, one ranking per iteration) -> knees -> MAE of every
     model over the items that have a knee in all models.
@@ -137,7 +203,7 @@ def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], ite
         "item_id", "item_year", bg_id, bg_year, "model", F.col("_v.kind").alias("kind"),
         F.col("_v.v").alias("score"))
     drawn = rows.join(F.broadcast(draws), bg_id)
-    k = knee(cumulative_curve(drawn, [*keys, "kind"]), [*keys, "kind"])
+    k = KNEES[method](cumulative_curve(drawn, [*keys, "kind"]), [*keys, "kind"])
     truth = scores.select("item_id", "item_year").distinct()
     return mae(k, truth, ["model"], by=["n", "iteration", "kind"])
 

@@ -120,6 +120,30 @@ def prepare_lexicon(df: DataFrame, recipe: str = "retrieval", min_count: int = 1
     return with_depth(out)
 
 
+def retrieval_table(df: DataFrame, depths: Sequence[int] = (1, 2, 3), sense_id: str = "senseId",
+                    n_words: str = "n_words", min_count: int = 100) -> DataFrame:
+    """The retrieval recipe with its output columns: lemma, senseId, quote, keyword, year, nWords and
+    one sense key per depth (depth-1 ... depth-N, parts joined by '-')."""
+    out = add_depth_keys(prepare_lexicon(df, "retrieval", min_count), depths, joiner="-", prefix="depth-")
+    return out.select("lemma", F.col(sense_id).alias("senseId"), "quote", "keyword", "year",
+                      F.col(n_words).alias("nWords"), *[f"`depth-{d}`" for d in depths])
+
+
+def in_vocab(df: DataFrame, vocab: DataFrame, keyword: str = "keyword", token: str = "token") -> DataFrame:
+    """Rows whose keyword is in the vocabulary."""
+    return df.join(vocab.select(F.col(token).alias(keyword)).distinct(), keyword, "left_semi")
+
+
+def vocabulary_sizes(df: DataFrame, vocab: DataFrame, keyword: str = "keyword",
+                     token: str = "token") -> DataFrame:
+    """One row: distinct keywords before and after the restriction to the vocabulary."""
+    words = df.select(F.col(keyword).alias("_k")).where("_k is not null").distinct()
+    kept = vocab.select(F.col(token).alias("_k")).distinct().withColumn("_in", F.lit(1))
+    return words.join(kept, "_k", "left").agg(F.count(F.lit(1)).alias("n_before"),
+                                              F.count("_in").alias("n_after"))
+
+
 __all__ = ["drop_obsolete", "with_pos", "filter_pos", "value_counts", "frequent", "filter_words",
            "filter_years", "with_year_bin", "with_depth", "depth_keys_long", "add_depth_keys",
-           "has_keyword", "find_keyword", "select_columns", "prepare_lexicon", "year_bin"]
+           "has_keyword", "find_keyword", "retrieval_table", "in_vocab", "vocabulary_sizes",
+            "select_columns", "prepare_lexicon", "year_bin"]

@@ -206,12 +206,27 @@ select n, iteration, kind, model, round(avg(case when ok then abs(knee - item_ye
   cast(sum(ok::int) as bigint) as n_items, cast(sum((knee is null)::int) as bigint) as n_missing
 from kk join ok using (n, iteration, kind, item_id) join tr using (item_id) group by n, iteration, kind, model""")
 def background_curve(spark, sf):
+    s = two_models(spark, sf)
+    out = D.background_curve(s, fx.background_pool(spark, sf), _SIZES, _ITS, thresholds=_model_thresholds(s),
+                             method="chord")
+    return out.select("n", "iteration", "kind", "model", r6("mae").alias("mae"),
+                      F.col("n_items").cast("bigint"), F.col("n_missing").cast("bigint"))
+
+
+@register("background_curve_polynomial")
+def background_curve_polynomial(spark, sf):
+    """The same with the knee of a polynomial fit, which SQL has no form of (tested by brute force)."""
     s = two_models(spark, sf)
     out = D.background_curve(s, fx.background_pool(spark, sf), _SIZES, _ITS, thresholds=_model_thresholds(s))
     return out.select("n", "iteration", "kind", "model", r6("mae").alias("mae"),
                       F.col("n_items").cast("bigint"), F.col("n_missing").cast("bigint"))
 
 
+@register("knee_polynomial")
+def knee_polynomial(spark, sf):
+    return D.date_items(fx.scores(spark, sf), method="polynomial")
+
+
 # token-level stand-in: each vector read as tokens of 8 dimensions, all of them
 TOK = f"""{fx.duck_with('sense_items')}, tok as (select quote_id as pair, t.token_no,
   list_slice(embedding::double[], t.token_no * 8 + 1, t.token_no * 8 + 8) as attr

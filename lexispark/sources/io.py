@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,35 +39,37 @@ def read_tagged_corpus(spark: SparkSession, path: str) -> DataFrame:
     the last ID line of a file are dropped.  Lines without exactly one '/' go to the
     ``rejects`` column of their sentence instead of failing the job.
 
-    A file is read whole (it is the ordering unit), so parallelism = number of files.
+    A record of the scan is a sentence (the text up to an ID line), so files of any size are split
+    over tasks and nothing is shuffled.  Carriage returns and blanks behind ID are allowed.
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.col("value"))
-    lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    lines = lines.where((F.length("line") > 0) & ~F.col("line").startswith("<") & ~F.col("line").startswith("{"))
-    parts = F.split("line", "/")
-    lines = lines.withColumn("ok", F.size(parts) == 2).withColumn("tok", F.get(parts, 0)) \
-        .withColumn("tag", F.get(parts, 1))
-    is_id = (F.col("ok") & (F.col("tag") == "ID")).cast("int")
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("is_id", is_id).withColumn("sent", F.coalesce(F.sum("is_id").over(w), F.lit(0)))
-    body = lines.where(F.col("is_id") == 0)
-    ids = lines.where(F.col("is_id") == 1).select("file", "sent", F.col("tok").alias("id"))
-    g = body.groupBy("file", "sent").agg(
-        F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("n", "tok", "tag")))).alias("_t"),
-        F.collect_list(F.when(~F.col("ok"), F.col("line"))).alias("rejects"))
-    out = ids.join(g, ["file", "sent"], "left")
-    return out.select("id", F.coalesce(F.transform("_t", lambda x: x["tok"]), F.array()).alias("tokens"),
-                      F.coalesce(F.transform("_t", lambda x: x["tag"]), F.array()).alias("pos_tags"),
-                      F.col("file").alias("source"), F.coalesce("rejects", F.array()).alias("rejects"))
+    raw = spark.read.option("lineSep", "/ID\n").text(path).select(
+        F.input_file_name().alias("source"), "value")
+    # ID lines that the separator did not match: other line ends, or no line end at the file's end
+    one = raw.select("source", F.explode(F.split("value", r"/ID[ \t\r]*(?:\n|$)")).alias("value"))
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")),
+                     lambda x: (F.length(x) > 0) & ~x.startswith("<") & ~x.startswith("{"))
+    # the last line of a sentence is its name, cut off before /ID; a rest of the file still has a tag
+    named = one.withColumn("_l", lines).where(F.size("_l") > 0).withColumn(
+        "id", F.element_at("_l", -1)).where(~F.col("id").contains("/"))
+    body = F.transform(F.slice("_l", 1, F.size("_l") - 1), lambda x: F.struct(
+        x.alias("line"), F.split(x, "/").alias("p")))
+    named = named.withColumn("_b", body)
+    good = F.filter("_b", lambda x: F.size(x["p"]) == 2)
+    return named.select("id", F.transform(good, lambda x: x["p"][0]).alias("tokens"),
+                        F.transform(good, lambda x: x["p"][1]).alias("pos_tags"), "source",
+                        F.transform(F.filter("_b", lambda x: F.size(x["p"]) != 2),
+                                    lambda x: x["line"]).alias("rejects"))
 
 
 def read_sentences(spark: SparkSession, path: str, task: str = "pos", schema=SENTENCE_SCHEMA):
     """JSON lines (or CSV by extension); returns (text column, label column) names
     chosen as '<tokens>' else the first column and '<task>_tags' else the second."""
     if path.endswith(".csv"):
-        df = spark.read.option("header", True).csv(path)
+        # a CSV cell holds the items of an array separated by blanks
+        flat = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+        df = spark.read.schema(flat).option("header", True).csv(path)
+        df = df.select(*[F.filter(F.split(f.name, r"\s+"), lambda x: x != "").alias(f.name)
+                         if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in schema])
     else:
         df = spark.read.schema(schema).json(path)
     cols = df.columns

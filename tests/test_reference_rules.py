@@ -128,6 +128,49 @@ def test_two_models_have_two_curves(spark):
         assert got[5, k, "a"].mae < 30 < 70 < got[5, k, "b"].mae < 130
 
 
+def knee_by_steps(x, y, degree=7):
+    """Kneedle walked step by step."""
+    v = np.polyval(np.polyfit(x, y, degree), x)
+    if np.ptp(v) < 1e-9:
+        return None
+    xn = (x - x.min()) / np.ptp(x)
+    d = (v - v.min()) / np.ptp(v) - xn
+    n = len(d)
+    peaks = [i for i in range(n) if d[i] >= d[max(i - 1, 0)] and d[i] >= d[min(i + 1, n - 1)]]
+    dips = [i for i in range(n) if d[i] <= d[max(i - 1, 0)] and d[i] <= d[min(i + 1, n - 1)]]
+    bound = knee = None
+    for i in range(n - 1):
+        if not peaks or i < peaks[0]:
+            continue
+        if i in peaks:
+            bound, knee = d[i] - np.abs(np.diff(xn).mean()), x[i]
+        if i in dips:
+            bound = 0.0
+        if d[i + 1] < bound:
+            return knee
+    return None
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_polynomial_knee(spark):
+    rng = np.random.default_rng(0)
+    x = np.sort(np.repeat(np.arange(1450.0, 1950.0, 10), 2))
+    curves = []
+    for k in range(30):
+        step = np.cumsum(np.where(x < 1500 + 13 * k, 0.9, 0.1) + 0.2 * rng.random(len(x)))
+        curves.append(step)
+    curves += [np.zeros(len(x)), np.cumsum(rng.random(len(x))), np.cumsum(x > 1800)]
+    got = D.find_knee(x, np.array(curves))
+    want = [knee_by_steps(x, c) for c in curves]
+    assert [None if np.isnan(g) else g for g in got] == want
+    near = [abs(g - (1500 + 13 * k)) for k, g in enumerate(got[:25]) if k > 3]
+    assert np.median(near) < 70 and np.isnan(got[30])
+    rows = [(k, j, int(x[j]), float(v)) for k, c in enumerate(curves[:6]) for j, v in enumerate(np.diff(c, prepend=0))]
+    df = spark.createDataFrame(rows, "item_id long, bg_id long, bg_year int, score double").repartition(4)
+    found = {r.item_id: r.knee for r in D.date_items(df, method="polynomial").collect()}
+    assert found == {k: int(want[k]) for k in range(6)}
+
+
 def test_cut_offs_run_from_0_to_1_for_each_model(spark):
     rows = [("a", 0.3, 0), ("a", 0.4, 1), ("b", 0.7, 0), ("b", 0.8, 1)]
     df = spark.createDataFrame(rows, "model string, score double, label int")
@@ -211,3 +254,59 @@ def test_no_shared_folder_is_an_error_on_a_cluster(spark):
         getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(fake)
+
+
+def test_scorers_see_batches_of_one_length(spark):
+    from lexispark.operators import scorers as P
+    df = spark.createDataFrame([(i, "ab" * (i % 7), "b" * (i % 3)) for i in range(50)],
+                               "pair_id long, s1 string, s2 string").coalesce(1)
+
+    def spy(a, b):
+        sizes = [len(x) + len(y) for x, y in zip(a, b)]
+        assert sizes == sorted(sizes) and len(sizes) <= 16
+        return P.overlap_scorer(a, b)
+    got = {(r.pair_id, r.model): r.score for r in P.score_pairs(
+        df, {"spy": spy, "one": lambda a, b: [1.0] * len(a)}, batch=16).collect()}
+    assert len(got) == 100 and got[1, "spy"] == 0.5 and got[0, "spy"] == 0.0
+    back = {r.pair_id: r.score for r in P.score_pairs(df, {"o": P.overlap_scorer}, backward=True).collect()}
+    assert back[1] == 1.0
+
+    quotes = spark.createDataFrame([(1, "a cat sat", "cat"), (2, "the dog", "cow")],
+                                   "quote_id long, quote string, keyword string")
+    m = {r.quote_id: r for r in P.score_masks(quotes, {"len": P.length_scorer(["cat", "o", "to"])}).collect()}
+    assert (m[1].rank, m[1].score) == (3, 0.25) and (m[2].rank, m[2].score) == (-1, None)
+
+
+def test_subtoken_spans(spark):
+    offsets = [(0, 0), (0, 3), (3, 5), (6, 9), (0, 0)]
+    df = spark.createDataFrame([(0, 5), (3, 9), (0, 4), (6, 9)], "s int, e int").withColumn(
+        "o", F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in offsets]))
+    got = [r[0] and tuple(r[0]) for r in df.select(X.subtoken_span("o", "s", "e")).collect()]
+    assert got == [(1, 3), (2, 4), None, (3, 4)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_tagged_corpus_over_several_splits(spark, tmp_path, end):
+    from lexispark.sources.io import read_tagged_corpus
+    n = 4000
+    text = "".join(f"<P>{end}tok{i}/N{end}{{x}}{end}bad{end}two{i}/V{end}F,{i}/ID{end}{end}" for i in range(n))
+    (tmp_path / "a.pos").write_bytes((text + f"tail/N{end}").encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = read_tagged_corpus(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 5 or end != "\n"
+        rows = {r.id: r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == n
+    for i in range(0, n, 97):
+        r = rows[f"F,{i}"]
+        assert r.tokens == [f"tok{i}", f"two{i}"] and r.pos_tags == ["N", "V"] and r.rejects == ["bad"]
+
+
+def test_csv_sentences_have_arrays(spark, tmp_path):
+    from lexispark.sources.io import read_sentences
+    (tmp_path / "s.csv").write_text("id,tokens,pos_tags,source\nx,a b  c,N V N,f\n")
+    df, text, label = read_sentences(spark, str(tmp_path / "s.csv"))
+    assert df.first()[text] == ["a", "b", "c"] and df.first()[label] == ["N", "V", "N"]
