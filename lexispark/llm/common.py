@@ -74,6 +74,31 @@ def byte_hashes(items: list[bytes]) -> np.ndarray:
     return np.fromiter(map(h, items), np.uint64, len(items))
 
 
+def worker_memo(key, make):
+    """What a Python worker keeps from task to task.  Functions are shipped by value, so module
+    variables start afresh with each task; a module of its own outlives them.  A memo only saves
+    work: a new worker makes it again."""
+    import sys
+    import types
+    held = sys.modules.setdefault("lexispark_worker_memo", types.ModuleType("lexispark_worker_memo"))
+    if key not in held.__dict__:
+        held.__dict__[key] = make()
+    return held.__dict__[key]
+
+
+class Numbers(dict):
+    """Numbers keys in the order they are first asked for; ``new`` lists keys not yet handled."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 def open_out(uri: str):
     """(file system, path) for a URI or plain path, usable from any task."""
     from pyarrow import fs

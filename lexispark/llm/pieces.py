@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexispark.llm.common import mix64
+from lexispark.llm.common import Numbers, mix64, worker_memo
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 BLANK = "▁"
 LOWEST = -np.inf
 UNKNOWN_PENALTY = 10.0   # an unknown character scores this much below the worst piece
-KNOWN_WORDS = 800_000    # words a task remembers before it starts afresh
+KNOWN_WORDS = 600_000    # words a task remembers before it starts afresh
 MARK_BITS = 22
 PAIR_SLOTS = 1 << 21     # neighbour answers a task remembers
 CELLS = 1 << 21          # substrings probed at once
@@ -216,7 +216,7 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.place, self.ids = {}, np.zeros(0, np.int32)
+        self.place, self.ids = Numbers(), np.zeros(0, np.int32)
         self.start = self.count = np.zeros(0, np.int64)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,10 +226,9 @@ class Encoder:
         find, front = self.split.findall, BLANK if self.m.prefix else ""
         words = [find(front + t.replace(" ", BLANK)) if t else [] for t in texts]
         flat = [w for x in words for w in x]
-        new = [w for w in dict.fromkeys(flat) if w not in self.place]
-        if new:
-            self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        if self.place.new:
+            self._learn()
         n = self.count[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -237,22 +236,26 @@ class Encoder:
         upto = np.append(0, ends)[np.cumsum([len(x) for x in words])] if words else np.zeros(0, int)
         return ids, np.diff(upto, prepend=0)
 
-    def _learn(self, words: list[str]):
-        groups: dict[int, list[str]] = {}
-        for w in words:
-            groups.setdefault(len(w), []).append(w)
-        flat, counts, names = [self.ids], [self.count], []
+    def _learn(self):
+        words, self.place.new = self.place.new, []
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(len(w), []).append(i)
+        flat, order, counts = [], [], []
         for size, group in sorted(groups.items()):
             step = max(1, CELLS // (min(size, 4096) * min(size, self.m.longest)))
             for a in range(0, len(group), step):
-                ids, n = self._viterbi(group[a:a + step], size)
+                part = group[a:a + step]
+                ids, n = self._viterbi([words[i] for i in part], size)
                 flat.append(ids)
+                order += part
                 counts.append(n)
-            names += group
-        n = len(self.place)
-        self.place.update(zip(names, range(n, n + len(names))))
-        self.ids, self.count = np.concatenate(flat), np.concatenate(counts)
-        self.start = np.cumsum(self.count) - self.count
+        n = np.empty(len(words), np.int64)
+        begin = np.empty(len(words), np.int64)
+        sizes = np.concatenate(counts)
+        n[order], begin[order] = sizes, np.cumsum(sizes) - sizes + len(self.ids)
+        self.ids = np.concatenate([self.ids, *flat])
+        self.count, self.start = np.append(self.count, n), np.append(self.start, begin)
 
     def _viterbi(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each) for words of ``size`` characters."""
@@ -353,10 +356,12 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text") -> Dat
     """``docs`` with ids (array of int) and n_tokens."""
     spark = docs.sparkSession
     base = docs.drop("ids", "n_tokens")
-    shared = spark.sparkContext.broadcast(Pieces.load(model or default_model()))
+    loaded = Pieces.load(model or default_model())
+    model_key = hash((loaded.bpe, loaded.prefix, tuple(loaded.strings), loaded.scores.tobytes()))
+    shared = spark.sparkContext.broadcast(loaded)
 
     def run(batches):
-        coder = Encoder(shared.value)
+        coder = worker_memo(("pieces", model_key), lambda: Encoder(shared.value))
         for batch in batches:
             ids, n = coder.batch(batch.column(text).to_pylist())
             at = np.append(0, np.cumsum(n)).astype(np.int32)

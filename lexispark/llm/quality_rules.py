@@ -161,15 +161,17 @@ def judged(metrics: DataFrame, fences: DataFrame) -> DataFrame:
     """``metrics`` with base_failed and kept."""
     table = fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"),
                           *[F.col(c).alias(f"__{c}") for c in fences.columns[2:]])
-    ok = ~base_failed()
+    # a count of the rules that hold, not their conjunction: the optimiser would push a part of
+    # that below the join and measure every text once more for it
+    ok = (~base_failed()).cast("int")
     for measure, side, _ in RULES:
         value, name = measures()[measure], f"__{measure}_{'max' if side > 0 else 'min'}"
-        ok = ok & F.coalesce(value <= F.col(name) if side > 0 else value >= F.col(name),
-                             F.lit(True))
+        ok = ok + F.coalesce(value <= F.col(name) if side > 0 else value >= F.col(name),
+                             F.lit(True)).cast("int")
     joined = metrics.drop("base_failed", "kept").join(
         table, F.col("lang").eqNullSafe(F.col("__lang"))
         & F.col("source").eqNullSafe(F.col("__source")), "left")
-    return (joined.withColumn("base_failed", base_failed()).withColumn("kept", ok)
+    return (joined.withColumn("base_failed", base_failed()).withColumn("kept", ok == len(RULES) + 1)
             .drop(*table.columns))
 
 

@@ -26,17 +26,21 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import open_out, settle, shared_folder, write_once
+from lexispark.llm.common import (
+    Numbers, open_out, settle, shared_folder, worker_memo, write_once,
+)
 
 MAGIC = b"TOKPFOR1"
 BLOCK = 128
 HEAD = 6                 # bytes before the packed differences
-CHUNK = 1 << 13          # blocks packed or unpacked at once
+CHUNK = 1 << 12          # blocks packed or unpacked at once
 FILE_BYTES = 32 << 20    # text that goes into a file
-KNOWN_WORDS = 800_000    # words a task remembers before it starts afresh
+KNOWN_WORDS = 1_000_000  # words a worker remembers before it starts afresh
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # marks that stay one part behind letters
 FORMAT = {"block": BLOCK, "version": 1}
 
 
@@ -69,7 +73,8 @@ def pack(ids: np.ndarray, percentile: float = 90.0) -> tuple[bytes, np.ndarray]:
     for w in np.unique(width):
         if w:
             at = np.flatnonzero(width == w)
-            plane = ((diff[at][:, :, None] >> np.arange(w)) & 1).astype(np.uint8)
+            plane = np.unpackbits(diff[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4),
+                                  axis=2, bitorder="little")[:, :, :w]
             out[start[at][:, None] + HEAD + np.arange(16 * w)] = np.packbits(
                 plane.reshape(len(at), -1), axis=1, bitorder="little")
     b, p = np.nonzero(over)
@@ -90,9 +95,12 @@ def unpack(raw: bytes, start: np.ndarray) -> np.ndarray:
     for w in np.unique(width):
         if w:
             at = np.flatnonzero(width == w)
-            plane = np.unpackbits(buf[start[at][:, None] + HEAD + np.arange(16 * w)], axis=1,
-                                  bitorder="little").reshape(len(at), BLOCK, w)
-            diff[at] = plane @ (1 << np.arange(w))
+            plane = np.zeros((len(at), BLOCK, 32), np.uint8)
+            plane[:, :, :w] = np.unpackbits(
+                buf[start[at][:, None] + HEAD + np.arange(16 * w)], axis=1,
+                bitorder="little").reshape(len(at), BLOCK, w)
+            diff[at] = np.packbits(plane, axis=2, bitorder="little").view("<u4").reshape(
+                len(at), BLOCK)
     b = np.repeat(np.arange(n), n_over)
     nth = np.arange(len(b)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
     lists = start[b] + HEAD + 16 * width[b]
@@ -120,75 +128,111 @@ class WordEncoder:
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
+        spec = json.loads(tokenizer_json)
         self.t = Tokenizer.from_str(tokenizer_json)
-        self.by_word = drops_spaces(json.loads(tokenizer_json))
+        self.by_word = drops_spaces(spec)
         self.mark = np.array(self._encode(self.MARK), np.int64)
+        suffix = spec["model"].get("end_of_word_suffix")
+        size = self.t.get_vocab_size(with_added_tokens=True)
+        self.final = np.zeros(size, bool)          # tokens that end a word or a mark
+        for token, i in spec["model"]["vocab"].items() if suffix else ():
+            self.final[i] = token.endswith(suffix)
         self._forget()
 
     def _encode(self, text: str) -> list[int]:
-        return self.t.encode(text, add_special_tokens=False).ids
+        return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _forget(self):
-        self.place, self.ids = {}, np.zeros(0, np.int64)
-        self.start = self.count = np.zeros(0, np.int64)
+        self.place, self.ids = Numbers(), np.zeros(0, np.int64)
+        self.start = self.count = np.zeros(1, np.int64)
+        self.place[""] = 0                             # between blanks; it has no ids
 
-    def batch(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, texts: pa.Array | list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` behind it; number of ids of each)."""
         if not self.by_word:
-            lists = [self._encode(t or "") + [end] for t in texts]
+            lists = [self._encode(t or "") + [end] for t in (
+                texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
             return (np.array([i for x in lists for i in x], np.int64),
                     np.array([len(x) for x in lists], np.int64))
         if len(self.place) > KNOWN_WORDS:
             self._forget()
+        text = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        text = text.fill_null("")
         # the tokenizer lower-cases anyway, but not the names of special tokens
-        words = [(x if b"<|" in x else x.lower()).split() + [None]
-                 for x in ((t or "").encode() for t in texts)]
-        flat = [w for x in words for w in x]
-        new = [w for w in dict.fromkeys(flat) if w not in self.place]
-        if new:
-            self._learn(new, end)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        named = pc.match_substring(text, "<|")
+        low = pc.ascii_lower(text)
+        words = pc.ascii_split_whitespace(pc.if_else(named, text, low) if pc.any(named).as_py() else low)
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()       # a Python object a distinct word only
+        known = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[
+            coded.indices.to_numpy()]
+        self._learn()
         n = self.count[at]
+        # the end ids stand where the words of each text have run out
+        upto = np.append(0, np.cumsum(n))[np.cumsum(size)]
+        n_text = np.diff(upto, prepend=0) + 1
+        out = np.full(int(n.sum()) + len(texts), end, np.int64)
+        stop = np.zeros(len(out), bool)
+        stop[np.cumsum(n_text) - 1] = True
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) - np.repeat(ends - n, n) + np.repeat(self.start[at], n)]
-        upto = ends[np.cumsum([len(x) for x in words], dtype=np.int64) - 1] if words else ends
-        return ids, np.diff(upto, prepend=0)
-
-    def _keep(self, words, ids: list, counts: list):
-        n = len(self.place)
-        self.place.update(zip(words, range(n, n + len(words))))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.count = np.concatenate([self.count, *counts])
+        out[~stop] = self.ids[np.arange(len(out) - len(texts)) - np.repeat(ends - n, n)
+                              + np.repeat(self.start[at], n)]
+        return out, n_text
+
+    def _learn(self, at_once: int = 4000):
+        words, self.place.new = self.place.new, []
+        got = [self._encode_words(words[a:a + at_once]) for a in range(0, len(words), at_once)]
+        self.ids = np.concatenate([self.ids, *(x for x, _ in got)])
+        self.count = np.concatenate([self.count, *(n for _, n in got)])
         self.start = np.cumsum(self.count) - self.count
 
-    def _learn(self, words: list[bytes | None], end: int, at_once: int = 4000):
-        got = [self._encode_words(words[a:a + at_once], end)
-               for a in range(0, len(words), at_once)]
-        self._keep(words, [x for x, _ in got], [n for _, n in got])
-
-    def _encode_words(self, words, end) -> tuple[np.ndarray, np.ndarray]:
-        mark = self.MARK.encode()
-        odd = [w is None or mark in w for w in words]
-        joined = b" ".join(x for w, o in zip(words, odd) for x in ((b"" if o else w), mark))
-        got = np.array(self._encode(joined.decode()), np.int64)
+    def _encode_words(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters, and such words with marks behind, are split in a known number of parts,
+        each of which ends in a final token; the others stand between marks."""
+        parts = np.fromiter((1 if w.isalpha() else 2 if w.rstrip(TAIL).isalpha() else 0
+                             for w in text), np.int64, len(text))
+        if not parts.all():
+            plain, other = np.flatnonzero(parts), np.flatnonzero(parts == 0)
+            some = [([text[i] for i in plain], parts[plain])] if len(plain) else []
+            got = [self._plain(*x) for x in some] + [self._marked([text[i] for i in other])]
+            n = np.zeros(len(text), np.int64)
+            order = np.concatenate([plain, other])
+            n[order] = np.concatenate([x[1] for x in got])
+            ids, sizes = np.concatenate([x[0] for x in got]), n[order]
+            back = np.argsort(order)
+            begin = (np.cumsum(sizes) - sizes)[back]
+            ends = np.cumsum(n)
+            return ids[np.arange(len(ids)) - np.repeat(ends - n, n) + np.repeat(begin, n)], n
+        return self._plain(text, parts)
+
+    def _plain(self, text: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self._encode(" ".join(text)), np.int64)
+        stops = np.flatnonzero(self.final[ids]) + 1
+        if len(stops) != parts.sum() or (len(ids) and stops[-1] != len(ids)):
+            return self._marked(text)
+        return ids, np.diff(stops[np.cumsum(parts) - 1], prepend=0)
+
+    def _marked(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [self.MARK in w for w in text]
+        got = np.array(self._encode(" ".join(x for w, o in zip(text, odd) for x in (
+            "" if o else w, self.MARK))), np.int64)
         k = len(self.mark)
         hit = np.ones(max(0, len(got) - k + 1), bool)
         for i, m in enumerate(self.mark):
             hit &= got[i:len(got) - k + 1 + i] == m
         stops = np.flatnonzero(hit)
-        if len(stops) != len(words):
+        if len(stops) != len(text):
             raise ValueError("the tokenizer does not encode words one by one")
         n = np.diff(stops, prepend=-k) - k
         keep = np.ones(len(got), bool)
         keep[(stops[:, None] + np.arange(k)).reshape(-1)] = False
         ids = got[keep]
         if any(odd):
-            parts = np.split(ids, np.cumsum(n)[:-1])
+            split = np.split(ids, np.cumsum(n)[:-1])
             for i in np.flatnonzero(odd):
-                parts[i] = np.array([end] if words[i] is None else self._encode(words[i].decode()),
-                                    np.int64)
-            ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
+                split[i] = np.array(self._encode(text[i]), np.int64)
+            ids, n = np.concatenate(split), np.array([len(p) for p in split])
         return ids, n
 
 
@@ -200,7 +244,8 @@ def drops_spaces(spec: dict) -> bool:
     pattern = first.get("pattern", {}).get("Regex", "")
     return ("Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
             and first.get("type") == "Split" and first.get("behavior") == "Removed"
-            and bool(first.get("invert")) and re.search(r"\[\^\\s", pattern) is not None)
+            and bool(spec["model"].get("end_of_word_suffix")) and bool(first.get("invert"))
+            and re.search(r"\[\^\\s", pattern) is not None)
 
 
 # ---- files --------------------------------------------------------------------------------------
@@ -220,7 +265,7 @@ def file_parts(batches, coder: WordEncoder, end: int, percentile: float, told: d
             yield raw
 
     for batch in batches:
-        ids, n = coder.batch(batch.column("text").to_pylist(), end)
+        ids, n = coder.batch(batch.column("text"), end)
         column = batch.column("doc_id")
         doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         doc_null.append(column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
@@ -307,7 +352,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
             return
         number, told = TaskContext.get().partitionId(), {}
         path = f"{folder}/part-{number:06d}.tok"
-        coder = WordEncoder(spec.value)
+        coder = worker_memo(("words", spec.value), lambda: WordEncoder(spec.value))
 
         def every():
             yield first
