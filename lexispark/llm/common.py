@@ -68,8 +68,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_hashes(items: list[bytes]) -> np.ndarray:
-    """64-bit hash of each byte string."""
+def byte_hashes(items: list[bytes] | list[str]) -> np.ndarray:
+    """64-bit hash of each byte string (a text counts as its UTF-8 bytes)."""
     from xxhash import xxh3_64_intdigest as h
     return np.fromiter(map(h, items), np.uint64, len(items))
 
@@ -99,6 +99,22 @@ class Numbers(dict):
         return n
 
 
+def word_numbers(text, number: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word, words of each text) of an Arrow array of texts, lower-cased in ASCII.
+    Words are split and coded by Arrow, so Python sees each distinct word of the batch once."""
+    import pyarrow.compute as pc
+    words = pc.ascii_split_whitespace(pc.ascii_lower(text.fill_null("")))
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    known, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if "" in known:                     # what stands before leading and behind trailing blanks
+        keep = at != known.index("")
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+        at = at[keep]
+    numbers = np.fromiter((number[w] if w else 0 for w in known), np.int64, len(known))
+    return numbers[at], size
+
+
 def open_out(uri: str):
     """(file system, path) for a URI or plain path, usable from any task."""
     from pyarrow import fs

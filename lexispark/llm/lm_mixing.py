@@ -13,8 +13,8 @@ with the escape bit there.  ``spelled_score`` adds the spelling, which makes it
 the text itself, and ``bits_per_byte`` is its total in bits.
 
 Each bit of either code is predicted by several tables of bit counts, one for each kind of context
-(none, the word before, the two words before, the endings of the two words before; for spelling
-one, two and three bytes before), addressed by a hash of context and bits coded so far.  Their
+(none, the word before, the endings of the two words before; for spelling one, two and three bytes
+before), addressed by a hash of context and bits coded so far.  Their
 log-odds are combined by weights that are gated by bit number and by which contexts are known, and
 the mixed probability is refined by an adaptive map from (bit number, quantised log-odds) to
 observed frequency.
@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +46,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import byte_hashes, crc_fold, mix64, settle
+from lexispark.llm.common import Numbers, byte_hashes, crc_fold, mix64, settle, word_numbers
 
 _U = np.uint64
-BITS = 12                  # bits of a known token's code
+BITS = 11                  # bits of a known token's code
 SLOT_BITS = 18             # slots of a hashed context's table: 2^SLOT_BITS
-RUN = 8192                 # codes predicted before the model learns from them
-REFRESH = 8                # runs between two computations of a table's log-odds
+RUN = 32_768               # codes predicted before the model learns from them
+REFRESH = 200_000          # codes learnt between two computations of a table's log-odds
 BLOCK_BYTES = 24 << 20     # text in a block
 MAP_BINS = 33              # quantised log-odds of the adaptive map
 RATE = 0.05
-END = b""                  # the end token; no word is empty
+END = ""                   # the end token; no word is empty
 LOG2_10 = math.log2(10.0)
 
 
@@ -68,8 +69,8 @@ class Mixer:
     bits: int
     contexts: int
     slot_bits: int = SLOT_BITS
-    n: np.ndarray = field(default=None)          # counts of 0 and 1 by slot
-    weight: np.ndarray = field(default=None)     # gate x context
+    n: np.ndarray = field(default=None)          # slot x (count of 0, count of 1)
+    weight: np.ndarray = field(default=None)     # context x gate
     seen: np.ndarray = field(default=None)       # adaptive map: counts of 0 and 1
     codes: float = 0.0
 
@@ -77,10 +78,11 @@ class Mixer:
         self.base = (1 << self.bits) + (1 << self.slot_bits) * np.arange(self.contexts - 1)
         self.size = int((1 << self.bits) + (self.contexts - 1) * (1 << self.slot_bits))
         if self.n is None:
-            self.n = np.zeros((2, self.size), np.float32)
-            self.weight = np.full((self.gates, self.contexts), 1.0 / self.contexts, np.float32)
+            self.n = np.zeros((self.size, 2), np.int64)
+            self.weight = np.full((self.contexts, self.gates), 1.0 / self.contexts, np.float32)
             self.seen = np.zeros((2, self.bits * MAP_BINS), np.float64)
         self.square = np.full_like(self.weight, 1e-3)
+        self.shift = np.arange(self.bits)
         self._refresh()
 
     @property
@@ -89,7 +91,8 @@ class Mixer:
 
     def _refresh(self):
         """Log-odds of every slot; 0 where nothing was seen."""
-        self.odds = np.log((self.n[1] + 0.4) / (self.n[0] + 0.4)).astype(np.float32)
+        n = self.n.astype(np.float32)
+        self.odds = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
         held = self.seen.sum(0)
         # the map starts at the identity, which weighs like 50 observations
         centre = (np.arange(MAP_BINS) - MAP_BINS // 2) / 2.0
@@ -97,56 +100,52 @@ class Mixer:
         self.refined = ((self.seen[1] + 50 * ident) / (held + 50)).astype(np.float32)
 
     def _address(self, codes: np.ndarray, contexts: list[np.ndarray]):
-        """Slots (context x code x bit) and the bits themselves."""
-        i = np.arange(self.bits)
-        node = (1 << i) | (codes[:, None] >> (self.bits - i))
-        bit = (codes[:, None] >> (self.bits - 1 - i)) & 1
+        """Slots (code x bit) of each context, and the bits themselves."""
+        node = (1 << self.shift) | (codes[:, None] >> (self.bits - self.shift))
+        bit = (codes[:, None] >> (self.bits - 1 - self.shift)) & 1
+        spread = node.astype(np.uint32) * np.uint32(0x9E3779B1)
         slots = [node]
-        spread = node.astype(_U) * _U(0x9E3779B97F4A7C15)
         for base, c in zip(self.base, contexts):
-            h = (c[:, None] ^ spread) * _U(0xD1342543DE82EF95)
-            slots.append((h >> _U(64 - self.slot_bits)).astype(np.int64) + base)
+            h = (c[:, None] ^ spread) * np.uint32(0x85EBCA77)
+            slots.append((h >> np.uint32(32 - self.slot_bits)).astype(np.intp) + base)
         return slots, bit
 
     def _predict(self, slots):
-        """Stretched inputs, gate and probability of a 1 (before the map)."""
-        x = [self.odds[s] for s in slots]
-        known = sum(((v != 0).astype(np.int32) << k) for k, v in enumerate(x[1:]))
-        gate = known * self.bits + np.arange(self.bits, dtype=np.int32)
-        w = self.weight[gate.reshape(-1)].reshape(*gate.shape, self.contexts)
-        z = sum(w[:, :, k] * v for k, v in enumerate(x))
-        return x, gate, np.clip(z, -12, 12)
+        """Inputs (log-odds), gate and mixed log-odds of a 1."""
+        x = [self.odds.take(s) for s in slots]
+        gate = np.broadcast_to(self.shift, x[0].shape)
+        for k, v in enumerate(x[1:]):
+            gate = gate + (v != 0) * (self.bits << k)
+        z = self.weight[0].take(gate) * x[0]
+        for k in range(1, self.contexts):
+            z += self.weight[k].take(gate) * x[k]
+        return x, gate, np.clip(z, -12, 12, out=z)
 
     def _bin(self, z):
-        return (np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + MAP_BINS // 2
-                + np.arange(self.bits) * MAP_BINS)
+        return (np.rint(np.clip(z, -8, 8) * 2).astype(np.intp) + (
+            MAP_BINS // 2 + self.shift * MAP_BINS))
 
     def learn(self, codes: np.ndarray, contexts: list[np.ndarray]) -> None:
-        for k, a in enumerate(range(0, len(codes), RUN)):
+        for a in range(0, len(codes), RUN):
             part = slice(a, a + RUN)
             slots, bit = self._address(codes[part], [c[part] for c in contexts])
             x, gate, z = self._predict(slots)
-            error = bit - 1.0 / (1.0 + np.exp(-z))
+            error = (bit - 1.0 / (1.0 + np.exp(-z))).astype(np.float32)
             g = gate.reshape(-1)
             times = np.maximum(np.bincount(g, minlength=self.gates), 1)
             for c, v in enumerate(x):
                 step = np.bincount(g, (error * v).reshape(-1), self.gates) / times
-                self.square[:, c] += step * step
-                self.weight[:, c] += RATE * step / np.sqrt(self.square[:, c])
-            where = self._bin(z).reshape(-1)
-            one = bit.reshape(-1)
-            total = np.bincount(where, minlength=self.seen.shape[1])
-            ones = np.bincount(where, one, self.seen.shape[1])
-            self.seen[0] += total - ones
-            self.seen[1] += ones
-            for s in slots:
-                s = s.reshape(-1)
-                np.add.at(self.n[0], s[one == 0], 1)
-                np.add.at(self.n[1], s[one == 1], 1)
-            if k % REFRESH == REFRESH - 1:
+                self.square[c] += step * step
+                self.weight[c] += RATE * step / np.sqrt(self.square[c])
+            where = np.bincount((2 * self._bin(z) + bit).reshape(-1), minlength=2 * self.seen.shape[1])
+            self.seen += where.reshape(-1, 2).T
+            touched = np.concatenate([(2 * s + bit).reshape(-1) for s in slots])
+            self.n += np.bincount(touched, minlength=2 * self.size).reshape(-1, 2)
+            self.codes += len(codes[part])
+            self.since = getattr(self, "since", 0) + len(codes[part])
+            if self.since >= REFRESH or self.codes <= REFRESH:
+                self.since = 0
                 self._refresh()
-        self.codes += len(codes)
-        self._refresh()
 
     def log2(self, codes: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """log2 of the probability of each code."""
@@ -155,23 +154,24 @@ class Mixer:
             part = slice(a, a + RUN)
             slots, bit = self._address(codes[part], [c[part] for c in contexts])
             _, _, z = self._predict(slots)
-            p = 0.5 / (1.0 + np.exp(-z)) + 0.5 * self.refined[self._bin(z)]
-            out[part] = np.log2(np.where(bit == 1, p, 1.0 - p)).sum(1)
+            p = 0.5 / (1.0 + np.exp(-z)) + 0.5 * self.refined.take(self._bin(z))
+            out[part] = np.log2(np.where(bit == 1, p, 1.0 - p).astype(np.float64)).sum(1)
         return out
 
     # A model leaves a task as rows (table, place, a, b) that add up.
     def rows(self, name: int):
-        at = np.flatnonzero(self.n.any(0))
-        yield name, at, self.n[0][at], self.n[1][at]
+        at = np.flatnonzero(self.n.any(1))
+        yield name, at, self.n[at, 0], self.n[at, 1]
         at = np.arange(self.weight.size)
         yield name + 1, at, self.weight.reshape(-1) * self.codes, np.full(len(at), self.codes)
         at = np.flatnonzero(self.seen.any(0))
         yield name + 2, at, self.seen[0][at], self.seen[1][at]
 
     def load(self, name: int, kind, place, a, b) -> Mixer:
-        for k, table in ((name, self.n), (name + 2, self.seen)):
-            m = kind == k
-            table[0, place[m]], table[1, place[m]] = a[m], b[m]
+        m = kind == name
+        self.n[place[m], 0], self.n[place[m], 1] = a[m], b[m]
+        m = kind == name + 2
+        self.seen[0, place[m]], self.seen[1, place[m]] = a[m], b[m]
         m = (kind == name + 1) & (b > 0)
         flat = self.weight.reshape(-1)
         flat[place[m]] = a[m] / b[m]
@@ -180,7 +180,7 @@ class Mixer:
 
 
 def word_mixer() -> Mixer:
-    return Mixer(BITS, 4)
+    return Mixer(BITS, 3)
 
 
 def byte_mixer() -> Mixer:
@@ -191,58 +191,50 @@ WORDS, LETTERS = 0, 3      # table numbers of the two mixers
 
 
 class Tokens:
-    """Tokens of a batch of texts as numbers of distinct words, which are kept for a block."""
+    """Tokens of texts as numbers of distinct words, which are kept for a block."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {END: 0}
-
-    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all tokens, number of tokens of each text)."""
-        number, flat, n = self.number, [], []
-        for t in texts:
-            words = (t or "").encode("utf-8", "replace").lower().split()
-            words.append(END)
-            flat += words
-            n.append(len(words))
-        for w in flat:
-            if w not in number:
-                number[w] = len(number)
-        return (np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)),
-                np.array(n, np.int64))
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each distinct word and of its ending."""
-        words = list(self.number)
-        return byte_hashes(words), byte_hashes([w[-2:] for w in words])
+        self.number = Numbers()
+        self.number[END]                      # number 0
+        self.hash = self.tail = np.zeros(0, _U)
+
+    def of(self, text) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all tokens, number of tokens of each text) of an Arrow array."""
+        words, size = word_numbers(text, self.number)
+        n = size + 1
+        out = np.zeros(len(words) + len(size), np.int64)
+        stop = np.zeros(len(out), bool)
+        stop[np.cumsum(n) - 1] = True
+        out[~stop] = words
+        new, self.number.new = self.number.new, []
+        self.hash = np.append(self.hash, byte_hashes(new))
+        self.tail = np.append(self.tail, byte_hashes([w[-2:] for w in new]))
+        return out, n
 
 
 def code_of(h: np.ndarray) -> np.ndarray:
     return (mix64(h) >> _U(64 - BITS)).astype(np.int64)
 
 
-def word_contexts(h: np.ndarray, tail: np.ndarray, tokens: np.ndarray, n: np.ndarray):
-    """Hashed contexts of every token: the word before, the two before, the endings of the two."""
-    first = np.zeros(len(tokens), bool)
-    starts = np.cumsum(n) - n
-    first[starts] = True
-    second = np.zeros(len(tokens), bool)
-    second[(starts + 1)[n > 1]] = True
+def word_contexts(words: Tokens, tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Hashed contexts of every token: the word before, and the endings of the two before."""
+    start = np.cumsum(n) - n
 
-    def before(x, one):
+    def before(x):
         y = np.empty_like(x)
         y[1:], y[:1] = x[:-1], 0
-        y[first] = _U(1)
-        return y if one else before(y, True)
-    hs, ts = h[tokens], tail[tokens]
-    h1, t1 = before(hs, True), before(ts, True)
-    h2, t2 = before(h1, True), before(t1, True)
-    return [mix64(h1), mix64(h1 + mix64(h2 + _U(3))), mix64(t1 + mix64(t2 + _U(5)) + _U(7))]
+        y[start] = 1
+        return y
+    h, t = before(words.hash[tokens]), before(words.tail[tokens])
+    pair = t * _U(0x9E3779B97F4A7C15) + before(t)
+    return [(mix64(x) >> _U(32)).astype(np.uint32) for x in (h, pair)]
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def spelled(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Byte codes with a closing blank, their contexts, and the number of the word of each."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    raw = [w.encode() for w in words]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     word = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     context, out = np.zeros(len(data), _U), []
@@ -250,7 +242,7 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
         back = np.zeros(len(data), np.int64)
         back[k:] = data[:-k]
         context = mix64(context + np.where(at >= k, back + 1, 0).astype(_U) + _U(k << 9))
-        out.append(context)
+        out.append((context >> _U(32)).astype(np.uint32))
     return data, out, word
 
 
@@ -272,33 +264,30 @@ def _blocked(block_bytes: int):
     return run
 
 
-LEARNED = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("kind", pa.int32()),
+LEARNED = pa.schema([("block", pa.int64()), ("word", pa.string()), ("kind", pa.int32()),
                      ("place", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-LEARNED_SQL = "block bigint, word binary, kind int, place bigint, a double, b double"
+LEARNED_SQL = "block bigint, word string, kind int, place bigint, a double, b double"
 
 
 def _model_rows(mixer: Mixer, name: int):
     for kind, at, a, b in mixer.rows(name):
-        none = pa.nulls(len(at))
         yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.binary()), pa.array(np.full(len(at), kind, "i4")),
-             pa.array(at.astype(np.int64)), pa.array(np.asarray(a, np.float64)),
-             pa.array(np.asarray(b, np.float64))], schema=LEARNED)
+            [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()),
+             pa.array(np.full(len(at), kind, "i4")), pa.array(at.astype(np.int64)),
+             pa.array(np.asarray(a, np.float64)), pa.array(np.asarray(b, np.float64))],
+            schema=LEARNED)
 
 
 def _learn_words(batches):
     """Rows of (block, word, training count) and of a task's model."""
-    mixer, words, counts, here, any_rows = word_mixer(), Tokens(), np.zeros(1), None, False
+    mixer, words, counts, here = word_mixer(), Tokens(), np.zeros(1), None
 
     def told():
         names = list(words.number)
-        c = np.zeros(len(names))
-        c[:len(counts)] = counts
-        none = pa.nulls(len(names))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(names), here, np.int64)), pa.array(names, pa.binary()),
-             none.cast(pa.int32()), none.cast(pa.int64()), pa.array(c),
-             none.cast(pa.float64())], schema=LEARNED)
+            [pa.array(np.full(len(names), here, np.int64)), pa.array(names, pa.string()),
+             pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.int64()), pa.array(counts),
+             pa.nulls(len(names), pa.float64())], schema=LEARNED)
     for batch in batches:
         block = batch.column("block").to_numpy()
         text, train = batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False)
@@ -309,19 +298,16 @@ def _learn_words(batches):
             if here is not None and block[a] != here:
                 yield told()
                 words, counts = Tokens(), np.zeros(1)
-            here, any_rows = int(block[a]), True
-            texts = text.slice(a, b - a).to_pylist()
-            for i in range(0, b - a, 256):
-                tokens, n = words.of(texts[i:i + 256])
-                keep = np.repeat(train[a + i:a + i + len(n)], n)
-                h, tail = words.hashes()
-                grown = np.bincount(tokens[keep], minlength=len(words.number)).astype(float)
-                grown[:len(counts)] += counts
-                counts = grown
-                if keep.any():
-                    context = word_contexts(h, tail, tokens, n)
-                    mixer.learn(code_of(h)[tokens[keep]], [c[keep] for c in context])
-    if any_rows:
+            here = int(block[a])
+            tokens, n = words.of(text.slice(a, b - a))
+            keep = np.repeat(train[a:b], n)
+            grown = np.bincount(tokens[keep], minlength=len(words.number)).astype(float)
+            grown[:len(counts)] += counts
+            counts = grown
+            if keep.any():
+                context = word_contexts(words, tokens, n)
+                mixer.learn(code_of(words.hash)[tokens[keep]], [c[keep] for c in context])
+    if here is not None:
         yield told()
         yield from _model_rows(mixer, WORDS)
 
@@ -357,22 +343,20 @@ def _score_blocks(shared):
         mixer, letters = s.mixers()
         # tokens with the same bits as a code: the count at the last bit of the empty context
         leaf = np.arange(1 << BITS)
-        bucket = mixer.n[leaf & 1, (1 << (BITS - 1)) | (leaf >> 1)].astype(np.float64)
+        bucket = mixer.n[(1 << (BITS - 1)) | (leaf >> 1), leaf & 1].astype(np.float64)
         known = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
         tokens, out = Tokens(), []
         c, base, cost, spell = (np.zeros(0) for _ in range(4))   # by distinct word
-        texts = docs.column("text").to_pylist()
+        text = docs.column("text").combine_chunks()
+        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
         escape = math.log10((s.single + 0.5) / (s.total + 1.0))
         stay = math.log10(1.0 - (s.single + 0.5) / (s.total + 1.0))
-        for i in range(0, len(texts), 256):
-            ids, n = tokens.of(texts[i:i + 256])
-            names = list(tokens.number)
-            if len(names) > len(c):
-                new = names[len(c):]
-                more = np.array([known.get(w, 0) for w in new], np.float64)
-                base = np.append(base, np.log10((more + 0.5) / (s.total + 0.5 * (s.distinct + 1))))
-                h = byte_hashes(new)
-                code = code_of(h)
+        for i in range(0, len(text), 1024):
+            ids, n = tokens.of(text.slice(i, 1024))
+            if len(tokens.number) > len(c):
+                new = list(islice(tokens.number, len(c), None))
+                more = np.fromiter((known.get(w, 0) for w in new), np.float64, len(new))
+                code = code_of(tokens.hash[len(c):])
                 # known: share of the tokens with its bits; unknown: its spelling
                 extra, letter = np.full(len(new), escape), np.zeros(len(new))
                 k = more > 0
@@ -382,13 +366,13 @@ def _score_blocks(shared):
                     data, context, word = spelled([new[j] for j in odd[a:a + 4096]])
                     bits = np.bincount(word, letters.log2(data, context), len(odd[a:a + 4096]))
                     letter[odd[a:a + 4096]] = bits / LOG2_10
-                c, cost, spell = (np.append(x, y) for x, y in (
-                    (c, more), (cost, extra), (spell, letter)))
-            h, tail = tokens.hashes()
-            context = word_contexts(h, tail, ids, n)
-            value = cost[ids].copy()
+                floor = np.log10((more + 0.5) / (s.total + 0.5 * (s.distinct + 1)))
+                c, base, cost, spell = (np.append(x, y) for x, y in (
+                    (c, more), (base, floor), (cost, extra), (spell, letter)))
+            context = word_contexts(tokens, ids, n)
+            value = cost[ids]
             k = c[ids] > 0
-            value[k] += mixer.log2(code_of(h)[ids[k]], [x[k] for x in context]) / LOG2_10
+            value[k] += mixer.log2(code_of(tokens.hash)[ids[k]], [x[k] for x in context]) / LOG2_10
             doc = np.repeat(np.arange(len(n)), n)
             out.append((n, np.bincount(doc, k, len(n)).astype(np.int64),
                         np.bincount(doc, base[ids], len(n)), np.bincount(doc, value, len(n)),
@@ -397,14 +381,10 @@ def _score_blocks(shared):
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
                          "n_tokens": n, "n_known": n_known,
                          "train_tokens": np.full(len(n), s.total, np.int64), "base_score": b,
-                         "score": v, "spelled_score": v + letter, "n_bytes": _bytes(texts)})
+                         "score": v, "spelled_score": v + letter, "n_bytes": pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())})
     return run
 
 
-def _bytes(texts) -> np.ndarray:
-    return np.array([len((t or "").encode("utf-8", "replace")) for t in texts], np.int64)
-
-
 def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and spelled_score (log10),
     bits_per_byte of every text; it learns from documents whose fold is not ``held_out``."""

@@ -54,11 +54,11 @@ def test_codes_are_a_distribution():
     rng = np.random.default_rng(0)
     mixer = M.Mixer(6, 3, 10)
     every = np.arange(64)
-    context = [np.full(64, 17, np.uint64), np.full(64, 23, np.uint64)]
+    context = [np.full(64, 17, np.uint32), np.full(64, 23, np.uint32)]
     for _ in range(3):
         assert math.isclose((2.0 ** mixer.log2(every, context)).sum(), 1.0, rel_tol=1e-5)
         seen = rng.integers(0, 9, 3000)
-        mixer.learn(seen, [seen.astype(np.uint64) * np.uint64(5), np.full(3000, 23, np.uint64)])
+        mixer.learn(seen, [seen.astype(np.uint32) * np.uint32(5), np.full(3000, 23, np.uint32)])
 
 
 def test_context_that_tells_is_learnt():
@@ -66,8 +66,8 @@ def test_context_that_tells_is_learnt():
     code = rng.integers(0, 64, 40_000)
     before = np.roll(code, 1)
     code[1::2] = (before[1::2] * 7 + 3) % 64      # every second code follows from the one before
-    before = np.roll(code, 1).astype(np.uint64)
-    noise = rng.integers(0, 1 << 30, len(code)).astype(np.uint64)
+    before = np.roll(code, 1).astype(np.uint32)
+    noise = rng.integers(0, 1 << 30, len(code)).astype(np.uint32)
     mixer = M.Mixer(6, 3)
     mixer.learn(code[:30_000], [before[:30_000], noise[:30_000]])
     bits = -mixer.log2(code[30_000:], [before[30_000:], noise[30_000:]])
@@ -76,7 +76,7 @@ def test_context_that_tells_is_learnt():
 
 def test_models_of_tasks_add_up():
     rng = np.random.default_rng(2)
-    code, c = rng.integers(0, 256, 5000), rng.integers(0, 50, 5000).astype(np.uint64)
+    code, c = rng.integers(0, 256, 5000), rng.integers(0, 50, 5000).astype(np.uint32)
     a, b = M.Mixer(8, 2, 8), M.Mixer(8, 2, 8)
     a.learn(code[:2000], [c[:2000]])
     b.learn(code[2000:], [c[2000:]])
