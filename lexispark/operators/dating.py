@@ -172,6 +172,39 @@ def threshold_hits(scores: DataFrame, thresholds: DataFrame, models=("model",),
             .withColumn("hit", (F.col(score) > F.col("_th")).cast("double")).drop("_th"))
 
 
+def chord_knee(x: np.ndarray, curves: np.ndarray) -> np.ndarray:
+    """The chord form of ``knee`` for curves (rows) over the ascending x; nan where there is none."""
+    low, span = curves.min(1), np.ptp(curves, axis=1)
+    if not len(x) or x[0] == x[-1]:
+        return np.full(len(curves), np.nan)
+    d = (curves - low[:, None]) / np.where(span > 0, span, 1.0)[:, None] - (x - x[0]) / (x[-1] - x[0])
+    return np.where(span > 0, x[d.argmax(1)], np.nan)
+
+
+def _drawn_knees(draws: dict, method: str):
+    """Knees of every draw for batches of items, whose scores are one array each."""
+    locate = {"chord": chord_knee, "polynomial": find_knee}[method]
+
+    def run(batches):
+        for pdf in batches:
+            same: dict[bytes, list[int]] = {}
+            for i, ids in enumerate(pdf["_ids"]):
+                same.setdefault(np.asarray(ids).tobytes(), []).append(i)
+            for at in same.values():
+                part = pdf.iloc[at]
+                ids, years = np.asarray(part["_ids"].iloc[0]), np.asarray(part["_years"].iloc[0], np.float64)
+                scores = np.stack([np.asarray(v, np.float64) for v in part["_scores"]])
+                for (n, iteration), chosen in draws.items():
+                    use = np.isin(ids, chosen)
+                    if use.any():
+                        found = locate(years[use], np.cumsum(scores[:, use], axis=1))
+                        yield pd.DataFrame({
+                            "n": n, "iteration": iteration, "kind": part["kind"], "model": part["model"],
+                            "item_id": part["item_id"], "item_year": part["item_year"],
+                            "knee": pd.array([None if np.isnan(k) else k for k in found], "Float64")})
+    return run
+
+
 def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], iterations: int,
                      span: int = 50, bg_id: str = "bg_id", bg_year: str = "bg_year",
                      seed="bgcurve", thresholds: DataFrame | None = None,
@@ -183,29 +216,35 @@ def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], ite
     ``scores`` has a model column.  With ``thresholds`` (model, threshold) the knees of the
     thresholded counts follow with kind 'threshold'; kind 'raw' are those of the scores.
 
-    The draws are built on the background pool, whose size a parameter bounds, and broadcast to
-    the score rows, so the score table is pruned to drawn background ids before any window.
+    The draws are a table of parameters (at most sizes x iterations x pool ids) and go to the tasks
+    with the function; an item's scores are one array, as long as the bounded pool, so the score
+    table is shuffled once and not once a draw.
     """
     spark = bg.sparkSession
     its = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"))
     b = bg.select(bg_id, bg_year).withColumn("_bin", year_bin(bg_year, span)).crossJoin(its)
     w = Window.partitionBy("iteration", "_bin").orderBy(rkey(seed, "iteration", bg_id), bg_id)
-    b = b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(sizes))
-    size_t = spark.createDataFrame([(int(s),) for s in sizes], "n int")
-    draws = b.join(F.broadcast(size_t), F.col("_r") <= F.col("n")).select("n", "iteration", bg_id)
-    keys = ["n", "iteration", "model", "item_id"]
-    values = [F.struct(F.lit("raw").alias("kind"), F.col("score").alias("v"))]
-    rows = scores
-    if thresholds is not None:
-        rows = threshold_hits(scores, thresholds)
-        values.append(F.struct(F.lit("threshold").alias("kind"), F.col("hit").alias("v")))
-    rows = rows.withColumn("_v", F.explode(F.array(*values))).select(
-        "item_id", "item_year", bg_id, bg_year, "model", F.col("_v.kind").alias("kind"),
-        F.col("_v.v").alias("score"))
-    drawn = rows.join(F.broadcast(draws), bg_id)
-    k = KNEES[method](cumulative_curve(drawn, [*keys, "kind"]), [*keys, "kind"])
+    ranked = b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(sizes)).select(
+        "iteration", "_r", bg_id).toPandas()
+    draws = {(int(n), int(it)): g[g["_r"] <= n][bg_id].to_numpy()
+             for it, g in ranked.groupby("iteration") for n in sizes}
+    rows = scores if thresholds is None else threshold_hits(scores, thresholds)
+    point = lambda v: F.array_sort(F.collect_list(F.struct(
+        F.col(bg_year).alias("y"), F.col(bg_id).alias("i"), F.col(v).alias("v"))))
+    kinds = [("raw", "score")] + ([("threshold", "hit")] if thresholds is not None else [])
+    arrays = rows.groupBy("item_id", "item_year", "model").agg(
+        *[point(v).alias(f"_{k}") for k, v in kinds])
+    arrays = arrays.select("item_id", "item_year", "model", F.explode(F.array(*[F.struct(
+        F.lit(k).alias("kind"), F.col(f"_{k}").alias("p")) for k, _ in kinds])).alias("_k")).select(
+        "item_id", "item_year", "model", "_k.kind", F.transform("_k.p", lambda p: p["i"]).alias("_ids"),
+        F.transform("_k.p", lambda p: p["y"].cast("double")).alias("_years"),
+        F.transform("_k.p", lambda p: p["v"].cast("double")).alias("_scores"))
+    kind = dict(scores.dtypes)
+    k = arrays.mapInPandas(_drawn_knees(draws, method), (
+        f"n int, iteration int, kind string, model string, item_id {kind['item_id']}, "
+        f"item_year {kind['item_year']}, knee double"))
     truth = scores.select("item_id", "item_year").distinct()
-    return mae(k, truth, ["model"], by=["n", "iteration", "kind"])
+    return mae(k.drop("item_year"), truth, ["model"], by=["n", "iteration", "kind"])
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "model",

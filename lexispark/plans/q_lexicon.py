@@ -119,6 +119,31 @@ def lex_prepare_retrieval(spark, sf):
     return L.select_columns(out, ["pos", "sense_depth"])
 
 
+@register("lex_retrieval_table", f"""{Q}, {W2.strip()},
+p as (select *, string_split(regexp_replace(numbering, '\\.+$', ''), '.') as parts from w2f)
+select lemma, numbering as senseId, quote, keyword, year, n_words as nWords,
+  array_to_string(parts[1:1], '-') as "depth-1", array_to_string(parts[1:2], '-') as "depth-2",
+  array_to_string(parts[1:3], '-') as "depth-3" from p""")
+def lex_retrieval_table(spark, sf):
+    return L.retrieval_table(fx.quotes(spark, sf), (1, 2, 3), sense_id="numbering")
+
+
+@register("text_subtoken_span", f"""{Q}, s as (select quote_id, quote,
+  length(regexp_extract(quote, {_KP}, 1)) as st,
+  length(regexp_extract(quote, {_KP}, 1)) + length(regexp_extract(quote, {_KP}, 2)) as en
+  from quotes where regexp_matches(quote, {_KP}))
+select quote_id, (st // 3)::int as "first", ceil(en / 3)::int as "last" from s
+where st % 3 = 0 and (en % 3 = 0 or en = length(quote))""")
+def text_subtoken_span(spark, sf):
+    """Sub-tokens of three characters each; keywords that are not made of whole ones are left out."""
+    q = L.find_keyword(fx.quotes(spark, sf))
+    n = F.length("quote")
+    offsets = F.transform(F.sequence(F.lit(0), F.ceil(n / 3).cast("int") - 1), lambda i: F.struct(
+        (3 * i).alias("start"), F.least(3 * i + 3, n).alias("end")))
+    return q.select("quote_id", X.subtoken_span(offsets, "start", "end").alias("_s")).where(
+        "_s is not null").select("quote_id", "_s.first", "_s.last")
+
+
 @register("lex_prepare_pairs", f"""{Q}, {W3.strip()}
 select quote_id, lemma, quote, keyword, year, n_words, numbering, pos, cast({D_DEPTH} as int) as sense_depth from w3p""")
 def lex_prepare_pairs(spark, sf):

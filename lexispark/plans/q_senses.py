@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.arrays import cosine, sq_norm, vscale
 from lexispark.functions.keys import r6
+from lexispark.operators import fewshot as W
 from lexispark.operators import pairs as J
 from lexispark.operators import sampling as S
 from lexispark.operators import senses as C
@@ -166,6 +167,125 @@ def wsd_support_ladder(spark, sf):
                                     F.count(F.lit(1)).alias("n"))
 
 
+# --- few-shot, development and zero-shot evaluation -----------------------------------------------
+
+_SIZES, _ITS = (1, 2, 5, 10, 15, 25), 20
+_GONE = (3, 4, 5, 6)       # items without a vector in the second model
+
+
+def items(spark, sf):
+    return fx.sense_items(spark, sf).withColumn("pos", F.when(F.col("quote_id") % 2 == 0, "n").otherwise("v"))
+
+
+def vectors(spark, sf):
+    v = fx.sense_items(spark, sf).select("quote_id", F.col("embedding").cast("array<double>").alias("embedding"),
+                                         (1 + F.col("quote_id") % 3).cast("int").alias("n_subtokens"))
+    half = v.where(~F.col("quote_id").isin(list(_GONE))).withColumn("embedding", F.slice("embedding", 1, 16))
+    return v.withColumn("model", F.lit("a")).unionByName(half.withColumn("model", F.lit("b")))
+
+
+_FEW = f"""{SI},
+el as (select *, case when quote_id % 2 = 0 then 'n' else 'v' end as pos from sense_items where (lemma, sense) in (
+  select (lemma, sense) from (select lemma, sense, count(*) as c, count(*) over (partition by lemma) as k
+    from sense_items group by lemma, sense having count(*) >= 2) where k > 1)),
+st as (select *, case when row_number() over (partition by lemma, sense order by {md5k('strat', 'quote_id')},
+  quote_id) <= least(count(*) over (partition by lemma, sense) - 1, greatest(1, ceil(count(*) over
+  (partition by lemma, sense) * 0.5))) then 'train' else 'test' end as role from el),
+tr as (select * from st where role = 'train'), te as (select * from st where role = 'test'),
+rk as (select it.iteration, quote_id, lemma, sense, row_number() over (partition by it.iteration, lemma, sense
+  order by {md5k('fewshot', 'it.iteration', 'quote_id')}, quote_id) as rn
+  from tr, (select range::int as iteration from range({_ITS})) it),
+dr as (select cast(n as varchar) as n_items, iteration, quote_id, lemma, sense
+  from rk join (select unnest({list(_SIZES)}) as n) sz on rn <= n
+  union all select 'full', 0, quote_id, lemma, sense from tr),
+vec as (select quote_id, 'a' as model, embedding::double[] as embedding, (1 + quote_id % 3)::int as n_subtokens
+  from sense_items union all select quote_id, 'b', embedding[1:16]::double[], (1 + quote_id % 3)::int
+  from sense_items where quote_id not in {_GONE}),
+whole as (select m.model, te.lemma from te cross join (select distinct model from vec) m
+  left join vec on vec.quote_id = te.quote_id and vec.model = m.model
+  group by m.model, te.lemma having bool_and(vec.quote_id is not null)),
+dv as (select dr.*, vec.model, vec.embedding from dr join vec using (quote_id)),
+cent as {_cent_sql('dv', 'model, lemma, n_items, iteration, sense')},
+near as (select quote_id, model, lemma, n_items, iteration, pred, n_subtokens from (
+  select te.quote_id, vec.model, te.lemma, c.n_items, c.iteration, c.sense as pred, vec.n_subtokens, row_number() over (
+    partition by te.quote_id, vec.model, c.n_items, c.iteration
+    order by list_cosine_similarity(vec.embedding, c.centroid) desc, c.sense desc) as k
+  from te join vec using (quote_id) join whole on whole.model = vec.model and whole.lemma = te.lemma
+    join cent c on c.lemma = te.lemma and c.model = vec.model) where k = 1),
+cnt as (select lemma, n_items, iteration, sense, count(*) as c from dr group by all),
+dim as (select *, row_number() over (partition by lemma, n_items, iteration order by c desc, sense) as k,
+  sum(c) over (partition by lemma, n_items, iteration order by sense) as hi,
+  sum(c) over (partition by lemma, n_items, iteration) as tot from cnt),
+base as (select te.quote_id, te.lemma, d.n_items, d.iteration, d.sense, d.k, d.c, d.hi,
+    ('0x' || substr({md5k('fewshot-random', 'd.n_items', 'd.iteration', 'te.quote_id')}, 1, 15))::bigint % d.tot as u
+  from te join dim d on d.lemma = te.lemma where te.lemma in (select lemma from whole where model = 'a')),
+res as (select quote_id, model, lemma, n_items, iteration, pred, n_subtokens from near
+  union all select quote_id, 'majority', lemma, n_items, iteration, sense, null from base where k = 1
+  union all select quote_id, 'random', lemma, n_items, iteration, sense, null from base where u < hi and u >= hi - c)"""
+
+
+@register("wsd_fewshot_results", f"""{_FEW} select res.model, n_items, iteration, res.lemma, te.pos,
+  count(*) as n, sum((pred = te.sense)::int)::bigint as n_right, sum(year)::bigint as years,
+  coalesce(sum(n_subtokens), 0)::bigint as n_subtokens, min(pred) as first_pred, max(pred) as last_pred
+from res join te using (quote_id) group by all""")
+def wsd_fewshot_results(spark, sf):
+    """Accuracy figures of the whole result table (its rows are compared by these sums)."""
+    r = W.fewshot_results(items(spark, sf), vectors(spark, sf), _ITS, _SIZES, baseline_scope="a")
+    return r.groupBy("model", "n_items", "iteration", "lemma", "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("true")).cast("bigint")).alias("n_right"),
+        F.sum(F.col("year").cast("bigint")).alias("years"),
+        F.coalesce(F.sum(F.col("n_subtokens").cast("bigint")), F.lit(0)).alias("n_subtokens"),
+        F.min("pred").alias("first_pred"), F.max("pred").alias("last_pred"))
+
+
+def _nearest_sql(sup: str, qry: str, sizes) -> str:
+    """Predictions by dot product for each support size (null: all rows)."""
+    rows = ", ".join(f"({'null' if s is None else s}, '{'all' if s is None else s}')" for s in sizes)
+    return f"""sr as (select *, row_number() over (partition by lemma, sense order by {md5k('support', 'quote_id')},
+  quote_id) as rn from {sup}),
+dv as (select sr.lemma, sr.sense, sr.embedding, z.size from sr join (values {rows}) z(n, size) on n is null or rn <= n),
+cent as {_cent_sql('dv', 'size, lemma, sense')},
+pr as (select quote_id, lemma, size, "true", pred from (select q.quote_id, q.lemma, c.size, q.sense as "true", c.sense as pred,
+  row_number() over (partition by q.quote_id, c.size order by list_dot_product(q.embedding::double[], c.centroid) desc,
+  c.sense desc) as k from {qry} q join cent c on c.lemma = q.lemma) where k = 1)"""
+
+
+@register("wsd_evaluate_dev", f"""{SI}, {_ST}, {_nearest_sql('tr', 'te', [None])}
+select quote_id, lemma, "true", pred from pr""")
+def wsd_evaluate_dev(spark, sf):
+    tr, te = split(spark, sf)
+    return W.evaluate_dev(tr.drop("role"), te.drop("role")).select("quote_id", "lemma", "true", "pred")
+
+
+_ZERO = f"""zk as (select *, count(*) over (partition by lemma, sense) as c from sense_items
+  where lemma in (select lemma from (select distinct lemma from sense_items) order by {md5k('keys', 'lemma')}, lemma limit 5)),
+zh as (select *, row_number() over (partition by lemma, sense order by {md5k('halves', 'quote_id')}, quote_id)
+  <= least(c - 1, greatest(1, ceil(c * 0.5))) as sup from zk where c >= 2),
+zs as (select * from zh where sup), zq as (select * from zh where not sup)"""
+
+
+def zero_items(spark, sf):
+    si = fx.sense_items(spark, sf)
+    return si.join(S.sample_keys(si, "lemma", 5), "lemma", "left_semi")
+
+
+@register("wsd_evaluate_zero", f"""{SI}, {_ZERO}, {_nearest_sql('zs', 'zq', [None])}
+select quote_id, lemma, "true", pred from pr""")
+def wsd_evaluate_zero(spark, sf):
+    return W.evaluate_zero(zero_items(spark, sf)).select("quote_id", "lemma", "true", "pred")
+
+
+@register("wsd_zero_ladder", f"""{SI}, {_ZERO}, {_nearest_sql('zs', 'zq', [1, 2, 5, 10, 20, None])}
+select size as max_support, quote_id, lemma, "true", pred from pr""")
+def wsd_zero_ladder(spark, sf):
+    out = None
+    for size in _LADDER_SIZES:
+        one = W.evaluate_zero(zero_items(spark, sf), max_support=size).withColumn(
+            "max_support", F.lit("all" if size is None else str(size)))
+        out = one if out is None else out.unionByName(one)
+    return out.select("max_support", "quote_id", "lemma", "true", "pred")
+
+
 @register("wsd_episode_loss")
 def wsd_episode_loss(spark, sf):
     si = fx.sense_items(spark, sf)

@@ -259,6 +259,49 @@ def mask_vocab_report(spark, sf):
     return v.groupBy("model").agg(F.count(F.lit(1)).alias("vocab")).crossJoin(F.broadcast(common))
 
 
+@register("mask_vocab_sizes", f"""{fx.duck_with('tagged', 'quotes')},
+v as (select distinct lower(unnest(tokens)) as token from tagged),
+k as (select distinct keyword from quotes)
+select count(*) as n_before, count(v.token) as n_after,
+  (select count(*) from quotes where keyword in (select token from v)) as n_rows
+from k left join v on v.token = k.keyword""")
+def mask_vocab_sizes(spark, sf):
+    from lexispark.operators import lexicon as L
+    q = fx.quotes(spark, sf)
+    v = fx.tagged(spark, sf).select(F.explode("tokens").alias("token")).select(F.lower("token").alias("token"))
+    return L.vocabulary_sizes(q, v).crossJoin(L.in_vocab(q, v).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+_WORDS = ("small", "red", "ring", "gear", "blue", "cat")
+
+
+@register("mask_scores", f"""{fx.duck_with('quotes')},
+m as (select quote_id, keyword, case when strpos(quote, keyword) > 0 then substr(quote, 1, strpos(quote, keyword) - 1)
+  else quote end as before from quotes),
+b as (select quote_id, keyword, length(list_last([x for x in string_split(before, ' ') if x <> ''])) as n from m),
+r as (select quote_id, w.w, row_number() over (partition by quote_id order by abs(length(w.w) - n), w.w) as rank
+  from b, (select unnest({list(_WORDS)}) as w) w)
+select b.quote_id, 'length' as model, b.keyword, coalesce(r.rank, -1)::int as rank, round(1.0::double / (r.rank + 1), 6) as score
+from b left join r on r.quote_id = b.quote_id and r.w = b.keyword""")
+def mask_scores(spark, sf):
+    from lexispark.operators import scorers as P
+    m = P.score_masks(fx.quotes(spark, sf), {"length": P.length_scorer(_WORDS)})
+    return m.select("quote_id", "model", "keyword", "rank", r6("score").alias("score"))
+
+
+@register("pair_scores", f"""{fx.duck_with('pairs')},
+c as (select pair_id, list_distinct(string_split(s1, '')) as a, list_distinct(string_split(s2, '')) as b from pairs),
+s as (select pair_id, len(list_intersect(a, b)) as n, len(a) as na, len(b) as nb from c)
+select pair_id, 'overlap' as model, 'forward' as direction, round(n / na, 6) as score from s
+union all select pair_id, 'overlap', 'backward', round(n / nb, 6) from s""")
+def pair_scores(spark, sf):
+    from lexispark.operators import scorers as P
+    p = fx.pairs(spark, sf)
+    both = P.score_pairs(p, {"overlap": P.overlap_scorer}).unionByName(
+        P.score_pairs(p, {"overlap": P.overlap_scorer}, backward=True))
+    return both.select("pair_id", "model", "direction", r6("score").alias("score"))
+
+
 @register("mask_fill_bigram", f"""{fx.duck_with('tagged', 'quotes')},
 e as (select sent_id, i, lower(tokens[i]) as w from tagged, range(1, len(tokens) + 1) r(i)),
 bg as (select a.w as prev, b.w as word, count(*) as n from e a join e b on a.sent_id = b.sent_id and b.i = a.i + 1
