@@ -11,7 +11,7 @@ equal to their weighted Jaccard similarity.
 Documents with equal words are collapsed first.  BANDS bands of ROWS coordinates make buckets; in
 a bucket, candidates are compared until all its members are in one class or have been compared:
 a large bucket compares everyone with a few leaders a round (no pairs inside it) and its leaders
-leave, a small one (SMALL members at most, later LATER) compares its pairs.  A pair is a link if its signatures agree well enough
+leave, a small one (SMALL members at most) compares its pairs.  A pair is a link if its signatures agree well enough
 (six standard errors below the threshold) and its exact weighted Jaccard similarity reaches
 ``threshold``.  Classes are the connected components of the links, found by alternating stars.
 
@@ -33,7 +33,7 @@ from lexispark.llm.common import byte_hashes, mix64, settle
 BANDS, ROWS = 24, 5
 COORDS = BANDS * ROWS
 SHINGLE = 5
-SMALL, LATER, LEADERS = 8, 256, 64   # see _lead: pairs of a row in a bucket stay below LATER
+SMALL, LEADERS = 8, 3       # see _lead: a row has at most SMALL pairs in a bucket a turn
 CHUNK_WORDS = 400_000   # words handled at once in a task; a longer text is a chunk of its own
 _U = np.uint64
 
@@ -160,6 +160,17 @@ def _sign(batches):
             names=["doc_id", "raw", "content", "sig", "bands", "weight"])
 
 
+def compact(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle set as sorted 32-bit hashes, a shingle of count c as c different hashes, and its
+    size: two documents are sent to each other in this form.  Two of the shingles of a pair of
+    20,000 words share a hash once in 10 such pairs, which moves a similarity by 1 in 20,000."""
+    copies = np.repeat(items, counts)
+    ends = np.cumsum(counts)
+    nth = np.arange(len(copies)) - np.repeat(ends - counts, counts)
+    h = (mix64(copies + nth.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
+    return np.unique(h), np.array([len(copies)], np.int32)
+
+
 def _shingle_rows(batches):
     for batch in batches:
         texts, h, c = batch.column("text").to_pylist(), [], []
@@ -167,8 +178,9 @@ def _shingle_rows(batches):
             doc, item, count = shingle_sets(word_lists(texts[a:b]))
             cut = np.searchsorted(doc, np.arange(b - a + 1))
             for i in range(b - a):
-                h.append(item[cut[i]:cut[i + 1]].tobytes())
-                c.append(count[cut[i]:cut[i + 1]].astype(np.int32).tobytes())
+                x, k = compact(item[cut[i]:cut[i + 1]], count[cut[i]:cut[i + 1]])
+                h.append(x.tobytes())
+                c.append(k.tobytes())
         yield pa.RecordBatch.from_arrays([
             batch.column("node"), pa.array(h, pa.binary()), pa.array(c, pa.binary())],
             names=["node", "items", "counts"])
@@ -184,31 +196,57 @@ def _agreeing(least: float):
     return run
 
 
-def weighted_jaccard(ha, ca, hb, cb) -> float:
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    low = int(np.minimum(ca[i], cb[j]).sum())
-    return low / max(1, int(ca.sum()) + int(cb.sum()) - low)
+def weighted_jaccard(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
+    """Of two ``compact`` sets: the copies of a shingle that both have are its smaller count."""
+    low = np.intersect1d(a, b, assume_unique=True).size
+    return low / max(1, na + nb - low)
 
 
 def _similar(threshold: float):
     def run(batches):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("ia", "ca", "ib", "cb")))
-            keep = [weighted_jaccard(np.frombuffer(ia, np.uint64), np.frombuffer(ca, np.int32),
-                                     np.frombuffer(ib, np.uint64), np.frombuffer(cb, np.int32))
+            keep = [weighted_jaccard(np.frombuffer(ia, np.uint32), int(np.frombuffer(ca, np.int32)[0]),
+                                     np.frombuffer(ib, np.uint32), int(np.frombuffer(cb, np.int32)[0]))
                     >= threshold - 1e-12 for ia, ca, ib, cb in rows]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node of its component) for the end points of ``edges`` (a, b), by
-    alternating large and small stars.  Each step is an aggregate and a join on a node."""
-    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                   .filter("a < b").distinct(), "edges")
-    mark = None
+def _forest(batches):
+    """The edges of a partition as a star to the smallest node of each of its components."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    a, b = (np.concatenate([x.column(c).to_numpy() for x in got]) for c in ("a", "b"))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[label[far]]), pa.array(nodes[far])],
+                                     names=["a", "b"])
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, root (smallest node of its component) for the end points of ``edges`` (a, b).
+
+    Each partition first reduces its edges to stars; alternating large and small stars then join
+    them, an aggregate and a join on a node each, until nothing changes.  After a given number of
+    ``rounds`` a root may still be a node of the component that is not the smallest."""
+    edges = settle(edges.select("a", "b").filter("a <> b")
+                   .mapInArrow(_forest, "a bigint, b bigint").distinct(), "edges")
+    mark, n = None, 0
     while True:
-        both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = (both.join(least, "u").filter("v > u").select(F.col("m").alias("a"),
                                                             F.col("v").alias("b"))
@@ -216,8 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = big.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = (big.join(low, big.b == low.u).select(F.col("m"), F.explode(F.array("a", "u"))
                                                       .alias("v"))
-                 .filter("m < v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
-        edges = settle(small, "edges")
+                 .filter("m < v").select(F.col("m").alias("a"), F.col("v").alias("b")))
+        n += 1
+        if rounds is not None and n >= rounds:
+            return settle(small.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "roots")
+        edges = settle(small.distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -227,28 +268,29 @@ def components(edges: DataFrame) -> DataFrame:
 def _lead(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs a, b; members of buckets that go on) for members (bucket, node, class).
 
-    The first turn has one leader a bucket, its smallest node.  Later turns see only buckets of
-    several classes and have LEADERS leaders, each of the highest class label of its share of the
-    bucket: the largest class of a bucket mostly has the lowest label, so those outside it lead."""
+    In the first turn every bucket's smallest node leads.  Later turns see only buckets of several
+    classes: small ones (SMALL members at most) compare their pairs and are done; large ones have
+    LEADERS leaders, each of the highest class label of its share of the bucket: the largest class
+    of a bucket mostly has the lowest label, so those outside it lead."""
     stats = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")
-    ).filter("lo < hi").select("bucket", "n")
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"),
+        F.min("node").alias("first")).filter("lo < hi").select("bucket", "n", "first")
     live = settle(members.join(stats, "bucket"), "live")
-    few = live.filter(F.col("n") <= (SMALL if turn == 0 else LATER)).select(
-        "bucket", "node", "class")
-    x, y = few.toDF("bucket", "a", "ca"), few.toDF("bucket", "b", "cb")
-    pairs = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
-    many = live.filter(F.col("n") > (SMALL if turn == 0 else LATER)).select(
-        "bucket", "node", "class")
     if turn == 0:
-        leaders = many.groupBy("bucket").agg(F.min("node").alias("leader"))
-    else:
-        leaders = many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("s")).agg(
-            F.max_by("node", "class").alias("leader")).drop("s")
-    led = settle(leaders, "leaders")
-    pairs = pairs.union(many.join(led, "bucket").filter("node <> leader").select(
+        led = live.filter("node <> first")
+        pairs = led.select(F.col("first").alias("a"), F.col("node").alias("b"))
+        return pairs.distinct(), led.filter("n > 2").select("bucket", "node", "class")
+    few = live.filter(F.col("n") <= SMALL)
+    x, y = (few.select("bucket", F.col("node").alias(c), F.col("class").alias(f"c{c}")) for c in "ab")
+    pairs = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
+    many = live.filter(F.col("n") > SMALL).select("bucket", "node", "class")
+    led = settle(many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("s")).agg(
+        F.max_by("node", "class").alias("leader"), F.max("class").alias("led_class"))
+        .select("bucket", "leader", "led_class"), "leaders")
+    pairs = pairs.union(many.join(led, "bucket").filter("class <> led_class").select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-    rest = many.join(led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
+    rest = many.join(led.select("bucket", F.col("leader").alias("node")), ["bucket", "node"],
+                     "left_anti")
     return pairs.distinct(), rest
 
 
@@ -276,7 +318,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = settle(texts.mapInArrow(_shingle_rows, "node bigint, items binary, counts binary")
                   .dropDuplicates(["node"]), "shingles")
     error = (threshold * (1 - threshold) / COORDS) ** 0.5
-    links, roots, turn = None, None, 0
+    links, turn = None, 0
     while not members.isEmpty():
         pairs, members = _lead(members, turn)
         close = (pairs.join(known.toDF("a", "sig_a"), "a").join(known.toDF("b", "sig_b"), "b")
@@ -285,15 +327,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         found = settle(close.join(sets.toDF("a", "ia", "ca"), "a")
                        .join(sets.toDF("b", "ib", "cb"), "b")
                        .mapInArrow(_similar(threshold), "a bigint, b bigint"), "links")
-        links = found if roots is None else found.union(
-            roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        roots = components(links)
-        members = settle(members.drop("class").join(roots, "node", "left").select(
+        links = found if links is None else links.union(found)
+        near = components(links, rounds=1)
+        members = settle(members.drop("class").join(near, "node", "left").select(
             "bucket", "node", F.coalesce("root", "node").alias("class")), "members")
         turn += 1
     classes = nodes.withColumn("class", F.col("node"))
-    if roots is not None:
-        classes = (nodes.join(roots, "node", "left")
+    if links is not None:
+        classes = (nodes.join(components(links), "node", "left")
                    .withColumn("class", F.coalesce("root", "node")))
     rows = signed.select("uid", "doc_id", "raw", "content").join(
         classes.select(F.col("content").alias("c"), "class"), F.col("content") == F.col("c"))
