@@ -37,6 +37,7 @@ gives an empty table.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -46,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Numbers, byte_hashes, crc_fold, mix64, settle, word_numbers
+from lexispark.llm.common import Numbers, byte_hashes, crc_fold, mix64, settle, word_numbers, worker_memo
 
 _U = np.uint64
 BITS = 11                  # bits of a known token's code
@@ -259,8 +260,9 @@ def _blocked(block_bytes: int):
                     block, held = block + 1, 0
                 held += n
                 numbers[i] = block
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)],
-                                             names=[*batch.schema.names, "block"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(numbers), pa.array(sizes, pa.int64())],
+                names=[*batch.schema.names, "block", "n_bytes"])
     return run
 
 
@@ -338,9 +340,15 @@ class Scores:
 
 
 def _score_blocks(shared):
+    key = uuid.uuid4().hex
+
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         s: Scores = shared.value
-        mixer, letters = s.mixers()
+        held = worker_memo("mixers", dict)       # of one model at a time
+        if held.get("key") != key:
+            held.clear()
+            held.update(key=key, made=s.mixers())
+        mixer, letters = held["made"]
         # tokens with the same bits as a code: the count at the last bit of the empty context
         leaf = np.arange(1 << BITS)
         bucket = mixer.n[(1 << (BITS - 1)) | (leaf >> 1), leaf & 1].astype(np.float64)
@@ -393,17 +401,20 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", (fold == held_out).alias("held_out"))
     blocks = settle(rows.mapInArrow(
-        _blocked(block_bytes), f"doc_id {kind}, text string, held_out boolean, block bigint"),
-        "blocks")
+        _blocked(block_bytes), f"doc_id {kind}, text string, held_out boolean, block bigint, "
+        "n_bytes bigint"), "blocks")
+    # a task's model has as many rows as counters it touched, so tasks learn from a block's worth of
+    # text at least, however small the partitions are
+    tasks = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // block_bytes))
     learned = settle(blocks.select("block", "text", (~F.col("held_out")).alias("train"))
-                     .mapInArrow(_learn_words, LEARNED_SQL), "learned")
+                     .coalesce(tasks).mapInArrow(_learn_words, LEARNED_SQL), "learned")
     words = learned.filter("kind is null").select("block", "word", "a")
     counts = settle(words.groupBy("word").agg(F.sum("a").cast("bigint").alias("c"))
                     .filter("c > 0"), "counts")
     total, distinct, single = counts.agg(
         F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("bigint"))).first()
     model = (learned.filter("kind is not null").select("kind", "place", "a", "b")
-             .union(counts.select("word").mapInArrow(_learn_letters, LEARNED_SQL)
+             .union(counts.select("word").coalesce(tasks).mapInArrow(_learn_letters, LEARNED_SQL)
                     .select("kind", "place", "a", "b"))
              .groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     # as many rows as the two models have slots, whatever the corpus
@@ -412,7 +423,7 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
         {k: got.column(k).to_numpy() for k in ("kind", "place", "a", "b")},
         int(total or 0), int(distinct or 0), int(single or 0)))
     found = words.join(counts, "word").select("block", "word", "c")
-    scored = (blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+    scored = (blocks.drop("n_bytes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _score_blocks(shared),
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double, spelled_score double, n_bytes bigint"))
