@@ -389,7 +389,8 @@ def _score_blocks(shared):
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
                          "n_tokens": n, "n_known": n_known,
                          "train_tokens": np.full(len(n), s.total, np.int64), "base_score": b,
-                         "score": v, "spelled_score": v + letter, "n_bytes": pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())})
+                         "score": v, "spelled_score": v + letter,
+                         "n_bytes": pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())})
     return run
 
 

@@ -11,9 +11,9 @@ equal to their weighted Jaccard similarity.
 Documents with equal words are collapsed first.  BANDS bands of ROWS coordinates make buckets; in
 a bucket, candidates are compared until all its members are in one class or have been compared:
 a large bucket compares everyone with a few leaders a round (no pairs inside it) and its leaders
-leave, a small one (SMALL members at most) compares its pairs.  A pair is a link if its signatures agree well enough
-(six standard errors below the threshold) and its exact weighted Jaccard similarity reaches
-``threshold``.  Classes are the connected components of the links, found by alternating stars.
+leave, a small one (SMALL members at most) compares its pairs.  A pair is a link if its signatures
+agree well enough (six standard errors below the threshold) and the weighted Jaccard similarity of
+its shingle sets reaches ``threshold``.  Classes are the connected components of the links, found by alternating stars.
 
 Defined cases: null and empty texts and texts of white space have no words and are copies of one
 another; texts of 1 to 4 words are one shingle; rows with equal or null ids are documents of their
@@ -295,8 +295,8 @@ def _lead(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, raw (row_key of its text), class_id (smallest doc_id of the class), kept (exactly one row a class) for
-    every row of ``docs``."""
+    """doc_id, raw (row_key of its text), class_id (smallest doc_id of the class), kept (exactly one
+    row a class) for every row of ``docs``."""
     rows_in = docs.select("doc_id", "text")
     kind = dict(rows_in.dtypes)["doc_id"]
     signed = settle(rows_in.withColumn("raw", row_key(F.col("text"))).mapInArrow(

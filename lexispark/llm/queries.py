@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import (
-    licences, lm_mixing, mixing, near_dups, pieces, quality_classifier, quality_rules, token_blocks, topk,
-    warc,
+    licences, lm_mixing, mixing, near_dups, pieces, quality_classifier, quality_rules, token_blocks,
+    topk, warc,
 )
 from lexispark.llm.common import crc_fold
 from lexispark.sources.tables import table
@@ -73,7 +73,8 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_warc_archives, op3_quality_classifier, op4_sentencepiece,
-    op5_context_mixing, op6_near_duplicates, op7_exact_top_k, op8_licence_scan, op9_adaptive_quality, op10_token_blocks)}
+    op5_context_mixing, op6_near_duplicates, op7_exact_top_k, op8_licence_scan,
+    op9_adaptive_quality, op10_token_blocks)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op2_warc_archives": warc.WARC_SQL,
            "op7_exact_top_k": topk.TOPK_SQL, "op8_licence_scan": licences.licence_sql(),
            "op9_adaptive_quality": quality_rules.QUALITY_SQL}
