@@ -11,7 +11,7 @@ equal to their weighted Jaccard similarity.
 Documents with equal words are collapsed first.  BANDS bands of ROWS coordinates make buckets; in
 a bucket, candidates are compared until all its members are in one class or have been compared:
 a large bucket compares everyone with a few leaders a round (no pairs inside it) and its leaders
-leave, a small one (SMALL members at most) compares its pairs.  A pair is a link if its signatures
+leave, a small one compares its pairs.  A pair is a link if its signatures
 agree well enough (six standard errors below the threshold) and the weighted Jaccard similarity of
 its shingle sets reaches ``threshold``.  Classes are the connected components of the links, found by alternating stars.
 
@@ -33,7 +33,7 @@ from lexispark.llm.common import byte_hashes, mix64, settle
 BANDS, ROWS = 24, 5
 COORDS = BANDS * ROWS
 SHINGLE = 5
-SMALL, LEADERS = 8, 3       # see _lead: a row has at most SMALL pairs in a bucket a turn
+LEADERS = 3                # at least so many leaders of a large bucket in a turn, see _lead
 CHUNK_WORDS = 400_000   # words handled at once in a task; a longer text is a chunk of its own
 _U = np.uint64
 
@@ -265,13 +265,15 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         mark = now
 
 
-def _lead(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _lead(members: DataFrame, turn: int, n_nodes: int) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs a, b; members of buckets that go on) for members (bucket, node, class).
 
     In the first turn every bucket's smallest node leads.  Later turns see only buckets of several
-    classes: small ones (SMALL members at most) compare their pairs and are done; large ones have
-    LEADERS leaders, each of the highest class label of its share of the bucket: the largest class
-    of a bucket mostly has the lowest label, so those outside it lead."""
+    classes: small ones compare their pairs and are done; large ones have some leaders, each of the
+    highest class label of its share of the bucket: the largest class of a bucket mostly has the
+    lowest label, so those outside it lead.  There are LEADERS of them, and more as fewer rows are
+    left, so that a turn makes about as many pairs as there are nodes; this spares turns and drops
+    nothing."""
     stats = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"),
         F.min("node").alias("first")).filter("lo < hi").select("bucket", "n", "first")
@@ -280,11 +282,13 @@ def _lead(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         led = live.filter("node <> first")
         pairs = led.select(F.col("first").alias("a"), F.col("node").alias("b"))
         return pairs.distinct(), led.filter("n > 2").select("bucket", "node", "class")
-    few = live.filter(F.col("n") <= SMALL)
+    leaders = max(LEADERS, n_nodes // max(1, live.count()))
+    small = F.lit(2 * leaders + 2)
+    few = live.filter(F.col("n") <= small)
     x, y = (few.select("bucket", F.col("node").alias(c), F.col("class").alias(f"c{c}")) for c in "ab")
     pairs = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
-    many = live.filter(F.col("n") > SMALL).select("bucket", "node", "class")
-    led = settle(many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("s")).agg(
+    many = live.filter(F.col("n") > small).select("bucket", "node", "class")
+    led = settle(many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("s")).agg(
         F.max_by("node", "class").alias("leader"), F.max("class").alias("led_class"))
         .select("bucket", "leader", "led_class"), "leaders")
     pairs = pairs.union(many.join(led, "bucket").filter("class <> led_class").select(
@@ -318,9 +322,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = settle(texts.mapInArrow(_shingle_rows, "node bigint, items binary, counts binary")
                   .dropDuplicates(["node"]), "shingles")
     error = (threshold * (1 - threshold) / COORDS) ** 0.5
-    links, turn = None, 0
+    links, turn, n_nodes = None, 0, nodes.count()
     while not members.isEmpty():
-        pairs, members = _lead(members, turn)
+        pairs, members = _lead(members, turn, n_nodes)
         close = (pairs.join(known.toDF("a", "sig_a"), "a").join(known.toDF("b", "sig_b"), "b")
                  .mapInArrow(_agreeing(threshold - 6 * error), "a bigint, b bigint"))
         close = settle(close, "close")
