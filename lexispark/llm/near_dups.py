@@ -8,12 +8,14 @@ k (ln k + 4) darts whatever its length; each dart names one of k coordinates, an
 dart of each coordinate is the signature: two documents agree in a coordinate with probability
 equal to their weighted Jaccard similarity.
 
-Documents with equal words are collapsed first.  BANDS bands of ROWS coordinates make buckets; in
-a bucket, candidates are compared until all its members are in one class or have been compared:
-a large bucket compares everyone with a few leaders a round (no pairs inside it) and its leaders
-leave, a small one compares its pairs.  A pair is a link if its signatures
-agree well enough (six standard errors below the threshold) and the weighted Jaccard similarity of
-its shingle sets reaches ``threshold``.  Classes are the connected components of the links, found by alternating stars.
+Documents with equal words are collapsed first.  BANDS bands of ROWS coordinates make buckets, and
+the members of a bucket are candidates.  They are compared in three steps, so that no pairs are
+listed inside a bucket: everyone with the smallest member of its buckets; everyone in a bucket of
+several classes with the best of some leaders; and, in buckets that still hold several classes, all
+with all, in pairs of blocks that return stars.  A pair is a link if the weighted Jaccard similarity
+of its shingle sets reaches ``threshold``; in the first two steps signatures that agree too little
+(six standard errors below it) spare that test.  Classes are the connected components of the links,
+found by alternating stars.
 
 Defined cases: null and empty texts and texts of white space have no words and are copies of one
 another; texts of 1 to 4 words are one shingle; rows with equal or null ids are documents of their
@@ -33,7 +35,8 @@ from lexispark.llm.common import byte_hashes, mix64, settle
 BANDS, ROWS = 24, 5
 COORDS = BANDS * ROWS
 SHINGLE = 5
-LEADERS = 3                # at least so many leaders of a large bucket in a turn, see _lead
+BLOCK = 512                           # see _clusters
+CHOICE, MATCHES, PART = 64, 2, 2048   # see _best_matches
 CHUNK_WORDS = 400_000   # words handled at once in a task; a longer text is a chunk of its own
 _U = np.uint64
 
@@ -213,16 +216,12 @@ def _similar(threshold: float):
     return run
 
 
-def _forest(batches):
-    """The edges of a partition as a star to the smallest node of each of its components."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    a, b = (np.concatenate([x.column(c).to_numpy() for x in got]) for c in ("a", "b"))
+def forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges as a star to the smallest node of each of their components."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = at[:len(a)], at[len(a):]
     label = np.arange(len(nodes))
-    while True:
+    while len(a):
         low = np.minimum(label[u], label[v])
         new = label.copy()
         np.minimum.at(new, u, low)
@@ -232,8 +231,14 @@ def _forest(batches):
             break
         label = new
     far = np.flatnonzero(label != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[label[far]]), pa.array(nodes[far])],
-                                     names=["a", "b"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(nodes[label[far]], pa.int64()), pa.array(nodes[far], pa.int64())], names=["a", "b"])
+
+
+def _forest(batches):
+    got = [b for b in batches if b.num_rows]
+    if got:
+        yield forest(*(np.concatenate([x.column(c).to_numpy() for x in got]) for c in ("a", "b")))
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -265,37 +270,112 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         mark = now
 
 
-def _lead(members: DataFrame, turn: int, n_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs a, b; members of buckets that go on) for members (bucket, node, class).
-
-    In the first turn every bucket's smallest node leads.  Later turns see only buckets of several
-    classes: small ones compare their pairs and are done; large ones have some leaders, each of the
-    highest class label of its share of the bucket: the largest class of a bucket mostly has the
-    lowest label, so those outside it lead.  There are LEADERS of them, and more as fewer rows are
-    left, so that a turn makes about as many pairs as there are nodes; this spares turns and drops
-    nothing."""
+def several(members: DataFrame) -> DataFrame:
+    """Members (bucket, node, class) of the buckets that hold several classes, with the bucket's size
+    n and its smallest node, first."""
     stats = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"),
         F.min("node").alias("first")).filter("lo < hi").select("bucket", "n", "first")
-    live = settle(members.join(stats, "bucket"), "live")
-    if turn == 0:
-        led = live.filter("node <> first")
-        pairs = led.select(F.col("first").alias("a"), F.col("node").alias("b"))
-        return pairs.distinct(), led.filter("n > 2").select("bucket", "node", "class")
-    leaders = max(LEADERS, n_nodes // max(1, live.count()))
-    small = F.lit(2 * leaders + 2)
-    few = live.filter(F.col("n") <= small)
-    x, y = (few.select("bucket", F.col("node").alias(c), F.col("class").alias(f"c{c}")) for c in "ab")
-    pairs = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
-    many = live.filter(F.col("n") > small).select("bucket", "node", "class")
-    led = settle(many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("s")).agg(
-        F.max_by("node", "class").alias("leader"), F.max("class").alias("led_class"))
-        .select("bucket", "leader", "led_class"), "leaders")
-    pairs = pairs.union(many.join(led, "bucket").filter("class <> led_class").select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-    rest = many.join(led.select("bucket", F.col("leader").alias("node")), ["bucket", "node"],
-                     "left_anti")
-    return pairs.distinct(), rest
+    return members.select("bucket", "node", "class").join(stats, "bucket")
+
+
+def _best_leaders(least: float):
+    """Of a part of a bucket's members and its leaders: each member with the MATCHES leaders of
+    other classes whose signatures agree best."""
+    def run(members: pa.Table, leaders: pa.Table) -> pa.Table:
+        if not members.num_rows or not leaders.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        table = lambda t: (t.column("node").to_numpy(), t.column("class").to_numpy(), np.frombuffer(
+            b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS))
+        node, kind, sig = table(members)
+        lead, lead_kind, lead_sig = table(leaders)
+        agree = np.stack([(sig == x).mean(1) for x in lead_sig], axis=1)
+        agree[(kind[:, None] == lead_kind) | (agree < least)] = -1
+        best = np.argsort(-agree, axis=1, kind="stable")[:, :MATCHES]
+        row, k = np.nonzero(np.take_along_axis(agree, best, 1) >= 0)
+        a, b = node[row], lead[best[row, k]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
+
+
+def _best_matches(members: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs (a, b) that join most classes of a bucket at once: its members meet CHOICE
+    leaders, dealt by hash, in parts of PART members, and propose the best of them.  It leaves fewer
+    classes for the blocks that compare everyone."""
+    live = settle(several(members).withColumn(
+        "parts", F.ceil(F.col("n") / PART).cast("int")).join(known, "node"), "matched")
+    part = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
+    leaders = live.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CHOICE)).alias("s")).agg(
+        F.min_by(F.struct("node", "class", "sig", "parts"), "node").alias("x")).select(
+        "bucket", "x.*", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part"))
+    return (live.select("bucket", part.alias("part"), "node", "class", "sig").groupBy("bucket", "part")
+            .cogroup(leaders.select("bucket", "part", "node", "class", "sig").groupBy("bucket", "part"))
+            .applyInArrow(_best_leaders(least), "a bigint, b bigint").distinct())
+
+
+def _block_links(threshold: float):
+    """Links between different classes of two blocks of a cluster, as stars.  All similarities of the
+    two blocks are one product of their incidence matrices over the shingles that both have."""
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, node = table.column("block").to_numpy(), table.column("node").to_numpy()
+        kind = table.column("class").to_numpy()
+        items, sizes = (table.column(c).to_pylist() for c in ("items", "counts"))
+
+        def side(k):
+            at = np.flatnonzero(block == k)
+            sets = [np.frombuffer(items[x], np.uint32) for x in at]
+            return (at, np.concatenate([np.zeros(0, np.uint32), *sets]),
+                    np.repeat(np.arange(len(at)), [len(x) for x in sets]),
+                    np.array([np.frombuffer(sizes[x], np.int32)[0] for x in at], np.float32))
+        (x, xh, xr, xn), (y, yh, yr, yn) = side(i), side(j)
+        shared, place = np.unique(np.concatenate([xh, yh]), return_inverse=True)
+        xp, yp = place[:len(xh)], place[len(xh):]
+        n = len(shared)
+        nx, ny = np.bincount(xp, minlength=n), np.bincount(yp, minlength=n)
+        useful = (nx > 1) if i == j else (nx > 0) & (ny > 0)
+        number = np.cumsum(useful) - 1
+        both = np.zeros((len(x), len(y)), np.float32)
+        parts = []
+        for p, r in ((xp, xr), (yp, yr)):
+            keep = useful[p]
+            col, r = number[p[keep]], r[keep]
+            order = np.argsort(col, kind="stable")
+            parts.append((col[order], r[order]))
+        for c in range(0, int(useful.sum()), 4096):
+            m = []
+            for (col, r), rows in zip(parts, (len(x), len(y))):
+                lo, hi = np.searchsorted(col, [c, c + 4096])
+                part = np.zeros((rows, 4096), np.float32)
+                part[r[lo:hi], col[lo:hi] - c] = 1
+                m.append(part)
+            both += m[0] @ m[1].T
+        alike = both >= (threshold - 1e-6) * np.maximum(1, xn[:, None] + yn - both)
+        u, v = np.nonzero(alike & (kind[x][:, None] != kind[y]))
+        return pa.Table.from_batches([forest(node[x[u]], node[y[v]])])
+    return run
+
+
+def _clusters(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The links that are left, exactly: buckets of several classes that share members make a
+    cluster, and all documents of a cluster meet in pairs of blocks of BLOCK documents.  A task
+    holds two blocks and returns less than two blocks of links, so nothing grows with the square of
+    a group but the comparisons themselves."""
+    live = settle(several(members).select("node", "class", "first"), "rest")
+    cluster = components(live.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    nodes = live.select("node", "class").distinct().join(cluster, "node", "left").select(
+        "node", "class", F.coalesce("root", "node").alias("cluster"))
+    nodes = settle(nodes, "clustered")
+    size = nodes.groupBy(F.col("cluster").alias("k")).agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = nodes.join(size, F.col("cluster") == F.col("k")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
+        F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    met = dealt.join(sets, "node").withColumn("p", F.explode(pairs)).select(
+        "cluster", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "class", "items",
+        "counts")
+    return met.groupBy("cluster", "i", "j").applyInArrow(_block_links(threshold), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -311,8 +391,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         nodes.select("node"), F.col("uid") == F.col("node")).drop("uid").filter("weight > 0")
     buckets = heads.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = settle(buckets.join(shared.select("bucket"), "bucket")
-                     .select("bucket", "node", F.col("node").alias("class")), "members")
+    members = settle(buckets.join(shared, "bucket")
+                     .select("bucket", "node", F.col("node").alias("class"), "n"), "members")
     candidates = members.select("node").distinct()
     known = settle(heads.join(candidates, "node").select("node", "sig"), "candidates")
     places = heads.join(candidates, "node").select(
@@ -322,24 +402,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = settle(texts.mapInArrow(_shingle_rows, "node bigint, items binary, counts binary")
                   .dropDuplicates(["node"]), "shingles")
     error = (threshold * (1 - threshold) / COORDS) ** 0.5
-    links, turn, n_nodes = None, 0, nodes.count()
-    while not members.isEmpty():
-        pairs, members = _lead(members, turn, n_nodes)
-        close = (pairs.join(known.toDF("a", "sig_a"), "a").join(known.toDF("b", "sig_b"), "b")
-                 .mapInArrow(_agreeing(threshold - 6 * error), "a bigint, b bigint"))
-        close = settle(close, "close")
-        found = settle(close.join(sets.toDF("a", "ia", "ca"), "a")
-                       .join(sets.toDF("b", "ib", "cb"), "b")
-                       .mapInArrow(_similar(threshold), "a bigint, b bigint"), "links")
-        links = found if links is None else links.union(found)
+    least = threshold - 6 * error
+
+    def verified(pairs):
+        return settle(pairs.join(sets.toDF("a", "ia", "ca"), "a").join(sets.toDF("b", "ib", "cb"), "b")
+                      .mapInArrow(_similar(threshold), "a bigint, b bigint"), "links")
+
+    def classed(rows):
         near = components(links, rounds=1)
-        members = settle(members.drop("class").join(near, "node", "left").select(
+        return settle(rows.drop("class").join(near, "node", "left").select(
             "bucket", "node", F.coalesce("root", "node").alias("class")), "members")
-        turn += 1
-    classes = nodes.withColumn("class", F.col("node"))
-    if links is not None:
-        classes = (nodes.join(components(links), "node", "left")
-                   .withColumn("class", F.coalesce("root", "node")))
+
+    # first everyone against the smallest node of its buckets, then against the best of some leaders
+    led = several(members).filter("node <> first").select(
+        F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified(settle(led.join(known.toDF("a", "sig_a"), "a").join(known.toDF("b", "sig_b"), "b")
+                            .mapInArrow(_agreeing(least), "a bigint, b bigint"), "close"))
+    members = classed(members.filter("n > 2"))
+    links = links.union(verified(settle(_best_matches(members, known, least), "close")))
+    members = classed(members)
+    links = links.union(settle(_clusters(members, sets, threshold), "links"))
+    classes = nodes.join(components(links), "node", "left").withColumn(
+        "class", F.coalesce("root", "node"))
     rows = signed.select("uid", "doc_id", "raw", "content").join(
         classes.select(F.col("content").alias("c"), "class"), F.col("content") == F.col("c"))
     rows = settle(rows.select("uid", "doc_id", "raw", "class"), "rows")
