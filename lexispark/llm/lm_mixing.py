@@ -54,7 +54,8 @@ BITS = 11                  # bits of a known token's code
 SLOT_BITS = 18             # slots of a hashed context's table: 2^SLOT_BITS
 RUN = 32_768               # codes predicted before the model learns from them
 REFRESH = 200_000          # codes learnt between two computations of a table's log-odds
-BLOCK_BYTES = 24 << 20     # text in a block
+BLOCK_BYTES = 12 << 20     # text in a block
+LEARN_BYTES = 64 << 20     # text that a task learns from, at least
 MAP_BINS = 33              # quantised log-odds of the adaptive map
 RATE = 0.05
 END = ""                   # the end token; no word is empty
@@ -404,9 +405,9 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     blocks = settle(rows.mapInArrow(
         _blocked(block_bytes), f"doc_id {kind}, text string, held_out boolean, block bigint, "
         "n_bytes bigint"), "blocks")
-    # a task's model has as many rows as counters it touched, so tasks learn from a block's worth of
-    # text at least, however small the partitions are
-    tasks = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // block_bytes))
+    # a task's model has as many rows as counters it touched, so tasks learn from LEARN_BYTES of text
+    # or more, however small the partitions are
+    tasks = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // LEARN_BYTES))
     learned = settle(blocks.select("block", "text", (~F.col("held_out")).alias("train"))
                      .coalesce(tasks).mapInArrow(_learn_words, LEARNED_SQL), "learned")
     words = learned.filter("kind is null").select("block", "word", "a")
