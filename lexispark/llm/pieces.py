@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexispark.llm.common import Numbers, mix64, worker_memo
+from lexispark.llm.common import Numbers, mix64
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
@@ -356,12 +356,10 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text") -> Dat
     """``docs`` with ids (array of int) and n_tokens."""
     spark = docs.sparkSession
     base = docs.drop("ids", "n_tokens")
-    loaded = Pieces.load(model or default_model())
-    model_key = hash((loaded.bpe, loaded.prefix, tuple(loaded.strings), loaded.scores.tobytes()))
-    shared = spark.sparkContext.broadcast(loaded)
+    shared = spark.sparkContext.broadcast(Pieces.load(model or default_model()))
 
     def run(batches):
-        coder = worker_memo(("pieces", model_key), lambda: Encoder(shared.value))
+        coder = Encoder(shared.value)
         for batch in batches:
             ids, n = coder.batch(batch.column(text).to_pylist())
             at = np.append(0, np.cumsum(n)).astype(np.int32)

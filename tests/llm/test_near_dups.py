@@ -67,6 +67,25 @@ def test_hot_groups(spark):
     assert N.keep_one(df).count() == 152
 
 
+def test_group_around_the_threshold(spark, monkeypatch):
+    """Copies with many edits: most pairs of a bucket are no links, and classes are chains."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "CHOICE", 4)
+    monkeypatch.setattr(N, "PART", 32)
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+    rows = []
+    for i in range(140):
+        x = list(base)
+        for k in rng.sample(range(200), rng.randint(2, 7)):
+            x[k] = f"q{rng.randint(0, 10 ** 6)}"
+        rows.append((i, " ".join(x)))
+    want = brute(rows)
+    assert 5 < len(set(want.values())) < 130
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     item = N.mix64(np.arange(60))
