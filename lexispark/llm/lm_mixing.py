@@ -51,8 +51,8 @@ from lexispark.llm.common import Numbers, byte_hashes, crc_fold, mix64, settle,
 
 _U = np.uint64
 BITS = 11                  # bits of a known token's code
-SLOT_BITS = 18             # slots of a hashed context's table: 2^SLOT_BITS
-RUN = 32_768               # codes predicted before the model learns from them
+SLOT_BITS = 17             # slots of a hashed context's table: 2^SLOT_BITS
+RUN = 16_384               # codes predicted before the model learns from them
 REFRESH = 200_000          # codes learnt between two computations of a table's log-odds
 BLOCK_BYTES = 12 << 20     # text in a block
 LEARN_BYTES = 64 << 20     # text that a task learns from, at least
@@ -404,12 +404,12 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     rows = docs.select("doc_id", "text", (fold == held_out).alias("held_out"))
     blocks = settle(rows.mapInArrow(
         _blocked(block_bytes), f"doc_id {kind}, text string, held_out boolean, block bigint, "
-        "n_bytes bigint"), "blocks")
+        "n_bytes bigint"), "blocks", "zstd")
     # a task's model has as many rows as counters it touched, so tasks learn from LEARN_BYTES of text
     # or more, however small the partitions are
     tasks = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // LEARN_BYTES))
     learned = settle(blocks.select("block", "text", (~F.col("held_out")).alias("train"))
-                     .coalesce(tasks).mapInArrow(_learn_words, LEARNED_SQL), "learned")
+                     .coalesce(tasks).mapInArrow(_learn_words, LEARNED_SQL), "learned", "zstd")
     words = learned.filter("kind is null").select("block", "word", "a")
     counts = settle(words.groupBy("word").agg(F.sum("a").cast("bigint").alias("c"))
                     .filter("c > 0"), "counts")
