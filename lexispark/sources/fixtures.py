@@ -19,7 +19,7 @@ from lexispark.functions.keys import seeded_unit
 from lexispark.sources.tables import table
 
 # Fixed values of the stand-in data (both engines must agree on them).
-BG_PER_DECADE = 5          # background pool size per decade
+BG_PER_DECADE = 20         # background pool size per decade (the reference's)
 CAND_WORDS = ["small", "red", "ring", "widget", "blue", "absent", "thou"]
 KW_WORDS = ["small", "red", "ring", "gear", "blue"]
 

@@ -128,6 +128,15 @@ def test_two_models_have_two_curves(spark):
         assert got[5, k, "a"].mae < 30 < 70 < got[5, k, "b"].mae < 130
 
 
+def test_every_size_of_the_curve_draws_its_own_rows(spark):
+    from lexispark.plans.q_dating import _SIZES
+    from lexispark.sources import fixtures as fx
+    pool = fx.background_pool(spark, "/root/testdata/sf0.1").withColumn(
+        "span", F.floor(F.col("bg_year") / 50)).cache()
+    drawn = {n: S.sample_per_group(pool, "span", n, id_col="bg_id").count() for n in _SIZES}
+    assert drawn == {n: 10 * n for n in _SIZES}          # ten spans of 50 years
+
+
 def knee_by_steps(x, y, degree=7):
     """Kneedle walked step by step."""
     v = np.polyval(np.polyfit(x, y, degree), x)
