@@ -13,17 +13,25 @@ with the escape bit there.  ``spelled_score`` adds the spelling, which makes it
 the text itself, and ``bits_per_byte`` is its total in bits.
 
 Each bit of either code is predicted by several tables of bit counts, one for each kind of context
-(none, the word before, the endings of the two words before; for spelling one, two and three bytes
-before), addressed by a hash of context and bits coded so far.  Their
+(none, the word before, the two words before, the endings of the two words before; for spelling
+one, two and three bytes before), addressed by a hash of context and bits coded so far.  Their
 log-odds are combined by weights that are gated by bit number and by which contexts are known, and
 the mixed probability is refined by an adaptive map from (bit number, quantised log-odds) to
 observed frequency.
 
 Learning is online: each task streams its training texts, predicts every small run of tokens
-before it updates its counts, weights and map with them.  Counts and maps of all tasks are then
-added and weights averaged (by tokens seen).  What is gathered grows with the corpus: a row for
-each counter a task has touched and one for each distinct word of a block.  The tables themselves
-have SLOTS slots a context, which bounds what is broadcast (a few MB).
+before it updates its counts, weights and map with them.  Weights of all tasks are averaged (by
+tokens seen), maps and counts added.  While it learns, a task counts in the contexts of a block,
+each node in a place of its own.
+
+The counts that score are those of all training texts.  A block's distinct (context, code) pairs
+are sorted 64-bit keys: 52 bits of the context's hash, then the code, so the counters of a node are
+the counts of a range of keys.  Keys are dealt into parts by range, about PART_BYTES of text each;
+a part adds the counts of all blocks and answers every block's keys with the log-odds along their
+codes (in steps of 1/ODDS_STEP).  This table grows with the training texts, no two contexts share a
+counter (but for equal 52 bits), and no task or driver holds more than a part of it.  Of the word
+model, only the 2^BITS counts without context, the weights and the map are broadcast; the spelling
+model has 2^SLOT_BITS slots a context, a few MB at any size.
 
 Texts are cut into blocks of about BLOCK_BYTES.  A block's distinct words are joined with the
 global counts, and block and words meet again in one co-group, so no task holds all words.
@@ -39,7 +47,6 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +57,13 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import Numbers, byte_hashes, crc_fold, mix64, settle, word_numbers, worker_memo
 
 _U = np.uint64
-BITS = 11                  # bits of a known token's code
-SLOT_BITS = 17             # slots of a hashed context's table: 2^SLOT_BITS
+BITS = 12                  # bits of a known token's code
+SLOT_BITS = 18             # slots of a hashed context's table of the spelling model: 2^SLOT_BITS
 RUN = 16_384               # codes predicted before the model learns from them
 REFRESH = 200_000          # codes learnt between two computations of a table's log-odds
-BLOCK_BYTES = 12 << 20     # text in a block
+BLOCK_BYTES = 8 << 20      # text in a block
+PART_BYTES = 8 << 20       # text whose contexts make a part of the word model's table
+ODDS_STEP = 10             # log-odds of that table are whole multiples of 1 / ODDS_STEP
 LEARN_BYTES = 64 << 20     # text that a task learns from, at least
 MAP_BINS = 33              # quantised log-odds of the adaptive map
 RATE = 0.05
@@ -112,16 +121,35 @@ class Mixer:
             slots.append((h >> np.uint32(32 - self.slot_bits)).astype(np.intp) + base)
         return slots, bit
 
-    def _predict(self, slots):
-        """Inputs (log-odds), gate and mixed log-odds of a 1."""
-        x = [self.odds.take(s) for s in slots]
+    def _mix(self, x):
+        """Gate and mixed log-odds of a 1, given the inputs (log-odds)."""
         gate = np.broadcast_to(self.shift, x[0].shape)
         for k, v in enumerate(x[1:]):
             gate = gate + (v != 0) * (self.bits << k)
         z = self.weight[0].take(gate) * x[0]
         for k in range(1, self.contexts):
             z += self.weight[k].take(gate) * x[k]
-        return x, gate, np.clip(z, -12, 12, out=z)
+        return gate, np.clip(z, -12, 12, out=z)
+
+    def _adapt(self, x, bit) -> None:
+        """Predict the bits, then move weights and map."""
+        gate, z = self._mix(x)
+        error = (bit - 1.0 / (1.0 + np.exp(-z))).astype(np.float32)
+        g = gate.reshape(-1)
+        times = np.maximum(np.bincount(g, minlength=self.gates), 1)
+        for c, v in enumerate(x):
+            step = np.bincount(g, (error * v).reshape(-1), self.gates) / times
+            self.square[c] += step * step
+            self.weight[c] += RATE * step / np.sqrt(self.square[c])
+        where = np.bincount((2 * self._bin(z) + bit).reshape(-1), minlength=2 * self.seen.shape[1])
+        self.seen += where.reshape(-1, 2).T
+        self.codes += len(bit)
+
+    def _cost(self, x, bit) -> np.ndarray:
+        """log2 of the probability of each row of bits."""
+        _, z = self._mix(x)
+        p = 0.5 / (1.0 + np.exp(-z)) + 0.5 * self.refined.take(self._bin(z))
+        return np.log2(np.where(bit == 1, p, 1.0 - p).astype(np.float64)).sum(1)
 
     def _bin(self, z):
         return (np.rint(np.clip(z, -8, 8) * 2).astype(np.intp) + (
@@ -131,19 +159,9 @@ class Mixer:
         for a in range(0, len(codes), RUN):
             part = slice(a, a + RUN)
             slots, bit = self._address(codes[part], [c[part] for c in contexts])
-            x, gate, z = self._predict(slots)
-            error = (bit - 1.0 / (1.0 + np.exp(-z))).astype(np.float32)
-            g = gate.reshape(-1)
-            times = np.maximum(np.bincount(g, minlength=self.gates), 1)
-            for c, v in enumerate(x):
-                step = np.bincount(g, (error * v).reshape(-1), self.gates) / times
-                self.square[c] += step * step
-                self.weight[c] += RATE * step / np.sqrt(self.square[c])
-            where = np.bincount((2 * self._bin(z) + bit).reshape(-1), minlength=2 * self.seen.shape[1])
-            self.seen += where.reshape(-1, 2).T
+            self._adapt([self.odds.take(t) for t in slots], bit)
             touched = np.concatenate([(2 * s + bit).reshape(-1) for s in slots])
             self.n += np.bincount(touched, minlength=2 * self.size).reshape(-1, 2)
-            self.codes += len(codes[part])
             self.since = getattr(self, "since", 0) + len(codes[part])
             if self.since >= REFRESH or self.codes <= REFRESH:
                 self.since = 0
@@ -155,9 +173,7 @@ class Mixer:
         for a in range(0, len(codes), RUN):
             part = slice(a, a + RUN)
             slots, bit = self._address(codes[part], [c[part] for c in contexts])
-            _, _, z = self._predict(slots)
-            p = 0.5 / (1.0 + np.exp(-z)) + 0.5 * self.refined.take(self._bin(z))
-            out[part] = np.log2(np.where(bit == 1, p, 1.0 - p).astype(np.float64)).sum(1)
+            out[part] = self._cost([self.odds.take(t) for t in slots], bit)
         return out
 
     # A model leaves a task as rows (table, place, a, b) that add up.
@@ -181,15 +197,100 @@ class Mixer:
         return self
 
 
-def word_mixer() -> Mixer:
-    return Mixer(BITS, 3)
+class WordMixer(Mixer):
+    """A mixer whose contexts but the empty one have their counters elsewhere: in a block while it
+    learns, in the table of all training texts when it scores.  ``n`` is of the empty context."""
+
+    def __post_init__(self):
+        if self.n is None:
+            self.n = np.zeros((1 << self.bits, 2), np.int64)
+            self.weight = np.full((self.contexts, self.gates), 1.0 / self.contexts, np.float32)
+            self.seen = np.zeros((2, self.bits * MAP_BINS), np.float64)
+        self.size = 1 << self.bits
+        self.base = []
+        self.square = np.full_like(self.weight, 1e-3)
+        self.shift = np.arange(self.bits)
+        self._refresh()
+
+    def _places(self, keys: np.ndarray, first: int):
+        """(place of each node of each distinct key, distinct key of each token, next free place).
+        A node that is met once only tells nothing in the block and shares place 0, which stays 0."""
+        distinct, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+        place = np.empty((len(distinct), self.bits), np.int32)
+        for d in range(self.bits):
+            group, start = _node_groups(distinct, self.bits - d)
+            often = np.add.reduceat(count, start) > 1
+            place[:, d] = np.where(often, first - 1 + np.cumsum(often), 0)[group]
+            first += int(often.sum())
+        return place, at, first
+
+    def learn_block(self, codes: np.ndarray, keys: list[np.ndarray]) -> None:
+        """Learn from a block's training tokens, given their codes and the keys of each context."""
+        if not len(codes):
+            return
+        held, end = [], 1
+        for k in keys:
+            place, at, end = self._places(k, end)
+            held.append((place, at))
+        n, odds = np.zeros(2 * end, np.int32), np.zeros(end, np.float32)
+        for a in range(0, len(codes), RUN):
+            part = slice(a, a + RUN)
+            (node,), bit = self._address(codes[part], [])
+            slots = [place[at[part]] for place, at in held]
+            self._adapt([self.odds.take(node), *[odds.take(t) for t in slots]], bit)
+            self.n += np.bincount((2 * node + bit).reshape(-1), minlength=2 * self.size).reshape(-1, 2)
+            for t in slots:
+                np.add.at(n, (2 * t + bit).reshape(-1), 1)
+                n[:2] = 0
+                t = t.reshape(-1)
+                odds[t] = _odds(n[2 * t], n[2 * t + 1])
+            self._refresh()
+
+    def log2_of(self, codes: np.ndarray, rows: list[np.ndarray], answers: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each code, given the rows of its contexts in the answers."""
+        out = np.empty(len(codes))
+        for a in range(0, len(codes), RUN):
+            part = slice(a, a + RUN)
+            (node,), bit = self._address(codes[part], [])
+            out[part] = self._cost([self.odds.take(node), *[
+                answers[r[part]].astype(np.float32) / np.float32(ODDS_STEP) for r in rows]], bit)
+        return out
+
+
+def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones.astype(np.float32) + np.float32(0.4)) / (zeros.astype(np.float32) + np.float32(0.4)))
+
+
+def _node_groups(keys: np.ndarray, low: int):
+    """(group of each key, first key of each group) of sorted keys that differ in the low bits only."""
+    top = keys >> _U(low)
+    new = np.ones(len(top), bool)
+    new[1:] = top[1:] != top[:-1]
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def path_odds(keys: np.ndarray, count: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Log-odds (key x bit, in steps) along the codes of sorted distinct keys with their counts."""
+    out = np.empty((len(keys), bits), np.int8)
+    count = count.astype(np.float64)
+    for d in range(bits):
+        group, start = _node_groups(keys, bits - d)
+        bit = ((keys >> _U(bits - 1 - d)) & _U(1)).astype(np.float64)
+        both, ones = np.add.reduceat(count, start), np.add.reduceat(count * bit, start)
+        steps = np.rint(np.clip(_odds(both - ones, ones) * ODDS_STEP, -127, 127)).astype(np.int8)
+        out[:, d] = steps[group]
+    return out
+
+
+def word_mixer() -> WordMixer:
+    return WordMixer(BITS, 4)
 
 
 def byte_mixer() -> Mixer:
     return Mixer(8, 4)
 
 
-WORDS, LETTERS = 0, 3      # table numbers of the two mixers
+WORDS, LETTERS, KEYS = 0, 3, 6     # table numbers of the two mixers and of the contexts' keys
 
 
 class Tokens:
@@ -218,8 +319,9 @@ def code_of(h: np.ndarray) -> np.ndarray:
     return (mix64(h) >> _U(64 - BITS)).astype(np.int64)
 
 
-def word_contexts(words: Tokens, tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Hashed contexts of every token: the word before, and the endings of the two before."""
+def word_keys(words: Tokens, tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Keys of every token, by context: the word before, the two words before, and the endings of
+    the two before."""
     start = np.cumsum(n) - n
 
     def before(x):
@@ -227,9 +329,29 @@ def word_contexts(words: Tokens, tokens: np.ndarray, n: np.ndarray) -> list[np.n
         y[1:], y[:1] = x[:-1], 0
         y[start] = 1
         return y
-    h, t = before(words.hash[tokens]), before(words.tail[tokens])
-    pair = t * _U(0x9E3779B97F4A7C15) + before(t)
-    return [(mix64(x) >> _U(32)).astype(np.uint32) for x in (h, pair)]
+    one, tail = before(words.hash[tokens]), before(words.tail[tokens])
+    code = code_of(words.hash)[tokens].astype(_U)
+    out = []
+    for k, x in enumerate((one, one * _U(0x9E3779B97F4A7C15) + before(one),
+                           tail * _U(0x9E3779B97F4A7C15) + before(tail))):
+        out.append(mix64(x + _U((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+                   >> _U(BITS) << _U(BITS) | code)
+    return out
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each key; it does not fall where the key grows."""
+    return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """The bytes of an array by significance, which compress better."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def _unpack(raw, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -268,51 +390,73 @@ def _blocked(block_bytes: int):
 
 
 LEARNED = pa.schema([("block", pa.int64()), ("word", pa.string()), ("kind", pa.int32()),
-                     ("place", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-LEARNED_SQL = "block bigint, word string, kind int, place bigint, a double, b double"
+                     ("place", pa.int64()), ("a", pa.float64()), ("b", pa.float64()),
+                     ("keys", pa.binary()), ("n", pa.binary())])
+LEARNED_SQL = ("block bigint, word string, kind int, place bigint, a double, b double, keys binary, "
+               "n binary")
+
+
+def _learned(rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type)
+        for f in LEARNED], schema=LEARNED)
 
 
 def _model_rows(mixer: Mixer, name: int):
     for kind, at, a, b in mixer.rows(name):
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()),
-             pa.array(np.full(len(at), kind, "i4")), pa.array(at.astype(np.int64)),
-             pa.array(np.asarray(a, np.float64)), pa.array(np.asarray(b, np.float64))],
-            schema=LEARNED)
-
-
-def _learn_words(batches):
-    """Rows of (block, word, training count) and of a task's model."""
-    mixer, words, counts, here = word_mixer(), Tokens(), np.zeros(1), None
-
-    def told():
-        names = list(words.number)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(names), here, np.int64)), pa.array(names, pa.string()),
-             pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.int64()), pa.array(counts),
-             pa.nulls(len(names), pa.float64())], schema=LEARNED)
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        text, train = batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if here is not None and block[a] != here:
-                yield told()
-                words, counts = Tokens(), np.zeros(1)
-            here = int(block[a])
-            tokens, n = words.of(text.slice(a, b - a))
-            keep = np.repeat(train[a:b], n)
-            grown = np.bincount(tokens[keep], minlength=len(words.number)).astype(float)
-            grown[:len(counts)] += counts
-            counts = grown
-            if keep.any():
-                context = word_contexts(words, tokens, n)
-                mixer.learn(code_of(words.hash)[tokens[keep]], [c[keep] for c in context])
-    if here is not None:
-        yield told()
-        yield from _model_rows(mixer, WORDS)
+        yield _learned(len(at), kind=np.full(len(at), kind, "i4"), place=at.astype(np.int64),
+                       a=np.asarray(a, np.float64), b=np.asarray(b, np.float64))
+
+
+def _learn_words(parts: int):
+    """Rows of (block, word, training count), of the keys of each block and part with their training
+    counts, and of a task's model."""
+    def run(batches):
+        mixer, here, words, held = word_mixer(), None, Tokens(), []
+
+        def told():
+            tokens, n, train = (np.concatenate(x) for x in zip(*held))
+            keep = np.repeat(train, n)
+            names = list(words.number)
+            counts = np.bincount(tokens[keep], minlength=len(names)).astype(float)
+            yield _learned(len(names), block=np.full(len(names), here, np.int64), word=names, a=counts)
+            keys = word_keys(words, tokens, n)
+            mixer.learn_block(code_of(words.hash)[tokens[keep]], [k[keep] for k in keys])
+            keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+            count = np.bincount(at[np.tile(keep, len(at) // len(keep))], minlength=len(keys))
+            part = part_of(keys, parts)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield _learned(1, block=[here], kind=[KEYS], place=[int(part[a])],
+                               keys=[_pack(np.diff(keys[a:b], prepend=_U(0)))],
+                               n=[_pack(count[a:b].astype(np.uint32))])
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            text, train = batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if here is not None and block[a] != here:
+                    yield from told()
+                    words, held = Tokens(), []
+                here = int(block[a])
+                held.append((*words.of(text.slice(a, b - a)), train[a:b]))
+        if here is not None:
+            yield from told()
+            yield from _model_rows(mixer, WORDS)
+    return run
+
+
+def _answer_part(rows: pa.Table) -> pa.Table:
+    """The log-odds that all training texts give the keys of each block in a part."""
+    keys = [np.cumsum(_unpack(x.as_buffer(), "u8"), dtype=_U) for x in rows.column("keys")]
+    count = np.concatenate([_unpack(x.as_buffer(), "u4") for x in rows.column("n")])
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    odds = path_odds(every, np.bincount(at, count, len(every)))
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
+        [_pack(odds[x]) for x in np.split(at, cuts)], pa.binary())})
 
 
 def _learn_letters(batches):
@@ -353,35 +497,42 @@ def _score_blocks(shared):
         # tokens with the same bits as a code: the count at the last bit of the empty context
         leaf = np.arange(1 << BITS)
         bucket = mixer.n[(1 << (BITS - 1)) | (leaf >> 1), leaf & 1].astype(np.float64)
+        parts = words.filter(pc.is_valid(words.column("odds"))).sort_by("place")
+        answers = np.concatenate([np.frombuffer(x.as_buffer(), np.int8).reshape(BITS, -1).T
+                                  for x in parts.column("odds")])
+        words = words.filter(pc.is_valid(words.column("word")))
         known = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
         tokens, out = Tokens(), []
-        c, base, cost, spell = (np.zeros(0) for _ in range(4))   # by distinct word
         text = docs.column("text").combine_chunks()
         text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
         escape = math.log10((s.single + 0.5) / (s.total + 1.0))
         stay = math.log10(1.0 - (s.single + 0.5) / (s.total + 1.0))
-        for i in range(0, len(text), 1024):
-            ids, n = tokens.of(text.slice(i, 1024))
-            if len(tokens.number) > len(c):
-                new = list(islice(tokens.number, len(c), None))
-                more = np.fromiter((known.get(w, 0) for w in new), np.float64, len(new))
-                code = code_of(tokens.hash[len(c):])
-                # known: share of the tokens with its bits; unknown: its spelling
-                extra, letter = np.full(len(new), escape), np.zeros(len(new))
-                k = more > 0
-                extra[k] = stay + np.log10(more[k] / np.maximum(bucket[code[k]], more[k]))
-                odd = np.flatnonzero(~k)
-                for a in range(0, len(odd), 4096):
-                    data, context, word = spelled([new[j] for j in odd[a:a + 4096]])
-                    bits = np.bincount(word, letters.log2(data, context), len(odd[a:a + 4096]))
-                    letter[odd[a:a + 4096]] = bits / LOG2_10
-                floor = np.log10((more + 0.5) / (s.total + 0.5 * (s.distinct + 1)))
-                c, base, cost, spell = (np.append(x, y) for x, y in (
-                    (c, more), (base, floor), (cost, extra), (spell, letter)))
-            context = word_contexts(tokens, ids, n)
+        read = [tokens.of(text.slice(i, 1024)) for i in range(0, len(text), 1024)]
+        # the block's distinct keys, in the order in which the parts answer them
+        keys = word_keys(tokens, *(np.concatenate(x) for x in zip(*read)))
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        if len(distinct) != len(answers):
+            raise ValueError("a block's contexts are not those that were counted")
+        rows, done = at.astype(np.int32).reshape(len(keys), -1), 0
+        del keys, distinct, at
+        new = list(tokens.number)
+        c = np.fromiter((known.get(w, 0) for w in new), np.float64, len(new))
+        code = code_of(tokens.hash)
+        # known: share of the tokens with its bits; unknown: its spelling
+        cost, spell = np.full(len(new), escape), np.zeros(len(new))
+        k = c > 0
+        cost[k] = stay + np.log10(c[k] / np.maximum(bucket[code[k]], c[k]))
+        odd = np.flatnonzero(~k)
+        for a in range(0, len(odd), 4096):
+            data, context, word = spelled([new[j] for j in odd[a:a + 4096]])
+            bits = np.bincount(word, letters.log2(data, context), len(odd[a:a + 4096]))
+            spell[odd[a:a + 4096]] = bits / LOG2_10
+        base = np.log10((c + 0.5) / (s.total + 0.5 * (s.distinct + 1)))
+        for ids, n in read:
+            here, done = rows[:, done:done + len(ids)], done + len(ids)
             value = cost[ids]
             k = c[ids] > 0
-            value[k] += mixer.log2(code_of(tokens.hash)[ids[k]], [x[k] for x in context]) / LOG2_10
+            value[k] += mixer.log2_of(code[ids[k]], [r[k] for r in here], answers) / LOG2_10
             doc = np.repeat(np.arange(len(n)), n)
             out.append((n, np.bincount(doc, k, len(n)).astype(np.int64),
                         np.bincount(doc, base[ids], len(n)), np.bincount(doc, value, len(n)),
@@ -405,26 +556,29 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     blocks = settle(rows.mapInArrow(
         _blocked(block_bytes), f"doc_id {kind}, text string, held_out boolean, block bigint, "
         "n_bytes bigint"), "blocks", "zstd")
-    # a task's model has as many rows as counters it touched, so tasks learn from LEARN_BYTES of text
-    # or more, however small the partitions are
-    tasks = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // LEARN_BYTES))
+    # weights and maps are learnt from LEARN_BYTES of text or more, however small the partitions are
+    n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks, parts = max(1, -(-n_bytes // LEARN_BYTES)), max(1, -(-n_bytes // PART_BYTES))
     learned = settle(blocks.select("block", "text", (~F.col("held_out")).alias("train"))
-                     .coalesce(tasks).mapInArrow(_learn_words, LEARNED_SQL), "learned", "zstd")
+                     .coalesce(tasks).mapInArrow(_learn_words(parts), LEARNED_SQL), "learned", "zstd")
     words = learned.filter("kind is null").select("block", "word", "a")
     counts = settle(words.groupBy("word").agg(F.sum("a").cast("bigint").alias("c"))
                     .filter("c > 0"), "counts")
     total, distinct, single = counts.agg(
         F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("bigint"))).first()
-    model = (learned.filter("kind is not null").select("kind", "place", "a", "b")
+    model = (learned.filter(f"kind < {KEYS}").select("kind", "place", "a", "b")
              .union(counts.select("word").coalesce(tasks).mapInArrow(_learn_letters, LEARNED_SQL)
                     .select("kind", "place", "a", "b"))
              .groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    # as many rows as the two models have slots, whatever the corpus
+    # as many rows as the spelling model has slots and the empty context nodes, whatever the corpus
     got = settle(model, "model").toArrow()
     shared = spark.sparkContext.broadcast(Scores(
         {k: got.column(k).to_numpy() for k in ("kind", "place", "a", "b")},
         int(total or 0), int(distinct or 0), int(single or 0)))
-    found = words.join(counts, "word").select("block", "word", "c")
+    answers = (learned.filter(f"kind = {KEYS}").select("block", "place", "keys", "n").groupBy("place")
+               .applyInArrow(_answer_part, "block bigint, place bigint, odds binary"))
+    found = words.join(counts, "word").select("block", "word", "c").unionByName(
+        answers, allowMissingColumns=True)
     scored = (blocks.drop("n_bytes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _score_blocks(shared),
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "

@@ -103,3 +103,41 @@ def test_edges(spark, no_docs, odd_docs, clash):
                                   if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     for r in M.score_texts(held).collect():          # nothing to learn from
         assert r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score)
+
+
+def test_every_context_has_counters_of_its_own():
+    """Log-odds along a code are those of the counts of its own context, however many there are."""
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 52, 60_000).astype(np.uint64)
+    keys = np.concatenate([h << np.uint64(12) | rng.integers(0, 4096, 60_000).astype(np.uint64)
+                           for h in (hashes, hashes, hashes)])
+    distinct, count = np.unique(keys, return_counts=True)
+    odds = M.path_odds(distinct, count, 12)
+    seen = collections.defaultdict(lambda: [0, 0])
+    for k, c in zip(distinct.tolist(), count.tolist()):
+        for d in range(12):
+            seen[d, k >> (12 - d)][k >> (11 - d) & 1] += c
+    for i in range(0, len(distinct), 1000):
+        for d in range(12):
+            n = seen[d, int(distinct[i]) >> (12 - d)]
+            assert abs(odds[i, d] / M.ODDS_STEP - math.log((n[1] + 0.4) / (n[0] + 0.4))) <= 0.051
+
+
+def test_two_words_before_tell_the_next(spark):
+    """Words with one ending that follow from the two before, and not from one."""
+    rng = np.random.default_rng(4)
+    names, follows = [f"{i}xx" for i in range(200)], rng.integers(0, 200, (200, 200))
+
+    def text():
+        w = rng.integers(0, 200, 2).tolist()
+        for _ in range(400):
+            w.append(int(follows[w[-2], w[-1]]) if rng.random() < 0.8 else int(rng.integers(200)))
+        return " ".join(names[i] for i in w)
+    docs = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")
+    held = [r for r in M.score_texts(docs.repartition(2), block_bytes=1 << 20).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
+
+
+def test_held_out_gain_on_more_documents(spark):
+    got = M.score_texts(table(spark, "/root/testdata/sf0.1", "documents")).filter("held_out").collect()
+    assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
