@@ -149,6 +149,34 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embeddin
     return ranked.select("qid", "rank", "nid", "sim", *[x for c in carry for x in (f"q_{c}", f"n_{c}")])
 
 
+def _dense(rows: DataFrame, k: int, tile_rows: int = TILE_ROWS, stripes: int = STRIPES) -> DataFrame:
+    """The k best (qid, nid, sim) of every vector and stripe in its bucket (_t, _p) of _n vectors."""
+    parts = F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int")
+    # two tables deal a group in different ways: each has a hash of its own
+    dealt = rows.select("id", "vec", "_t", "_p", parts.alias("_m"),
+                        F.pmod(F.xxhash64("id", "_t"), parts).cast("int").alias("_h"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        mat = np.stack([np.asarray(v, np.float64) for v in pdf["vec"]])
+        first = pdf.iloc[0]
+        return pd.DataFrame({"_t": [first["_t"]], "_p": [first["_p"]], "_m": [first["_m"]], "_h": [first["_h"]],
+                             "ids": [pdf["id"].to_numpy("<i8").tobytes()], "mat": [mat.tobytes()],
+                             "d": [mat.shape[1]]})
+    tiles = dealt.groupBy("_t", "_p", "_h").applyInPandas(
+        pack, "_t int, _p string, _m int, _h int, ids binary, mat binary, d int").checkpoint()
+    name = lambda h: F.concat_ws(":", F.col("_t").cast("string"), "_p", h.cast("string"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    tile, wide = name(F.col("_h")).alias("tile"), ["ids", "mat", "d"]
+    # the tiles of a bucket are numbered, so a tile names all cells it meets without a join
+    met = tiles.select(F.lit(1).alias("kind"), tile, F.pmod(F.col("_h"), F.lit(stripes)).alias("stripe"), *wide,
+                       F.explode(F.transform(upto(F.col("_m")), name)).alias("cell"))
+    held = tiles.select(F.lit(0).alias("kind"), tile, F.explode(upto(F.lit(stripes))).alias("stripe"), *wide,
+                        name(F.col("_h")).alias("cell"))
+    return (met.unionByName(held).repartition("cell", "stripe")
+            .sortWithinPartitions("cell", "stripe", "kind", "tile")
+            .mapInPandas(_cells(k, []), "qid bigint, nid bigint, sim double"))
+
+
 def knn_approx(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
                tables: int = 24, bits: int = 6, most: int = 512, seed: int = 7,
                deeper: int = 8) -> DataFrame:
@@ -156,9 +184,10 @@ def knn_approx(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "e
 
     Every vector has a bucket in each of ``tables`` tables, by the signs of ``bits`` projections.
     A bucket of more than ``most`` vectors is split by further signs, one at a time up to
-    ``deeper`` of them, and what is still larger meets in blocks of ``most`` by hash; so a vector
-    meets at most ``most`` others a table and none is left out.  Recall against ``knn`` is
-    measured in the tests.
+    ``deeper`` of them.  What is still larger, a dense or copied group, is compared whole: its tiles
+    meet in pairs, (query tile, stripe) cells as in ``knn``, so the work of such a bucket grows with
+    the square of its size but a task holds two tiles.  Every vector meets all others of its bucket
+    in every table.  Recall against ``knn`` is measured in the tests.
     """
     v = vectors.select(F.col(id_col).cast("bigint").alias("id"),
                        l2_normalize(vec_col).alias("vec")).where(F.col("vec").isNotNull())
@@ -181,13 +210,13 @@ def knn_approx(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "e
     depth = fits.groupBy("id", "_t").agg(F.coalesce(
         F.min(F.when(F.col("_n") <= most, F.col("_b"))), F.lit(total)).alias("_b"),
         F.min("_n").alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(most)))
     where = placed.join(depth, ["id", "_t"]).select(
-        "id", "vec", "_t", F.expr("substring(_s, 1, _b)").alias("_p"),
-        F.when(F.col("_n") > most, F.pmod(F.xxhash64("id"), parts)).otherwise(0).alias("_h"))
-    a = where.select(F.col("id").alias("qid"), F.col("vec").alias("_qv"), "_t", "_p", "_h")
-    b = where.select(F.col("id").alias("nid"), F.col("vec").alias("_nv"), "_t", "_p", "_h")
-    pairs = a.join(b, ["_t", "_p", "_h"]).select("qid", "nid", dot("_qv", "_nv").alias("sim"))
+        "id", "vec", "_t", F.expr("substring(_s, 1, _b)").alias("_p"), "_n")
+    small = where.where(F.col("_n") <= most)
+    a = small.select(F.col("id").alias("qid"), F.col("vec").alias("_qv"), "_t", "_p")
+    b = small.select(F.col("id").alias("nid"), F.col("vec").alias("_nv"), "_t", "_p")
+    pairs = a.join(b, ["_t", "_p"]).select("qid", "nid", dot("_qv", "_nv").alias("sim"))
+    pairs = pairs.unionByName(_dense(where.where(F.col("_n") > most), k))
     best = pairs.groupBy("qid", "nid").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "nid")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \

@@ -256,6 +256,17 @@ def test_approximate_neighbours_recall(spark):
     assert exact.intersect(near).count() / exact.count() >= 0.9
 
 
+def test_approximate_neighbours_recall_in_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(3600, 24))
+    m[:3000] = m[0] + 0.001 * rng.normal(size=(3000, 24))      # no sign tells most of them apart
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    exact = K.knn(df, 10, metric="cosine").where("qid < 3000").select("qid", "nid")
+    near = K.knn_approx(df, 10).select("qid", "nid")
+    assert near.groupBy("qid").count().filter("count > 10").count() == 0
+    assert exact.intersect(near).count() / exact.count() >= 0.9
+
+
 def test_no_shared_folder_is_an_error_on_a_cluster(spark):
     from types import SimpleNamespace
     from lexispark.session import checkpoint_dir
