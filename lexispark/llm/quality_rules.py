@@ -34,9 +34,10 @@ LOW24 = (1 << 24) - 1
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window whose words stand twice or more in the text.
 
-    Windows are sorted as (40 hash bits, position) in one long each, so equal windows are
-    neighbours; neighbours are compared word by word.  Texts of 2^24 words or more sort
-    (hash, position) structs instead."""
+    Windows are sorted as (40 hash bits, position) in one long each, so equal windows stand
+    together; neighbours are compared word by word.  Where a neighbour has the same key and other
+    words, which is rare, a window is compared with all of its key.  Texts of 2^24 words or more
+    sort (hash, position) structs instead."""
     def same(w, a, b):
         return ((w[a] == w[b]) & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2]))
 
@@ -49,10 +50,13 @@ def repeated_words(words: Column) -> Column:
 
     def starts(w, s, hash_at, pos_at):
         def hit(j):
-            near = lambda k: (hash_at(s[j]) == hash_at(s[k])) & same(
-                w, pos_at(s[j]).cast("int"), pos_at(s[k]).cast("int"))
-            return ((j > 0) & near(F.greatest(j - 1, F.lit(0)))) | (
-                (j < F.size(s) - 1) & near(F.least(j + 1, F.size(s) - 1)))
+            met = lambda x: hash_at(s[j]) == hash_at(x)
+            equal = lambda x: same(w, pos_at(s[j]).cast("int"), pos_at(x).cast("int"))
+            before, after = s[F.greatest(j - 1, F.lit(0))], s[F.least(j + 1, F.size(s) - 1)]
+            first, last = j > 0, j < F.size(s) - 1
+            return (first & met(before) & equal(before)) | (last & met(after) & equal(after)) | (
+                ((first & met(before)) | (last & met(after))) & F.exists(
+                    s, lambda x: met(x) & (pos_at(x) != pos_at(s[j])) & equal(x)))
         return covered(F.sort_array(F.transform(
             F.filter(F.sequence(F.lit(0), F.size(s) - 1), hit), lambda j: pos_at(s[j]))))
 

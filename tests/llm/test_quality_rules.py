@@ -28,6 +28,18 @@ def test_counts_equal_brute_force(spark, odd_docs):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_interleaved_windows_of_one_key(spark):
+    """Two windows whose hashes share the 40 bits of the key, in the order A B A (and more)."""
+    a, b = "a b 1311577", "a b 2863090"
+    keys = spark.range(1).select(*[F.shiftright(F.xxhash64(*[F.lit(x) for x in t.split()]), 24)
+                                   for t in (a, b)]).first()
+    assert keys[0] == keys[1]
+    texts = [" ".join(x) for x in ((a, b, a), (a, b), (a, b, a, b), (b, a, a, b), (a, "x", b, a, "y", a))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r[n] for n in NAMES) for r in Q.measured(df).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and got[0][-1] == 6
+
+
 def test_whole_table_counts(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     texts = dict(docs.select("doc_id", "text").collect())
