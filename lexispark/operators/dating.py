@@ -267,11 +267,22 @@ def summarize_attributions(tokens: DataFrame, pair: str = "pair", attr: str = "a
 def attention_pool(tokens: DataFrame, keys=("sent",), vec: str = "vec", logit: str = "logit",
                    mask: str = "mask") -> DataFrame:
     """Softmax over unmasked tokens of the given logits (max-shifted), then the weighted
-    sum of their vectors, per sentence (rows per sentence = its tokens)."""
+    sum of their vectors, per sentence (rows per sentence = its tokens).  Logits are one number a
+    token, or an array of one for each feature of the vector."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     keys = _list(keys)
     t = tokens.where(F.col(mask))
+    if dict(tokens.dtypes)[logit].startswith("array"):
+        numbers = lambda c: F.col(c).cast("array<double>")
+        top = t.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+            vector_to_array(Summarizer.max(array_to_vector(numbers(logit)))).alias("_m"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        e = t.join(top, same).withColumn("_e", F.zip_with(numbers(logit), "_m", lambda x, m: F.exp(x - m)))
+        agg = e.groupBy(*keys).agg(
+            vector_to_array(Summarizer.sum(array_to_vector(F.zip_with("_e", numbers(vec), lambda x, v: x * v))))
+            .alias("_p"), vector_to_array(Summarizer.sum(array_to_vector("_e"))).alias("_n"))
+        return agg.select(*keys, F.zip_with("_p", "_n", lambda p, n: p / n).alias("pooled"))
     w = Window.partitionBy(*keys)
     t = t.withColumn("_e", F.exp(F.col(logit) - F.max(logit).over(w)))
     t = t.withColumn("_w", F.col("_e") / F.sum("_e").over(w))

@@ -145,6 +145,32 @@ def token_metrics(df: DataFrame, tags: str = "tags", preds: str = "preds") -> Da
     return per, acc
 
 
+def entity_metrics(df: DataFrame, id_col: str, tags: str = "tags", preds: str = "preds"):
+    """The same at the level of BIO chunks: (per type, overall) precision, recall, F1 and support.
+
+    B-X starts a chunk of type X, and so does I-X where the tag before is not of type X; tags without
+    these prefixes are outside.  A predicted chunk is right if start, end and type are a gold chunk's.
+    ``id_col`` tells sentences apart."""
+    w = Window.partitionBy(id_col).orderBy("_i")
+
+    def spans(col: str, flag: str) -> DataFrame:
+        e = df.select(id_col, F.posexplode(col).alias("_i", "_t"))
+        e = e.withColumn("tag", F.when(F.col("_t").rlike("^[BI]-"), F.substring("_t", 3, 1 << 20)))
+        new = F.col("tag").isNotNull() & (F.col("_t").startswith("B-")
+                                          | ~F.lag("tag").over(w).eqNullSafe(F.col("tag")))
+        e = e.withColumn("_c", F.sum(new.cast("long")).over(w)).where(F.col("tag").isNotNull())
+        return e.groupBy(id_col, "_c").agg(F.min("_i").alias("_a"), F.max("_i").alias("_z"),
+                                           F.first("tag").alias("tag")).drop("_c").withColumn(flag, F.lit(1))
+    j = spans(tags, "_g").join(spans(preds, "_p"), [id_col, "_a", "_z", "tag"], "full").fillna(0, ["_g", "_p"])
+    counts = [F.sum("_g").alias("n_true"), F.sum("_p").alias("n_pred"), F.sum(F.col("_g") * F.col("_p")).alias("tp")]
+    p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
+    r = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(0.0)
+    scored = [p.alias("precision"), r.alias("recall"),
+              F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
+              F.coalesce("n_true", F.lit(0)).alias("support")]
+    return j.groupBy("tag").agg(*counts).select("tag", *scored), j.agg(*counts).select(*scored)
+
+
 def flatten_metrics(per: DataFrame) -> DataFrame:
     """Long (tag, metric, value): native long format instead of 'tag_metric' keys."""
     return per.select("tag", F.expr("stack(3, 'precision', precision, 'recall', recall, 'f1', f1) as (metric, value)"))

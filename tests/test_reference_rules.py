@@ -111,6 +111,33 @@ def test_tokens_with_unseen_tags_are_skipped(spark):
     assert total[None, None] == (3, 1) and ("Z", None) not in total
 
 
+def test_entities_are_whole_chunks(spark):
+    df = spark.createDataFrame([
+        (1, ["B-P", "I-P", "O", "B-L", "I-P"], ["B-P", "I-P", "O", "B-L", "O"]),      # I-P after B-L is a chunk
+        (2, ["I-L", "I-L", "O", "x"], ["B-L", "B-L", "B-P", "x"]),                    # one chunk, read as two
+        (3, ["O"], ["O"])], "id long, tags array<string>, preds array<string>")
+    per, overall = T.entity_metrics(df, "id")
+    got = {r.tag: (r.precision, r.recall, r.support) for r in per.collect()}
+    assert got == {"P": (0.5, 0.5, 2), "L": (pytest.approx(1 / 3), 0.5, 2)}
+    r = overall.first()
+    assert (r.precision, r.recall, r.support) == (0.4, 0.5, 4) and r.f1 == pytest.approx(4 / 9)
+    nothing = T.entity_metrics(df.where("id = 3"), "id")
+    assert nothing[0].count() == 0 and tuple(nothing[1].first()) == (0.0, 0.0, 0.0, 0)
+
+
+def test_attention_weights_by_feature(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 3 or None, rng.normal(size=4).tolist(), (300 * rng.normal(size=4)).tolist(), i % 5 > 0)
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "sent long, vec array<double>, logit array<double>, mask boolean")
+    got = {r.sent: r.pooled for r in D.attention_pool(df).collect()}
+    assert set(got) == {1, 2, None}
+    for s in got:
+        v, x = (np.array([r[k] for r in rows if r[0] == s and r[3]]) for k in (1, 2))
+        e = np.exp(x - x.max(0))
+        assert np.allclose(got[s], (e / e.sum(0) * v).sum(0))
+
+
 def test_two_models_have_two_curves(spark):
     years = list(range(1450, 1950, 10))
     rows = [(1, 1600, j, y, "a", 0.9 if y < 1600 else 0.1) for j, y in enumerate(years)]
