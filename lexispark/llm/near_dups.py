@@ -359,8 +359,8 @@ def _block_links(threshold: float):
 def _clusters(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The links that are left, exactly: buckets of several classes that share members make a
     cluster, and all documents of a cluster meet in pairs of blocks of BLOCK documents.  A task
-    holds two blocks and returns less than two blocks of links, so nothing grows with the square of
-    a group but the comparisons themselves."""
+    holds two blocks and returns less than two blocks of links.  Comparisons and shuffled rows, one a
+    document and block of its cluster, grow with the square of a group."""
     live = settle(several(members).select("node", "class", "first"), "rest")
     cluster = components(live.select(F.col("first").alias("a"), F.col("node").alias("b")))
     nodes = live.select("node", "class").distinct().join(cluster, "node", "left").select(
