@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import (
-    licences, lm_mixing, mixing, near_dups, pieces, quality_classifier, quality_rules, token_blocks,
-    topk, warc,
+    licences, lm_mixing, mixing, near_dups, pieces, quality_classifier, quality_rules, rank_bpe,
+    token_blocks, topk, variants, warc, whitening,
 )
 from lexispark.llm.common import crc_fold
 from lexispark.sources.tables import table
@@ -71,10 +71,25 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.digests(rank_bpe.encode(
+        table(spark, sf_dir, "documents", "doc_id", "text"), decoded=True))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_long(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_warc_archives, op3_quality_classifier, op4_sentencepiece,
     op5_context_mixing, op6_near_duplicates, op7_exact_top_k, op8_licence_scan,
-    op9_adaptive_quality, op10_token_blocks)}
+    op9_adaptive_quality, op10_token_blocks, op11_rank_bpe, op12_spelling_variants,
+    op13_whitening)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op2_warc_archives": warc.WARC_SQL,
            "op7_exact_top_k": topk.TOPK_SQL, "op8_licence_scan": licences.licence_sql(),
-           "op9_adaptive_quality": quality_rules.QUALITY_SQL}
+           "op9_adaptive_quality": quality_rules.QUALITY_SQL,
+           "op12_spelling_variants": variants.VARIANTS_SQL}
