@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{uuid.uuid4().hex}/{name}"
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -115,6 +120,17 @@ def word_numbers(text, number: Numbers) -> tuple[np.ndarray, np.ndarray]:
     return numbers[at], size
 
 
+def text_pieces(batch, column: str, most: int):
+    """Slices of an Arrow batch of about ``most`` bytes of a text column; a row at least."""
+    import pyarrow.compute as pc
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size.astype(np.int64)) - size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def open_out(uri: str):
     """(file system, path) for a URI or plain path, usable from any task."""
     from pyarrow import fs

@@ -5,8 +5,9 @@ draws its count from the Poisson distribution with that mean by inverting it at
 hashed from (seed, key); the copies are exploded and shuffled globally by a second hash.
 
 Defined cases: a null source is a source of its own; null and empty texts have size 0, and a
-source of size 0 keeps rate 1; rows with equal keys (null keys too) draw equal counts; an input
-column named like an output column is replaced; an empty table gives an empty table.
+source of size 0 keeps rate 1; rows with equal keys (null keys too) draw equal counts, and those with
+equal texts as well stand together in the global order; an input column named like an output column is
+replaced, all other names are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import hash60, settle, unit
+from lexispark.llm.common import fresh, hash60, settle, unit
 
 #: A rate is split into this much a draw at most: e^-8 is far from underflow and 60 terms are
 #: the whole distribution in double precision.
@@ -80,19 +81,19 @@ def mix_sources(df: DataFrame, weights: Mapping[str, float] | None = None, *,
     """The rows of ``df``, each as often as drawn, with copy_no (from 1) and mix_key (the global
     random order: partitions are dealt by it and sorted by it)."""
     base = df.drop("copy_no", "mix_key")
-    table = settle(rates(settle(source_sizes(base, source, text), "sizes"), weights, temperature,
-                         epochs)
-                   .withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART))
-                               .cast("int"))
-                   .select(F.col("source").alias("__source"), "__parts",
-                           cumulative(F.col("rate") / F.col("__parts")).alias("__cdf")), "rates")
-    counted = base.join(table, F.col(source).eqNullSafe(F.col("__source")), "left").withColumn(
-        "__n", poisson_counts(F.col("__parts"), F.col("__cdf"),
-                              lambda j: unit(f"{seed}:count", j, F.col(key))))
-    copies = (counted.filter("__n > 0")
-              .select(*base.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))
+    named, parts, cdf, n = fresh("source"), fresh("parts"), fresh("cdf"), fresh("n")
+    told = rates(settle(source_sizes(base, source, text), "sizes"), weights, temperature, epochs) \
+        .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    table = settle(told.select(F.col("source").alias(named), F.col("parts").alias(parts),
+                               cumulative(F.col("rate") / F.col("parts")).alias(cdf)), "rates")
+    counted = base.join(table, F.col(source).eqNullSafe(F.col(named)), "left").withColumn(
+        n, poisson_counts(F.col(parts), F.col(cdf), lambda j: unit(f"{seed}:count", j, F.col(key))))
+    copies = (counted.filter(F.col(n) > 0)
+              .select(*base.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))
                       .alias("copy_no"))
-              .withColumn("mix_key", hash60(f"{seed}:order", F.col(key), F.col("copy_no"))))
+              # the text is part of the key: rows without a key are dealt over all partitions too
+              .withColumn("mix_key", hash60(f"{seed}:order", F.col(key), F.col("copy_no"),
+                                            F.md5(F.coalesce(F.col(text), F.lit(""))))))
     return copies.repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")
 
 
@@ -124,6 +125,7 @@ counts as (
   from draws dr left join cdf c on dr.source is not distinct from c.source and c.c <= dr.u
   group by dr.doc_id)
 select d.doc_id, d.text, d.lang, d.source, d.n_chars, copy_no,
-  ('0x' || substr(md5('11:order:' || d.doc_id || ':' || copy_no), 1, 15))::bigint as mix_key
+  ('0x' || substr(md5('11:order:' || d.doc_id || ':' || copy_no || ':' || md5(coalesce(d.text, ''))), 1, 15))::bigint
+    as mix_key
 from documents d join counts n using (doc_id), unnest(range(1, n.n + 1)) t(copy_no)
 """

@@ -78,3 +78,26 @@ def test_edges(no_docs, odd_docs, clash):
 def test_plan_has_no_python(odd_docs):
     plan = mixing.mix_sources(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+
+
+def test_rows_without_a_key_are_dealt_over_all_partitions(spark):
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(
+        F.lit("text "), F.col("id")).alias("text"), F.lit("a").alias("source"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.mix_sources(docs, {"a": 1.0}, epochs=6.0).withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(sizes) == 8 and max(sizes) < 0.3 * sum(sizes)
+
+
+def test_names_of_the_inside_are_free(odd_docs):
+    names = ["__source", "__cdf", "__parts", "__n", "source_", "size", "rate", "n_rows"]
+    docs = odd_docs
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    got = mixing.mix_sources(docs)
+    assert all(r[n] == n for r in got.collect() for n in names)
+    assert got.count() == mixing.mix_sources(odd_docs).count()
