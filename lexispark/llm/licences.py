@@ -2,9 +2,11 @@ r"""License scans by a positional rare-token index (DataFrame functions only).
 
 Templates are word sequences with a label and mandatory key phrases.  Document frequencies of the
 template words are counted over all files; the rarest words of each template (highest IDF) make
-postings (word -> template, offset).  A file looks up those words only: each occurrence votes for
-the start ``position - offset``, equal starts meet, and a place is accepted when the template's
-mandatory phrases stand there word for word and enough IDF weight of its words is in place.
+postings (word -> template, offset).  A file looks up those of its words that are posted: an occurrence
+puts the start of a template at ``position - offset``.  The lists of starts are intersected: a
+start remains where all posted words of the template agree on it (two, or the one of a template of one
+word).  A place is accepted when the template's mandatory phrases stand there word for word and enough
+IDF weight of its words is in place.
 
 Everything happens inside the row, so there is no shuffle of text and no hot key.
 
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import let
+from lexispark.llm.common import fresh, let
 
 #: What separates words once A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -118,13 +120,19 @@ def scan_licences(df: DataFrame, templates: Sequence[Template] = TEMPLATES, *, r
     lists = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"))
                                 for t, o in postings[w]]) for w in tokens])
 
-    def votes(w):
-        """Distinct (template, start) that occurrences of rare words point to."""
+    def starts(w):
+        """The (template, start) on which all posted words of the template agree.  Occurrences of a word
+        give different starts, so a start that k words agree on is there k times in a row when sorted."""
         at = F.filter(F.sequence(F.lit(0), F.size(w) - 1),
                       lambda i: F.array_contains(token_list, w[i]))
-        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(
+        told = F.sort_array(F.flatten(F.transform(at, lambda i: F.transform(
             lists[F.array_position(token_list, w[i]).cast("int") - 1],
             lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("start"))))))
+        need = F.array(*[F.lit(len(rare_offsets(t, idf, rare))) for t in templates])
+        return let(told, lambda v: F.transform(F.filter(
+            F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+            lambda e: (F.get(v, e["i"] + F.get(need, e["x"]["t"]) - 1) == e["x"])
+            & ((e["i"] == 0) | ~F.get(v, e["i"] - 1).eqNullSafe(e["x"]))), lambda e: e["x"]))
 
     def stands(w, start, phrase_at, phrase):
         """The phrase stands at start + phrase_at (an index outside the text is null)."""
@@ -161,58 +169,68 @@ def scan_licences(df: DataFrame, templates: Sequence[Template] = TEMPLATES, *, r
         none = F.filter(F.array(F.struct(
             F.lit("").alias("label"), F.lit(0).alias("template"), F.lit(0).alias("start"),
             F.lit(0.0).alias("coverage"))), lambda x: x["start"] > 0)
-        found = F.filter(F.transform(votes(w), check), lambda x: x["coverage"] >= accept)
+        found = F.filter(F.transform(starts(w), check), lambda x: x["coverage"] >= accept)
         return F.when(F.arrays_overlap(w, token_list), found).otherwise(none)
 
     kept = [c for c in df.columns if c not in outputs or c == text]
-    base = F.filter("__p", lambda x: x["template"].isin(
+    both, n, p = fresh("scan"), fresh("n"), fresh("places")
+    base = F.filter(p, lambda x: x["template"].isin(
         [i for i, t in enumerate(templates) if t.base] or [-1]))
     joined = lambda c: F.array_join(F.sort_array(F.array_distinct(
         F.transform(c, lambda x: x["label"]))), ",")
     return (df.select(*kept)
-            .withColumn("__s", let(licence_words(F.col(text)), lambda w: F.struct(
+            .withColumn(both, let(licence_words(F.col(text)), lambda w: F.struct(
                 F.size(w).cast("bigint").alias("n"), places(w).alias("p"))))
-            .withColumn("__n", F.col("__s.n")).withColumn("__p", F.col("__s.p"))
-            .select(*[c for c in kept if c not in outputs], F.col("__n").alias("n_words"),
+            .withColumn(n, F.col(f"{both}.n")).withColumn(p, F.col(f"{both}.p"))
+            .select(*[c for c in kept if c not in outputs], F.col(n).alias("n_words"),
                     F.size(base).cast("bigint").alias("n_base"),
                     F.array_min(F.transform(base, lambda x: x["start"])).cast("bigint")
                     .alias("first_word"),
                     F.array_max(F.transform(base, lambda x: x["start"])).cast("bigint")
                     .alias("last_word"),
-                    joined(base).alias("base_labels"), joined(F.col("__p")).alias("labels"),
-                    F.coalesce(F.array_max(F.transform("__p", lambda x: x["coverage"])), F.lit(0.0))
-                    .alias("score"), F.col("__p").alias("places")))
-
-
-def _phrase_sql(t: Template) -> str:
-    return " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(t.words))
-
-
-def licence_sql(templates: Sequence[Template] = TEMPLATES) -> str:
-    """The same by a plain scan of every position.  Templates whose key phrase is a part of them
-    weigh their words by IDF in the scan, so they are left to the brute-force test: the SQL gives
-    the columns that whole-phrase templates settle."""
-    whole = [t for t in templates if not t.keys]
-    branches = "\nunion all ".join(
-        f"select doc_id, i - 1 as start, '{t.label}' as label, {str(t.base).lower()} as base "
-        f"from spots where {_phrase_sql(t)}" for t in whole)
+                    joined(base).alias("base_labels"), joined(F.col(p)).alias("labels"),
+                    F.coalesce(F.array_max(F.transform(p, lambda x: x["coverage"])), F.lit(0.0))
+                    .alias("score"), F.col(p).alias("places")))
+
+
+def _phrase_sql(words: Sequence[str], at: int = 0) -> str:
+    return " and ".join(f"w[i + {at + k}] = '{x}'" for k, x in enumerate(words))
+
+
+def licence_sql(templates: Sequence[Template] = TEMPLATES, accept: float = 0.8) -> str:
+    """The same by a plain scan of every position for every template: its key phrases word for word,
+    and the IDF weight of its words in place."""
+    vocabulary = sorted({x for t in templates for x in t.words})
+
+    def branch(number: int, t: Template) -> str:
+        keys = " and ".join(f"({_phrase_sql(k, at)})" for at, k in t.mandatory())
+        share = "1.0::double"
+        if t.keys:
+            weight = lambda x: f"idf['{x}']"
+            held = " + ".join(f"case when w[i + {k}] = '{x}' then {weight(x)} else 0 end" for k, x in enumerate(t.words))
+            share = f"least(1.0, round(({held}) / ({' + '.join(map(weight, t.words))}), 9))"
+        return (f"select doc_id, i - 1 as start, '{t.label}' as label, {str(t.base).lower()} as base, {share} as share "
+                f"from spots, weights where {keys}")
+    branches = "\nunion all ".join(branch(i, t) for i, t in enumerate(templates))
     return rf"""
-with toks as (
+with toks as materialized (
   select doc_id, [x for x in regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from documents),
+files as (select count(*) as n from toks),
+weights as materialized (select map_from_entries(list((v.x, ln((1 + files.n) / (1 + coalesce(c.n, 0))) + 1.0))) as idf
+  from (select unnest({vocabulary}) as x) v cross join files left join (
+    select x, count(*) as n from (select unnest(list_distinct(w)) as x from toks) group by x) c on c.x = v.x),
 spots as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from toks),
-hits as ({branches}),
+hits as materialized (select * from ({branches}) where share >= {accept}),
 per_doc as (
   select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word,
-    max(start) filter (base) as last_word,
-    coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels
+    max(start) filter (base) as last_word, max(share) as score,
+    coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels,
+    string_agg(distinct label, ',' order by label) as labels
   from hits group by doc_id)
-select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
+select t.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
   first_word::bigint as first_word, last_word::bigint as last_word,
-  coalesce(base_labels, '') as base_labels,
-  coalesce((select string_agg(distinct label, ',' order by label) from hits h
-            where h.doc_id = t.doc_id), '') as labels,
-  case when exists (select 1 from hits h where h.doc_id = t.doc_id) then 1.0 else 0.0 end as score
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
 from toks t left join per_doc using (doc_id)
 """

@@ -56,6 +56,32 @@ def test_edges(no_docs, odd_docs, clash):
     assert got[2].n_words == 0 and got[2].labels == "" and got[2].first_word is None
 
 
+def test_names_of_the_inside_are_free(odd_docs):
+    from pyspark.sql import functions as F
+    docs = odd_docs
+    for n in ("__s", "__n", "__p"):
+        docs = docs.withColumn(n, F.lit(n))
+    assert all(r["__s"] == "__s" and r["__n"] == "__n" and r["__p"] == "__p" for r in L.scan_licences(docs).collect())
+
+
+def test_sql_covers_templates_with_key_phrases(spark, tmp_path):
+    """A text with the grant sentence of a licence is labelled by both engines."""
+    import duckdb
+    texts = TEXTS + [t.text for t in L.OWN] + [PAD + t.text.replace("this", "the") + PAD for t in L.OWN] + [None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = scan(spark, texts)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels"]
+    found = con.execute(L.licence_sql()).fetchdf().astype(object)
+    found = found.where(found.notna(), None)
+    assert len(found) == len(rows) and any("bsd" in x for x in found["labels"])
+    for r in found.to_dict("records"):
+        assert [r[n] for n in names] == [got[r["doc_id"]][n] for n in names], texts[r["doc_id"]]
+        assert abs(r["score"] - got[r["doc_id"]].score) < 1e-9
+
+
 def test_plan_has_no_python_and_no_text_shuffle(odd_docs):
     plan = L.scan_licences(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
