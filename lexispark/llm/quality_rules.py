@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import let, settle, words_of
+from lexispark.llm.common import fresh, let, settle, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: log-scale bins: value = LOWEST * GROWTH^bin; bin 0 holds all values up to LOWEST.
@@ -89,11 +89,12 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
                         (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
                         .alias("n_dup_lines"))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = (df.drop(*[n for n in (*names, "__w", "__l") if n != text])
-           .withColumn("__w", let(words_of(F.col(text)), counts))
-           .withColumn("__l", let(lines, line_counts)))
-    return out.select("*", "__w.*", "__l.*", F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint")
-                      .alias("n_symbols")).drop("__w", "__l")
+    w, x = fresh("words"), fresh("lines")
+    out = (df.drop(*[n for n in names if n != text])
+           .withColumn(w, let(words_of(F.col(text)), counts))
+           .withColumn(x, let(lines, line_counts)))
+    return out.select("*", f"{w}.*", f"{x}.*", F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint")
+                      .alias("n_symbols")).drop(w, x)
 
 
 def base_failed() -> Column:
@@ -163,18 +164,18 @@ def thresholds(sketch: DataFrame, least: int = 100) -> DataFrame:
 
 def judged(metrics: DataFrame, fences: DataFrame) -> DataFrame:
     """``metrics`` with base_failed and kept."""
-    table = fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"),
-                          *[F.col(c).alias(f"__{c}") for c in fences.columns[2:]])
+    names = {c: fresh(c) for c in fences.columns}
+    table = fences.select(*[F.col(c).alias(n) for c, n in names.items()])
     # a count of the rules that hold, not their conjunction: the optimiser would push a part of
     # that below the join and measure every text once more for it
     ok = (~base_failed()).cast("int")
     for measure, side, _ in RULES:
-        value, name = measures()[measure], f"__{measure}_{'max' if side > 0 else 'min'}"
+        value, name = measures()[measure], names[f"{measure}_{'max' if side > 0 else 'min'}"]
         ok = ok + F.coalesce(value <= F.col(name) if side > 0 else value >= F.col(name),
                              F.lit(True)).cast("int")
     joined = metrics.drop("base_failed", "kept").join(
-        table, F.col("lang").eqNullSafe(F.col("__lang"))
-        & F.col("source").eqNullSafe(F.col("__source")), "left")
+        table, F.col("lang").eqNullSafe(F.col(names["lang"]))
+        & F.col("source").eqNullSafe(F.col(names["source"])), "left")
     return (joined.withColumn("base_failed", base_failed()).withColumn("kept", ok == len(RULES) + 1)
             .drop(*table.columns))
 

@@ -85,3 +85,13 @@ def test_edges(no_docs, odd_docs, clash):
     assert Q.keep_good(clash(odd_docs)).columns == clash(odd_docs).columns
     failed = {r.doc_id for r in Q.adaptive_quality(odd_docs).filter("base_failed").collect()}
     assert failed == {1, 2, 3, None, 4, 5, 6, 7, 8}
+
+
+def test_names_of_the_inside_are_free(odd_docs):
+    from pyspark.sql import functions as F
+    docs = odd_docs
+    for n in ("__w", "__l", "__lang", "__source"):
+        docs = docs.withColumn(n, F.lit(n))
+    for got in (Q.measured(docs), Q.keep_good(docs)):
+        assert {"__w", "__l", "__lang", "__source"} <= set(got.columns)
+        assert all(r[n] == n for r in got.collect() for n in ("__w", "__l", "__lang", "__source"))
