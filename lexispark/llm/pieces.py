@@ -15,6 +15,10 @@ Text before segmentation: blanks become U+2581 and one is put in front, as the m
 say.  Models that normalise by a character map are refused.  Characters outside the vocabulary
 become their UTF-8 bytes' pieces, or the unknown piece where the model has no bytes.
 
+Memory: a task works on about TEXT_BYTES of text at a time.  Words are split and numbered by Arrow, so Python
+sees each distinct word of such a piece once, and those that a task remembers are bounded in number and
+bytes.  Decoding takes the pieces' bytes from one table: the ids of all texts are one gather.
+
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows are
 encoded alike; a text that contains U+2581 itself decodes with blanks there; extra columns are
 carried, same-named ones replaced; an empty table gives an empty table.
@@ -27,19 +31,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lexispark.llm.common import Numbers, mix64
+from lexispark.llm.common import Numbers, mix64, text_pieces
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 BLANK = "▁"
 LOWEST = -np.inf
 UNKNOWN_PENALTY = 10.0   # an unknown character scores this much below the worst piece
-KNOWN_WORDS = 600_000    # words a task remembers before it starts afresh
+KNOWN_WORDS = 300_000    # words a task remembers before it starts afresh
+KNOWN_BYTES = 24 << 20   # and bytes of them
+TEXT_BYTES = 4 << 20     # text encoded at once
+CUT = "\uffff"           # no character: stands between words while they are split
 MARK_BITS = 22
 PAIR_SLOTS = 1 << 21     # neighbour answers a task remembers
-CELLS = 1 << 21          # substrings probed at once
+CELLS = 1 << 18          # substrings probed at once
 
 
 def default_model() -> str:
@@ -184,22 +192,36 @@ class Pieces:
         return ok
 
     def decode(self, ids) -> str:
-        raw = b"".join(self._bytes_of(i) for i in ids)
-        text = raw.decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if self.prefix and text[:1] == " " else text
-
-    def _bytes_of(self, i: int) -> bytes:
-        table = self.__dict__.get("_table")
-        if table is None:
-            table = [s.encode() for s in self.strings]
-            if self.byte_ids is not None:
-                for b, k in enumerate(self.byte_ids):
-                    table[k] = bytes([b])
-            for k in self.special:
-                table[k] = b""
-            table[self.unknown] = " ⁇ ".encode()
-            self.__dict__["_table"] = table
-        return table[i]
+        return Decoder(self).batch(np.asarray(list(ids), np.int64), np.array([len(ids)]))[0].as_py()
+
+    def piece_bytes(self) -> list[bytes]:
+        """What each id stands for."""
+        table = [s.encode() for s in self.strings]
+        if self.byte_ids is not None:
+            for b, k in enumerate(self.byte_ids):
+                table[k] = bytes([b])
+        for k in self.special:
+            table[k] = b""
+        table[self.unknown] = " ⁇ ".encode()
+        return table
+
+
+class Decoder:
+    """Decodes batches of ids with one model."""
+
+    def __init__(self, model: Pieces):
+        self.table = pa.array(model.piece_bytes(), pa.large_binary())
+        self.prefix = model.prefix
+
+    def batch(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """Texts of ``n`` ids each, one text after another."""
+        taken = self.table.take(pa.array(ids))
+        _, at, data = taken.buffers()             # the bytes of all texts, one after another
+        at = np.frombuffer(at, np.int64)[taken.offset:taken.offset + len(ids) + 1] if len(ids) else [0]
+        edge = np.asarray(at)[np.append(0, np.cumsum(n))].tolist()
+        raw = memoryview(data) if data else memoryview(b"")
+        texts = (str(raw[a:b], "utf-8", "replace").replace(BLANK, " ") for a, b in zip(edge, edge[1:]))
+        return pa.array([t[1:] if self.prefix and t[:1] == " " else t for t in texts], pa.string())
 
 
 class Encoder:
@@ -208,8 +230,9 @@ class Encoder:
     def __init__(self, model: Pieces):
         self.m = model
         cut = "\n" if model.cut_lines else ""
-        self.split = (re.compile(f"[{BLANK}]+[^{BLANK}{cut}]*|[^{BLANK}{cut}]+" + "|\n" * bool(cut))
-                      if model.cut_words else re.compile("(?s).+"))
+        self.words = (f"[{BLANK}]+[^{BLANK}{cut}]*|[^{BLANK}{cut}]+" + "|\n" * bool(cut)
+                      if model.cut_words else "(?s).+")
+        self.find = re.compile(self.words).findall
         # BPE: answers about neighbours, each in the slot of its hash
         self.pairs = np.full(PAIR_SLOTS if model.bpe else 0, -1, np.int64)
         self.pair_ok = np.zeros(len(self.pairs), bool)
@@ -217,27 +240,46 @@ class Encoder:
 
     def _forget(self):
         self.place, self.ids = Numbers(), np.zeros(0, np.int32)
-        self.start = self.count = np.zeros(0, np.int64)
-
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.place[""] = 0                        # behind the last word; it has no ids
+        self.start = self.count = np.zeros(1, np.int64)
+        self.bytes = 0
+
+    def _numbered(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word, words of each text)."""
+        text = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        text = pc.replace_substring(text, " ", BLANK)
+        if self.m.prefix:
+            some = pc.greater(pc.binary_length(text), 0)
+            text = pc.if_else(some, pc.binary_join_element_wise(BLANK, text, ""), text)
+        if pc.any(pc.match_substring(text, CUT)).as_py():
+            lists = [self.find(t) for t in text.to_pylist()]
+            flat = pa.array([w for x in lists for w in x], pa.string())
+            size = np.array([len(x) for x in lists], np.int64)
+        else:
+            cut = pc.split_pattern(pc.replace_substring_regex(text, self.words, "\\0" + CUT), CUT)
+            size = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = cut.flatten()
+        coded = flat.dictionary_encode()          # a Python object a distinct word only
+        known = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+        return numbers[coded.indices.to_numpy()], size
+
+    def batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.place) > KNOWN_WORDS:
+        if len(self.place) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
             self._forget()
-        find, front = self.split.findall, BLANK if self.m.prefix else ""
-        words = [find(front + t.replace(" ", BLANK)) if t else [] for t in texts]
-        flat = [w for x in words for w in x]
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        at, size = self._numbered(texts)
         if self.place.new:
             self._learn()
         n = self.count[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) - np.repeat(ends - n, n) + np.repeat(self.start[at], n)]
-        upto = np.append(0, ends)[np.cumsum([len(x) for x in words])] if words else np.zeros(0, int)
-        return ids, np.diff(upto, prepend=0)
+        ids = self.ids[np.arange(total) - np.repeat(ends - n - self.start[at], n)]
+        return ids, np.diff(np.append(0, ends)[np.cumsum(size)], prepend=0)
 
     def _learn(self):
         words, self.place.new = self.place.new, []
+        self.bytes += sum(map(len, words))
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             groups.setdefault(len(w), []).append(i)
@@ -352,22 +394,27 @@ class Encoder:
         return np.array(out, np.int64), np.array(sizes, np.int64)
 
 
-def encode(docs: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ids (array of int) and n_tokens."""
+def encode(docs: DataFrame, model: str | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` with ids (array of int), n_tokens and, if asked, decoded (the text that these ids stand for,
+    made in the same task)."""
     spark = docs.sparkSession
-    base = docs.drop("ids", "n_tokens")
+    names = ["ids", "n_tokens", *(["decoded"] if decoded else [])]
+    base = docs.drop(*names)
     shared = spark.sparkContext.broadcast(Pieces.load(model or default_model()))
 
     def run(batches):
         coder = Encoder(shared.value)
-        for batch in batches:
-            ids, n = coder.batch(batch.column(text).to_pylist())
-            at = np.append(0, np.cumsum(n)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())),
-                 pa.array(n, pa.int64())], names=[*batch.schema.names, "ids", "n_tokens"])
+        back = Decoder(shared.value) if decoded else None
+        for whole in batches:
+            for batch in text_pieces(whole, text, TEXT_BYTES):
+                ids, n = coder.batch(batch.column(text))
+                at = np.append(0, np.cumsum(n)).astype(np.int32)
+                more = [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.array(n, pa.int64())]
+                if back is not None:
+                    more.append(back.batch(ids, n))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{schema}, ids array<int>, n_tokens bigint")
+    return base.mapInArrow(run, f"{schema}, ids array<int>, n_tokens bigint" + ", decoded string" * decoded)
 
 
 def decode(docs: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
@@ -376,10 +423,14 @@ def decode(docs: DataFrame, model: str | None = None, ids: str = "ids") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model or default_model()))
 
     def run(batches):
-        m = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([m.decode(x or ()) for x in batch.column(ids).to_pylist()],
-                                          pa.string())], names=[*batch.schema.names, "decoded"])
+        back = Decoder(shared.value)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                column = batch.column(ids)
+                n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, back.batch(flat, n.astype(np.int64))],
+                                                 names=[*batch.schema.names, "decoded"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     return base.mapInArrow(run, f"{schema}, decoded string")

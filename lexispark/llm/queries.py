@@ -35,7 +35,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it (blanks for U+2581, as the model has it)."""
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text")))
+    coded = pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), decoded=True)
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), pieces.BLANK, " ")
     return coded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == plain).alias("round_trip"))
 

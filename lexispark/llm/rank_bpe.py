@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Numbers, worker_memo
+from lexispark.llm.common import Numbers, text_pieces, worker_memo
 
 NO_RANK = np.int32(2 ** 31 - 1)
 SHORT = 128              # bytes of a word that is scanned
@@ -308,16 +308,6 @@ class Decoder:
                          for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.string())
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int):
-    """Slices of a batch of about ``most`` bytes of a text column; a row at least."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(size) - size) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text",
            decoded: bool = False) -> DataFrame:
     """``docs`` with ids (array of int) and, if asked, decoded (the text that these ids stand for,
@@ -330,7 +320,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text",
         coder = worker_memo(("rank_bpe", path), lambda: Encoder(shared.value))
         back = Decoder(coder.m) if decoded else None
         for whole in batches:
-            for batch in pieces(whole, text, TEXT_BYTES):
+            for batch in text_pieces(whole, text, TEXT_BYTES):
                 ids, n = coder.batch(batch.column(text))
                 at = np.append(0, np.cumsum(n)).astype(np.int32)
                 more = [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32()))]

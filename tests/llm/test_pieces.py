@@ -89,8 +89,27 @@ def test_batches_and_forgetting_change_nothing(monkeypatch):
     assert got == whole
 
 
+def test_text_pieces_cover_all_rows():
+    import pyarrow as pa
+
+    from lexispark.llm.common import text_pieces
+    batch = pa.RecordBatch.from_pydict({"i": range(7), "t": ["a" * 3, None, "", "b" * 50, "c", "d" * 9, "e"]})
+    for most in (1, 10, 1000):
+        parts = list(text_pieces(batch, "t", most))
+        assert [i for p in parts for i in p.column("i").to_pylist()] == list(range(7))
+    assert len(parts) == 1 and not list(text_pieces(batch.slice(0, 0), "t", 5))
+
+
+def test_words_with_the_cutting_character(library):
+    model = P.Pieces.load(P.default_model())
+    odd = ["a\uffffb  c", "\uffff", "plain text"]
+    assert encoded(model, odd) == library.encode(odd)
+
+
 def test_edges(no_docs, odd_docs, clash):
     assert P.decode(P.encode(no_docs)).count() == 0
+    both = P.encode(clash(odd_docs), decoded=True).collect()
+    assert all(r.decoded == (r.text or "").replace("▁", " ") for r in both) and len(both) == 10
     got = P.decode(P.encode(clash(odd_docs)))
     assert dict(got.dtypes)["ids"] == "array<int>"
     for r in got.collect():
