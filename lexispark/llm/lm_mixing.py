@@ -28,7 +28,10 @@ The counts that score are those of all training texts.  A block's distinct (cont
 are sorted 64-bit keys: 52 bits of the context's hash, then the code, so the counters of a node are
 the counts of a range of keys.  Keys are dealt into parts by range, about PART_BYTES of text each;
 a part adds the counts of all blocks and answers every block's keys with the log-odds along their
-codes (in steps of 1/ODDS_STEP).  This table grows with the training texts, no two contexts share a
+codes (in steps of 1/ODDS_STEP).  A block sends FAN rows at most: beyond FAN parts, the keys of about FAN blocks
+are first merged (their counts added) and only then dealt further, level by level, and the answers come
+back the same way; so rows grow with the text times the number of levels, and a context that
+occurs everywhere reaches its part once from each merged group.  This table grows with the training texts, no two contexts share a
 counter (but for equal 52 bits), and no task or driver holds more than a part of it.  Of the word
 model, only the 2^BITS counts without context, the weights and the map are broadcast; the spelling
 model has 2^SLOT_BITS slots a context, a few MB at any size.
@@ -63,6 +66,7 @@ RUN = 16_384               # codes predicted before the model learns from them
 REFRESH = 200_000          # codes learnt between two computations of a table's log-odds
 BLOCK_BYTES = 8 << 20      # text in a block
 PART_BYTES = 8 << 20       # text whose contexts make a part of the word model's table
+FAN = 256                  # parts that a block, or a group of merged blocks, is dealt over
 ODDS_STEP = 10             # log-odds of that table are whole multiples of 1 / ODDS_STEP
 LEARN_BYTES = 64 << 20     # text that a task learns from, at least
 MAP_BINS = 33              # quantised log-odds of the adaptive map
@@ -459,6 +463,55 @@ def _answer_part(rows: pa.Table) -> pa.Table:
         [_pack(odds[x]) for x in np.split(at, cuts)], pa.binary())})
 
 
+def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys, their counts, keys of each row) of the keys of several blocks."""
+    keys = [np.cumsum(_unpack(x.as_buffer(), "u8"), dtype=_U) for x in rows.column("keys")]
+    count = np.concatenate([_unpack(x.as_buffer(), "u4") for x in rows.column("n")])
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(at, count, len(every)), keys
+
+
+def _merge(parts: int):
+    """The keys of a group of blocks in one place, merged and dealt over finer places."""
+    def run(key, rows):
+        keys, count, _ = _summed(rows)
+        part = part_of(keys, parts)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        return pa.table({
+            "block": [key[0].as_py()] * (len(cuts) - 1), "place": part[cuts[:-1]],
+            "keys": pa.array([_pack(np.diff(keys[a:b], prepend=_U(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            "n": pa.array([_pack(np.minimum(count[a:b], 2 ** 32 - 1).astype(np.uint32)) for a, b in zip(cuts, cuts[1:])],
+                          pa.binary())})
+    return run
+
+
+def _give_back(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to merged keys, handed to the blocks that the keys came from."""
+    every, _, keys = _summed(rows)
+    odds = np.concatenate([np.frombuffer(x.as_buffer(), np.int8).reshape(BITS, -1).T
+                           for x in answers.sort_by("fine").column("odds")])
+    if len(odds) != len(every):
+        raise ValueError("merged contexts are not those that were counted")
+    return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
+        [_pack(odds[np.searchsorted(every, k)]) for k in keys], pa.binary())})
+
+
+def answered(keyed: DataFrame, places: int, parts: int, n_blocks: int, fan: int) -> DataFrame:
+    """block, place, odds for the keys (block, place, keys, n) of each block in ``places`` ranges, by the
+    counts of all blocks in ``parts`` ranges."""
+    schema = "block bigint, place bigint, odds binary"
+    if places >= parts:
+        return keyed.groupBy("place").applyInArrow(_answer_part, schema)
+    groups, finer = -(-n_blocks // fan), min(fan, -(-parts // places))
+    rows = keyed.withColumn("up", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    merged = settle(rows.groupBy("up", "place").applyInArrow(
+        _merge(places * finer), "block bigint, place bigint, keys binary, n binary"), "merged", "zstd")
+    got = answered(merged, places * finer, parts, groups, fan).select(
+        F.col("block").alias("up"), F.floor(F.col("place") / finer).cast("bigint").alias("place"),
+        F.col("place").alias("fine"), "odds")
+    return rows.groupBy("up", "place").cogroup(got.groupBy("up", "place")).applyInArrow(_give_back, schema)
+
+
 def _learn_letters(batches):
     mixer = byte_mixer()
     for batch in batches:
@@ -560,7 +613,7 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     tasks, parts = max(1, -(-n_bytes // LEARN_BYTES)), max(1, -(-n_bytes // PART_BYTES))
     learned = settle(blocks.select("block", "text", (~F.col("held_out")).alias("train"))
-                     .coalesce(tasks).mapInArrow(_learn_words(parts), LEARNED_SQL), "learned", "zstd")
+                     .coalesce(tasks).mapInArrow(_learn_words(min(parts, FAN)), LEARNED_SQL), "learned", "zstd")
     words = learned.filter("kind is null").select("block", "word", "a")
     counts = settle(words.groupBy("word").agg(F.sum("a").cast("bigint").alias("c"))
                     .filter("c > 0"), "counts")
@@ -575,8 +628,8 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     shared = spark.sparkContext.broadcast(Scores(
         {k: got.column(k).to_numpy() for k in ("kind", "place", "a", "b")},
         int(total or 0), int(distinct or 0), int(single or 0)))
-    answers = (learned.filter(f"kind = {KEYS}").select("block", "place", "keys", "n").groupBy("place")
-               .applyInArrow(_answer_part, "block bigint, place bigint, odds binary"))
+    answers = answered(learned.filter(f"kind = {KEYS}").select("block", "place", "keys", "n"), min(parts, FAN),
+                       parts, max(1, -(-n_bytes // block_bytes)), FAN)
     found = words.join(counts, "word").select("block", "word", "c").unionByName(
         answers, allowMissingColumns=True)
     scored = (blocks.drop("n_bytes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(

@@ -123,6 +123,58 @@ def test_every_context_has_counters_of_its_own():
             assert abs(odds[i, d] / M.ODDS_STEP - math.log((n[1] + 0.4) / (n[0] + 0.4))) <= 0.051
 
 
+def test_levels_of_merging_change_nothing(spark, monkeypatch):
+    """Many parts reached level by level, a few at a time, give the counts that one deal gives."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    score = lambda: {r.doc_id: r.score for r in M.score_texts(docs, block_bytes=30_000).collect()}
+    monkeypatch.setattr(M, "PART_BYTES", 20_000)
+    once = score()
+    monkeypatch.setattr(M, "FAN", 3)
+    sent, learn = [], M._learn_words
+    monkeypatch.setattr(M, "_learn_words", lambda parts: (sent.append(parts), learn(parts))[1])
+    levels = score()
+    assert sent == [3] and len(once) == len(levels) == docs.count()
+    assert all(abs(once[i] - levels[i]) < 1e-6 for i in once)
+
+
+def test_rows_grow_with_the_blocks(spark):
+    """Keys of 8, 16 and 32 blocks over 64 parts with a fan of 4: rows of all levels for each block."""
+    import numpy as np
+    rng = np.random.default_rng(0)
+    made, settle = {}, M.settle
+    for n in (8, 16, 32):
+        rows, want = [], collections.Counter()
+        blocks = {b: np.unique(np.append(rng.integers(0, 1 << 63, 400), 7 << 60)).astype(np.uint64) for b in range(n)}
+        for b, keys in blocks.items():
+            want.update(keys.tolist())
+            part = M.part_of(keys, 4)
+            for k in np.unique(part):
+                mine = keys[part == k]
+                rows.append((b, int(k), M._pack(np.diff(mine, prepend=np.uint64(0))),
+                             M._pack(np.ones(len(mine), np.uint32))))
+        df = spark.createDataFrame(rows, "block long, place long, keys binary, n binary")
+        counted = []
+
+        def told(d, name, codec="snappy"):
+            out = settle(d, name, codec)
+            counted.append(out.count())
+            return out
+        M.settle = told
+        try:
+            got = M.answered(df, 4, 64, n, 4).collect()
+        finally:
+            M.settle = settle
+        made[n] = (len(rows) + sum(counted)) / n
+        every = np.array(sorted(want), np.uint64)
+        odds = dict(zip(every.tolist(), M.path_odds(every, np.array([want[k] for k in every.tolist()]))))
+        for r in got:
+            keys = blocks[r.block][M.part_of(blocks[r.block], 4) == r.place]
+            mine = np.frombuffer(r.odds, np.int8).reshape(M.BITS, -1).T
+            assert (mine == np.array([odds[k] for k in keys.tolist()])).all()
+        assert len(got) == len(rows)
+    assert len(counted) == 2 and max(made.values()) <= 4 * 3 and made[32] <= made[8] * 1.2
+
+
 def test_two_words_before_tell_the_next(spark):
     """Words with one ending that follow from the two before, and not from one."""
     rng = np.random.default_rng(4)
