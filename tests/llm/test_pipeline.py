@@ -54,9 +54,45 @@ def test_stages_one_after_another(spark):
     assert mixing and near_dups
 
 
-def test_ten_queries_are_registered():
+def filled(odd_docs):
+    """The odd rows, with texts that pass the rules, repeated rows and null keys among them."""
+    from pyspark.sql import functions as F
+    prose = " ".join(f"{a}{b}" for a in ("brown ", "river ", "stone ", "quiet ", "amber ", "north ")
+                     for b in ("house", "field", "garden", "window", "morning", "letter", "winter", "market"))
+    more = odd_docs.limit(1).select(
+        F.explode(F.array(*[F.lit(i).cast("long") for i in (50, 50, 51, None)])).alias("doc_id"),
+        F.lit(prose).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("a").alias("source"),
+        F.lit(1).cast("long").alias("n_chars"))
+    return odd_docs.unionByName(more)
+
+
+def test_edges_of_every_stage(spark, odd_docs, no_docs, clash):
+    docs = clash(filled(odd_docs))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.settle(stage(spark, docs, SF), "edge")
+        assert out.columns == columns, name
+        assert all(r["score"] == r["kept"] == r["mix_key"] == r["block"] == "x" for r in out.collect()), name
+        docs = docs if name == "quality classifier" else out     # the rules see every odd row
+        if name != "quality classifier":
+            assert out.where("text is null or text = ''").count() == 0
+        if name == "near-dedup":
+            texts = [r.text for r in out.collect()]
+            assert len(texts) == len(set(texts)) > 0             # one of each group of copies
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == ["doc_id", "ids", "n_tokens"]
+    whole = corpus_pipeline.STAGES[-1][1](spark, clash(odd_docs), SF).collect()
+    assert len(whole) == odd_docs.count() and all(r.ids == [] for r in whole if r.doc_id in (2, 3))
+    docs = clash(no_docs)
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.settle(stage(spark, docs, SF), "none")
+        assert out.count() == 0, name
+        docs = out if name != "encoding" else docs
+
+
+def test_thirteen_queries_are_registered():
     import __spark_entry__
     names = set(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(Q.ORACLES) <= names

@@ -85,3 +85,40 @@ def test_edges(spark, no_docs, odd_docs, clash):
         "score").collect()}
     assert all(0 <= s <= 1 for s in empty)
     assert C.classify(no_docs, labels).count() == 0
+
+
+def score_by_hand(text, model):
+    """The score of one text in plain Python: every feature counted byte by byte."""
+    raw = (text or "").encode()
+    words = [w for w in raw.translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ") if w]
+    x = [300 / (300 + len(raw))] + [0.0] * (15 + 512)
+    if words:
+        kinds = [0] * 10
+        for c in raw:
+            kinds[9 if c > 127 else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57
+                  else 5 if c == 10 else 4 if c in (9, 11, 12, 13, 32) else 7 if c in b".!?"
+                  else 6 if c in b"#*$%&|<>{}[]\\^~_=+@" else 8 if c in b",;:'\"()-/`" else 0] += 1
+        x[1:11] = [(k / len(raw)) ** 0.5 for k in kinds]
+        x[11] = (sum(a == b for a, b in zip(words, words[1:])) / len(words)) ** 0.5
+        x[12] = 1 - len(set(words)) / len(words)
+        x[13] = min(sum(map(len, words)) / len(words) / 10, 5)
+        lines = [w for w in raw.split(b"\n") if w.strip(b"\t\n\v\f\r ")]
+        x[14] = 1 - len(set(lines)) / len(lines)
+        x[15] = sum(len(w) == 1 for w in words) / len(words)
+        pairs = [0] * 512
+        for a, b in zip(raw, raw[1:]):
+            pairs[((a << 8 | b) * 2654435769 & 0xFFFFFFFF) >> 23] += 1
+        x[16:] = [(k / max(1, len(raw) - 1)) ** 0.5 for k in pairs]
+    z = [(v - float(m)) / float(s) for v, m, s in zip(x, model.mean, model.scale)]
+    z[16:] = [v * (1 - x[0]) for v in z[16:]]
+    t = sum(v * float(w) for v, w in zip(z, model.weight)) + model.bias
+    return 1 / (1 + np.exp(-min(30, max(-30, t))))
+
+
+def test_scores_equal_a_count_by_hand(spark, odd_docs):
+    docs, labels = corpus(spark)
+    model = C.train(docs, labels)
+    some = docs.filter("doc_id < 25").unionByName(odd_docs)
+    for r in C.score(some, model).collect():
+        if len(r.text or "") < 20_000:
+            assert abs(r.score - score_by_hand(r.text, model)) < 1e-4, r.doc_id
