@@ -2,21 +2,38 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the
 columns of documents; the last adds token ids instead.  ``run`` writes every stage's rows to the
-shared folder and reads them back as the next one's docs."""
+shared folder and reads them back as the next one's docs.
+
+Defined cases, stage by stage: null and empty texts have a classifier score like any other text, and fail the
+quality rules (no 50 words), so no stage behind sees them; null ids, languages and sources are values of their
+own; of rows that are equal in id and text the near-dedup keeps one, as of any group of copies; extra columns are
+carried by all stages but the last, whatever their names; an empty table passes every stage as an empty table
+with the same columns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexispark.llm import mixing, near_dups, pieces, quality_classifier, quality_rules
-from lexispark.llm.common import settle
+from lexispark.llm.common import fresh, settle
 from lexispark.sources.tables import table
 
 
+def beside(docs: DataFrame, taken: tuple[str, ...], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after an operator that gives columns named ``taken`` of its own."""
+    names = {c: fresh(c) for c in docs.columns if c in taken}
+    out = operator(docs.withColumnsRenamed(names))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
-    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return beside(docs, ("score", "predicted"),
+                  lambda d: quality_classifier.classify(d, labels).filter("predicted = 1"))
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +48,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents are repeated to their source's target weight and shuffled."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return beside(docs, ("copy_no", "mix_key"), mixing.mix_sources)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
