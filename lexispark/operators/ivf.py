@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.arrays import l2_normalize
 from lexispark.functions.keys import rkey
-from lexispark.operators.sampling import exact_rank
-from lexispark.sources.io import scratch
+from lexispark.operators.sampling import join_dim
+from lexispark.sources.io import settle
 
 SAMPLE = 1 << 16          # vectors on which the first centroids are fitted
 LIST_SAMPLE = 1 << 13     # vectors of a list on which its own centroids are fitted
@@ -34,13 +34,6 @@ FAN = 64                  # lists a large list is split into at most
 QUERY_TILE = 2048
 
 
-def _settle(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _stack(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
@@ -88,14 +81,14 @@ def classes(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("bigint").alias("id"), l2_normalize(vec_col).alias("vec")) \
         .where(F.col("vec").isNotNull())
     keyed = v.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit("two"), F.col("vec")))
-    # ranked by id: zero-padded hex sorts as the numbers do; cells by a hash of the id split a hot class
+    # cells by a hash of the id split a hot class
     w = Window.partitionBy("h1", "h2", "cell").orderBy("id")
     cells = keyed.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(64)))
     # only the k smallest ids of a class can be neighbours, and they are among the k smallest of its cells
     some = cells.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     placed = some.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id")))
     first = placed.where("place = 1").select("h1", "h2", F.col("id").alias("same"))
-    named = keyed.join(first, ["h1", "h2"])
+    named = join_dim(keyed, first, ["h1", "h2"])
     low = placed.where(F.col("place") <= k).select(F.col("id").alias("pid"), "place")
     return named.join(low, F.col("id") == F.col("pid"), "left").select("id", "vec", "same", "place")
 
@@ -119,13 +112,16 @@ def fit_lists(rows: DataFrame, n: int, most: int, seed: int = 0, rounds: int = 8
     first = int(np.clip(n // max(1, most // 2), 1, 256))
     c = k_means(_stack(picked["vec"]), first, seed)
     for _ in range(rounds):
-        lists = _settle(_assigned(rows, spark.sparkContext.broadcast(c)), "ivf-lists")
+        lists = settle(_assigned(rows, spark.sparkContext.broadcast(c)), "ivf-lists")
         sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
         room = MOST_LISTS - len(c)
         if room <= 0 or not sizes.limit(1).count():
             break
+        # about twice the sample by a hash before the ranking: a hot list is not sorted by one task
         w = Window.partitionBy("list").orderBy(rkey("ivf-split", "id"), "id")
-        sample = lists.join(sizes, "list").withColumn("r", F.row_number().over(w)).where(
+        some = F.pmod(F.xxhash64(F.lit("split"), F.col("id")), F.lit(1 << 30)).cast("double") * F.col("n") < (
+            F.lit(float(2 * LIST_SAMPLE * (1 << 30))))
+        sample = lists.join(sizes, "list").where(some).withColumn("r", F.row_number().over(w)).where(
             F.col("r") <= LIST_SAMPLE)
 
         def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,12 +162,13 @@ def _searched(book, keep: int):
     def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(held):
-            q, qid = _stack(asked["vec"]), asked["qid"].to_numpy(np.int64)
-            c = book.value[int(key[0])]
+            # distances of what the centroid leaves over: their errors are small against the distances
+            # themselves, however near the vectors of a list are to each other
+            q, qid = _stack(asked["vec"]) - book.value[int(key[0])], asked["qid"].to_numpy(np.int64)
             for ids, code, scale in zip(held["ids"], held["code"], held["scale"]):
                 ids = np.frombuffer(ids, "<i8")
-                x = c + np.frombuffer(code, np.int8).reshape(len(ids), -1) * np.frombuffer(scale)[:, None]
-                s = q @ x.T
+                x = np.frombuffer(code, np.int8).reshape(len(ids), -1) * np.frombuffer(scale)[:, None]
+                s = q @ x.T - 0.5 * ((x * x).sum(1) + (q * q).sum(1)[:, None])
                 k = min(keep, len(ids))
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 out.append(pd.DataFrame({"qid": np.repeat(qid, k), "nid": ids[best].ravel(),
@@ -187,7 +184,7 @@ def knn_ivf(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embe
 
     Every row is indexed and every row is a query.  Recall against ``knn`` is a query of its own."""
     spark = vectors.sparkSession
-    rows = _settle(classes(vectors, k, id_col, vec_col), "ivf-rows")
+    rows = settle(classes(vectors, k, id_col, vec_col), "ivf-rows")
     heads = rows.where(F.col("id") == F.col("same")).select("id", "vec")
     n = heads.count()
     schema = "qid bigint, rank int, nid bigint, sim double"
@@ -195,7 +192,7 @@ def knn_ivf(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embe
         return spark.createDataFrame([], schema)
     most = max(most, -(-n // (MOST_LISTS // 2)))
     book = spark.sparkContext.broadcast(fit_lists(heads, n, most, seed))
-    lists = _settle(_coded(heads, book), "ivf-codes")
+    lists = settle(_coded(heads, book), "ivf-codes")
 
     def probe(batches):
         for pdf in batches:
@@ -208,10 +205,11 @@ def knn_ivf(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embe
     load = heads.mapInPandas(probe, "qid bigint, list bigint, vec array<double>").groupBy("list").agg(
         F.ceil(F.count(F.lit(1)) / QUERY_TILE).cast("bigint").alias("tiles"))
     parts = lists.groupBy("list").agg(F.count(F.lit(1)).alias("parts"))
-    deal = _settle(load.join(parts, "list"), "ivf-deal")
+    deal = settle(load.join(parts, "list"), "ivf-deal")
     asked = asked.join(deal, "list").withColumn("tile", F.pmod(F.xxhash64("qid"), F.col("tiles"))) \
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    held = lists.join(deal, "list").withColumn("tile", F.explode(F.sequence(
+    again = deal.select(*[F.col(c).alias(c) for c in deal.columns])     # names of its own for the other side
+    held = lists.join(again, "list").withColumn("tile", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.col("tiles") - 1)))
     keep = refine * k
     found = asked.groupBy("list", "tile", "part").cogroup(held.groupBy("list", "tile", "part")).applyInPandas(
@@ -227,13 +225,17 @@ def knn_ivf(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embe
               .select("qid", F.col("nid").alias("head"), similarity("qv", "nv").alias("sim")))
     by = Window.partitionBy("qid").orderBy(F.desc("sim"), "head")
     top = scored.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).drop("r")
-    # heads stand for the k smallest ids of equal vectors; then every one of these asks
-    members = rows.where("place is not null").select(F.col("same").alias("head"), F.col("id").alias("nid"))
-    full = top.join(members, "head").withColumn("rank", F.row_number().over(
-        Window.partitionBy("qid").orderBy(F.desc("sim"), "nid"))).where(F.col("rank") <= k)
-    askers = rows.select(F.col("id").alias("asker"), F.col("same").alias("qid"))
-    return full.join(askers, "qid").select(F.col("asker").alias("qid"), F.col("rank").cast("int").alias("rank"),
-                                           "nid", "sim")
+    # a head stands for the k smallest ids of equal vectors, and all of these ask what it asks; only heads
+    # with copies are joined, salted, as a class of copies may hold a large share of the rows
+    more = rows.where("place > 1").groupBy(F.col("same").alias("head")).agg(F.collect_list("id").alias("more"))
+    every = F.concat(F.array("head"), F.coalesce("more", F.array().cast("array<bigint>")))
+    full = join_dim(top, more, "head", "left").select("qid", "sim", F.explode(every).alias("nid")) \
+        .withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "nid"))) \
+        .where(F.col("rank") <= k).select("qid", F.col("rank").cast("int").alias("rank"), "nid", "sim")
+    copies = rows.where(F.col("id") != F.col("same")).select(F.col("id").alias("asker"), F.col("same").alias("qid"))
+    theirs = full.join(copies.select("qid").distinct(), "qid", "left_semi")
+    return full.unionByName(join_dim(copies, theirs, "qid").select(
+        F.col("asker").alias("qid"), "rank", "nid", "sim"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 Exact top-k uses a grid of tiles.  Partitions pack their vectors into tiles of TILE_ROWS rows (one
 row a tile: ids, matrix bytes, carried labels).  Every tile of targets meets every tile of queries:
 cells are (query tile, stripe of targets), a cell's task holds one tile of either kind and the
-running top-k of its queries, and the k best of each stripe are merged by a window.  Scores are
+running top-k of its queries, and the k best of each stripe are merged by a window.  There are as
+many stripes as keep all cores busy, so many tiles need no merging.  Scores are
 chosen first and ids and labels are gathered for the winners only, so a task's arrays are bounded
-by TILE_ROWS x TILE_ROWS.  Work is O(N^2 d) by nature; for large N use ``knn_approx``.
+by TILE_ROWS x TILE_ROWS.  Work is O(N^2 d) by nature; for large N use ``knn_approx`` (``ivf``).
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.functions.arrays import dot, l2_normalize
+from lexispark.functions.arrays import l2_normalize
 from lexispark.functions.keys import r6
 
 TILE_ROWS = 2048
-STRIPES = 4
 
 
 def _tile_schema(carry):
-    fields = [T.StructField("tile", T.LongType()), T.StructField("ids", T.BinaryType()),
+    fields = [T.StructField("tile", T.LongType()), T.StructField("within", T.StringType()),
+              T.StructField("ids", T.BinaryType()),
               T.StructField("mat", T.BinaryType()), T.StructField("d", T.IntegerType())]
     fields += [T.StructField(f"c_{c}", T.ArrayType(T.StringType())) for c in carry]
     return T.StructType(fields)
@@ -33,26 +34,29 @@ def _tile_schema(carry):
 def _packer(carry, tile_rows: int):
     def run(batches):
         from pyspark import TaskContext
-        number, seq, held = TaskContext.get().partitionId(), 0, []
+        number, seq = TaskContext.get().partitionId(), 0
+        held: dict[str, list] = {}          # rows of each set that wait for a full tile
 
-        def emit(pdf):
+        def emit(pdf, within):
             mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-            row = {"tile": [number << 32 | seq], "ids": [pdf["id"].to_numpy("<i8").tobytes()],
+            row = {"tile": [number << 32 | seq], "within": [within], "ids": [pdf["id"].to_numpy("<i8").tobytes()],
                    "mat": [mat.tobytes()], "d": [mat.shape[1]]}
             for c in carry:
                 row[f"c_{c}"] = [pdf[c].to_numpy(object)]
             return pd.DataFrame(row)
-        for pdf in batches:
-            held.append(pdf)
-            while sum(map(len, held)) >= tile_rows:
-                whole = pd.concat(held, ignore_index=True)
+        for batch in batches:
+            for within, pdf in batch.groupby("within", sort=True):
+                held.setdefault(within, []).append(pdf)
+                while sum(map(len, held[within])) >= tile_rows:
+                    whole = pd.concat(held[within], ignore_index=True)
+                    seq += 1
+                    yield emit(whole[:tile_rows], within)
+                    held[within] = [whole[tile_rows:]]
+        for within, parts in held.items():
+            rest = pd.concat(parts, ignore_index=True)
+            if len(rest):
                 seq += 1
-                yield emit(whole[:tile_rows])
-                held = [whole[tile_rows:]]
-        rest = pd.concat(held, ignore_index=True) if held else []
-        if len(rest):
-            seq += 1
-            yield emit(rest)
+                yield emit(rest, within)
     return run
 
 
@@ -80,7 +84,7 @@ def _winners(score: np.ndarray, ids: np.ndarray, k: int):
     return col[np.arange(len(row)) - first[row] < k].reshape(len(score), k)
 
 
-def _cells(k: int, carry):
+def _cells(k: int, carry, by=None):
     """Rows come sorted by (cell, stripe), the query tile first."""
     def run(batches):
         here, q, s, i, x = None, None, None, None, None
@@ -88,6 +92,8 @@ def _cells(k: int, carry):
         def out():
             m, kk = s.shape
             pdf = {"qid": np.repeat(q.ids, kk), "nid": i.ravel(), "sim": s.ravel()}
+            if by is not None:
+                pdf["within"] = here[2]
             for j, c in enumerate(carry):
                 pdf[f"q_{c}"] = np.repeat(q.carry[j], kk)
                 pdf[f"n_{c}"] = x[j].ravel()
@@ -98,10 +104,10 @@ def _cells(k: int, carry):
                 if r["kind"] == 0:
                     if q is not None:
                         yield out()
-                    here, q = (r["cell"], r["stripe"]), tile
+                    here, q = (r["cell"], r["stripe"], r.get("within")), tile
                     s, i = np.empty((len(q.ids), 0)), np.empty((len(q.ids), 0), np.int64)
                     x = [np.empty((len(q.ids), 0), object) for _ in carry]
-                elif here == (r["cell"], r["stripe"]):
+                elif here is not None and here[:2] == (r["cell"], r["stripe"]):
                     sims = q.mat @ tile.mat.T
                     col = _winners(sims, tile.ids, k)
                     s = np.concatenate([s, np.take_along_axis(sims, col, 1)], axis=1)
@@ -116,156 +122,108 @@ def _cells(k: int, carry):
 
 
 def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-        metric: str = "ip", carry=(), tile_rows: int = TILE_ROWS, stripes: int = STRIPES) -> DataFrame:
-    """Exact top-k neighbours of every vector among all vectors (self included).
-
-    Output (qid, rank, nid, sim [, q_<c>, n_<c> for carried columns]); ties by nid.
-    metric 'cosine' normalises first (zero vectors are dropped: no direction).
+        metric: str = "ip", carry=(), tile_rows: int = TILE_ROWS, stripes: int | None = None,
+        by: str | None = None) -> DataFrame:
+    """Exact top-k neighbours of every vector among all vectors (self included), or among those with
+    the same value of ``by``: sets of vectors share one grid, whose tiles hold one set each and meet
+    tiles of their set only (rows without a set take no part).
+
+    Output ([by,] qid, rank, nid, sim [, q_<c>, n_<c> for carried columns]); ties by nid.
+    metric 'cosine' normalises first (zero vectors are dropped: no direction).  ``stripes`` is the number
+    of tasks that a tile of queries is dealt over; by default enough for two tasks a core, and one where
+    there are as many tiles.
     """
     carry = list(carry)
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"),
+    within = F.lit("") if by is None else F.col(by).cast("string")
+    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), within.alias("within"),
                        F.col(vec_col).cast("array<double>").alias("vec"),
-                       *[F.col(c).cast("string").alias(c) for c in carry]).where(F.col("vec").isNotNull())
+                       *[F.col(c).cast("string").alias(c) for c in carry]).where(
+        F.col("vec").isNotNull() & F.col("within").isNotNull())
     if metric == "cosine":
         v = v.withColumn("vec", l2_normalize("vec")).where(F.col("vec").isNotNull())
     # read several times below: one packing for all, kept in the shared checkpoint folder
     tiles = v.mapInPandas(_packer(carry, tile_rows), _tile_schema(carry)).checkpoint()
+    if stripes is None:
+        n_tiles = max(1, tiles.count())
+        stripes = min(n_tiles, -(-2 * v.sparkSession.sparkContext.defaultParallelism // n_tiles))
     wide = ["ids", "mat", "d", *[f"c_{c}" for c in carry]]
     # every tile's number meets every tile: a row of a few bytes for TILE_ROWS vectors
-    cells = tiles.select(F.col("tile").alias("cell"))
+    cells = tiles.select(F.col("tile").alias("cell"), F.col("within").alias("_w"))
     stripe = F.pmod(F.xxhash64("tile"), F.lit(stripes)).cast("int").alias("stripe")
-    met = tiles.select(F.lit(1).alias("kind"), "tile", stripe, *wide).crossJoin(cells)
-    held = tiles.select(F.lit(0).alias("kind"), "tile", F.explode(F.sequence(
+    met = tiles.select(F.lit(1).alias("kind"), "tile", "within", stripe, *wide)
+    if by is None:
+        met = met.crossJoin(cells.drop("_w"))
+    else:
+        # a join on the set alone would put all its tiles into one task; the names of all tiles are
+        # some 30 bytes for TILE_ROWS vectors, and the search is quadratic in their number anyway
+        met = met.join(F.broadcast(cells), F.col("within") == F.col("_w")).drop("_w")
+    held = tiles.select(F.lit(0).alias("kind"), "tile", "within", F.explode(F.sequence(
         F.lit(0), F.lit(stripes - 1))).alias("stripe"), *wide, F.col("tile").alias("cell"))
     fields = [T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
               T.StructField("sim", T.DoubleType())]
+    if by is not None:
+        fields.append(T.StructField("within", T.StringType()))
     for c in carry:
         fields += [T.StructField(f"q_{c}", T.StringType()), T.StructField(f"n_{c}", T.StringType())]
     found = (met.unionByName(held).repartition("cell", "stripe")
              .sortWithinPartitions("cell", "stripe", "kind", "tile")
-             .mapInPandas(_cells(k, carry), T.StructType(fields)))
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "nid")
+             .mapInPandas(_cells(k, carry, by), T.StructType(fields)))
+    sets = [] if by is None else ["within"]
+    w = Window.partitionBy(*sets, "qid").orderBy(F.desc("sim"), "nid")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("qid", "rank", "nid", "sim", *[x for c in carry for x in (f"q_{c}", f"n_{c}")])
-
-
-def _dense(rows: DataFrame, k: int, tile_rows: int = TILE_ROWS, stripes: int = STRIPES) -> DataFrame:
-    """The k best (qid, nid, sim) of every vector and stripe in its bucket (_t, _p) of _n vectors."""
-    parts = F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int")
-    # two tables deal a group in different ways: each has a hash of its own
-    dealt = rows.select("id", "vec", "_t", "_p", parts.alias("_m"),
-                        F.pmod(F.xxhash64("id", "_t"), parts).cast("int").alias("_h"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        mat = np.stack([np.asarray(v, np.float64) for v in pdf["vec"]])
-        first = pdf.iloc[0]
-        return pd.DataFrame({"_t": [first["_t"]], "_p": [first["_p"]], "_m": [first["_m"]], "_h": [first["_h"]],
-                             "ids": [pdf["id"].to_numpy("<i8").tobytes()], "mat": [mat.tobytes()],
-                             "d": [mat.shape[1]]})
-    tiles = dealt.groupBy("_t", "_p", "_h").applyInPandas(
-        pack, "_t int, _p string, _m int, _h int, ids binary, mat binary, d int").checkpoint()
-    name = lambda h: F.concat_ws(":", F.col("_t").cast("string"), "_p", h.cast("string"))
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    tile, wide = name(F.col("_h")).alias("tile"), ["ids", "mat", "d"]
-    # the tiles of a bucket are numbered, so a tile names all cells it meets without a join
-    met = tiles.select(F.lit(1).alias("kind"), tile, F.pmod(F.col("_h"), F.lit(stripes)).alias("stripe"), *wide,
-                       F.explode(F.transform(upto(F.col("_m")), name)).alias("cell"))
-    held = tiles.select(F.lit(0).alias("kind"), tile, F.explode(upto(F.lit(stripes))).alias("stripe"), *wide,
-                        name(F.col("_h")).alias("cell"))
-    return (met.unionByName(held).repartition("cell", "stripe")
-            .sortWithinPartitions("cell", "stripe", "kind", "tile")
-            .mapInPandas(_cells(k, []), "qid bigint, nid bigint, sim double"))
-
-
-def knn_approx(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-               tables: int = 24, bits: int = 6, most: int = 512, seed: int = 7,
-               deeper: int = 8) -> DataFrame:
-    """Approximate cosine top-k: signed random projections, exact re-rank of the candidates.
-
-    Every vector has a bucket in each of ``tables`` tables, by the signs of ``bits`` projections.
-    A bucket of more than ``most`` vectors is split by further signs, one at a time up to
-    ``deeper`` of them.  What is still larger, a dense or copied group, is compared whole: its tiles
-    meet in pairs, (query tile, stripe) cells as in ``knn``, so the work of such a bucket grows with
-    the square of its size but a task holds two tiles.  Every vector meets all others of its bucket
-    in every table.  Recall against ``knn`` is measured in the tests.
-    """
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"),
-                       l2_normalize(vec_col).alias("vec")).where(F.col("vec").isNotNull())
-    total = bits + deeper
-
-    @F.pandas_udf("array<string>")
-    def signs(vec: pd.Series) -> pd.Series:
-        if not len(vec):
-            return pd.Series([], dtype=object)
-        mat = np.stack([np.asarray(x, np.float64) for x in vec])
-        planes = np.random.default_rng(seed).normal(size=(mat.shape[1], tables * total))
-        bit = np.where((mat @ planes).reshape(len(mat), tables, total) > 0, "1", "0")
-        return pd.Series([["".join(t) for t in row] for row in bit])
-    placed = v.withColumn("_s", signs("vec")).select("id", "vec", F.posexplode("_s").alias("_t", "_s"))
-    # the shortest prefix of the signs whose bucket is small enough
-    prefix = placed.select("id", "_t", "_s", F.explode(F.sequence(F.lit(bits), F.lit(total))).alias("_b"))
-    key = F.expr("substring(_s, 1, _b)")
-    sizes = prefix.select("_t", key.alias("_p")).groupBy("_t", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    fits = prefix.withColumn("_p", key).join(sizes, ["_t", "_p"])
-    depth = fits.groupBy("id", "_t").agg(F.coalesce(
-        F.min(F.when(F.col("_n") <= most, F.col("_b"))), F.lit(total)).alias("_b"),
-        F.min("_n").alias("_n"))
-    where = placed.join(depth, ["id", "_t"]).select(
-        "id", "vec", "_t", F.expr("substring(_s, 1, _b)").alias("_p"), "_n")
-    small = where.where(F.col("_n") <= most)
-    a = small.select(F.col("id").alias("qid"), F.col("vec").alias("_qv"), "_t", "_p")
-    b = small.select(F.col("id").alias("nid"), F.col("vec").alias("_nv"), "_t", "_p")
-    pairs = a.join(b, ["_t", "_p"]).select("qid", "nid", dot("_qv", "_nv").alias("sim"))
-    pairs = pairs.unionByName(_dense(where.where(F.col("_n") > most), k))
-    best = pairs.groupBy("qid", "nid").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "nid")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("qid", "rank", "nid", "sim")
+    return ranked.select(*[F.col(x).alias(by) for x in sets], "qid", "rank", "nid", "sim", *[x for c in carry for x in (f"q_{c}", f"n_{c}")])
+
+
+def knn_approx(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", **options) -> DataFrame:
+    """Approximate cosine top-k by an inverted-file index (``ivf.knn_ivf``)."""
+    from lexispark.operators.ivf import knn_ivf
+    return knn_ivf(vectors, k, id_col, vec_col, **options)
 
 
 # --- V6/V7 retrieval scores -------------------------------------------------------------------
 
 def retrieval_scores(neighbors: DataFrame, labels: DataFrame | None, k: int, label: str,
-                     id_col: str = "id", drop: str = "first") -> DataFrame:
-    """Per query: nNeighbors (label size incl. self), retrieved (hits in ranks 2..k),
+                     id_col: str = "id", drop: str = "first", by=()) -> DataFrame:
+    """Per query (of each set, with ``by`` columns in both inputs): nNeighbors (label size incl. self), retrieved (hits in ranks 2..k),
     ap (mean precision at each hit, 0 without hits), accuracy = retrieved/min(nNeighbors, k).
 
     ``neighbors`` either carries q_<label>/n_<label> (from ``knn(carry=...)``: no join) or
     labels are joined from ``labels(id, label)``.  drop='first' drops rank 1 whatever it
     is (reference behaviour); 'self' drops the query's own id instead.
     """
-    nb = neighbors
+    nb, by = neighbors, list(by)
     if f"q_{label}" not in nb.columns:
-        lab = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("string").alias("_l"))
-        nb = (nb.join(lab.withColumnRenamed("_id", "qid").withColumnRenamed("_l", f"q_{label}"), "qid")
-              .join(lab.withColumnRenamed("_id", "nid").withColumnRenamed("_l", f"n_{label}"), "nid"))
+        lab = labels.select(*by, F.col(id_col).alias("_id"), F.col(label).cast("string").alias("_l"))
+        nb = (nb.join(lab.withColumnRenamed("_id", "qid").withColumnRenamed("_l", f"q_{label}"), [*by, "qid"])
+              .join(lab.withColumnRenamed("_id", "nid").withColumnRenamed("_l", f"n_{label}"), [*by, "nid"]))
     if drop == "first":
         nb = nb.where(F.col("rank") > 1).withColumn("pos", F.col("rank") - 1)
     else:
         nb = nb.where(F.col("qid") != F.col("nid"))
-        nb = nb.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+        nb = nb.withColumn("pos", F.row_number().over(Window.partitionBy(*by, "qid").orderBy("rank")))
     nb = nb.withColumn("hit", (F.col(f"q_{label}") == F.col(f"n_{label}")).cast("int"))
-    w = Window.partitionBy("qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     nb = nb.withColumn("cum", F.sum("hit").over(w))
-    per_q = nb.groupBy("qid").agg(
+    per_q = nb.groupBy(*by, "qid").agg(
         F.sum("hit").cast("bigint").alias("retrieved"),
         F.avg(F.when(F.col("hit") == 1, F.col("cum") / F.col("pos"))).alias("_ap"))
-    sizes = labels.groupBy(F.col(label).cast("string").alias("_l")) \
+    sizes = labels.groupBy(*by, F.col(label).cast("string").alias("_l")) \
         .agg(F.count(F.lit(1)).alias("nNeighbors"))
-    qlab = labels.select(F.col(id_col).alias("qid"), F.col(label).cast("string").alias("_l"))
-    res = qlab.join(sizes, "_l").join(per_q, "qid", "left")
+    qlab = labels.select(*by, F.col(id_col).alias("qid"), F.col(label).cast("string").alias("_l"))
+    res = qlab.join(sizes, [*by, "_l"]).join(per_q, [*by, "qid"], "left")
     return res.select(
-        "qid", F.col("_l").alias(label), "nNeighbors",
+        *by, "qid", F.col("_l").alias(label), "nNeighbors",
         F.coalesce("retrieved", F.lit(0)).cast("bigint").alias("retrieved"),
         F.coalesce("_ap", F.lit(0.0)).alias("ap"),
         (F.coalesce("retrieved", F.lit(0)) / F.least(F.col("nNeighbors"), F.lit(k))).alias("accuracy"))
 
 
-def micro_macro(scores: DataFrame, label: str, key: str | None = None) -> DataFrame:
-    """micro = mean over rows; macro = mean over labels of per-label means (one pass)."""
-    per = scores.groupBy(label).agg(F.sum("accuracy").alias("_sa"), F.sum("ap").alias("_sp"),
+def micro_macro(scores: DataFrame, label: str, key: str | None = None, by=()) -> DataFrame:
+    """micro = mean over rows; macro = mean over labels of per-label means (one pass), of each set."""
+    by = list(by)
+    per = scores.groupBy(*by, label).agg(F.sum("accuracy").alias("_sa"), F.sum("ap").alias("_sp"),
                                     F.count(F.lit(1)).alias("_n"))
-    out = per.agg((F.sum("_sa") / F.sum("_n")).alias("micro_acc"),
+    out = per.groupBy(*by).agg((F.sum("_sa") / F.sum("_n")).alias("micro_acc"),
                   F.avg(F.col("_sa") / F.col("_n")).alias("macro_acc"),
                   (F.sum("_sp") / F.sum("_n")).alias("micro_ap"),
                   F.avg(F.col("_sp") / F.col("_n")).alias("macro_ap"))

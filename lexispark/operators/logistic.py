@@ -17,19 +17,11 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.keys import rkey
 from lexispark.operators.sampling import exact_rank
-from lexispark.sources.io import scratch
+from lexispark.sources.io import settle
 
 TILE_ROWS = 1024
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: files that outlive executors, and known sizes."""
-    spark = df.sparkSession
-    path = scratch(spark, "logistic")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     x = np.stack([np.concatenate([np.asarray(a, np.float64), np.asarray(b, np.float64)])
                   for a, b in zip(pdf["e1"], pdf["e2"])])
@@ -101,7 +93,7 @@ def fit_lemma_logistic(pairs: DataFrame, l2: float = 0.01, iters: int = 50, tol:
     holds d^2 / 2 numbers in a turn.  Lemmas still moving after ``iters`` turns are not converged."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    tiles = _settle(tiles_of(pairs, label, lemma, id_col, e1, e2, tile_rows))
+    tiles = settle(tiles_of(pairs, label, lemma, id_col, e1, e2, tile_rows), "tiles")
     kind = dict(tiles.dtypes)["lemma"]
     state = (f"lemma {kind}, n bigint, d int, reach double, w array<double>, moved double, "
              "objective double, steps int, moving boolean")
@@ -114,8 +106,8 @@ def fit_lemma_logistic(pairs: DataFrame, l2: float = 0.01, iters: int = 50, tol:
                 .withColumn("sums", array_to_vector("sums"))
                 .groupBy("lemma").agg(Summarizer.sum(F.col("sums")).alias("sums"))
                 .select("lemma", vector_to_array("sums").alias("sums")))
-        now = _settle(moving.join(sums, "lemma").select("lemma", "n", "d", "reach", "w", "steps", "sums")
-                      .mapInPandas(_steps(l2, tol), state))
+        now = settle(moving.join(sums, "lemma").select("lemma", "n", "d", "reach", "w", "steps", "sums")
+                      .mapInPandas(_steps(l2, tol), state), "weights")
         last = turn == iters - 1
         still = now.where("moving")
         out = now if last else now.where("not moving")

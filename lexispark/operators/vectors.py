@@ -59,15 +59,12 @@ def mean_loss(losses: DataFrame, col: str, batch: str | None = None) -> DataFram
 
 def compare_vector_sets(sets: DataFrame, labels: DataFrame, k: int, label: str, id_col: str = "id",
                         set_col: str = "set", vec_col: str = "embedding") -> DataFrame:
-    """Retrieval quality (micro/macro accuracy and ap) of several vector sets of the same
-    items, e.g. before and after a learnt transform: one kNN + scoring per set."""
+    """Retrieval quality (micro/macro accuracy and ap) of several vector sets of the same items, e.g.
+    before and after a learnt transform.  The set is part of every key: one grid of tiles, one scoring and
+    one summary for all sets, whatever their number."""
     from lexispark.operators import knn as K
-    names = [r[0] for r in sets.select(set_col).distinct().collect()]  # a handful of set names
-    out = None
-    for n in sorted(names):
-        v = sets.where(F.col(set_col) == n).join(labels.select(id_col, label), id_col)
-        nb = K.knn(v, k, id_col=id_col, vec_col=vec_col, metric="cosine", carry=[label])
-        s = K.micro_macro(K.retrieval_scores(nb, v.select(id_col, label), k, label, id_col=id_col), label)
-        s = s.withColumn(set_col, F.lit(n))
-        out = s if out is None else out.unionByName(s)
-    return out
+    v = sets.join(labels.select(id_col, label), id_col)
+    near = K.knn(v, k, id_col=id_col, vec_col=vec_col, metric="cosine", carry=[label], by=set_col)
+    items = v.select(F.col(set_col).cast("string").alias(set_col), id_col, label)
+    scores = K.retrieval_scores(near, items, k, label, id_col=id_col, by=[set_col])
+    return K.micro_macro(scores, label, by=[set_col])

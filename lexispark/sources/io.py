@@ -21,6 +21,12 @@ SENTENCE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())),
     T.StructField("pos_tags", T.ArrayType(T.StringType())), T.StructField("source", T.StringType())])
 
+SCORE_SCHEMA = T.StructType([
+    T.StructField("item_id", T.LongType()), T.StructField("bg_id", T.LongType()),
+    T.StructField("item_year", T.IntegerType()), T.StructField("bg_year", T.IntegerType()),
+    T.StructField("score", T.DoubleType()), T.StructField("model", T.StringType()),
+    T.StructField("direction", T.StringType())])
+
 
 def read_quotes(spark: SparkSession, path: str, sep: str = "\t", schema=QUOTE_SCHEMA) -> DataFrame:
     """Delimited quotations with a header (tab or comma)."""
@@ -135,13 +141,35 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    """The item x background score table, partitioned by model and direction."""
-    df.write.mode("overwrite").partitionBy("model", "direction").parquet(path)
+    """The item x background score table, partitioned by model and direction (columns of SCORE_SCHEMA).
+
+    What is written replaces its own (model, direction) partitions and leaves the others: a model can be
+    scored again without the rest.  An empty table makes the folder, so it reads back as empty."""
+    spark = df.sparkSession
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in SCORE_SCHEMA])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("model", "direction").parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
+
+
+def read_scores(spark: SparkSession, path: str, model: str | None = None,
+                direction: str | None = None) -> DataFrame:
+    """Scores of all models, or of one model or direction (other partitions are not read)."""
+    df = spark.read.schema(SCORE_SCHEMA).parquet(path)
+    for column, value in (("model", model), ("direction", direction)):
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    return df
 
 
-def read_scores(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.where(F.col("model") == model) if model else df
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: costly expressions are computed once, lineage is cut by
+    files that outlive executors, and the sizes are known from then on."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
