@@ -14,6 +14,12 @@ def as_double(v) -> Column:
     return _c(v).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often lambdas refer to it (a named
+    column would be pasted into them by the optimiser)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a, b) -> Column:
     """Inner product of two equal-length numeric arrays."""
     return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y),

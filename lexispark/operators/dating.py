@@ -7,17 +7,18 @@ the evaluation has it, or from the curve's chord, which is pure SQL.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.keys import rkey
 from lexispark.functions.text import year_bin
 from lexispark.operators.sampling import _list
+from lexispark.operators.tiles import packed
 
 
 def unpivot_pairs(pairs: DataFrame, span: int, s1="s1", s2="s2", y1="y1", y2="y2",
@@ -69,24 +70,63 @@ def cumulative_curve(scores: DataFrame, keys=("item_id",), threshold: float | No
     return scores.withColumn("curve", F.sum(v).over(w))
 
 
-def knee(curve: DataFrame, keys=("item_id",), x: str = "bg_year", y: str = "curve",
-         order=("bg_year", "bg_id")) -> DataFrame:
-    """Kneedle (chord form): x and y min-max normalised per key, knee = x at the first
-    maximum of y_n - x_n.  A flat curve (or a single x) has no knee: NULL."""
+def knees(curve: DataFrame, keys, curves: dict[str, str], x: str = "bg_year",
+          order=("bg_year", "bg_id")) -> DataFrame:
+    """Kneedle (chord form) of several curves over the same x in one pass: keys.. and, for each
+    (out, y), x and y min-max normalised per key and out = x at the first maximum of y_n - x_n.  A flat
+    curve (or a single x) has no knee: NULL."""
     keys = _list(keys)
     w = Window.partitionBy(*keys)
-    c = curve.withColumn("_x0", F.min(x).over(w)).withColumn("_x1", F.max(x).over(w)) \
-        .withColumn("_y0", F.min(y).over(w)).withColumn("_y1", F.max(y).over(w))
+    ends = [F.min(x).over(w).alias("_x0"), F.max(x).over(w).alias("_x1")]
+    for out, y in curves.items():
+        ends += [F.min(y).over(w).alias(f"_y0_{out}"), F.max(y).over(w).alias(f"_y1_{out}")]
+    c = curve.select("*", *ends)
     xn = (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
-    yn = (F.col(y) - F.col("_y0")) / (F.col("_y1") - F.col("_y0"))
-    c = c.withColumn("_d", F.when((F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0")), yn - xn))
-    first = F.struct(F.col("_d"), *[F.negative(F.col(o)) for o in order])
-    return c.groupBy(*keys).agg(F.max_by(F.col(x), F.when(F.col("_d").isNotNull(), first)).alias("knee"))
+    found = []
+    for out, y in curves.items():
+        y0, y1 = F.col(f"_y0_{out}"), F.col(f"_y1_{out}")
+        c = c.withColumn(f"_d_{out}", F.when((F.col("_x1") > F.col("_x0")) & (y1 > y0),
+                                            (F.col(y) - y0) / (y1 - y0) - xn))
+        first = F.struct(F.col(f"_d_{out}"), *[F.negative(F.col(o)) for o in order])
+        found.append(F.max_by(F.col(x), F.when(F.col(f"_d_{out}").isNotNull(), first)).alias(out))
+    return c.groupBy(*keys).agg(*found)
 
 
-def find_knee(x: np.ndarray, curves: np.ndarray, sensitivity: float = 1.0, degree: int = 7) -> np.ndarray:
+def knee(curve: DataFrame, keys=("item_id",), x: str = "bg_year", y: str = "curve",
+         order=("bg_year", "bg_id")) -> DataFrame:
+    """``knees`` of one curve, as column knee."""
+    return knees(curve, keys, {"knee": y}, x, order)
+
+
+def polynomial_basis(x: np.ndarray, weight: np.ndarray, degree: int = 7) -> np.ndarray:
+    """B, a column a dimension: B @ (B.T @ sums) are the least squares values, at the distinct years x, of
+    a polynomial through points of which ``weight`` lie at each x and have these sums of y.
+
+    The evaluation fits powers of the year by singular values and drops those below
+    (number of points) * eps of the largest.  Where none is dropped the fit is that of all polynomials
+    up to the degree, and their basis is made from Legendre polynomials on the scaled years, in which
+    the problem is well conditioned (the powers of years around 1700 lose about 10 digits, so a solver
+    that works on them gives knees that depend on the machine where two maxima are about equal).  Where some are
+    dropped, the columns are the singular vectors that are left."""
+    degree = min(degree, len(x) - 1)
+    root = np.sqrt(weight)
+    powers = np.vander(x, degree + 1)
+    powers = powers / np.sqrt((weight[:, None] * powers * powers).sum(0)) * root[:, None]
+    u, s, _ = np.linalg.svd(powers, full_matrices=False)
+    left = s > weight.sum() * np.finfo(float).eps * s[0]
+    if left.all():
+        t = (2 * x - x[0] - x[-1]) / (x[-1] - x[0]) if len(x) > 1 else np.zeros(1)
+        u, _ = np.linalg.qr(np.polynomial.legendre.legvander(t, degree) * root[:, None])
+    else:
+        u = u[:, left]
+    return u / root[:, None]
+
+
+def find_knee(x: np.ndarray, curves: np.ndarray, sensitivity: float = 1.0, degree: int = 7,
+              grids: dict | None = None) -> np.ndarray:
     """Knees of concave rising curves (rows) over the ascending x by Kneedle with a polynomial fit;
-    nan where there is none.
+    nan where there is none.  The fit is one projection for all curves over the same years;
+    ``grids`` keeps the projections from call to call.
 
     The fitted curve and x are scaled to 0..1.  A local maximum of their difference is the knee if
     the difference falls below (maximum - sensitivity * mean step of x) before it rises to another
@@ -94,10 +134,17 @@ def find_knee(x: np.ndarray, curves: np.ndarray, sensitivity: float = 1.0, degre
     out = np.full(len(curves), np.nan)
     if len(x) < 2 or x[0] == x[-1]:
         return out
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")          # the fit of years is ill conditioned, as intended
-        fit = np.polyfit(x, curves.T, min(degree, len(np.unique(x)) - 1))
-    value = np.vander(x, len(fit)) @ fit         # x by curve
+    grids = {} if grids is None else grids
+    key = (x.tobytes(), degree)
+    if key not in grids:
+        if len(grids) > 1000:
+            grids.clear()
+        years, at, n = np.unique(x, return_inverse=True, return_counts=True)
+        grids[key] = (polynomial_basis(years, n.astype(np.float64), degree),
+                      np.flatnonzero(np.diff(x, prepend=-np.inf)), at)
+    basis, first_of, at = grids[key]
+    sums = np.add.reduceat(curves, first_of, axis=1).T
+    value = (basis @ (basis.T @ sums))[at]       # x by curve; equal years have equal values
     low, span = value.min(0), np.ptp(value, axis=0)
     ok = span > 1e-12 * np.maximum(1.0, np.abs(value).max(0))
     xn = (x - x[0]) / (x[-1] - x[0])
@@ -129,15 +176,16 @@ def knee_polynomial(curve: DataFrame, keys=("item_id",), x: str = "bg_year", y:
                        F.transform("_c", lambda c: c["y"]).alias("_y"))
 
     @F.pandas_udf("double")
-    def knees(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = np.full(len(xs), np.nan)
+    def located(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out, grids = np.full(len(xs), np.nan), {}
         same: dict[bytes, list[int]] = {}
         for i, v in enumerate(xs):
             same.setdefault(np.asarray(v, np.float64).tobytes(), []).append(i)
         for raw, at in same.items():
-            out[at] = find_knee(np.frombuffer(raw), np.stack([np.asarray(ys.iloc[i], np.float64) for i in at]))
+            out[at] = find_knee(np.frombuffer(raw), np.stack([np.asarray(ys.iloc[i], np.float64) for i in at]),
+                                grids=grids)
         return pd.Series(out)
-    found = rows.withColumn("_k", knees("_x", "_y"))
+    found = rows.withColumn("_k", located("_x", "_y"))
     return found.select(*keys, F.when(~F.isnan("_k"), F.col("_k")).cast(kind).alias("knee"))
 
 
@@ -151,6 +199,28 @@ def date_items(scores: DataFrame, threshold: float | None = None, keys=("item_id
 KNEES = {"chord": knee, "polynomial": knee_polynomial}
 
 
+def date_sentences(scores: DataFrame, n: int = 50, models=("model",)) -> DataFrame:
+    """D8, the whole dating run: (model.., item_id, item_year, kind, knee), kind 'raw' (knee of the summed
+    scores) and 'threshold' (of the count of scores above the cut-off that tells best, over all items
+    and background rows of a model, whether the item is the later one).
+
+    The scores are read twice: for the histogram of the threshold, and for both curves of an item in one
+    window pass.  A costly score should be settled before."""
+    from lexispark.operators.senses import best_threshold
+    models = _list(models)
+    truth = scores.withColumn("_y", (F.col("item_year") > F.col("bg_year")).cast("int"))
+    cuts = best_threshold(truth, "score", "_y", n=n, strict=True, by=models)
+    rows = threshold_hits(scores, cuts, models) if models else scores.crossJoin(
+        F.broadcast(cuts.select(F.col("threshold").alias("_th")))).withColumn(      # one row
+        "hit", (F.col("score") > F.col("_th")).cast("double")).drop("_th")
+    keys = [*models, "item_id", "item_year"]
+    w = Window.partitionBy(*keys).orderBy("bg_year", "bg_id").rowsBetween(Window.unboundedPreceding, 0)
+    curves = rows.select(*keys, "bg_year", "bg_id", F.sum("score").over(w).alias("_raw"),
+                         F.sum("hit").over(w).alias("_count"))
+    found = knees(curves, keys, {"raw": "_raw", "threshold": "_count"})
+    return found.unpivot(keys, ["raw", "threshold"], "kind", "knee")
+
+
 def mae(knees: DataFrame, truth: DataFrame, models=("model",), item: str = "item_id",
         year: str = "item_year", knee_col: str = "knee", by=()) -> DataFrame:
     """Per model MAE over items that have a knee in every model, plus counts."""
@@ -166,45 +236,111 @@ def mae(knees: DataFrame, truth: DataFrame, models=("model",), item: str = "item
 def threshold_hits(scores: DataFrame, thresholds: DataFrame, models=("model",),
                    score: str = "score") -> DataFrame:
     """``scores`` with hit = 1.0 where the score is above its model's cut-off (models, threshold).
-    There is one cut-off a model, so the join side is a few rows."""
+    There is one cut-off a model, so what is broadcast is a few rows."""
     models = _list(models)
-    return (scores.join(thresholds.select(*models, F.col("threshold").alias("_th")), models)
+    return (scores.join(F.broadcast(thresholds.select(*models, F.col("threshold").alias("_th"))), models)
             .withColumn("hit", (F.col(score) > F.col("_th")).cast("double")).drop("_th"))
 
 
-def chord_knee(x: np.ndarray, curves: np.ndarray) -> np.ndarray:
-    """The chord form of ``knee`` for curves (rows) over the ascending x; nan where there is none."""
-    low, span = curves.min(1), np.ptp(curves, axis=1)
-    if not len(x) or x[0] == x[-1]:
-        return np.full(len(curves), np.nan)
-    d = (curves - low[:, None]) / np.where(span > 0, span, 1.0)[:, None] - (x - x[0]) / (x[-1] - x[0])
-    return np.where(span > 0, x[d.argmax(1)], np.nan)
+def chord_knees(x: np.ndarray, scores: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """(items, draws) knees of the chord form for scores (items, pool) over the ascending x, where each
+    draw (draws, pool) leaves out some of the pool; nan where there is none.
+
+    One masked running sum gives the curves of all draws."""
+    run = np.cumsum(scores[:, None, :] * drawn, axis=2)
+    low = np.where(drawn, run, np.inf).min(2, keepdims=True)
+    high = np.where(drawn, run, -np.inf).max(2, keepdims=True)
+    x0 = np.where(drawn, x, np.inf).min(1, keepdims=True)
+    x1 = np.where(drawn, x, -np.inf).max(1, keepdims=True)
+    span, width = high - low, x1 - x0
+    ok = (span[..., 0] > 0) & np.isfinite(span[..., 0]) & (width[:, 0] > 0)
+    with np.errstate(invalid="ignore"):
+        d = (run - low) / np.where(span > 0, span, 1.0) - (x - x0) / np.where(width > 0, width, 1.0)
+    at = np.where(drawn, d, -np.inf).argmax(2)
+    return np.where(ok, x[at], np.nan)
+
+
+def polynomial_knees(x: np.ndarray, scores: np.ndarray, drawn: np.ndarray, grids: dict) -> np.ndarray:
+    """The same with the knee of a polynomial fit: one projection a draw for all items."""
+    out = np.full((len(scores), len(drawn)), np.nan)
+    for j, use in enumerate(drawn):
+        if use.any():
+            out[:, j] = find_knee(x[use], np.cumsum(scores[:, use], axis=1), grids=grids)
+    return out
+
 
+TILE = 16              # items whose draws are summed at once: TILE x draws x pool numbers
 
-def _drawn_knees(draws: dict, method: str):
-    """Knees of every draw for batches of items, whose scores are one array each."""
-    locate = {"chord": chord_knee, "polynomial": find_knee}[method]
 
+def _drawn_knees(method: str, sizes: Sequence[int]):
+    """Knees of every draw for tiles of items; a tile comes with the draw table."""
     def run(batches):
-        for pdf in batches:
-            same: dict[bytes, list[int]] = {}
-            for i, ids in enumerate(pdf["_ids"]):
-                same.setdefault(np.asarray(ids).tobytes(), []).append(i)
-            for at in same.values():
-                part = pdf.iloc[at]
-                ids, years = np.asarray(part["_ids"].iloc[0]), np.asarray(part["_years"].iloc[0], np.float64)
-                scores = np.stack([np.asarray(v, np.float64) for v in part["_scores"]])
-                for (n, iteration), chosen in draws.items():
-                    use = np.isin(ids, chosen)
-                    if use.any():
-                        found = locate(years[use], np.cumsum(scores[:, use], axis=1))
-                        yield pd.DataFrame({
-                            "n": n, "iteration": iteration, "kind": part["kind"], "model": part["model"],
-                            "item_id": part["item_id"], "item_year": part["item_year"],
-                            "knee": pd.array([None if np.isnan(k) else k for k in found], "Float64")})
+        grids: dict = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from tile({c: batch.column(c).slice(k, 1).flatten() for c in batch.schema.names
+                                 if c != "_ranks"}, batch.column("_ranks")[k].as_py(), grids)
+
+    def tile(r, ranks, grids):
+        ids, years = r["_pool"].to_numpy(), r["_pool_year"].to_numpy()
+        if not len(ids):
+            return
+        rank = np.frombuffer(ranks, ">i4").reshape(len(ids), -1)                # pool x iterations
+        draws = np.array([(n, it) for it in range(rank.shape[1]) for n in sizes], np.int32)
+        drawn = np.array([rank[:, it] <= n for n, it in draws])
+        points, n_items = r["_points"], len(r["item_id"])
+        lens, flat = points.value_lengths().to_numpy(), points.flatten()
+        mine, value = flat.field("i").to_numpy(), flat.field("v").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        at = order[np.minimum(np.searchsorted(ids[order], mine), len(ids) - 1)]
+        known = ids[at] == mine
+        row, at = np.repeat(np.arange(n_items), lens)[known], at[known]
+        score, here = np.zeros((n_items, len(ids))), np.zeros((n_items, len(ids)), bool)
+        score[row, at], here[row, at] = value[known], True
+        cut = r["_th"].to_numpy(zero_copy_only=False).astype(np.float64)
+        kinds = [("raw", score)]
+        if not np.isnan(cut).all():
+            kinds.append(("threshold", (score > cut[:, None]) * 1.0))
+        # items that have a score for the same rows of the pool go together
+        same: dict[bytes, list[int]] = {}
+        for i in range(n_items):
+            same.setdefault(here[i].tobytes(), []).append(i)
+        for items in same.values():
+            use = drawn & here[items[0]]
+            some = np.flatnonzero(use.any(1))
+            for kind, value in kinds:
+                found = (chord_knees(years, value[items], use) if method == "chord"
+                         else polynomial_knees(years, value[items], use, grids))[:, some].ravel()
+                each = pa.array(np.repeat(items, len(some)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(draws[some, 0], len(items))), pa.array(np.tile(draws[some, 1], len(items))),
+                     pa.array([kind]).take(pa.array(np.zeros(len(found), np.int64))),
+                     *[r[c].take(each) for c in ("model", "item_id", "item_year")],
+                     pa.array(found, mask=np.isnan(found))],
+                    names=["n", "iteration", "kind", "model", "item_id", "item_year", "knee"])
     return run
 
 
+def draw_table(bg: DataFrame, sizes: Sequence[int], iterations: int, span: int, seed, bg_id: str,
+               bg_year: str) -> DataFrame:
+    """One row: the pool by year, and the rank of each of its rows within its span in every iteration (a
+    draw of n is the ranks up to n).  It has pool x iterations numbers, and the pool a fixed number
+    of rows a time bin."""
+    its = bg.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iteration"))
+    b = bg.select(F.col(bg_id).alias("_i"), F.col(bg_year).alias("_y"), year_bin(bg_year, span).alias("_bin")) \
+        .crossJoin(F.broadcast(its))
+    w = Window.partitionBy("iteration", "_bin").orderBy(rkey(seed, "iteration", "_i"), "_i")
+    rank = b.withColumn("_r", F.row_number().over(w)).groupBy("_y", "_i").agg(F.array_sort(F.collect_list(
+        F.struct("iteration", "_r"))).alias("_r"))
+    ranks = F.transform("_r", lambda x: F.to_binary(F.lpad(F.hex(x["_r"]), 8, "0"), F.lit("hex")))
+    table = rank.select("_y", "_i", F.concat(*[F.get(ranks, F.lit(k)) for k in range(iterations)]).alias("_r")) \
+        .agg(F.array_sort(F.collect_list(F.struct("_y", "_i", "_r"))).alias("_t"))
+    return table.select(
+        F.transform("_t", lambda t: t["_i"].cast("bigint")).alias("_pool"),
+        F.transform("_t", lambda t: t["_y"].cast("double")).alias("_pool_year"),
+        F.aggregate("_t", F.lit(b""), lambda a, t: F.concat(a, t["_r"])).alias("_ranks"))
+
+
 def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], iterations: int,
                      span: int = 50, bg_id: str = "bg_id", bg_year: str = "bg_year",
                      seed="bgcurve", thresholds: DataFrame | None = None,
@@ -216,35 +352,35 @@ def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], ite
     ``scores`` has a model column.  With ``thresholds`` (model, threshold) the knees of the
     thresholded counts follow with kind 'threshold'; kind 'raw' are those of the scores.
 
-    The draws are a table of parameters (at most sizes x iterations x pool ids) and go to the tasks
-    with the function; an item's scores are one array, as long as the bounded pool, so the score
-    table is shuffled once and not once a draw.
+    The score table is shuffled once: an item's scores are one array, as long as the bounded pool.
+    Tiles of items meet the one-row draw table (``draw_table``, broadcast), and a tile's draws are
+    0/1 rows over the pool under which one running sum gives all curves.
     """
-    spark = bg.sparkSession
-    its = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"))
-    b = bg.select(bg_id, bg_year).withColumn("_bin", year_bin(bg_year, span)).crossJoin(its)
-    w = Window.partitionBy("iteration", "_bin").orderBy(rkey(seed, "iteration", bg_id), bg_id)
-    ranked = b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(sizes)).select(
-        "iteration", "_r", bg_id).toPandas()
-    draws = {(int(n), int(it)): g[g["_r"] <= n][bg_id].to_numpy()
-             for it, g in ranked.groupby("iteration") for n in sizes}
-    rows = scores if thresholds is None else threshold_hits(scores, thresholds)
-    point = lambda v: F.array_sort(F.collect_list(F.struct(
-        F.col(bg_year).alias("y"), F.col(bg_id).alias("i"), F.col(v).alias("v"))))
-    kinds = [("raw", "score")] + ([("threshold", "hit")] if thresholds is not None else [])
-    arrays = rows.groupBy("item_id", "item_year", "model").agg(
-        *[point(v).alias(f"_{k}") for k, v in kinds])
-    arrays = arrays.select("item_id", "item_year", "model", F.explode(F.array(*[F.struct(
-        F.lit(k).alias("kind"), F.col(f"_{k}").alias("p")) for k, _ in kinds])).alias("_k")).select(
-        "item_id", "item_year", "model", "_k.kind", F.transform("_k.p", lambda p: p["i"]).alias("_ids"),
-        F.transform("_k.p", lambda p: p["y"].cast("double")).alias("_years"),
-        F.transform("_k.p", lambda p: p["v"].cast("double")).alias("_scores"))
+    from lexispark.operators.pairs import spread
+    cuts = scores.select("model").distinct().withColumn("_th", F.lit(None).cast("double")) \
+        if thresholds is None else thresholds.select("model", F.col("threshold").alias("_th"))
+    arrays = spread(scores, "item_id").groupBy("item_id", "item_year", "model").agg(F.collect_list(F.struct(
+        F.col(bg_id).cast("bigint").alias("i"), F.col("score").cast("double").alias("v"))).alias("_points"))
+    tiles = packed(arrays.join(F.broadcast(cuts), "model", "left"), TILE).crossJoin(
+        F.broadcast(draw_table(bg, sizes, iterations, span, seed, bg_id, bg_year)))
     kind = dict(scores.dtypes)
-    k = arrays.mapInPandas(_drawn_knees(draws, method), (
+    k = tiles.mapInArrow(_drawn_knees(method, list(sizes)), (
         f"n int, iteration int, kind string, model string, item_id {kind['item_id']}, "
         f"item_year {kind['item_year']}, knee double"))
-    truth = scores.select("item_id", "item_year").distinct()
-    return mae(k.drop("item_year"), truth, ["model"], by=["n", "iteration", "kind"])
+    return curve_mae(k)
+
+
+def curve_mae(knees: DataFrame) -> DataFrame:
+    """``mae`` of each draw where a knee's row has its item's year: one pass by item, one by draw."""
+    by = ["n", "iteration", "kind"]
+    per = knees.groupBy(*by, "item_id", "item_year").agg(
+        F.bool_and(F.col("knee").isNotNull()).alias("_ok"), F.collect_list(F.struct("model", "knee")).alias("_k"))
+    flat = per.select(*by, "item_year", "_ok", F.explode("_k").alias("_k")).select(
+        *by, "item_year", "_ok", "_k.model", "_k.knee")
+    return flat.groupBy(*by, "model").agg(
+        F.avg(F.when(F.col("_ok"), F.abs(F.col("knee") - F.col("item_year")))).alias("mae"),
+        F.sum(F.col("_ok").cast("int")).alias("n_items"),
+        F.sum(F.col("knee").isNull().cast("int")).alias("n_missing"))
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "model",
@@ -293,5 +429,5 @@ def attention_pool(tokens: DataFrame, keys=("sent",), vec: str = "vec", logit: s
 
 
 __all__ = ["unpivot_pairs", "ordinal_ids", "dating_scores", "ordinal_loss", "cumulative_curve",
-           "knee", "date_items", "mae", "background_curve", "melt", "summarize_attributions",
+           "knee", "knees", "date_items", "date_sentences", "mae", "background_curve", "melt", "summarize_attributions",
            "attention_pool", "threshold_hits"]

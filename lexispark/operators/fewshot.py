@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.arrays import dot, l2_normalize
 from lexispark.functions.keys import seeded_int
-from lexispark.operators.sampling import (eligible_senses, fewshot_draws, lemma_halves, sample_up_to,
+from lexispark.operators.sampling import (eligible_senses, fewshot_draws, join_dim, lemma_halves, sample_up_to,
                                           stratified_split)
-from lexispark.operators.senses import centroids, nearest_centroid
+from lexispark.operators.senses import centroids, ladder_predictions, nearest_centroid
+from lexispark.sources.io import settle
 
 RUN = ["lemma", "n_items", "iteration"]
 
@@ -45,13 +46,13 @@ def fewshot_results(items: DataFrame, vectors: DataFrame, iterations: int = 20,
     have = v.select("model", id_col).withColumn("_has", F.lit(True))
     whole = (asked.join(have, ["model", id_col], "left").groupBy("model", "lemma")
              .agg(F.bool_and(F.coalesce("_has", F.lit(False))).alias("_ok")).where("_ok").drop("_ok"))
-    units = test.select(id_col, "lemma").join(v, id_col).join(whole, ["model", "lemma"], "left_semi") \
+    units = join_dim(test.select(id_col, "lemma").join(v, id_col), whole, ["model", "lemma"], "left_semi") \
         .withColumn("embedding", l2_normalize("embedding"))
-    sims = units.join(cents, ["model", "lemma"]).withColumn("_sim", dot("embedding", "_cv"))
+    sims = join_dim(units, cents, ["model", "lemma"], salts=4).withColumn("_sim", dot("embedding", "_cv"))
     preds = sims.groupBy("model", id_col, *RUN).agg(
         F.max_by("_cs", F.struct("_sim", "_cs")).alias("pred"), F.first("n_subtokens").alias("n_subtokens"))
-    scope = test if baseline_scope is None else test.join(
-        whole.where(F.col("model") == baseline_scope).select("lemma"), "lemma", "left_semi")
+    scope = test if baseline_scope is None else join_dim(
+        test, whole.where(F.col("model") == baseline_scope).select("lemma"), "lemma", "left_semi")
     both = baselines(draws, scope.select(id_col, "lemma"), id_col, seed=f"{seed}-random").withColumn(
         "n_subtokens", F.lit(None).cast(dict(preds.dtypes)["n_subtokens"]))
     told = test.select(id_col, "year", "pos", F.col("sense").alias("true"))
@@ -68,7 +69,7 @@ def baselines(draws: DataFrame, test: DataFrame, id_col: str, seed="random") ->
     dim = counts.select(*RUN, "sense", (F.row_number().over(w) == 1).alias("_top"),
                         F.sum("_c").over(up).alias("_hi"), F.col("_c"),
                         F.sum("_c").over(Window.partitionBy(*RUN)).alias("_tot"))
-    j = test.join(dim, "lemma").withColumn(
+    j = join_dim(test, dim, "lemma", salts=4).withColumn(
         "_u", F.pmod(seeded_int(seed, "n_items", "iteration", id_col), F.col("_tot")))
     names = F.filter(F.array(
         F.when(F.col("_top"), F.lit("majority")),
@@ -87,13 +88,36 @@ def evaluate_support(support: DataFrame, query: DataFrame, max_support: int | No
     pred = nearest_centroid(query, centroids(kept, ["lemma"], vec_col), ["lemma"], metric, vec_col,
                             id_col=id_col)
     known = kept.select("lemma", "sense").distinct().withColumn("_known", F.lit(True))
-    true = query.join(known, ["lemma", "sense"], "left").where(
+    true = join_dim(query, known, ["lemma", "sense"], "left").where(
         F.when(F.col("_known").isNull(), F.raise_error(F.lit("a query's sense has no support"))
                .cast("boolean")).otherwise(F.lit(True)))
     return true.select(id_col, F.col("sense").alias("true")).join(
         pred.select(id_col, "lemma", "pred"), id_col)
 
 
+def evaluate_ladder(support: DataFrame, query: DataFrame, sizes: Sequence[int | None] = (1, 2, 5, 10, 20, None),
+                    metric: str = "dot", id_col: str = "quote_id", vec_col: str = "embedding",
+                    seed="support") -> DataFrame:
+    """``evaluate_support`` for a table of support sizes at once: (id, lemma, max_support, true, pred).  The
+    support is ranked and summed once, whatever the number of sizes."""
+    pred = ladder_predictions(support, query, ["lemma"], sizes, vec_col, id_col=id_col, seed=seed, metric=metric,
+                              size="max_support")
+    known = support.select("lemma", "sense").distinct().withColumn("_known", F.lit(True))
+    true = join_dim(query, known, ["lemma", "sense"], "left").where(
+        F.when(F.col("_known").isNull(), F.raise_error(F.lit("a query's sense has no support"))
+               .cast("boolean")).otherwise(F.lit(True)))
+    return true.select(id_col, F.col("sense").alias("true")).join(pred, id_col).select(
+        id_col, "lemma", "max_support", "true", "pred")
+
+
+def evaluate_zero_ladder(zero: DataFrame, sizes: Sequence[int | None] = (1, 2, 5, 10, 20, None),
+                         id_col: str = "quote_id", seed="halves", **options) -> DataFrame:
+    """Rows of held-out lemmas for every support size: one half of each sense supports the other half."""
+    halves = settle(lemma_halves(zero, id_col=id_col, seed=seed), "halves")
+    return evaluate_ladder(halves.where("role = 'support'"), halves.where("role = 'query'"), sizes,
+                           id_col=id_col, **options)
+
+
 def evaluate_dev(train: DataFrame, dev: DataFrame, **options) -> DataFrame:
     """Development rows against all training rows of their lemma."""
     return evaluate_support(train, dev, **options)
@@ -106,4 +130,5 @@ def evaluate_zero(zero: DataFrame, id_col: str = "quote_id", seed="halves", **op
                             id_col=id_col, **options)
 
 
-__all__ = ["fewshot_results", "baselines", "evaluate_support", "evaluate_dev", "evaluate_zero"]
+__all__ = ["fewshot_results", "baselines", "evaluate_support", "evaluate_ladder", "evaluate_dev",
+           "evaluate_zero", "evaluate_zero_ladder"]

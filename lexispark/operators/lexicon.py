@@ -1,8 +1,8 @@
 """Lexicon preparation (L1-L15): filters and projections over quotation tables.
 
 Everything is a narrow transformation except the lemma frequency filter, which is one
-partial/final aggregate on the lemma plus a left-semi join (the aggregate result is one
-row per lemma; Spark broadcasts it when small, AQE decides at run time).
+partial/final aggregate on the lemma plus a salted left-semi join (the aggregate result is one
+row per lemma; Spark broadcasts it when small, and a hot lemma is several tasks otherwise).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import (KEEP_POS, STOP_LEMMAS, depth_key, first_pos,
                                       keyword_span, sense_depth, year_bin)
+from lexispark.operators.sampling import join_dim
 
 
 def drop_obsolete(df: DataFrame, word: str = "word", mark: str = "†") -> DataFrame:
@@ -40,7 +41,7 @@ def frequent(df: DataFrame, key: str = "lemma", min_count: int = 100, strict: bo
     keep = counts.where(F.col("_n") > min_count if strict else F.col("_n") >= min_count)
     if exclude:
         keep = keep.where(~F.col(key).isin(list(exclude)))
-    return df.join(keep.select(key), key, "left_semi")
+    return join_dim(df, keep.select(key), key, "left_semi")
 
 
 def filter_words(df: DataFrame, n: int, strict: bool = True, col: str = "n_words"):
@@ -131,7 +132,7 @@ def retrieval_table(df: DataFrame, depths: Sequence[int] = (1, 2, 3), sense_id:
 
 def in_vocab(df: DataFrame, vocab: DataFrame, keyword: str = "keyword", token: str = "token") -> DataFrame:
     """Rows whose keyword is in the vocabulary."""
-    return df.join(vocab.select(F.col(token).alias(keyword)).distinct(), keyword, "left_semi")
+    return join_dim(df, vocab.select(F.col(token).alias(keyword)).distinct(), keyword, "left_semi")
 
 
 def vocabulary_sizes(df: DataFrame, vocab: DataFrame, keyword: str = "keyword",

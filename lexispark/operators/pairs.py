@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.keys import rkey, seeded_int
-from lexispark.operators.sampling import _list, group_sizes
+from lexispark.operators.sampling import _list, group_sizes, join_dim
 
 def index_within(df: DataFrame, group, id_col: str, seed, out: str) -> DataFrame:
     """0-based seeded position of each row inside its group (random but reproducible)."""
@@ -56,7 +56,7 @@ def complete_lemmas(test: DataFrame, vectors: DataFrame, keys, id_col: str = "id
 def multi_sense_lemmas(df: DataFrame, lemma: str = "lemma", sense: str = "sense") -> DataFrame:
     """Rows of lemmas with more than one sense (min != max: no distinct count)."""
     ok = df.groupBy(lemma).agg((F.min(sense) != F.max(sense)).alias("_m")).where("_m")
-    return df.join(ok.select(lemma), lemma, "left_semi")
+    return join_dim(df, ok.select(lemma), lemma, "left_semi")
 
 
 def sense_pairs(df: DataFrame, lemma: str = "lemma", sense: str = "sense", id_col: str = "id",
@@ -75,7 +75,7 @@ def sense_pairs(df: DataFrame, lemma: str = "lemma", sense: str = "sense", id_co
                           f"{seed}-sense", "_sn")
     n_senses = senses.groupBy(lemma).agg(F.count(F.lit(1)).alias("_s"))
     sdim = senses.join(n_senses, lemma).select(lemma, sense, "_c", "_sn", "_s")
-    base = rows.join(sdim, [lemma, sense]).where(F.col("_c") >= 2)
+    base = join_dim(rows, sdim, [lemma, sense]).where(F.col("_c") >= 2)
     target = rows.select(F.col(lemma).alias("_tl"), F.col("_rn").alias("_trn"),
                          F.col(sense).alias("_ts"), F.col(id_col).alias("q2"))
     out = []
@@ -92,9 +92,8 @@ def sense_pairs(df: DataFrame, lemma: str = "lemma", sense: str = "sense", id_co
         u = seeded_int(f"{seed}-neg", id_col)
         other = F.pmod(F.col("_sn") + 1 + F.pmod(u, F.col("_s") - 1), F.col("_s"))
         neg = base.withColumn("_osn", other)
-        od = sdim.select(F.col(lemma).alias("_ol"), F.col("_sn").alias("_osn2"),
-                         F.col(sense).alias("_os"), F.col("_c").alias("_oc"))
-        neg = neg.join(od, (F.col("_ol") == F.col(lemma)) & (F.col("_osn2") == F.col("_osn")))
+        od = sdim.select(lemma, F.col("_sn").alias("_osn"), F.col(sense).alias("_os"), F.col("_c").alias("_oc"))
+        neg = join_dim(neg, od, [lemma, "_osn"])
         t = spark.range(nneg).select(F.col("id").cast("int").alias("_t"))
         neg = neg.crossJoin(F.broadcast(t)).where(F.col("_t") < F.col("_oc"))
         v = seeded_int(f"{seed}-negrow", id_col)
@@ -189,7 +188,7 @@ def contrastive_pairs(df: DataFrame, label: str = "label", id_col: str = "id", r
     dim = group_sizes(df, [label], "_c")
     dim = index_within(dim, [], label, f"{seed}-label", "_li").select(label, "_c", "_li")
     n_l = dim.agg(F.count(F.lit(1)).alias("_L"))
-    base = rows.join(dim, label).crossJoin(F.broadcast(n_l))  # n_l is one row
+    base = join_dim(rows, dim, label).crossJoin(F.broadcast(n_l))  # n_l is one row
     target = rows.select(F.col(label).alias("_tl"), F.col("_rn").alias("_trn"),
                          F.col(id_col).alias("q2"))
     tp = spark.range(npos).select(F.col("id").cast("int").alias("_t"))
@@ -202,7 +201,7 @@ def contrastive_pairs(df: DataFrame, label: str = "label", id_col: str = "id", r
         "_oli", F.pmod(F.col("_li") + 1 + F.pmod(seeded_int(f"{seed}-lab", id_col, "_t"),
                                                  F.col("_L") - 1), F.col("_L")))
     od = dim.select(F.col(label).alias("_ol"), F.col("_li").alias("_oli"), F.col("_c").alias("_oc"))
-    neg = neg.join(od, "_oli").withColumn(
+    neg = join_dim(neg, od, "_oli").withColumn(
         "_prn", F.pmod(seeded_int(f"{seed}-neg", id_col, "_t"), F.col("_oc")))
     neg = neg.join(target, (F.col("_tl") == F.col("_ol")) & (F.col("_trn") == F.col("_prn"))) \
         .select(F.col(id_col).alias("q1"), "q2", F.lit(0).alias("y"))
@@ -211,17 +210,23 @@ def contrastive_pairs(df: DataFrame, label: str = "label", id_col: str = "id", r
 
 # --- J13-J15 products with a bounded side --------------------------------------------------------
 
+def spread(items: DataFrame, id_col: str) -> DataFrame:
+    """Items dealt by a hash over twice as many tasks as there are cores (a number of its own, which adaptive
+    execution does not merge): what follows makes a pool's worth of work of each item."""
+    return items.repartition(2 * items.sparkSession.sparkContext.defaultParallelism, F.col(id_col))
+
+
 def cross_with_background(items: DataFrame, background: DataFrame, direction: str = "forward",
                           item_id: str = "item_id", bg_id: str = "bg_id") -> DataFrame:
     """Every item against every background row, with s1_id, s2_id (which sentence comes first:
     the item forward, the background row backward) and direction.
 
-    The background is a pool of a fixed number of rows per time bin, so it is broadcast; items
-    stream through."""
+    The background is a pool of a fixed number of rows per time bin, so it is broadcast; items are
+    spread over tasks by a hash, however few files they come from, and stream through."""
     if direction not in ("forward", "backward"):
         raise ValueError(direction)
     first, second = (item_id, bg_id) if direction == "forward" else (bg_id, item_id)
-    return (items.crossJoin(F.broadcast(background))
+    return (spread(items, item_id).crossJoin(F.broadcast(background))
             .withColumn("s1_id", F.col(first)).withColumn("s2_id", F.col(second))
             .withColumn("direction", F.lit(direction)))
 

@@ -65,20 +65,35 @@ def exact_rank(df: DataFrame, by, key: Column, id_col: str, out: str = "rank",
     return ranked.drop("_key", b, "_xrn", "_off", "_all", *names)
 
 
+SALTS = 8
+
+
+def join_dim(rows: DataFrame, dim: DataFrame, on, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined to a table that has few rows a group.  The table is copied under ``salts`` numbers and
+    a row looks up the one that a hash of its own columns gives, so the rows of a hot group are dealt
+    over that many tasks, whether or not adaptive execution sees the skew."""
+    on = _list(on)
+    own = [c for c, kind in rows.dtypes if "map<" not in kind]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
+    copies = dim.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def group_sizes(df: DataFrame, by, out: str = "n") -> DataFrame:
     by = _list(by)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 
 
 def with_group_size(df: DataFrame, by, out: str = "n") -> DataFrame:
-    """Attach the group's row count (aggregate + join; adaptive execution splits hot groups)."""
+    """Attach the group's row count; null keys form a group, a hot one is salted (``join_dim``)."""
     by = _list(by)
-    sizes = group_sizes(df, by, out).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], out)
-    same = None
+    sizes = group_sizes(df, by, out).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], out,
+                                            F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_gs"))
+    own = [c for c, kind in df.dtypes if "map<" not in kind]
+    same = F.pmod(F.xxhash64(*own), F.lit(SALTS)) == F.col("_gs")
     for i, c in enumerate(by):
-        one = F.col(c).eqNullSafe(F.col(f"_g{i}"))
-        same = one if same is None else same & one
-    return df.join(sizes, same).drop(*[f"_g{i}" for i in range(len(by))])
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(sizes, same).drop("_gs", *[f"_g{i}" for i in range(len(by))])
 
 
 # --- P1/P2 proportional split --------------------------------------------------------------
@@ -148,8 +163,8 @@ def sample_keys(df: DataFrame, key: str, k: int, seed="keys") -> DataFrame:
 
 def select_dev(test: DataFrame, train: DataFrame, zero: DataFrame, key: str = "lemma"):
     """Test rows whose key is in train and not in the zero-shot set."""
-    return (test.join(train.select(key).distinct(), key, "left_semi")
-            .join(zero.select(key), key, "left_anti"))
+    return join_dim(join_dim(test, train.select(key).distinct(), key, "left_semi"),
+                    zero.select(key).distinct(), key, "left_anti")
 
 
 # --- P8/P9/P16 strata ----------------------------------------------------------------------
@@ -160,7 +175,7 @@ def eligible_senses(df: DataFrame, lemma: str = "lemma", sense: str = "sense") -
     lemmas = sc.groupBy(lemma).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_s")) \
         .where((F.col("_n") >= 2) & (F.col("_s") > 1)).select(lemma)
     keep = sc.join(lemmas, lemma, "left_semi").select(lemma, sense)
-    return df.join(keep, [lemma, sense], "left_semi")
+    return join_dim(df, keep, [lemma, sense], "left_semi")
 
 
 def stratified_split(df: DataFrame, strata, frac: float = 0.5, seed="strat", id_col: str = "id",
@@ -178,7 +193,7 @@ def lemma_halves(df: DataFrame, lemma: str = "lemma", sense: str = "sense", seed
                  id_col: str = "id") -> DataFrame:
     """Singleton senses dropped, then a 50/50 support/query split per (lemma, sense)."""
     sc = df.groupBy(lemma, sense).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= 2)
-    kept = df.join(sc.select(lemma, sense), [lemma, sense], "left_semi")
+    kept = join_dim(df, sc.select(lemma, sense), [lemma, sense], "left_semi")
     return stratified_split(kept, [lemma, sense], 0.5, seed=seed, id_col=id_col) \
         .withColumn("role", F.when(F.col("role") == "train", "support").otherwise("query"))
 
@@ -328,14 +343,14 @@ def sample_episodes(df: DataFrame, n_episodes: int, lemma: str = "lemma", sense:
             .join(dim.select(lemma, "_li"), F.col("_pick") == F.col("_li"))
     else:
         # a row drawn uniformly names its lemma: ranks over all rows of all lemmas
-        rows = exact_rank(df.join(sc.select(lemma, sense), [lemma, sense], "left_semi")
+        rows = exact_rank(join_dim(df, sc.select(lemma, sense), [lemma, sense], "left_semi")
                           .select(lemma, id_col), [], rkey(f"{seed}-row", id_col), id_col, out="_ri")
         one = dim.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"))
         draws = draws.crossJoin(F.broadcast(one)).where("_rows > 0")   # one row
         chosen = draws.withColumn("_pick", F.pmod(seeded_int(seed, "episode", "attempt"), "_rows") + 1) \
             .join(rows.select(lemma, "_ri"), F.col("_pick") == F.col("_ri"))
     chosen = chosen.select("episode", "attempt", lemma)
-    ranked = exact_rank(df.join(sc.select(lemma, sense), [lemma, sense], "left_semi"), [lemma, sense],
+    ranked = exact_rank(join_dim(df, sc.select(lemma, sense), [lemma, sense], "left_semi"), [lemma, sense],
                         rkey(seed, id_col), id_col, out="_r").withColumn("_r0", F.col("_r") - 1).drop("_r")
     n = F.col("_c")
     prime = F.element_at(F.array(*[F.lit(p).cast("bigint") for p in PRIMES]), (F.pmod(

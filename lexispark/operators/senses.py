@@ -1,8 +1,8 @@
 """Sense classification and its metrics.
 
 Vectors are averaged with ``Summarizer.mean`` (a JVM aggregate with partial merge), never
-by exploding d rows per vector.  Test rows meet centroids with an equi-join on the lemma and
-no hint: adaptive execution broadcasts a side that is small in bytes and splits hot lemmas.
+by exploding d rows per vector.  Test rows meet centroids with a salted equi-join on the lemma
+(``join_dim``): a hot lemma is several tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.arrays import dot, l2_normalize
 from lexispark.functions.keys import seeded_int
-from lexispark.operators.sampling import _list
+from lexispark.operators.sampling import _list, join_dim
 
 
 def centroids(train: DataFrame, keys, vec_col: str = "embedding", out: str = "centroid",
@@ -41,7 +41,7 @@ def nearest_centroid(test: DataFrame, cents: DataFrame, keys, metric: str = "cos
     if metric == "cosine":
         c = c.withColumn("_cv", l2_normalize("_cv"))
         t = t.withColumn(vec_col, l2_normalize(vec_col))
-    j = t.join(c, keys).withColumn("_sim", dot(vec_col, "_cv"))
+    j = join_dim(t, c, keys).withColumn("_sim", dot(vec_col, "_cv"))
     return j.groupBy(id_col, *keys).agg(
         F.max_by("_cs", F.struct("_sim", "_cs")).alias(out), F.max("_sim").alias("sim"))
 
@@ -54,7 +54,7 @@ def majority_baseline(train: DataFrame, test: DataFrame, keys, sense: str = "sen
     w = Window.partitionBy(*keys).orderBy(F.desc("_c"), F.col(sense))
     best = counts.withColumn("_r", F.row_number().over(w)).where("_r = 1") \
         .select(*keys, F.col(sense).alias(out))
-    return test.select(id_col, *keys).join(best, keys)
+    return join_dim(test.select(id_col, *keys), best, keys)
 
 
 def frequency_baseline(train: DataFrame, test: DataFrame, keys, sense: str = "sense",
@@ -71,7 +71,7 @@ def frequency_baseline(train: DataFrame, test: DataFrame, keys, sense: str = "se
         .withColumn("_lo", F.col("_hi") - F.col("_c")) \
         .withColumn("_tot", F.sum("_c").over(Window.partitionBy(*keys)))
     t = test.select(id_col, *keys)
-    j = t.join(dim, keys).withColumn(
+    j = join_dim(t, dim, keys).withColumn(
         "_u", F.pmod(seeded_int(seed, id_col), F.col("_tot")))
     return j.where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))) \
         .select(id_col, *keys, F.col(sense).alias(out))
@@ -88,7 +88,7 @@ def class_index(support: DataFrame, keys, sense: str = "sense", out: str = "clas
 def query_not_covered(support: DataFrame, query: DataFrame, keys, sense: str = "sense"):
     """Violations: query rows whose sense never occurs in the support (should be empty)."""
     keys = _list(keys) + [sense]
-    return query.join(support.select(*keys).distinct(), keys, "left_anti")
+    return join_dim(query, support.select(*keys).distinct(), keys, "left_anti")
 
 
 def lemma_scores(preds: DataFrame, keys, true: str = "true", pred: str = "pred") -> DataFrame:
@@ -123,23 +123,64 @@ def per_class_scores(preds: DataFrame, keys, true: str = "true", pred: str = "pr
                     F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
+def running_centroids(train: DataFrame, keys, sizes: Sequence[int | None], vec_col: str = "embedding",
+                      sense: str = "sense", id_col: str = "id", seed="ladder", size: str = "n_items") -> DataFrame:
+    """(keys.., sense, size, centroid, n_train) of the first rows of each sense in seeded order, for every
+    size (None: all rows, called 'all').
+
+    A row is ranked once and falls between two sizes; the vectors between two sizes are summed once,
+    and the sums up to a size are read off.  So all sizes cost one pass, not one each."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from lexispark.functions.keys import rkey
+    from lexispark.operators.sampling import exact_rank
+    group = _list(keys) + [sense]
+    steps = sorted({s for s in sizes if s is not None})
+    names = [(len(steps) if s is None else steps.index(s), "all" if s is None else str(s))
+             for s in dict.fromkeys(sizes)]
+    ranked = exact_rank(train.select(*group, id_col, vec_col), group, rkey(seed, id_col), id_col, out="_r")
+    step = F.lit(len(steps))
+    for i, s in reversed(list(enumerate(steps))):
+        step = F.when(F.col("_r") <= s, i).otherwise(step)
+    parts = ranked.withColumn("_b", step).where(F.col(vec_col).isNotNull()).withColumn(
+        "_v", array_to_vector(F.col(vec_col).cast("array<double>"))).groupBy(*group, "_b").agg(
+        Summarizer.sum(F.col("_v")).alias("_s"), F.count(F.lit(1)).alias("_n")).select(
+        *group, "_b", vector_to_array("_s").alias("_s"), "_n")
+    # a sense has as many parts as there are sizes, at most one more
+    held = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_b", "_s", "_n"))).alias("_p"))
+    asked = held.select(*group, "_p", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("upto"), F.lit(name).alias("name")) for i, name in names])).alias("_z"))
+    upto = F.filter("_p", lambda p: p["_b"] <= F.col("_z.upto"))
+    got = asked.select(*group, F.col("_z.name").alias(size), upto.alias("_p")).where(F.size("_p") > 0)
+    n = F.aggregate("_p", F.lit(0).cast("bigint"), lambda a, p: a + p["_n"])
+    total = F.aggregate(F.slice("_p", 2, 1 << 20), F.get("_p", F.lit(0))["_s"],
+                        lambda a, p: F.zip_with(a, p["_s"], lambda x, y: x + y))
+    return got.select(*group, size, total.alias("_t"), n.alias("n_train")).select(
+        *group, size, F.transform("_t", lambda x: x / F.col("n_train")).alias("centroid"), "n_train")
+
+
+def ladder_predictions(support: DataFrame, query: DataFrame, keys, sizes: Sequence[int | None],
+                       vec_col: str = "embedding", sense: str = "sense", id_col: str = "id", seed="ladder",
+                       metric: str = "cosine", size: str = "n_items") -> DataFrame:
+    """(id, keys.., size, pred) of every query row and size: the sense whose centroid is most similar
+    among those of the row's keys (ties: larger sense)."""
+    keys = _list(keys)
+    cents = running_centroids(support, keys, sizes, vec_col, sense, id_col, seed, size)
+    c = cents.select(*keys, size, F.col(sense).alias("_cs"), F.col("centroid").alias("_cv"))
+    t = query.select(id_col, *keys, vec_col)
+    if metric == "cosine":
+        c, t = c.withColumn("_cv", l2_normalize("_cv")), t.withColumn(vec_col, l2_normalize(vec_col))
+    j = join_dim(t, c, keys).withColumn("_sim", dot(vec_col, "_cv"))
+    return j.groupBy(id_col, *keys, size).agg(F.max_by("_cs", F.struct("_sim", "_cs")).alias("pred"))
+
+
 def support_ladder(train: DataFrame, test: DataFrame, keys, sizes: Sequence[int | None],
                    vec_col: str = "embedding", sense: str = "sense", id_col: str = "id",
                    seed="ladder", metric: str = "cosine") -> DataFrame:
-    """Accuracy per support size: one seeded ranking per sense, range-joined with the size
-    table (None = all rows), centroids keyed by size, nearest centroid on test."""
-    keys = _list(keys)
-    from lexispark.functions.keys import rkey
-    spark = train.sparkSession
-    size_t = spark.createDataFrame([(s, "all" if s is None else str(s)) for s in sizes],
-                                   "n bigint, n_items string")
-    from lexispark.operators.sampling import exact_rank
-    # skew-safe: a hot (lemma, sense) is ranked in md5-prefix cells, not one task
-    ranked = exact_rank(train, keys + [sense], rkey(seed, id_col), id_col, out="_r")
-    drawn = ranked.join(F.broadcast(size_t), F.col("n").isNull() | (F.col("_r") <= F.col("n"))).drop("_r", "n")
-    cents = centroids(drawn, keys + ["n_items"], vec_col, sense=sense)
-    tests = test.crossJoin(F.broadcast(size_t.select("n_items")))
-    pred = nearest_centroid(tests, cents, keys + ["n_items"], metric, vec_col, sense, id_col)
+    """Predictions (and gold) of the test rows for every support size, from one pass over the train rows
+    (``running_centroids``)."""
+    pred = ladder_predictions(train, test, keys, sizes, vec_col, sense, id_col, seed, metric)
     return pred.join(test.select(id_col, F.col(sense).alias("gold")), id_col)
 
 
@@ -173,15 +214,14 @@ def constant_baselines(labels: DataFrame, label: str = "label") -> DataFrame:
                       F.avg((1 - F.col(label)).cast("double")).alias("acc_all_0"))
 
 
-def best_threshold(scores: DataFrame, score: str = "score", label: str = "label", n: int = 25,
-                   lo: float | None = 0.0, hi: float | None = 1.0, strict: bool = False,
-                   by=()) -> DataFrame:
-    """The cut-off among n evenly spaced values in [lo, hi] (inclusive; None = the data's
-    min/max) with the best accuracy of 'score >= th' (or '>' when strict); first best wins.
+def score_histogram(scores: DataFrame, score: str = "score", label: str = "label", n: int = 25,
+                    lo: float | None = 0.0, hi: float | None = 1.0, strict: bool = False, by=()) -> DataFrame:
+    """(by.., _lo, _hi, _k, _pos, _cnt): rows and positive rows by the number k of the n cut-offs that a score
+    passes.  Counts add up, so histograms of parts of the data merge.
 
-    Each score is bucketed once by how many cut-offs it passes, the buckets (<= n+1 per
-    group) are summed cumulatively: one shuffle of tiny rows instead of n passes.
-    """
+    The cut-offs are lo + i * (hi - lo) / (n - 1), the last one hi itself.  k is floor((score - lo) / step),
+    corrected by one against the cut-offs next to it, so a score on a cut-off is never misplaced by
+    rounding; a score is evaluated once.  A null score passes none, NaN all."""
     by = _list(by)
     df = scores.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).alias("_y"))
     if lo is None or hi is None:
@@ -189,13 +229,31 @@ def best_threshold(scores: DataFrame, score: str = "score", label: str = "label"
         df = df.join(mm, by) if by else df.crossJoin(F.broadcast(mm))
     else:
         df = df.withColumn("_lo", F.lit(float(lo))).withColumn("_hi", F.lit(float(hi)))
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(n - 1)
-    ths = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("_lo") + i * step)
-    passes = (lambda t: F.col("_s") > t) if strict else (lambda t: F.col("_s") >= t)
-    # number of cut-offs the score passes: thresholds ascend, so it is a prefix
-    df = df.withColumn("_k", F.size(F.filter(ths, passes)))
-    b = df.groupBy(*by, "_lo", "_hi", "_k").agg(
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(n - 1))
+    place = F.try_divide(F.col("_s") - F.col("_lo"), step)
+    df = df.withColumn("_g", F.floor(F.least(F.greatest(place, F.lit(-1.0)), F.lit(float(n - 1)))).cast("int"))
+    cut = lambda i: F.when(i >= n - 1, F.col("_hi")).otherwise(F.col("_lo") + i * step)
+    passes = lambda i: F.col("_s") > cut(i) if strict else F.col("_s") >= cut(i)
+    g = F.col("_g")
+    k = F.when(F.col("_s").isNull(), 0) \
+        .when(F.col("_hi") <= F.col("_lo"), F.when(passes(F.lit(0)), n).otherwise(0)) \
+        .when((g < n - 1) & passes(g + 1), g + 2) \
+        .when((g >= 0) & passes(F.greatest(g, F.lit(0))), g + 1).otherwise(F.greatest(g, F.lit(0)))
+    return df.withColumn("_k", k).groupBy(*by, "_lo", "_hi", "_k").agg(
         F.sum(F.col("_y").cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
+
+
+def best_threshold(scores: DataFrame, score: str = "score", label: str = "label", n: int = 25,
+                   lo: float | None = 0.0, hi: float | None = 1.0, strict: bool = False,
+                   by=()) -> DataFrame:
+    """The cut-off among n evenly spaced values in [lo, hi] (inclusive; None = the data's
+    min/max) with the best accuracy of 'score >= th' (or '>' when strict); first best wins.
+
+    The scores become a histogram of <= n+1 buckets a group, which is summed cumulatively: one
+    shuffle of tiny rows instead of n passes.
+    """
+    by = _list(by)
+    b = score_histogram(scores, score, label, n, lo, hi, strict, by)
     tot = b.groupBy(*by).agg(F.sum("_pos").alias("_P"), F.sum("_cnt").alias("_T"))
     th = b.sparkSession.range(n).select(F.col("id").cast("int").alias("_i"))
     # predicted 1 for threshold i: rows with _k > i

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.operators.sampling import _list
+from lexispark.functions.arrays import let
+from lexispark.operators.sampling import _list, join_dim
 
 IGNORE, UNSEEN = -100, -101  # fixed label sentinels
 SUBWORD_PREFIX = "##"
@@ -145,30 +146,57 @@ def token_metrics(df: DataFrame, tags: str = "tags", preds: str = "preds") -> Da
     return per, acc
 
 
-def entity_metrics(df: DataFrame, id_col: str, tags: str = "tags", preds: str = "preds"):
-    """The same at the level of BIO chunks: (per type, overall) precision, recall, F1 and support.
+def bio_chunks(tags) -> Column:
+    """Array of (start, end, tag) of the BIO chunks of a tag array, end exclusive; null: none.
 
     B-X starts a chunk of type X, and so does I-X where the tag before is not of type X; tags without
-    these prefixes are outside.  A predicted chunk is right if start, end and type are a gold chunk's.
-    ``id_col`` tells sentences apart."""
-    w = Window.partitionBy(id_col).orderBy("_i")
-
-    def spans(col: str, flag: str) -> DataFrame:
-        e = df.select(id_col, F.posexplode(col).alias("_i", "_t"))
-        e = e.withColumn("tag", F.when(F.col("_t").rlike("^[BI]-"), F.substring("_t", 3, 1 << 20)))
-        new = F.col("tag").isNotNull() & (F.col("_t").startswith("B-")
-                                          | ~F.lag("tag").over(w).eqNullSafe(F.col("tag")))
-        e = e.withColumn("_c", F.sum(new.cast("long")).over(w)).where(F.col("tag").isNotNull())
-        return e.groupBy(id_col, "_c").agg(F.min("_i").alias("_a"), F.max("_i").alias("_z"),
-                                           F.first("tag").alias("tag")).drop("_c").withColumn(flag, F.lit(1))
-    j = spans(tags, "_g").join(spans(preds, "_p"), [id_col, "_a", "_z", "tag"], "full").fillna(0, ["_g", "_p"])
-    counts = [F.sum("_g").alias("n_true"), F.sum("_p").alias("n_pred"), F.sum(F.col("_g") * F.col("_p")).alias("tp")]
+    these prefixes are outside.  Every tag is looked at with the one before it; a place where a chunk
+    starts, or where one ends outside, is a border, and a chunk reaches to the next border."""
+    tags = F.coalesce(_c(tags), F.array().cast("array<string>"))
+    begins = lambda t: F.coalesce(t.startswith("B-"), F.lit(False))
+    kinds = F.transform(tags, lambda t: F.struct(F.when(t.startswith("B-") | t.startswith("I-"), F.substring(
+        t, 3, 1 << 20)).alias("tag"), begins(t).alias("begins")))
+    outside = F.array(F.struct(F.lit(None).cast("string").alias("tag"), F.lit(False).alias("begins")))
+
+    def mark(x, i):
+        now, was = x["now"], x["was"]
+        return F.struct(i.alias("at"), now["tag"].alias("tag"), (now["tag"].isNotNull() & (
+            now["begins"] | ~was["tag"].eqNullSafe(now["tag"]))).alias("new"), was["tag"].alias("was"))
+    # each tag with the one before it; one longer, as a chunk may end with the sentence
+    marks = let(kinds, lambda k: F.transform(F.arrays_zip(
+        F.concat(k, outside).alias("now"), F.concat(outside, k).alias("was")), mark))
+    borders = F.filter(marks, lambda m: m["new"] | (m["tag"].isNull() & m["was"].isNotNull()))
+    chunks = let(borders, lambda b: F.zip_with(b, F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), lambda x, y: F.struct(
+        x["at"].alias("start"), y["at"].alias("end"), x["tag"].alias("tag"), x["new"].alias("new"))))
+    return F.transform(F.filter(chunks, lambda c: c["new"]), lambda c: F.struct(
+        c["start"].alias("start"), c["end"].alias("end"), c["tag"].alias("tag")))
+
+
+def entity_metrics(df: DataFrame, id_col: str | None = None, tags: str = "tags", preds: str = "preds"):
+    """The same at the level of BIO chunks (``bio_chunks``): (per type, overall) precision, recall, F1 and
+    support.  A predicted chunk is right if start, end and type are a gold chunk's.
+
+    A row is a sentence (``id_col`` is not looked at): chunks are built and compared inside the row, and
+    what is shuffled are the counts of each type."""
+    told = lambda chunks, g, p, r: F.transform(chunks, lambda c: F.struct(
+        c["tag"].alias("tag"), F.lit(g).alias("g"), F.lit(p).alias("p"), F.lit(r).alias("r")))
+    # chunks of a sentence begin at different places, so a border and a type name one; texts are compared by
+    # a hash set, structs one with each other
+    named = lambda chunks: F.transform(chunks, lambda c: F.concat_ws(
+        " ", c["start"].cast("string"), c["end"].cast("string"), c["tag"]))
+    right = lambda x: F.transform(F.array_intersect(named(x["g"]), named(x["p"])), lambda n: F.struct(
+        F.substring(n, F.length(F.substring_index(n, " ", 2)) + 2, F.lit(1 << 20)).alias("tag")))
+    both = let(F.struct(bio_chunks(tags).alias("g"), bio_chunks(preds).alias("p")), lambda x: F.concat(
+        told(x["g"], 1, 0, 0), told(x["p"], 0, 1, 0), told(right(x), 0, 0, 1)))
+    per = df.select(F.explode(both).alias("x")).groupBy(F.col("x.tag").alias("tag")).agg(
+        F.sum("x.g").alias("n_true"), F.sum("x.p").alias("n_pred"), F.sum("x.r").alias("tp"))
     p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     r = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(0.0)
     scored = [p.alias("precision"), r.alias("recall"),
               F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
               F.coalesce("n_true", F.lit(0)).alias("support")]
-    return j.groupBy("tag").agg(*counts).select("tag", *scored), j.agg(*counts).select(*scored)
+    overall = per.agg(F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp"))
+    return per.select("tag", *scored), overall.select(*scored)
 
 
 def flatten_metrics(per: DataFrame) -> DataFrame:
@@ -292,5 +320,4 @@ def fill_mask(df: DataFrame, model: DataFrame, id_col: str, prev: str = "prev")
     with its <= k candidates first, so rows meet it in one join that keeps their number."""
     lists = model.groupBy(F.col("prev").alias("_prev")).agg(F.array_sort(F.collect_list(F.struct(
         F.col("rank"), F.col("word").alias("token_str"), F.col("score")))).alias("candidates"))
-    return df.select(id_col, prev).join(lists, F.col(prev) == F.col("_prev")).select(
-        id_col, "candidates")
+    return join_dim(df.select(id_col, F.col(prev).alias("_prev")), lists, "_prev").select(id_col, "candidates")

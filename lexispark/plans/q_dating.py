@@ -10,6 +10,7 @@ from lexispark.operators import senses as C
 from lexispark.plans.q_sampling import md5k
 from lexispark.plans.registry import register
 from lexispark.sources import fixtures as fx
+from lexispark.sources.io import settle
 
 SPAN = 50
 CUTS = [-2.25 + 0.5 * i for i in range(9)]
@@ -112,14 +113,14 @@ best as (select th from acc order by a desc, i limit 1),
 sth as (select scores.*, (score > (select th from best))::int::double as hit from scores)"""
 
 
+def settled(spark, sf):
+    """The stand-in's scores, computed once."""
+    return settle(fx.scores(spark, sf), "scores")
+
+
 def _both(spark, sf):
-    s = fx.scores(spark, sf)
-    th = C.best_threshold(s.select("score", (F.col("item_year") > F.col("bg_year")).cast("int").alias("y")),
-                          "score", "y", n=50, strict=True).select("threshold")
-    raw = D.date_items(s).withColumn("model", F.lit("raw"))
-    st = s.crossJoin(F.broadcast(th)).withColumn("hit", (F.col("score") > F.col("threshold")).cast("double"))
-    thr = D.knee(D.cumulative_curve(st, ["item_id"], score="hit"), ["item_id"]).withColumn("model", F.lit("thr"))
-    return s, raw.unionByName(thr)
+    k = D.date_sentences(settled(spark, sf), models=[])
+    return k.withColumn("model", F.when(F.col("kind") == "raw", "raw").otherwise("thr"))
 
 
 _KNEES = f"""{S}, {_THR}, {_knee_sql('scores', 'item_id').replace('kk as', 'kr as').strip()},
@@ -130,8 +131,7 @@ knees as (select item_id, knee, 'raw' as model from kr union all select item_id,
 
 @register("date_sentences", f"""{_KNEES} select item_id, model, knee from knees""")
 def date_sentences(spark, sf):
-    _, k = _both(spark, sf)
-    return k.select("item_id", "model", "knee")
+    return _both(spark, sf).select("item_id", "model", "knee")
 
 
 @register("dating_mae", f"""{_KNEES},
@@ -141,8 +141,8 @@ select model, round(avg(case when ok then abs(knee - item_year) end), 6) as mae,
   cast(sum(ok::int) as bigint) as n_items, cast(sum((knee is null)::int) as bigint) as n_missing
 from knees join ok using (item_id) join tr using (item_id) group by model""")
 def dating_mae(spark, sf):
-    s, k = _both(spark, sf)
-    m = D.mae(k, s.select("item_id", "item_year").distinct(), ["model"])
+    k = _both(spark, sf)
+    m = D.mae(k.drop("item_year"), fx.dating_items(spark, sf), ["model"])
     return m.select("model", r6("mae").alias("mae"), F.col("n_items").cast("bigint"),
                     F.col("n_missing").cast("bigint"))
 
@@ -153,8 +153,8 @@ tr as (select distinct item_id, item_year from scores)
 select model, round(avg(case when ok then abs(knee - item_year) end), 6) as mae
 from knees join ok using (item_id) join tr using (item_id) group by model""")
 def dating_mae_long(spark, sf):
-    s, k = _both(spark, sf)
-    m = D.mae(k, s.select("item_id", "item_year").distinct(), ["model"])
+    k = _both(spark, sf)
+    m = D.mae(k.drop("item_year"), fx.dating_items(spark, sf), ["model"])
     # a literal key: without items there is no row, as in the oracle
     wide = m.withColumn("_one", F.lit(1)).groupBy("_one").pivot("model", ["raw", "thr"]).agg(F.first("mae"))
     return D.melt(wide, ["_one"], ["raw", "thr"]).select(
@@ -166,7 +166,7 @@ _SIZES, _ITS = tuple(range(10, 101, 10)), 10
 
 def two_models(spark, sf):
     """The scores of two models: the stand-in's own and a flatter one."""
-    s = fx.scores(spark, sf)
+    s = settled(spark, sf)
     return s.withColumn("model", F.lit("a")).unionByName(s.withColumn("model", F.lit("b")).withColumn(
         "score", F.col("score") * F.col("score")))
 

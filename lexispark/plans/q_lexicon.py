@@ -102,12 +102,16 @@ def lex_has_keyword(spark, sf):
     return L.has_keyword(fx.quotes(spark, sf)).select("quote_id", "keyword")
 
 
-_KP = "'^((?s:.*?)(?:^|[^\\p{L}\\p{M}\\p{N}_]))(\\Q' || keyword || '\\E)(?:[^\\p{L}\\p{M}\\p{N}_]|$)'"
+#: The quote cut once into runs of word characters and single others; the keyword (one word here) is the
+#: first piece that equals it, and what stands before it gives the offset.
+_KW_SPAN = """pc as (select quote_id, quote, keyword,
+  regexp_extract_all(quote, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]') as t from quotes),
+sp as (select quote_id, quote, length(array_to_string(t[1:list_position(t, keyword) - 1], '')) as st, length(keyword) as n
+  from pc where list_position(t, keyword) > 0)"""
 
 
-@register("lex_find_keyword", f"""{Q}select quote_id, cast(length(regexp_extract(quote, {_KP}, 1)) as int) as start,
-  cast(length(regexp_extract(quote, {_KP}, 1)) + length(regexp_extract(quote, {_KP}, 2)) as int) as "end"
-from quotes where regexp_matches(quote, {_KP})""")
+@register("lex_find_keyword", f"""{Q}, {_KW_SPAN}
+select quote_id, cast(st as int) as start, cast(st + n as int) as "end" from sp""")
 def lex_find_keyword(spark, sf):
     return L.find_keyword(fx.quotes(spark, sf)).select("quote_id", "start", "end")
 
@@ -128,10 +132,7 @@ def lex_retrieval_table(spark, sf):
     return L.retrieval_table(fx.quotes(spark, sf), (1, 2, 3), sense_id="numbering")
 
 
-@register("text_subtoken_span", f"""{Q}, s as (select quote_id, quote,
-  length(regexp_extract(quote, {_KP}, 1)) as st,
-  length(regexp_extract(quote, {_KP}, 1)) + length(regexp_extract(quote, {_KP}, 2)) as en
-  from quotes where regexp_matches(quote, {_KP}))
+@register("text_subtoken_span", f"""{Q}, {_KW_SPAN}, s as (select quote_id, quote, st, st + n as en from sp)
 select quote_id, (st // 3)::int as "first", ceil(en / 3)::int as "last" from s
 where st % 3 = 0 and (en % 3 = 0 or en = length(quote))""")
 def text_subtoken_span(spark, sf):
@@ -168,10 +169,7 @@ def text_mark_keyword(spark, sf):
                     (F.instr("quote", F.col("keyword")) == 0).alias("missing"))
 
 
-@register("text_mark_span", f"""{Q}, s as (select quote_id, quote,
-  length(regexp_extract(quote, {_KP}, 1)) as st,
-  length(regexp_extract(quote, {_KP}, 1)) + length(regexp_extract(quote, {_KP}, 2)) as en
-  from quotes where regexp_matches(quote, {_KP}))
+@register("text_mark_span", f"""{Q}, {_KW_SPAN}, s as (select quote_id, quote, st, st + n as en from sp)
 select quote_id, substr(quote, 1, st) || '[TGT] ' || substr(quote, st + 1, en - st) || ' [TGT]' || substr(quote, en + 1)
   as marked, cast(st + 6 as int) as new_start, cast(en + 6 as int) as new_end from s""")
 def text_mark_span(spark, sf):

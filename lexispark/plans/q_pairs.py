@@ -10,6 +10,8 @@ from lexispark.functions.keys import r6
 from lexispark.operators import lexicon as L
 from lexispark.operators import pairs as J
 from lexispark.plans.q_sampling import md5k
+from lexispark.operators.scorers import order_scorer
+from lexispark.operators.scorers import score_background as score_tiles
 from lexispark.plans.registry import register
 from lexispark.sources import fixtures as fx
 from lexispark.sources.tables import table
@@ -179,14 +181,35 @@ def cross_backward(spark, sf):
     return x.select("item_id", "bg_id", "s1_id", "s2_id", "direction")
 
 
+_HALF = "list_dot_product(x.embedding[1:32]::double[], y.embedding[33:64]::double[]) - " \
+    "list_dot_product(x.embedding[33:64]::double[], y.embedding[1:32]::double[])"
+
+
+@register("score_background", f"""{fx.duck_with('dating_items', 'background_pool')},
+pr as (select item_id, bg_id, item_year, bg_year, x.embedding as e1, y.embedding as e2, {_HALF} as z
+  from dating_items cross join background_pool join embeddings x on x.vec_id = item_id
+  join embeddings y on y.vec_id = bg_id)
+select item_id, bg_id, item_year, bg_year, 'forward' as direction, round(1 / (1 + exp(-8.0::double * z)), 6) as score from pr
+union all select item_id, bg_id, item_year, bg_year, 'backward', round(1 / (1 + exp(8.0::double * z)), 6) from pr""")
+def score_background(spark, sf):
+    """Both directions of the item x background matrix from one pass of tiles, by a scorer on vectors."""
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    name = lambda c: e.select(F.col("vec_id").alias(c), "embedding")
+    items = fx.dating_items(spark, sf).join(name("item_id"), "item_id")
+    pool = fx.background_pool(spark, sf).join(name("bg_id"), "bg_id")
+    s = score_tiles(items, pool.withColumnRenamed("embedding", "vector"), order_scorer("embedding", "vector"),
+                    ["item_year", "embedding"], ["bg_year", "vector"])
+    return s.select("item_id", "bg_id", "item_year", "bg_year", "direction", r6("score").alias("score"))
+
+
 @register("span_product", f"""{fx.duck_with('sense_items')},
 p as (select quote_id, year, cast(floor(year / 50) * 50 as int) as b, row_number() over (partition by floor(year / 50)
-  order by {md5k('span', 'quote_id')}, quote_id) as r, least(10, count(*) over (partition by floor(year / 50))) as m
+  order by {md5k('span', 'quote_id')}, quote_id) as r, least(200, count(*) over (partition by floor(year / 50))) as m
   from sense_items)
 select x.quote_id as a_id, x.year as a_year, x.b as a_span, y.quote_id as b_id, y.year as b_year, y.b as b_span
 from p x, p y where x.r <= x.m // 2 and y.r > y.m // 2 and y.r <= y.m""")
 def span_product(spark, sf):
-    return J.span_product(fx.sense_items(spark, sf), "year", 50, 10, "quote_id") \
+    return J.span_product(fx.sense_items(spark, sf), "year", 50, 200, "quote_id") \
         .select("a_id", "a_year", "a_span", "b_id", "b_year", "b_span")
 
 

@@ -153,9 +153,9 @@ def wsd_splits(spark, sf):
 
 
 @register("fewshot_draws", f"""{SENSES}, {_ELIG}, {_STRAT},
-tr as (select * from st where role = 'train'),
+tr as materialized (select * from st where role = 'train'),
 it as (select range::int as iteration from range(20)),
-rk as (select iteration, quote_id, row_number() over (partition by iteration, lemma, sense
+rk as materialized (select iteration, quote_id, row_number() over (partition by iteration, lemma, sense
   order by {md5k('fewshot', 'iteration', 'quote_id')}, quote_id) as rn from tr, it),
 sz as (select unnest([1, 2, 5, 10, 15, 25]) as n)
 select cast(n as varchar) as n_items, iteration, quote_id from rk join sz on rn <= n
@@ -208,7 +208,52 @@ def assign_batches(spark, sf):
     return S.assign_batches(fx.quotes(spark, sf), 248, id_col="quote_id").select("quote_id", "batch")
 
 
-@register("sample_episodes")
+def sint(seed: str, *cols: str) -> str:
+    return f"('0x' || substr({md5k(seed, *cols)}, 1, 15))::bigint"
+
+
+def episodes_sql(src: str, n_episodes: int, strategy: str, max_support: int, max_query: int,
+                 attempts: int = 10, seed: str = "episodes") -> str:
+    """The episodes of ``sample_episodes`` over a relation with lemma, sense and quote_id: CTEs that end in
+    ep (episode, attempt, role, lemma, sense, quote_id), by the same draws on windows over all rows."""
+    primes = ", ".join(map(str, S.PRIMES))
+    if strategy == "uniform":
+        pick = f"""ch as (select d.episode, d.attempt, l.lemma from dw d join (select lemma, row_number() over (
+    order by {md5k(seed + '-lemma', 'lemma')}, lemma) as li, count(*) over () as k from (select distinct lemma from sc)) l
+  on d.u % l.k + 1 = l.li)"""
+    else:
+        pick = f"""ch as (select d.episode, d.attempt, l.lemma from dw d join (select lemma, row_number() over (
+    order by {md5k(seed + '-row', 'quote_id')}, quote_id) as ri, count(*) over () as k from rk) l on d.u % l.k + 1 = l.ri)"""
+
+    def rows(role: str, first: str, last: str) -> str:
+        return f"""{role}p as (select episode, attempt, lemma, sense, ((o + t.p * a) % c)::bigint as r0
+  from sa, lateral (select unnest(range({first}, {last}))::hugeint as p) t)"""
+
+    def capped(role: str, src: str, cap: int) -> str:
+        return f"""{role} as (select episode, attempt, lemma, sense, quote_id from (select x.*, row_number() over (
+    partition by episode, attempt order by {md5k(seed + '-cap', 'episode', 'attempt', 'quote_id')}, quote_id) as cp
+  from ({src}) x) where cp <= {cap})"""
+    return f"""sc as materialized (select lemma, sense, count(*) as c from {src} group by lemma, sense having count(*) >= 2),
+rk as materialized (select s.lemma, s.sense, quote_id, row_number() over (partition by s.lemma, s.sense
+  order by {md5k(seed, 'quote_id')}, quote_id) - 1 as r0 from {src} s join sc on sc.lemma = s.lemma and sc.sense = s.sense),
+dw as (select e.range as episode, a.range::int as attempt, {sint(seed, 'e.range', 'a.range')} as u
+  from range({n_episodes}) e, range({attempts}) a),
+{pick},
+sb as (select ch.*, sc.sense, sc.c, [{primes}][({sint(seed + '-prime', 'episode', 'attempt', 'sc.sense')} % {len(S.PRIMES)})::int + 1] as a0,
+  {sint(seed, 'episode', 'attempt', 'sc.sense')} % sc.c as o, least(sc.c - 1, greatest(1, ceil(sc.c * 0.5)::bigint)) as cut
+  from ch join sc on sc.lemma = ch.lemma),
+sa as materialized (select *, (case when a0 % c = 0 then {S.LAST_PRIME} else a0 end)::hugeint as a from sb),
+{rows('sup', '0', f'least(cut, {max_support})')}, {rows('qry', 'cut', f'least(c, cut + {max_query})')},
+{capped('su', 'select p.episode, p.attempt, p.lemma, p.sense, rk.quote_id from supp p join rk on rk.lemma = p.lemma and rk.sense = p.sense and rk.r0 = p.r0', max_support)},
+hv as materialized (select distinct episode, attempt, sense from su),
+{capped('qu', 'select p.episode, p.attempt, p.lemma, p.sense, rk.quote_id from qryp p join hv on hv.episode = p.episode and hv.attempt = p.attempt and hv.sense = p.sense join rk on rk.lemma = p.lemma and rk.sense = p.sense and rk.r0 = p.r0', max_query)},
+fi as (select episode, min(attempt) as attempt from qu group by episode),
+ep as (select 'support' as role, su.* from su join fi on fi.episode = su.episode and fi.attempt = su.attempt
+  union all select 'query', qu.* from qu join fi on fi.episode = qu.episode and fi.attempt = qu.attempt)"""
+
+
+@register("sample_episodes", f"""{SENSES}, {episodes_sql('sq', 200, 'frequency', 40, 40)}
+select episode, role, lemma, sense, quote_id from ep""")
 def sample_episodes(spark, sf):
     out = S.sample_episodes(senses(spark, sf), 200, id_col="quote_id", strategy="frequency",
                             max_support=40, max_query=40)

@@ -10,8 +10,9 @@ from lexispark.operators import fewshot as W
 from lexispark.operators import pairs as J
 from lexispark.operators import sampling as S
 from lexispark.operators import senses as C
+from lexispark.operators.logistic import fit_lemma_logistic
 from lexispark.plans.q_pairs import CON, contrastive
-from lexispark.plans.q_sampling import md5k
+from lexispark.plans.q_sampling import episodes_sql, md5k
 from lexispark.plans.registry import register
 from lexispark.sources import fixtures as fx
 
@@ -109,10 +110,10 @@ def wsd_class_index(spark, sf):
 
 
 @register("wsd_query_not_covered", f"""{SI}, {_ST} select quote_id, lemma, sense from te
-where (lemma, sense) not in (select (lemma, sense) from tr where year < 1800)""")
+where not exists (select 1 from tr where tr.lemma = te.lemma and tr.sense = te.sense)""")
 def wsd_query_not_covered(spark, sf):
     tr, te = split(spark, sf)
-    v = C.query_not_covered(tr.where("year < 1800"), te, ["lemma"])
+    v = C.query_not_covered(tr, te, ["lemma"])
     return v.select("quote_id", "lemma", "sense")
 
 
@@ -258,7 +259,7 @@ def wsd_evaluate_dev(spark, sf):
 
 
 _ZERO = f"""zk as (select *, count(*) over (partition by lemma, sense) as c from sense_items
-  where lemma in (select lemma from (select distinct lemma from sense_items) order by {md5k('keys', 'lemma')}, lemma limit 5)),
+  where lemma in (select lemma from (select distinct lemma from sense_items) order by {md5k('keys', 'lemma')}, lemma limit 50)),
 zh as (select *, row_number() over (partition by lemma, sense order by {md5k('halves', 'quote_id')}, quote_id)
   <= least(c - 1, greatest(1, ceil(c * 0.5))) as sup from zk where c >= 2),
 zs as (select * from zh where sup), zq as (select * from zh where not sup)"""
@@ -266,7 +267,7 @@ zs as (select * from zh where sup), zq as (select * from zh where not sup)"""
 
 def zero_items(spark, sf):
     si = fx.sense_items(spark, sf)
-    return si.join(S.sample_keys(si, "lemma", 5), "lemma", "left_semi")
+    return si.join(S.sample_keys(si, "lemma", 50), "lemma", "left_semi")
 
 
 @register("wsd_evaluate_zero", f"""{SI}, {_ZERO}, {_nearest_sql('zs', 'zq', [None])}
@@ -278,19 +279,35 @@ def wsd_evaluate_zero(spark, sf):
 @register("wsd_zero_ladder", f"""{SI}, {_ZERO}, {_nearest_sql('zs', 'zq', [1, 2, 5, 10, 20, None])}
 select size as max_support, quote_id, lemma, "true", pred from pr""")
 def wsd_zero_ladder(spark, sf):
-    out = None
-    for size in _LADDER_SIZES:
-        one = W.evaluate_zero(zero_items(spark, sf), max_support=size).withColumn(
-            "max_support", F.lit("all" if size is None else str(size)))
-        out = one if out is None else out.unionByName(one)
-    return out.select("max_support", "quote_id", "lemma", "true", "pred")
-
-
-@register("wsd_episode_loss")
+    return W.evaluate_zero_ladder(zero_items(spark, sf), _LADDER_SIZES).select(
+        "max_support", "quote_id", "lemma", "true", "pred")
+
+
+@register("wsd_episode_loss", f"""{SI}, {episodes_sql('sense_items', 100, 'uniform', 30, 30)},
+ev as (select ep.*, embedding from ep join sense_items using (quote_id)),
+cent as {_cent_sql("(select * from ev where role = 'support')", 'episode, lemma, sense')},
+z as (select q.episode, q.quote_id, q.sense = c.sense as hit, list_dot_product(q.embedding::double[], c.centroid) as z
+  from ev q join cent c on c.episode = q.episode and c.lemma = q.lemma where q.role = 'query'),
+m as (select episode, quote_id, max(z) as m from z group by episode, quote_id),
+l as (select z.episode, z.quote_id, any_value(m) + ln(sum(exp(z - m))) - max(case when hit then z end) as loss
+  from z join m using (episode, quote_id) group by z.episode, z.quote_id)
+select episode, round(avg(loss), 6) as loss from l group by episode""")
 def wsd_episode_loss(spark, sf):
     si = fx.sense_items(spark, sf)
     ep = S.sample_episodes(si, 100, id_col="quote_id", max_support=30, max_query=30)
-    return C.episode_loss(ep, id_col="quote_id")
+    return C.episode_loss(ep, id_col="quote_id").select("episode", r6("loss").alias("loss"))
+
+
+@register("lemma_logistic")
+def lemma_logistic(spark, sf):
+    """One logistic model per lemma on all contrastive pairs of its items (tested against numpy)."""
+    si = fx.sense_items(spark, sf)
+    p = J.with_vectors(contrastive(spark, sf), si, "quote_id")
+    p = p.join(si.select(F.col("quote_id").alias("q1"), "lemma"), "q1").withColumn(
+        "pair_id", F.concat_ws("-", "q1", "q2", "y"))
+    fit = fit_lemma_logistic(p, label="y")
+    return fit.select("lemma", "n", "converged", r6("objective").alias("objective"),
+                      r6(F.sqrt(sq_norm("weight"))).alias("norm"), r6(F.get("weight", F.lit(0))).alias("first"))
 
 
 # --- thresholds and pair scores -------------------------------------------------------------

@@ -74,6 +74,48 @@ def tag_token_metrics(spark, sf):
                       r6("f1").alias("f1"), F.col("support").cast("bigint"))
 
 
+#: The stand-in's tags read as BIO tags (I-X may stand behind anything, so some chunks start with it).
+BIO = {"T0": "O", "T1": "B-X", "T2": "I-X", "T3": "B-Y", "T4": "I-Y"}
+
+
+def bio(spark, sf):
+    t = fx.tagged(spark, sf)
+    names = F.create_map(*[F.lit(x) for kv in BIO.items() for x in kv])
+    read = lambda c: F.transform(c, lambda x: F.element_at(names, x)).alias(c)
+    return t.select("sent_id", read("tags"), read("preds"))
+
+
+_BIO_CASE = "case t " + " ".join(f"when '{k}' then '{v}'" for k, v in BIO.items()) + " end"
+
+
+def _chunk_sql(col: str) -> str:
+    """Chunks of the tag lists by numbering the places where one starts."""
+    return f"""(select sent_id, min(i) as a, max(i) as z, any_value(ty) as tag from (
+  select sent_id, i, ty, sum(fresh) over (partition by sent_id order by i) as c from (
+    select sent_id, i, ty, (ty is not null and (t like 'B-%' or ty is distinct from
+      lag(ty) over (partition by sent_id order by i)))::int as fresh from (
+      select sent_id, i, t, case when t like 'B-%' or t like 'I-%' then substr(t, 3) end as ty from (
+        select sent_id, i, {_BIO_CASE} as t from (
+          select sent_id, unnest({col}) as t, generate_subscripts({col}, 1) as i from tagged)))))
+  where ty is not null group by sent_id, c)"""
+
+
+@register("tag_entity_metrics", f"""{TG}, g as {_chunk_sql('tags')}, p as {_chunk_sql('preds')},
+c as (select coalesce(g.tag, p.tag) as tag, count(g.a) as n_true, count(p.a) as n_pred,
+    count(case when g.a is not null and p.a is not null then 1 end) as tp
+  from g full join p on g.sent_id = p.sent_id and g.a = p.a and g.z = p.z and g.tag = p.tag group by 1),
+al as (select * from c union all select 'overall', sum(n_true), sum(n_pred), sum(tp) from c),
+m as (select tag, n_true, case when n_pred > 0 then tp / n_pred else 0 end as p,
+  case when n_true > 0 then tp / n_true else 0 end as r from al)
+select tag, round(p, 6) as precision, round(r, 6) as recall,
+  round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1, cast(n_true as bigint) as support from m""")
+def tag_entity_metrics(spark, sf):
+    per, overall = T.entity_metrics(bio(spark, sf))
+    both = per.unionByName(overall.withColumn("tag", F.lit("overall")))
+    return both.select("tag", r6("precision").alias("precision"), r6("recall").alias("recall"),
+                       r6("f1").alias("f1"), F.col("support").cast("bigint"))
+
+
 @register("tag_accuracy", f"""{TG} select round(avg((t = p)::int::double), 6) as accuracy from (
   select unnest(tags) as t, unnest(preds) as p from tagged)""")
 def tag_accuracy(spark, sf):

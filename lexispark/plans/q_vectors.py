@@ -51,7 +51,29 @@ def pair_mean_loss(spark, sf):
     return a.crossJoin(b).select(r6("loss_pairs").alias("loss_pairs"), r6("loss_batches").alias("loss_batches"))
 
 
-@register("compare_vector_sets")
+_SETS = f"""{fx.duck_with('sense_items')},
+mean as (select lemma, list(m order by i) as c from (select lemma, i, avg(x) as m from (
+  select lemma, generate_subscripts(embedding, 1) as i, unnest(embedding::double[]) as x from sense_items)
+  group by lemma, i) group by lemma),
+vs as (select 'before' as s, quote_id, sense, embedding::double[] as v from sense_items
+  union all select 'after', quote_id, sense, list_transform(list_zip(embedding::double[], mean.c), lambda z: z[1] - z[2])
+  from sense_items join mean using (lemma)),
+un as (select s, quote_id, sense, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from vs
+  where list_dot_product(v, v) > 0),
+nb as (select s, q, hit, rk - 1 as pos from (select a.s, a.quote_id as q, (a.sense = b.sense)::int as hit, row_number() over (
+    partition by a.s, a.quote_id order by list_dot_product(a.v, b.v) desc, b.quote_id) as rk
+  from un a join un b on a.s = b.s) where rk between 2 and 20),
+cm as (select *, sum(hit) over (partition by s, q order by pos) as cum from nb),
+per as (select s, q, sum(hit) as got, coalesce(avg(case when hit = 1 then cum / pos end), 0) as ap from cm group by s, q),
+sz as (select s, sense, count(*) as n from vs group by s, sense),
+sc as (select vs.s, vs.sense, coalesce(ap, 0) as ap, coalesce(got, 0) / least(n, 20) as acc from vs join sz using (s, sense)
+  left join per on per.s = vs.s and per.q = vs.quote_id),
+lb as (select s, sense, avg(acc) as acc, avg(ap) as ap from sc group by s, sense)
+select s as "set", round(avg(acc), 6) as micro_acc, round((select avg(acc) from lb where lb.s = sc.s), 6) as macro_acc,
+  round(avg(ap), 6) as micro_ap, round((select avg(ap) from lb where lb.s = sc.s), 6) as macro_ap from sc group by s"""
+
+
+@register("compare_vector_sets", _SETS)
 def compare_vector_sets(spark, sf):
     si = fx.sense_items(spark, sf)
     orig = si.select("quote_id", "embedding").withColumn("set", F.lit("before"))
@@ -141,14 +163,13 @@ def io_tag_lines(spark, sf):
     return spark.read.text(path)
 
 
-@register("io_predictions", f"""{fx.duck_with('tagged')} select 'tagger' as model, 10 as max_support, count(*) as n
-from (select unnest(preds) from tagged)""")
+@register("io_predictions", f"""{fx.duck_with('tagged')} select 'tagger' as model, 10 as max_support, sent_id,
+  (generate_subscripts(preds, 1) - 1)::int as "index", unnest(preds) as pred from tagged""")
 def io_predictions(spark, sf):
     t = fx.tagged(spark, sf).select("sent_id", F.posexplode("preds").alias("index", "pred"))
     path = IO.scratch(spark, "predictions")
     IO.write_predictions(t, path, model="tagger", max_support=10)
-    r = spark.read.parquet(path)
-    return r.groupBy("model", "max_support").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).select("model", "max_support", "sent_id", "index", "pred")
 
 
 @register("io_write_if_absent", f"{fx.duck_with('pairs')} select pair_id from pairs")

@@ -6,8 +6,8 @@ statements (``DUCK``) are used by the SQL oracles; both engines produce identica
 Deviations from a literal reading of the fixture notes, taken so the work covers whole
 tables and whole texts:
 * ``tagged`` keeps every token of a document (no prefix cut);
-* ``scores`` uses a background pool of at most BG_PER_DECADE vectors per decade, and every
-  vector outside the pool is an item, instead of id ranges.
+* ``scores``: a quarter of the vectors (by hash) is set aside as background, of which at most
+  BG_PER_DECADE a decade are the pool; every vector outside that quarter is an item.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions.keys import seeded_unit
-from lexispark.sources.tables import table
+from lexispark.functions.keys import rkey, seeded_unit
+from lexispark.sources.tables import dealt, table
 
 # Fixed values of the stand-in data (both engines must agree on them).
 BG_PER_DECADE = 20         # background pool size per decade (the reference's)
-CAND_WORDS = ["small", "red", "ring", "widget", "blue", "absent", "thou"]
-KW_WORDS = ["small", "red", "ring", "gear", "blue"]
+BG_PART = "40000000"       # keys below are the background part: a quarter
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,18 +69,18 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dating_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors outside the background part."""
     emb = table(spark, sf_dir, "embeddings", "vec_id")
-    pool = background_pool(spark, sf_dir).select(F.col("bg_id").alias("vec_id"))
-    return emb.join(pool, "vec_id", "left_anti").select(
+    return emb.where(rkey("bgpart", "vec_id") >= BG_PART).select(
         F.col("vec_id").alias("item_id"),
         (F.lit(1450) + (F.col("vec_id") * 13) % 500).cast("int").alias("item_year"))
 
 
 def background_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most BG_PER_DECADE vectors per decade (bounded)."""
+    """At most BG_PER_DECADE vectors per decade of the background part (bounded)."""
     from lexispark.operators.sampling import sample_per_group
     emb = table(spark, sf_dir, "embeddings", "vec_id")
-    rest = emb.select(
+    rest = emb.where(rkey("bgpart", "vec_id") < BG_PART).select(
         F.col("vec_id").alias("bg_id"),
         (F.lit(1450) + F.lit(10) * (F.col("vec_id") % 50)).cast("int").alias("bg_year"))
     return sample_per_group(rest, "bg_year", BG_PER_DECADE, seed="bg", id_col="bg_id")
@@ -97,7 +96,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    docs = dealt(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id")
     return spark.sql("""
         select doc_id as sent_id, source, tokens,
           transform(tokens, x -> concat('T', cast(length(x) % 5 as string))) as tags,
@@ -109,23 +108,21 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders", "o_orderkey")
-    cw = ", ".join(f"'{w}'" for w in CAND_WORDS)
-    kw = ", ".join(f"'{w}'" for w in KW_WORDS)
-    return spark.sql(f"""
-        select quote_id, kw, transform(sequence(0, 4), i -> named_struct(
-          'token_str', array({cw})[cast((quote_id + i * 3) % 7 as int)],
+    """Five ranked candidates for the keyword of each quotation, from the words of all part names (one row
+    holds that vocabulary)."""
+    part = table(spark, sf_dir, "part", "p_name")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().agg(
+        F.array_sort(F.collect_list("w")).alias("words"))
+    return spark.sql("""
+        select quote_id, keyword as kw, transform(sequence(0, 4), i -> named_struct(
+          'token_str', words[cast((quote_id * 5 + i * 3) % size(words) as int)],
           'score', 1D / (i + 2))) as candidates
-        from (select o_orderkey as quote_id, array({kw})[cast(o_orderkey % 5 as int)] as kw
-              from {{orders}})
-    """, orders=orders)
+        from {quotes} cross join {words}
+    """, quotes=quotes(spark, sf_dir), words=F.broadcast(words))
 
 
 # ---------------------------------------------------------------------------------------
 # DuckDB forms of the same fixtures, as CTE bodies (tables are pre-registered views).
-_CW = ", ".join(f"'{w}'" for w in CAND_WORDS)
-_KW = ", ".join(f"'{w}'" for w in KW_WORDS)
-
 DUCK = {
     "quotes": """
         select o_orderkey as quote_id, p_name as lemma,
@@ -152,15 +149,15 @@ DUCK = {
           cast(1451 + (a.o_orderkey * 31) % 498 as int) as y1,
           cast(1451 + (b.o_orderkey * 31) % 498 as int) as y2
         from orders a join orders b on b.o_orderkey = a.o_orderkey + 1""",
-    "dating_items": """
+    "dating_items": f"""
         select vec_id as item_id, cast(1450 + (vec_id * 13) % 500 as int) as item_year
-        from embeddings where vec_id not in (select bg_id from background_pool)""",
+        from embeddings where md5(concat_ws(':', 'bgpart', cast(vec_id as varchar))) >= '{BG_PART}'""",
     "background_pool": f"""
         select bg_id, bg_year from (
           select vec_id as bg_id, cast(1450 + 10 * (vec_id % 50) as int) as bg_year,
             row_number() over (partition by 1450 + 10 * (vec_id % 50)
               order by md5(concat_ws(':', 'bg', cast(vec_id as varchar))), vec_id) as rn
-          from embeddings)
+          from embeddings where md5(concat_ws(':', 'bgpart', cast(vec_id as varchar))) < '{BG_PART}')
         where rn <= {BG_PER_DECADE}""",
     "scores": """
         select item_id, bg_id, item_year, bg_year,
@@ -177,15 +174,16 @@ DUCK = {
         from (select doc_id, source,
                 list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: length(x) > 0) as tokens
               from documents)""",
-    "candidates": f"""
-        select quote_id, kw, list_transform(range(0, 5), lambda i: {{
-            'token_str': [{_CW}][((quote_id + i * 3) % 7)::int + 1],
-            'score': 1.0::double / (i + 2)}}) as candidates
-        from (select o_orderkey as quote_id, [{_KW}][(o_orderkey % 5)::int + 1] as kw from orders)""",
+    "candidates": """
+        select quote_id, keyword as kw, list_transform(range(0, 5), lambda i: {
+            'token_str': words[((quote_id * 5 + i * 3) % len(words))::int + 1],
+            'score': 1.0::double / (i + 2)}) as candidates
+        from quotes cross join (select list(w order by w) as words from (
+          select distinct unnest(string_split(p_name, ' ')) as w from part))""",
 }
 
 # Which fixtures each fixture needs first (for CTE assembly).
-_DEPS = {"scores": ["dating_items", "background_pool"], "dating_items": ["background_pool"]}
+_DEPS = {"scores": ["dating_items", "background_pool"], "candidates": ["quotes"]}
 
 
 def duck_with(*names: str) -> str:

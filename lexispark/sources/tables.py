@@ -14,3 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """Read one table; naming columns prunes the scan (ReadSchema shows only them)."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer files than cores, dealt over all cores by ``key`` before costly work in the row (a
+    file of one row group is one task); a scan of many files as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df

@@ -69,6 +69,37 @@ def test_registered_queries_smoke(spark):
     assert set(orc) <= set(qs) and len(qs) >= 100
 
 
+def test_dating_queries_have_rows(spark):
+    """None of the queries over scores compares nothing with nothing at the smallest size."""
+    import __spark_entry__ as E
+    qs = E.queries()
+    for name in ("cross_with_background", "cross_backward", "score_background", "cumulative_curve", "knee_raw",
+                 "knee_polynomial", "date_sentences", "dating_mae", "dating_mae_long", "dating_best_threshold",
+                 "dating_model_thresholds", "background_curve", "background_curve_polynomial",
+                 "io_scores_partitioned", "span_product", "knn_approx", "lemma_logistic", "compare_vector_sets"):
+        assert qs[name](spark, SF001).limit(1).count() == 1, name
+
+
+def test_a_hot_group_is_dealt_over_tasks(spark):
+    """Rows of one group meet its size, or its dimension row, under several salts."""
+    df = spark.range(4000).select("id", F.when(F.col("id") < 3000, "hot").otherwise(
+        F.concat(F.lit("g"), F.col("id") % 50)).alias("g"))
+    dim = df.groupBy("g").agg(F.count("*").alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = S.join_dim(df, dim, "g").withColumn("p", F.spark_partition_id())
+        assert out.count() == 4000 and out.where("g = 'hot' and n = 3000").select("p").distinct().count() >= 4
+        assert S.join_dim(df, dim.where("g = 'hot'"), "g", "left_semi").count() == 3000
+        assert S.join_dim(df, dim.where("g = 'hot'"), "g", "left_anti").count() == 1000
+        sized = S.with_group_size(df.withColumn("g", F.nullif("g", F.lit("g7"))), "g")
+        assert sized.count() == 4000 and sized.where("g is null and n = 20").count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+
+
 def test_streaming_map_only(spark, tmp_path):
     from lexispark.functions.text import first_pos
     from lexispark.streaming.maponly import stream_map
