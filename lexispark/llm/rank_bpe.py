@@ -230,7 +230,7 @@ class Encoder:
             if self.m.lower:                         # letter by letter: no final form of sigma
                 piece = piece.replace("Σ", "σ").lower()
             shape = piece if piece.isascii() else "".join(
-                "" if unicodedata.category(c) == "Cn" else c for c in piece)
+                "\ue000" if unicodedata.category(c) == "Cn" else c for c in piece)
             if shape == piece:
                 out += [w.encode() for w in self.find(piece)]
             else:
