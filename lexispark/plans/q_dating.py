@@ -74,9 +74,9 @@ def ordinal_loss(spark, sf):
     return D.ordinal_loss(z, CUTS).agg(r6(F.avg("loss")).alias("loss"))
 
 
-@register("background_pool", f"{fx.duck_with('background_pool')}select bg_id, bg_year from background_pool")
+@register("background_pool", f"{fx.duck_with('drawn_pool')}select bg_id, bg_year from drawn_pool")
 def background_pool(spark, sf):
-    return fx.background_pool(spark, sf)
+    return fx.drawn_pool(spark, sf)
 
 
 S = fx.duck_with("scores")
@@ -142,7 +142,7 @@ select model, round(avg(case when ok then abs(knee - item_year) end), 6) as mae,
 from knees join ok using (item_id) join tr using (item_id) group by model""")
 def dating_mae(spark, sf):
     k = _both(spark, sf)
-    m = D.mae(k.drop("item_year"), fx.dating_items(spark, sf), ["model"])
+    m = D.mae(k.drop("item_year"), fx.scored_items(spark, sf), ["model"])
     return m.select("model", r6("mae").alias("mae"), F.col("n_items").cast("bigint"),
                     F.col("n_missing").cast("bigint"))
 
@@ -154,7 +154,7 @@ select model, round(avg(case when ok then abs(knee - item_year) end), 6) as mae
 from knees join ok using (item_id) join tr using (item_id) group by model""")
 def dating_mae_long(spark, sf):
     k = _both(spark, sf)
-    m = D.mae(k.drop("item_year"), fx.dating_items(spark, sf), ["model"])
+    m = D.mae(k.drop("item_year"), fx.scored_items(spark, sf), ["model"])
     # a literal key: without items there is no row, as in the oracle
     wide = m.withColumn("_one", F.lit(1)).groupBy("_one").pivot("model", ["raw", "thr"]).agg(F.first("mae"))
     return D.melt(wide, ["_one"], ["raw", "thr"]).select(
@@ -192,7 +192,7 @@ def dating_model_thresholds(spark, sf):
 
 
 @register("background_curve", f"""{S}, {_TWO},
-bgp as (select bg_id, bg_year, cast(floor(bg_year / 50) * 50 as int) as b from background_pool),
+bgp as (select bg_id, bg_year, cast(floor(bg_year / 50) * 50 as int) as b from drawn_pool),
 rk as (select it.iteration, bgp.bg_id, row_number() over (partition by it.iteration, bgp.b
   order by {md5k('bgcurve', 'it.iteration', 'bgp.bg_id')}, bgp.bg_id) as r
   from bgp, (select range::int as iteration from range({_ITS})) it),
@@ -208,7 +208,7 @@ select n, iteration, kind, model, round(avg(case when ok then abs(knee - item_ye
 from kk join ok using (n, iteration, kind, item_id) join tr using (item_id) group by n, iteration, kind, model""")
 def background_curve(spark, sf):
     s = two_models(spark, sf)
-    out = D.background_curve(s, fx.background_pool(spark, sf), _SIZES, _ITS, thresholds=_model_thresholds(s),
+    out = D.background_curve(s, fx.drawn_pool(spark, sf), _SIZES, _ITS, thresholds=_model_thresholds(s),
                              method="chord")
     return out.select("n", "iteration", "kind", "model", r6("mae").alias("mae"),
                       F.col("n_items").cast("bigint"), F.col("n_missing").cast("bigint"))
@@ -218,7 +218,7 @@ def background_curve(spark, sf):
 def background_curve_polynomial(spark, sf):
     """The same with the knee of a polynomial fit, which SQL has no form of (tested by brute force)."""
     s = two_models(spark, sf)
-    out = D.background_curve(s, fx.background_pool(spark, sf), _SIZES, _ITS, thresholds=_model_thresholds(s))
+    out = D.background_curve(s, fx.drawn_pool(spark, sf), _SIZES, _ITS, thresholds=_model_thresholds(s))
     return out.select("n", "iteration", "kind", "model", r6("mae").alias("mae"),
                       F.col("n_items").cast("bigint"), F.col("n_missing").cast("bigint"))
 

@@ -174,10 +174,10 @@ def cross_with_background(spark, sf):
     return s.withColumn("score", r6("score"))
 
 
-@register("cross_backward", f"""{fx.duck_with('dating_items', 'background_pool')}select i.item_id, g.bg_id,
-  g.bg_id as s1_id, i.item_id as s2_id, 'backward' as direction from dating_items i, background_pool g""")
+@register("cross_backward", f"""{fx.duck_with('scored_items', 'drawn_pool')}select i.item_id, g.bg_id,
+  g.bg_id as s1_id, i.item_id as s2_id, 'backward' as direction from scored_items i, drawn_pool g""")
 def cross_backward(spark, sf):
-    x = J.cross_with_background(fx.dating_items(spark, sf), fx.background_pool(spark, sf), "backward")
+    x = J.cross_with_background(fx.scored_items(spark, sf), fx.drawn_pool(spark, sf), "backward")
     return x.select("item_id", "bg_id", "s1_id", "s2_id", "direction")
 
 
@@ -213,13 +213,13 @@ def span_product(spark, sf):
         .select("a_id", "a_year", "a_span", "b_id", "b_year", "b_span")
 
 
-@register("background_product", f"""{fx.duck_with('background_pool')},
+@register("background_product", f"""{fx.duck_with('drawn_pool')},
 p as (select bg_id, bg_year, row_number() over (partition by floor(bg_year / 50)
-  order by {md5k('bgprod', 'bg_id')}, bg_id) as r from background_pool)
+  order by {md5k('bgprod', 'bg_id')}, bg_id) as r from drawn_pool)
 select x.bg_id as a_id, x.bg_year as a_year, y.bg_id as b_id, y.bg_year as b_year
 from p x, p y where x.r <= 5 and y.r <= 5""")
 def background_product(spark, sf):
-    return J.background_product(fx.background_pool(spark, sf), "bg_year", 50, 5, "bg_id")
+    return J.background_product(fx.drawn_pool(spark, sf), "bg_year", 50, 5, "bg_id")
 
 
 @register("common_vocab", f"""{fx.duck_with('tagged')},

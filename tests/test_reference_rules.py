@@ -302,6 +302,20 @@ def test_items_are_left_at_every_size(spark):
         assert fx.dating_items(spark, sf).count() > 100 and fx.background_pool(spark, sf).count() > 50
 
 
+def test_scores_have_every_vector(spark, tmp_path):
+    """Every vector is an item, and the pool is drawn from all vectors, 20 a decade."""
+    from lexispark.plans import registry
+    from lexispark.sources import fixtures as fx
+    registry.load_all()
+    spark.range(1500).select(F.col("id").alias("vec_id")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    sf = str(tmp_path)
+    assert registry.QUERIES["background_pool"](spark, sf).count() == 50 * 20
+    for name in ("cross_backward", "cross_with_background", "cumulative_curve"):
+        rows = registry.QUERIES[name](spark, sf)
+        assert rows.count() == 1500 * 1000 and rows.select("item_id").distinct().count() == 1500
+    assert registry.QUERIES["knee_raw"](spark, sf).count() == fx.scored_items(spark, sf).count() == 1500
+
+
 @pytest.mark.parametrize("method", ["chord", "polynomial"])
 def test_learning_curve_by_hand(spark, method):
     """Every draw of every item dated on its own; an item lacks some of the scores."""
