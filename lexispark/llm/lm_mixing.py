@@ -25,14 +25,14 @@ tokens seen), maps and counts added.  While it learns, a task counts in the cont
 each node in a place of its own.
 
 The counts that score are those of all training texts.  A block's distinct (context, code) pairs
-are sorted 64-bit keys: 52 bits of the context's hash, then the code, so the counters of a node are
+are sorted 64-bit keys: 44 bits of the context's hash, then the code, so the counters of a node are
 the counts of a range of keys.  Keys are dealt into parts by range, about PART_BYTES of text each;
 a part adds the counts of all blocks and answers every block's keys with the log-odds along their
 codes (in steps of 1/ODDS_STEP).  A block sends FAN rows at most: beyond FAN parts, the keys of about FAN blocks
 are first merged (their counts added) and only then dealt further, level by level, and the answers come
 back the same way; so rows grow with the text times the number of levels, and a context that
 occurs everywhere reaches its part once from each merged group.  This table grows with the training texts, no two contexts share a
-counter (but for equal 52 bits), and no task or driver holds more than a part of it.  Of the word
+counter (but for equal 44 bits), and no task or driver holds more than a part of it.  Of the word
 model, only the 2^BITS counts without context, the weights and the map are broadcast; the spelling
 model has 2^SLOT_BITS slots a context, a few MB at any size.
 
@@ -61,6 +61,7 @@ from lexispark.llm.common import Numbers, byte_hashes, crc_fold, mix64, settle,
 
 _U = np.uint64
 BITS = 12                  # bits of a known token's code
+CONTEXT_BITS = 44          # bits of a context's hash in its keys
 SLOT_BITS = 18             # slots of a hashed context's table of the spelling model: 2^SLOT_BITS
 RUN = 16_384               # codes predicted before the model learns from them
 REFRESH = 200_000          # codes learnt between two computations of a table's log-odds
@@ -294,7 +295,7 @@ def byte_mixer() -> Mixer:
     return Mixer(8, 4)
 
 
-WORDS, LETTERS, KEYS = 0, 3, 6     # table numbers of the two mixers and of the contexts' keys
+WORDS, LETTERS = 0, 3     # table numbers of the two mixers
 
 
 class Tokens:
@@ -339,7 +340,7 @@ def word_keys(words: Tokens, tokens: np.ndarray, n: np.ndarray) -> list[np.ndarr
     for k, x in enumerate((one, one * _U(0x9E3779B97F4A7C15) + before(one),
                            tail * _U(0x9E3779B97F4A7C15) + before(tail))):
         out.append(mix64(x + _U((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-                   >> _U(BITS) << _U(BITS) | code)
+                   >> _U(64 - CONTEXT_BITS) << _U(64 - CONTEXT_BITS) | code)
     return out
 
 
@@ -348,14 +349,43 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
+def _packed(raw: bytes) -> bytes:
+    """Compressed bytes behind their size."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw) -> bytes:
+    raw = memoryview(raw)
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pack(a: np.ndarray) -> bytes:
     """The bytes of an array by significance, which compress better."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return _packed(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
 
 
 def _unpack(raw, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(_unpacked(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _towards(odds: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Log-odds of a 1 (key x bit) as those of the key's own bits, or back.  They are alike for all keys that
+    are alone in their context, so they compress well."""
+    bit = (keys[:, None] >> np.arange(BITS - 1, -1, -1).astype(_U)) & _U(1)
+    return np.where(bit == 1, odds, -odds)
+
+
+def _odds_cell(odds: np.ndarray, keys: np.ndarray, small: bool) -> bytes:
+    return _packed(_towards(odds, keys).tobytes()) if small else np.ascontiguousarray(odds.T).tobytes()
+
+
+def _odds_of(cells, keys: np.ndarray) -> np.ndarray:
+    """The log-odds (key x bit) in small cells that together are about these keys."""
+    odds = np.concatenate([np.frombuffer(_unpacked(x.as_buffer()), np.int8).reshape(-1, BITS) for x in cells])
+    if len(odds) != len(keys):
+        raise ValueError("the contexts of a block are not those that were counted")
+    return _towards(odds, keys)
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -375,29 +405,48 @@ def spelled(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
 
 
 def _blocked(block_bytes: int):
-    """Give rows the number of their block: a run of about block_bytes of text of a partition."""
+    """A row for each block, a run of about block_bytes of text of a partition: its number, its rows as a
+    compressed Arrow stream, and the bytes of its texts."""
     def run(batches):
         from pyspark import TaskContext
-        block, held = TaskContext.get().partitionId() << 24, 0
+        block, held, parts = TaskContext.get().partitionId() << 24, 0, []
+
+        def row():
+            with (out := pa.BufferOutputStream()), pa.ipc.new_stream(
+                    out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(pa.Table.from_batches(parts).combine_chunks())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.array([held])],
+                names=["block", "rows", "n_bytes"])
         for batch in batches:
-            numbers = np.empty(batch.num_rows, np.int64)
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-            for i, n in enumerate(sizes):
+            first = 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
                 if held and held + n > block_bytes:
-                    block, held = block + 1, 0
+                    parts.append(batch.slice(first, i - first))
+                    yield row()
+                    block, held, parts, first = block + 1, 0, [], i
                 held += n
-                numbers[i] = block
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers), pa.array(sizes, pa.int64())],
-                names=[*batch.schema.names, "block", "n_bytes"])
+            if batch.num_rows > first:
+                parts.append(batch.slice(first))
+        if parts:
+            yield row()
     return run
 
 
+def _rows_of(cell) -> pa.Table:
+    """doc_id, text, held_out of a block."""
+    return pa.ipc.open_stream(cell.as_buffer()).read_all().combine_chunks()
+
+
+def _block_tokens(words: Tokens, rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    text = rows.column("text").chunk(0) if rows.column("text").num_chunks else pa.array([], pa.string())
+    return [words.of(text.slice(i, 1024)) for i in range(0, len(text), 1024)]
+
+
 LEARNED = pa.schema([("block", pa.int64()), ("word", pa.string()), ("kind", pa.int32()),
-                     ("place", pa.int64()), ("a", pa.float64()), ("b", pa.float64()),
-                     ("keys", pa.binary()), ("n", pa.binary())])
-LEARNED_SQL = ("block bigint, word string, kind int, place bigint, a double, b double, keys binary, "
-               "n binary")
+                     ("place", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
+LEARNED_SQL = "block bigint, word string, kind int, place bigint, a double, b double"
+KEYED_SQL = "block bigint, place bigint, keys binary, n binary"
 
 
 def _learned(rows: int, **columns) -> pa.RecordBatch:
@@ -413,54 +462,51 @@ def _model_rows(mixer: Mixer, name: int):
 
 
 def _learn_words(parts: int):
-    """Rows of (block, word, training count), of the keys of each block and part with their training
-    counts, and of a task's model."""
-    def run(batches):
-        mixer, here, words, held = word_mixer(), None, Tokens(), []
-
-        def told():
-            tokens, n, train = (np.concatenate(x) for x in zip(*held))
-            keep = np.repeat(train, n)
-            names = list(words.number)
+    """The two passes over the blocks.  The first gives rows of (block, word, its number there, training
+    count) and of a task's model, the second the keys of each block and part with their training counts."""
+    def read(batches):
+        for batch in batches:
+            for block, cell in zip(batch.column("block").to_pylist(), batch.column("rows")):
+                words, rows = Tokens(), _rows_of(cell)
+                tokens, n = (np.concatenate(x) for x in zip(*_block_tokens(words, rows)))
+                train = ~rows.column("held_out").to_numpy()
+                yield block, words, tokens, n, np.repeat(train, n)
+
+    def learn(batches):
+        mixer, any_block = word_mixer(), False
+        for block, words, tokens, n, keep in read(batches):
+            names, any_block = list(words.number), True
             counts = np.bincount(tokens[keep], minlength=len(names)).astype(float)
-            yield _learned(len(names), block=np.full(len(names), here, np.int64), word=names, a=counts)
+            yield _learned(len(names), block=np.full(len(names), block, np.int64), word=names,
+                           place=np.arange(len(names)), a=counts)
             keys = word_keys(words, tokens, n)
             mixer.learn_block(code_of(words.hash)[tokens[keep]], [k[keep] for k in keys])
+        if any_block:
+            yield from _model_rows(mixer, WORDS)
+
+    def keyed(batches):
+        for block, words, tokens, n, keep in read(batches):
+            keys = word_keys(words, tokens, n)
             keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(at[np.tile(keep, len(at) // len(keep))], minlength=len(keys))
+            count = np.bincount(at[np.tile(keep, len(at) // len(keep))], minlength=len(keys)).astype(np.uint32)
             part = part_of(keys, parts)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            for a, b in zip(cuts, cuts[1:]):
-                yield _learned(1, block=[here], kind=[KEYS], place=[int(part[a])],
-                               keys=[_pack(np.diff(keys[a:b], prepend=_U(0)))],
-                               n=[_pack(count[a:b].astype(np.uint32))])
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            text, train = batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if here is not None and block[a] != here:
-                    yield from told()
-                    words, held = Tokens(), []
-                here = int(block[a])
-                held.append((*words.of(text.slice(a, b - a)), train[a:b]))
-        if here is not None:
-            yield from told()
-            yield from _model_rows(mixer, WORDS)
-    return run
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(cuts) - 1, block, np.int64)), pa.array(part[cuts[:-1]]),
+                pa.array([_pack(np.diff(keys[a:b], prepend=_U(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                pa.array([_pack(count[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                names=["block", "place", "keys", "n"])
+    return learn, keyed
 
 
-def _answer_part(rows: pa.Table) -> pa.Table:
+def _answer_part(small: bool):
     """The log-odds that all training texts give the keys of each block in a part."""
-    keys = [np.cumsum(_unpack(x.as_buffer(), "u8"), dtype=_U) for x in rows.column("keys")]
-    count = np.concatenate([_unpack(x.as_buffer(), "u4") for x in rows.column("n")])
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    odds = path_odds(every, np.bincount(at, count, len(every)))
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
-        [_pack(odds[x]) for x in np.split(at, cuts)], pa.binary())})
+    def run(rows: pa.Table) -> pa.Table:
+        every, count, keys = _summed(rows)
+        odds = path_odds(every, count)
+        return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
+            [_odds_cell(odds[np.searchsorted(every, k)], k, small) for k in keys], pa.binary())})
+    return run
 
 
 def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -485,31 +531,29 @@ def _merge(parts: int):
     return run
 
 
-def _give_back(rows: pa.Table, answers: pa.Table) -> pa.Table:
+def _give_back(small: bool):
     """The answers to merged keys, handed to the blocks that the keys came from."""
-    every, _, keys = _summed(rows)
-    odds = np.concatenate([np.frombuffer(x.as_buffer(), np.int8).reshape(BITS, -1).T
-                           for x in answers.sort_by("fine").column("odds")])
-    if len(odds) != len(every):
-        raise ValueError("merged contexts are not those that were counted")
-    return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
-        [_pack(odds[np.searchsorted(every, k)]) for k in keys], pa.binary())})
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        every, _, keys = _summed(rows)
+        odds = _odds_of(answers.sort_by("fine").column("odds"), every)
+        return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
+            [_odds_cell(odds[np.searchsorted(every, k)], k, small) for k in keys], pa.binary())})
+    return run
 
 
-def answered(keyed: DataFrame, places: int, parts: int, n_blocks: int, fan: int) -> DataFrame:
+def answered(keyed: DataFrame, places: int, parts: int, n_blocks: int, fan: int, small: bool = False) -> DataFrame:
     """block, place, odds for the keys (block, place, keys, n) of each block in ``places`` ranges, by the
-    counts of all blocks in ``parts`` ranges."""
+    counts of all blocks in ``parts`` ranges; odds as int8 by bit and key, or in small cells (``_odds_of``)."""
     schema = "block bigint, place bigint, odds binary"
     if places >= parts:
-        return keyed.groupBy("place").applyInArrow(_answer_part, schema)
+        return keyed.groupBy("place").applyInArrow(_answer_part(small), schema)
     groups, finer = -(-n_blocks // fan), min(fan, -(-parts // places))
     rows = keyed.withColumn("up", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    merged = settle(rows.groupBy("up", "place").applyInArrow(
-        _merge(places * finer), "block bigint, place bigint, keys binary, n binary"), "merged", "zstd")
-    got = answered(merged, places * finer, parts, groups, fan).select(
+    merged = settle(rows.groupBy("up", "place").applyInArrow(_merge(places * finer), KEYED_SQL), "merged", "zstd")
+    got = answered(merged, places * finer, parts, groups, fan, True).select(
         F.col("block").alias("up"), F.floor(F.col("place") / finer).cast("bigint").alias("place"),
         F.col("place").alias("fine"), "odds")
-    return rows.groupBy("up", "place").cogroup(got.groupBy("up", "place")).applyInArrow(_give_back, schema)
+    return rows.groupBy("up", "place").cogroup(got.groupBy("up", "place")).applyInArrow(_give_back(small), schema)
 
 
 def _learn_letters(batches):
@@ -551,25 +595,21 @@ def _score_blocks(shared):
         leaf = np.arange(1 << BITS)
         bucket = mixer.n[(1 << (BITS - 1)) | (leaf >> 1), leaf & 1].astype(np.float64)
         parts = words.filter(pc.is_valid(words.column("odds"))).sort_by("place")
-        answers = np.concatenate([np.frombuffer(x.as_buffer(), np.int8).reshape(BITS, -1).T
-                                  for x in parts.column("odds")])
-        words = words.filter(pc.is_valid(words.column("word")))
-        known = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
+        known = words.filter(pc.is_valid(words.column("c")))
         tokens, out = Tokens(), []
-        text = docs.column("text").combine_chunks()
-        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+        docs = _rows_of(docs.column("rows")[0])
         escape = math.log10((s.single + 0.5) / (s.total + 1.0))
         stay = math.log10(1.0 - (s.single + 0.5) / (s.total + 1.0))
-        read = [tokens.of(text.slice(i, 1024)) for i in range(0, len(text), 1024)]
+        read = _block_tokens(tokens, docs)
         # the block's distinct keys, in the order in which the parts answer them
         keys = word_keys(tokens, *(np.concatenate(x) for x in zip(*read)))
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        if len(distinct) != len(answers):
-            raise ValueError("a block's contexts are not those that were counted")
+        answers = _odds_of(parts.column("odds"), distinct)
         rows, done = at.astype(np.int32).reshape(len(keys), -1), 0
         del keys, distinct, at
         new = list(tokens.number)
-        c = np.fromiter((known.get(w, 0) for w in new), np.float64, len(new))
+        c = np.zeros(len(new))
+        c[known.column("place").to_numpy()] = known.column("c").to_numpy()
         code = code_of(tokens.hash)
         # known: share of the tokens with its bits; unknown: its spelling
         cost, spell = np.full(len(new), escape), np.zeros(len(new))
@@ -595,7 +635,7 @@ def _score_blocks(shared):
                          "n_tokens": n, "n_known": n_known,
                          "train_tokens": np.full(len(n), s.total, np.int64), "base_score": b,
                          "score": v, "spelled_score": v + letter,
-                         "n_bytes": pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())})
+                         "n_bytes": pc.fill_null(pc.binary_length(docs.column("text")), 0).cast(pa.int64())})
     return run
 
 
@@ -607,19 +647,18 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", (fold == held_out).alias("held_out"))
     blocks = settle(rows.mapInArrow(
-        _blocked(block_bytes), f"doc_id {kind}, text string, held_out boolean, block bigint, "
-        "n_bytes bigint"), "blocks", "zstd")
+        _blocked(block_bytes), "block bigint, rows binary, n_bytes bigint"), "blocks", "zstd")
     # weights and maps are learnt from LEARN_BYTES of text or more, however small the partitions are
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     tasks, parts = max(1, -(-n_bytes // LEARN_BYTES)), max(1, -(-n_bytes // PART_BYTES))
-    learned = settle(blocks.select("block", "text", (~F.col("held_out")).alias("train"))
-                     .coalesce(tasks).mapInArrow(_learn_words(min(parts, FAN)), LEARNED_SQL), "learned", "zstd")
-    words = learned.filter("kind is null").select("block", "word", "a")
+    learn, keyed = _learn_words(min(parts, FAN))
+    learned = settle(blocks.select("block", "rows").coalesce(tasks).mapInArrow(learn, LEARNED_SQL), "learned", "zstd")
+    words = learned.filter("kind is null").select("block", "word", "place", "a")
     counts = settle(words.groupBy("word").agg(F.sum("a").cast("bigint").alias("c"))
                     .filter("c > 0"), "counts")
     total, distinct, single = counts.agg(
         F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("bigint"))).first()
-    model = (learned.filter(f"kind < {KEYS}").select("kind", "place", "a", "b")
+    model = (learned.filter("kind is not null").select("kind", "place", "a", "b")
              .union(counts.select("word").coalesce(tasks).mapInArrow(_learn_letters, LEARNED_SQL)
                     .select("kind", "place", "a", "b"))
              .groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
@@ -628,9 +667,10 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     shared = spark.sparkContext.broadcast(Scores(
         {k: got.column(k).to_numpy() for k in ("kind", "place", "a", "b")},
         int(total or 0), int(distinct or 0), int(single or 0)))
-    answers = answered(learned.filter(f"kind = {KEYS}").select("block", "place", "keys", "n"), min(parts, FAN),
-                       parts, max(1, -(-n_bytes // block_bytes)), FAN)
-    found = words.join(counts, "word").select("block", "word", "c").unionByName(
+    # keys are made again wherever they are read: on disk they would take as much as the shuffle of them
+    answers = answered(blocks.select("block", "rows").mapInArrow(keyed, KEYED_SQL), min(parts, FAN),
+                       parts, max(1, -(-n_bytes // block_bytes)), FAN, small=True)
+    found = words.join(counts, "word").select("block", "place", "c").unionByName(
         answers, allowMissingColumns=True)
     scored = (blocks.drop("n_bytes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _score_blocks(shared),

@@ -193,3 +193,24 @@ def test_two_words_before_tell_the_next(spark):
 def test_held_out_gain_on_more_documents(spark):
     got = M.score_texts(table(spark, "/root/testdata/sf0.1", "documents")).filter("held_out").collect()
     assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
+
+
+def test_disk_of_a_run(spark, tmp_path, monkeypatch):
+    """What is settled holds no keys, and keys and answers are small on their way."""
+    kept, settle = {}, M.settle
+
+    def told(d, name, codec="snappy"):
+        kept[name] = settle(d, name, codec)
+        return kept[name]
+    monkeypatch.setattr(M, "settle", told)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    docs = docs.filter("length(text) > 0")
+    text = docs.selectExpr("sum(octet_length(text))").first()[0]
+    sent, answered = [], M.answered
+    monkeypatch.setattr(M, "answered", lambda keyed, *a, **k: (
+        sent.append(keyed), sent.append(answered(keyed, *a, **k)), sent[-1])[2])
+    assert M.score_texts(docs).count() == docs.count()
+    assert "keys" not in kept["learned"].columns
+    keys = sent[0].selectExpr("sum(octet_length(keys) + octet_length(n))").first()[0]
+    odds = sent[1].selectExpr("sum(octet_length(odds))").first()[0]
+    assert keys + odds < 2.2 * text
