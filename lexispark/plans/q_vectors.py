@@ -114,7 +114,7 @@ def io_tagged_corpus(spark, sf):
                      F.transform(F.arrays_zip("tokens", "tags"), lambda z: F.concat(z["tokens"], F.lit("/"), z["tags"])),
                      F.array(F.concat(F.col("sent_id").cast("string"), F.lit("/ID"))))
     path = IO.scratch(spark, "tagged-text")
-    t.repartition("source").select("source", F.array_join(lines, "\n").alias("value")) \
+    t.select("source", F.array_join(lines, "\n").alias("value")) \
         .write.mode("overwrite").partitionBy("source").text(path)
     r = IO.read_tagged_corpus(spark, path + "/*/*")
     return r.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"),
