@@ -684,3 +684,53 @@ def test_csv_sentences_have_arrays(spark, tmp_path):
     (tmp_path / "s.csv").write_text("id,tokens,pos_tags,source\nx,a b  c,N V N,f\n")
     df, text, label = read_sentences(spark, str(tmp_path / "s.csv"))
     assert df.first()[text] == ["a", "b", "c"] and df.first()[label] == ["N", "V", "N"]
+
+
+def test_violations_are_found_in_long_sentences_fast(spark):
+    """Arrays that are expressions are computed once a sentence, not once a sub-token."""
+    import time
+    d = spark.range(64).select(F.col("id").alias("s"), F.concat_ws(" ", F.sequence(F.lit(1), F.lit(400))).alias("t")) \
+        .withColumn("tokens", F.split("t", " "))
+    d = d.withColumn("tags", F.transform("tokens", lambda x: F.concat(F.lit("T"), F.substring(F.md5(x), 1, 1)))) \
+        .withColumn("given", F.transform("tags", lambda x: F.when((F.col("s") == 3) & (x == "T0"), "T1").otherwise(x))) \
+        .withColumn("m", F.map_from_arrays(F.array(*[F.lit(f"T{k:x}") for k in range(16)]),
+                                           F.array(*[F.lit(k) for k in range(16)])))
+    d = d.withColumn("w", T.word_ids("tokens")).withColumn("al", T.align_labels("w", "given", "m"))
+    got = lambda: [r.s for r in T.alignment_violations(d, "s", "al", "w", "tags", "m").collect()]
+    got()
+    start = time.time()
+    assert got() == [3] and time.time() - start < 5
+
+
+def test_token_metrics_read_the_tokens_once(spark):
+    d = spark.createDataFrame([(["a", "b", "a"], ["a", "a", "c"]), (["b"], ["b"])], "tags array<string>, preds array<string>")
+    per, acc = T.token_metrics(d)
+    got = {r.tag: (round(r.precision, 4), round(r.recall, 4), r.support) for r in per.collect()}
+    assert got == {"a": (0.5, 0.5, 2), "b": (1.0, 0.5, 2), "c": (0.0, 0.0, 0)} and acc.first()[0] == 0.5
+    assert per._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") \
+        + per._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_dealing_grows_with_the_table(spark, tmp_path, monkeypatch):
+    from lexispark.sources import tables
+    spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).alias("t")).coalesce(1).write.parquet(
+        str(tmp_path / "t.parquet"))
+    t = spark.read.parquet(str(tmp_path / "t.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda: tables.dealt(t, "id").rdd.getNumPartitions()
+    assert parts() == 2 * cores
+    monkeypatch.setattr(tables, "PIECE", 10_000)
+    assert parts() > 2 * cores + 20
+
+
+def test_tagged_files_are_written_by_many_tasks(spark, monkeypatch):
+    """One source is no single task."""
+    from lexispark.plans import q_vectors as V
+    from lexispark.sources import fixtures as fx
+    from lexispark.sources import io as IO
+    one = fx.tagged(spark, SF001).withColumn("source", F.lit("only")).repartition(6, "sent_id").localCheckpoint()
+    monkeypatch.setattr(V.fx, "tagged", lambda *a: one)
+    paths, read = [], IO.read_tagged_corpus
+    monkeypatch.setattr(V.IO, "read_tagged_corpus", lambda s, p: (paths.append(p), read(s, p))[1])
+    assert V.io_tagged_corpus(spark, SF001).count() == one.count()
+    assert len(spark.read.text(paths[0]).inputFiles()) > 1
