@@ -734,3 +734,12 @@ def test_tagged_files_are_written_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(V.IO, "read_tagged_corpus", lambda s, p: (paths.append(p), read(s, p))[1])
     assert V.io_tagged_corpus(spark, SF001).count() == one.count()
     assert len(spark.read.text(paths[0]).inputFiles()) > 1
+
+
+def test_keyword_search_runs_once_a_row(spark):
+    """The search is a regular expression a row: no use of its result repeats it."""
+    from lexispark.plans import registry
+    registry.load_all()
+    for name in ("text_subtoken_span", "lex_find_keyword"):
+        plan = registry.QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"(?U)(?<!\w)") == 1, name
