@@ -1,18 +1,21 @@
 """Neighbour retrieval.
 
 Exact top-k uses a grid of tiles.  Partitions pack their vectors into tiles of TILE_ROWS rows (one
-row a tile: ids, matrix bytes, carried labels).  Every tile of targets meets every tile of queries:
-cells are (query tile, stripe of targets), a cell's task holds one tile of either kind and the
-running top-k of its queries, and the k best of each stripe are merged by a window.  There are as
-many stripes as keep all cores busy, so many tiles need no merging.  Scores are
-chosen first and ids and labels are gathered for the winners only, so a task's arrays are bounded
-by TILE_ROWS x TILE_ROWS.  Work is O(N^2 d) by nature; for large N use ``knn_approx`` (``ivf``).
+row a tile: ids, matrix bytes, carried labels).  Tiles of queries are put together to blocks, as many as
+keep all cores busy, and every tile of targets meets every block: cells are (block, stripe of targets), a
+cell's task holds one block, one tile of targets and the running top-k of its queries.  So the targets are
+sent once a block, and the shuffle grows with the table while blocks of BLOCK_BYTES can be that few.  Where
+there are fewer blocks than cores, targets are dealt over stripes and the k best of each are merged by a window.
+A target is looked at further only if it beats the k-th best that a query has so far; ids and labels are
+gathered for these only, so a task's arrays are bounded by TILE_ROWS x TILE_ROWS and the block.  Work is
+O(N^2 d) by nature; for large N use ``knn_approx`` (``ivf``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,9 @@ from lexispark.functions.arrays import l2_normalize
 from lexispark.functions.keys import r6
 
 TILE_ROWS = 2048
+CHUNK = 128
+BLOCK_BYTES = 96 << 20      # vectors of a block of queries, with their running top-k
+STRIPE_BYTES = 512 << 20    # vectors that a task reads as targets
 
 
 def _tile_schema(carry):
@@ -61,10 +67,59 @@ def _packer(carry, tile_rows: int):
 
 
 class _Tile:
-    def __init__(self, r, carry):
-        self.ids = np.frombuffer(r["ids"], "<i8")
-        self.mat = np.frombuffer(r["mat"], np.float64).reshape(len(self.ids), int(r["d"]))
-        self.carry = [np.asarray(r[f"c_{c}"], dtype=object) for c in carry]
+    """One row of a batch: a view of its vectors, and its labels."""
+
+    def __init__(self, batch, i, carry):
+        self.ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<i8")
+        self.mat = np.frombuffer(batch.column("mat")[i].as_buffer(), np.float64).reshape(len(self.ids), -1)
+        self.carry = [np.array(batch.column(f"c_{c}")[i].as_py(), dtype=object) for c in carry]
+
+
+class _Best:
+    """The running top-k of one tile of queries: similarities, ids and labels, best first."""
+
+    def __init__(self, tile, n_carry):
+        # the tile's memory is the batch's, which goes
+        self.ids, self.mat, self.carry = tile.ids.copy(), tile.mat.copy(), tile.carry
+        self.s, self.i = np.empty((len(self.ids), 0)), np.empty((len(self.ids), 0), np.int64)
+        self.x = [np.empty((len(self.ids), 0), object) for _ in range(n_carry)]
+
+    def meet(self, tile, k):
+        if self.s.shape[1] < k:
+            sims = self.mat @ tile.mat.T
+            col = _winners(sims, tile.ids, k)
+            s = np.concatenate([self.s, np.take_along_axis(sims, col, 1)], axis=1)
+            i = np.concatenate([self.i, tile.ids[col]], axis=1)
+            x = [np.concatenate([a, t[col]], axis=1) for a, t in zip(self.x, tile.carry)]
+            best = np.lexsort((i, -s), axis=1)[:, :k]
+            self.s, self.i = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+            self.x = [np.take_along_axis(a, best, 1) for a in x]
+            return
+        # those that beat the k-th best so far, or equal it and have a smaller id
+        found = []
+        for a in range(0, len(self.ids), CHUNK):       # products that stay in the processor's cache
+            sims = self.mat[a:a + CHUNK] @ tile.mat.T
+            at = np.flatnonzero(sims >= self.s[a:a + CHUNK, -1:])
+            if len(at):
+                found.append((at + a * sims.shape[1], sims.ravel()[at]))
+        if not found:
+            return
+        at, new = map(np.concatenate, zip(*found))
+        row, col = np.divmod(at, len(tile.ids))
+        use = (new > self.s[row, -1]) | (tile.ids[col] < self.i[row, -1])
+        row, col, new = row[use], col[use], new[use]
+        if not len(row):
+            return
+        some, place = np.unique(row, return_inverse=True)
+        where = np.concatenate([np.repeat(np.arange(len(some)), k), place])
+        s = np.concatenate([self.s[some].ravel(), new])
+        i = np.concatenate([self.i[some].ravel(), tile.ids[col]])
+        order = np.lexsort((i, -s, where))
+        first = np.searchsorted(where[order], np.arange(len(some)))
+        best = order[first[:, None] + np.arange(k)]
+        self.s[some], self.i[some] = s[best], i[best]
+        for a, t in zip(self.x, tile.carry):
+            a[some] = np.concatenate([a[some].ravel(), t[col]])[best]
 
 
 def _winners(score: np.ndarray, ids: np.ndarray, k: int):
@@ -85,39 +140,34 @@ def _winners(score: np.ndarray, ids: np.ndarray, k: int):
 
 
 def _cells(k: int, carry, by=None):
-    """Rows come sorted by (cell, stripe), the query tile first."""
+    """Rows come sorted by (cell, stripe), the tiles of queries first."""
     def run(batches):
-        here, q, s, i, x = None, None, None, None, None
+        here, block = None, []
 
         def out():
-            m, kk = s.shape
-            pdf = {"qid": np.repeat(q.ids, kk), "nid": i.ravel(), "sim": s.ravel()}
-            if by is not None:
-                pdf["within"] = here[2]
-            for j, c in enumerate(carry):
-                pdf[f"q_{c}"] = np.repeat(q.carry[j], kk)
-                pdf[f"n_{c}"] = x[j].ravel()
-            return pd.DataFrame(pdf)
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                tile = _Tile(r, carry)
-                if r["kind"] == 0:
-                    if q is not None:
-                        yield out()
-                    here, q = (r["cell"], r["stripe"], r.get("within")), tile
-                    s, i = np.empty((len(q.ids), 0)), np.empty((len(q.ids), 0), np.int64)
-                    x = [np.empty((len(q.ids), 0), object) for _ in carry]
-                elif here is not None and here[:2] == (r["cell"], r["stripe"]):
-                    sims = q.mat @ tile.mat.T
-                    col = _winners(sims, tile.ids, k)
-                    s = np.concatenate([s, np.take_along_axis(sims, col, 1)], axis=1)
-                    i = np.concatenate([i, tile.ids[col]], axis=1)
-                    x = [np.concatenate([a, t[col]], axis=1) for a, t in zip(x, tile.carry)]
-                    best = np.lexsort((i, -s), axis=1)[:, :k]
-                    s, i = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-                    x = [np.take_along_axis(a, best, 1) for a in x]
-        if q is not None:
-            yield out()
+            for q in block:
+                n, kk = q.s.shape
+                cols = {"qid": np.repeat(q.ids, kk), "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), n),
+                        "nid": q.i.ravel(), "sim": q.s.ravel()}
+                if by is not None:
+                    cols["within"] = pa.repeat(pa.scalar(here[2], pa.string()), n * kk)
+                for j, c in enumerate(carry):
+                    cols[f"q_{c}"] = pa.array(np.repeat(q.carry[j], kk), pa.string())
+                    cols[f"n_{c}"] = pa.array(q.x[j].ravel(), pa.string())
+                yield pa.RecordBatch.from_pydict(cols)
+        for batch in batches:
+            names = [batch.column(c).to_pylist() for c in ("cell", "stripe", "within", "kind")]
+            for i, (cell, stripe, within, kind) in enumerate(zip(*names)):
+                tile = _Tile(batch, i, carry)
+                if here is None or here[:2] != (cell, stripe):
+                    yield from out()
+                    here, block = (cell, stripe, within), []
+                if kind == 0:
+                    block.append(_Best(tile, len(carry)))
+                else:
+                    for q in block:
+                        q.meet(tile, k)
+        yield from out()
     return run
 
 
@@ -130,8 +180,8 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embeddin
 
     Output ([by,] qid, rank, nid, sim [, q_<c>, n_<c> for carried columns]); ties by nid.
     metric 'cosine' normalises first (zero vectors are dropped: no direction).  ``stripes`` is the number
-    of tasks that a tile of queries is dealt over; by default enough for two tasks a core, and one where
-    there are as many tiles.
+    of tasks that a block of queries is dealt over; by default enough for two tasks a core, and one where
+    there are as many blocks.
     """
     carry = list(carry)
     within = F.lit("") if by is None else F.col(by).cast("string")
@@ -143,34 +193,41 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embeddin
         v = v.withColumn("vec", l2_normalize("vec")).where(F.col("vec").isNotNull())
     # read several times below: one packing for all, kept in the shared checkpoint folder
     tiles = v.mapInPandas(_packer(carry, tile_rows), _tile_schema(carry)).checkpoint()
+    tasks = 2 * v.sparkSession.sparkContext.defaultParallelism
+    n_tiles, d = tiles.agg(F.count(F.lit(1)), F.coalesce(F.max("d"), F.lit(1))).first()
+    span = max(1, min(-(-n_tiles // tasks), BLOCK_BYTES // (tile_rows * (8 * d + 24 * k))))
+    # the names of all tiles are some 30 bytes for TILE_ROWS vectors
+    order = Window.partitionBy("within").orderBy("tile")
+    names = tiles.select("tile", "within").withColumn("at", F.row_number().over(order) - 1).select(
+        "tile", "within", "at", (F.dense_rank().over(Window.orderBy("within", F.floor(F.col("at") / span))) - 1)
+        .cast("int").alias("cell"))
     if stripes is None:
-        n_tiles = max(1, tiles.count())
-        stripes = min(n_tiles, -(-2 * v.sparkSession.sparkContext.defaultParallelism // n_tiles))
-    wide = ["ids", "mat", "d", *[f"c_{c}" for c in carry]]
-    # every tile's number meets every tile: a row of a few bytes for TILE_ROWS vectors
-    cells = tiles.select(F.col("tile").alias("cell"), F.col("within").alias("_w"))
-    stripe = F.pmod(F.xxhash64("tile"), F.lit(stripes)).cast("int").alias("stripe")
-    met = tiles.select(F.lit(1).alias("kind"), "tile", "within", stripe, *wide)
-    if by is None:
-        met = met.crossJoin(cells.drop("_w"))
-    else:
-        # a join on the set alone would put all its tiles into one task; the names of all tiles are
-        # some 30 bytes for TILE_ROWS vectors, and the search is quadratic in their number anyway
-        met = met.join(F.broadcast(cells), F.col("within") == F.col("_w")).drop("_w")
-    held = tiles.select(F.lit(0).alias("kind"), "tile", "within", F.explode(F.sequence(
-        F.lit(0), F.lit(stripes - 1))).alias("stripe"), *wide, F.col("tile").alias("cell"))
-    fields = [T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
-              T.StructField("sim", T.DoubleType())]
+        stripes = max(1, min(n_tiles, max(tasks * span // max(n_tiles, 1),
+                                          -(-n_tiles * tile_rows * 8 * d // STRIPE_BYTES))))
+    wide = ["ids", "mat", *[f"c_{c}" for c in carry]]
+    named = tiles.drop("within").join(F.broadcast(names), "tile")
+    met = named.join(F.broadcast(names.select("cell", "within").distinct().select(
+        F.col("cell").alias("asked"), F.col("within").alias("_w"))), F.col("within") == F.col("_w")).select(
+        F.lit(1).alias("kind"), "tile", "within", F.pmod("at", F.lit(stripes)).alias("stripe"), *wide,
+        F.col("asked").alias("cell"))
+    held = named.select(F.lit(0).alias("kind"), "tile", "within", F.explode(F.sequence(
+        F.lit(0), F.lit(stripes - 1))).alias("stripe"), *wide, "cell")
+    fields = [T.StructField("qid", T.LongType()), T.StructField("rank", T.IntegerType()),
+              T.StructField("nid", T.LongType()), T.StructField("sim", T.DoubleType())]
     if by is not None:
         fields.append(T.StructField("within", T.StringType()))
     for c in carry:
         fields += [T.StructField(f"q_{c}", T.StringType()), T.StructField(f"n_{c}", T.StringType())]
-    found = (met.unionByName(held).repartition("cell", "stripe")
-             .sortWithinPartitions("cell", "stripe", "kind", "tile")
-             .mapInPandas(_cells(k, carry, by), T.StructType(fields)))
+    # cells are numbered, so each of them is a task of its own
+    number = (F.col("cell") * stripes + F.col("stripe")).cast("int")
+    n_cells = max(1, names.agg(F.max("cell")).first()[0] + 1 if n_tiles else 1)
+    ranked = (met.unionByName(held).repartitionById(n_cells * stripes, number)
+              .sortWithinPartitions("cell", "stripe", "kind", "tile")
+              .mapInArrow(_cells(k, carry, by), T.StructType(fields)))
     sets = [] if by is None else ["within"]
-    w = Window.partitionBy(*sets, "qid").orderBy(F.desc("sim"), "nid")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if stripes > 1:
+        w = Window.partitionBy(*sets, "qid").orderBy(F.desc("sim"), "nid")
+        ranked = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(*[F.col(x).alias(by) for x in sets], "qid", "rank", "nid", "sim", *[x for c in carry for x in (f"q_{c}", f"n_{c}")])
 
 

@@ -537,6 +537,31 @@ def test_stratified_split_moves_rows_in_few_exchanges(spark):
     assert len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange (?:hash|range|Single)", plan)) <= 4
 
 
+def test_targets_are_sent_once_a_block_in_knn(spark, monkeypatch):
+    """Forty tiles are two blocks a core, and the tiles that are dealt do not grow with their square; groups of
+    equal vectors end in their smallest ids."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (640, 6)).astype(float)
+    x[100:400] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                               "id long, embedding array<double>").repartition(1)
+    got, sims = K.knn(df, 9, tile_rows=16).toPandas(), x @ x.T
+    for q in range(640):
+        rows = got[got.qid == q].sort_values("rank")
+        assert rows.nid.tolist() == sorted(range(640), key=lambda j: (-sims[q, j], j))[:9]
+
+    def counted(k, carry, by=None):
+        def run(batches):
+            import pyarrow as pa
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_pydict({"qid": [n], "rank": pa.array([1], pa.int32()), "nid": [n], "sim": [0.0]})
+        return run
+    monkeypatch.setattr(K, "_cells", counted)
+    blocks = 2 * spark.sparkContext.defaultParallelism
+    assert sum(r.nid for r in K.knn(df, 9, tile_rows=16).collect()) <= 40 * (blocks + 1)
+
+
 def test_many_tiles_and_ties_in_knn(spark):
     rng = np.random.default_rng(0)
     m = rng.integers(-2, 3, (400, 4)).astype(float)
