@@ -316,6 +316,24 @@ def test_scores_have_every_vector(spark, tmp_path):
     assert registry.QUERIES["knee_raw"](spark, sf).count() == fx.scored_items(spark, sf).count() == 1500
 
 
+def test_dating_queries_and_their_sql_have_every_vector(spark, tmp_path):
+    """Neither code nor SQL of a query over the scores sets vectors aside."""
+    from lexispark.plans import registry
+    registry.load_all()
+    for name in ("cross_backward", "background_product", "dating_best_threshold", "background_pool",
+                 "cumulative_curve", "knee_raw", "date_sentences", "dating_mae", "dating_mae_long",
+                 "dating_model_thresholds", "background_curve"):
+        assert "bgpart" not in registry.ORACLES[name], name
+    spark.range(120).select(F.col("id").alias("vec_id")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    sf = str(tmp_path)
+    dated = registry.QUERIES["date_sentences"](spark, sf)
+    assert dated.select("item_id").distinct().count() == 120 and dated.count() == 240
+    told = registry.QUERIES["dating_mae"](spark, sf).collect()
+    assert {r.n_items + r.n_missing for r in told} == {120}
+    # five a span of 50 years, of ten spans, with each other
+    assert registry.QUERIES["background_product"](spark, sf).count() == 50 * 50
+
+
 @pytest.mark.parametrize("method", ["chord", "polynomial"])
 def test_learning_curve_by_hand(spark, method):
     """Every draw of every item dated on its own; an item lacks some of the scores."""
