@@ -36,12 +36,26 @@ def label_map(index: DataFrame) -> DataFrame:
 
 # --- sub-word stand-in tokenizer and V1 -------------------------------------------------------------
 
+MARK = "\u0001"     # stands between words while a sentence is cut in one pass
+
+
 def subword_pieces(tokens, width: int = 4) -> Column:
-    """Split each word into pieces of ``width`` chars, continuation pieces prefixed '##'."""
-    return F.flatten(F.transform(_c(tokens), lambda w: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.length(w) / width).cast("int") - 1, F.lit(0))),
-        lambda i: F.concat(F.when(i > 0, F.lit(SUBWORD_PREFIX)).otherwise(F.lit("")),
-                           F.substring(w, i * width + 1, width)))))
+    """Split each word into pieces of ``width`` chars, continuation pieces prefixed '##'.
+
+    The sentence is cut as one text by one regular expression; word by word where a word is null or holds the
+    mark that stands between words."""
+    def one_by_one(words):
+        return F.flatten(F.transform(words, lambda w: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil(F.length(w) / width).cast("int") - 1, F.lit(0))),
+            lambda i: F.concat(F.when(i > 0, F.lit(SUBWORD_PREFIX)).otherwise(F.lit("")),
+                               F.substring(w, i * width + 1, width)))))
+
+    def cut(x):
+        # as many marks as there are words, if none is null or holds one itself
+        plain = ~F.exists(x["words"], lambda w: w.isNull()) & (F.length(x["text"]) - F.length(F.replace(x["text"], F.lit(MARK), F.lit(""))) == F.size(x["words"]) - 1)
+        pieces = F.regexp_replace(x["text"], f"([^{MARK}]{{{width}}})(?=[^{MARK}])", f"$1{MARK}{SUBWORD_PREFIX}")
+        return F.when(plain, F.split(pieces, MARK, -1)).otherwise(one_by_one(x["words"]))
+    return let(_c(tokens), lambda words: let(F.struct(words.alias("words"), F.array_join(words, MARK).alias("text")), cut))
 
 
 def word_ids(tokens, width: int = 4, specials: bool = True) -> Column:
@@ -55,28 +69,45 @@ def word_ids(tokens, width: int = 4, specials: bool = True) -> Column:
 
 
 def group_subwords(df: DataFrame, id_col: str, pieces: str, prefix: str = SUBWORD_PREFIX,
-                   specials=("[CLS]", "[SEP]", "[PAD]")) -> DataFrame:
+                   specials=("[CLS]", "[SEP]", "[PAD]"), only: str | None = None) -> DataFrame:
     """(id, word_no, word, idx) from sub-tokens: specials skipped, '##' continues a word.
 
     Sentence-local: word starts and their ends (the next start or special) are found with
-    array functions inside the row, then exploded; no window, no shuffle.
+    array functions inside the row, then exploded; no window, no shuffle.  The words are cut from the
+    sentence as one text, or put together one by one where a piece is null or holds the mark between pieces.
+    With ``only`` (a column) the words that equal it in lower case are left, under their numbers.
     """
     p = F.col(pieces)
-    spec = F.array(*[F.lit(x) for x in specials])
-    kinds = F.transform(p, lambda x: F.when(F.array_contains(spec, x), F.lit(-1))
-                        .when(~x.startswith(prefix), F.lit(1)).otherwise(F.lit(0)))
-    d = df.select(id_col, p.alias("_p"), kinds.alias("_k"))
-    breaks = F.filter(F.transform("_k", lambda k, i: F.when(k != 0, i)), lambda i: i.isNotNull())
-    d = d.withColumn("_b", breaks)
-    words = F.filter(F.transform("_b", lambda b, j: F.struct(
-        b.alias("s"), F.coalesce(F.get(F.col("_b"), j + 1), F.size("_p")).alias("e"),
-        F.get(F.col("_k"), b).alias("k"))), lambda w: w["k"] == 1)
-    e = d.select(id_col, "_p", F.posexplode(words).alias("word_no", "_w"))
-    s, n = F.col("_w.s"), F.col("_w.e") - F.col("_w.s")
-    word = F.array_join(F.transform(F.slice("_p", s + 1, n),
-                                    lambda x: F.regexp_replace(x, "^" + prefix, "")), "")
-    return e.select(id_col, "word_no", word.alias("word"),
-                    F.sequence(s, F.col("_w.e") - 1).alias("idx"))
+    # borders: places of pieces that start a word, and of specials as -1 - place
+    borders = F.filter(F.transform(p, lambda x, i: F.when(x.isin(*specials), -1 - i).when(
+        ~x.startswith(prefix), i)), lambda i: i.isNotNull())
+    text = F.array_join(p, MARK)
+    # a mark between any two pieces, and none elsewhere
+    plain = F.lit(not any(x.startswith(prefix) or MARK in x for x in specials)) & ~F.exists(p, lambda x: x.isNull()) & (
+        F.length(text) - F.length(F.replace(text, F.lit(MARK), F.lit(""))) == F.size(p) - 1)
+    cut = F.split(F.replace(F.concat(F.lit(MARK), text), F.lit(MARK + prefix), F.lit("")), MARK, -1)
+
+    def words(x):
+        def one(b, j):
+            end = F.coalesce(F.get(x["b"], j + 1), F.size(x["p"]))
+            end = F.when(end < 0, -1 - end).otherwise(end)
+            # before the first mark stand only pieces that continue nothing
+            word = F.when(x["plain"], F.get(x["cut"], j + 1)).otherwise(F.array_join(F.transform(
+                F.slice(x["p"], b + 1, end - b), lambda y: F.regexp_replace(y, "^" + prefix, "")), ""))
+            return F.when(b >= 0, F.struct(b.alias("s"), end.alias("e"), word.alias("word")))
+        found = F.filter(F.transform(x["b"], one), lambda w: w.isNotNull())
+        if only is None:
+            return found
+        return F.filter(F.transform(found, lambda w, no: F.struct(no.alias("no"), w["s"].alias("s"), w["e"].alias("e"),
+                                                                  w["word"].alias("word"))),
+                        lambda w: F.lower(w["word"]) == x["only"])
+    row = F.struct(p.alias("p"), borders.alias("b"), plain.alias("plain"), F.when(plain, cut).alias("cut"),
+                   *([] if only is None else [F.lower(only).alias("only")]))
+    found = let(row, words)
+    e = df.select(id_col, F.posexplode(found).alias("word_no", "_w")) if only is None else \
+        df.select(id_col, F.explode(found).alias("_w")).withColumn("word_no", F.col("_w.no"))
+    return e.select(id_col, "word_no", F.col("_w.word").alias("word"),
+                    F.sequence(F.col("_w.s"), F.col("_w.e") - 1).alias("idx"))
 
 
 def pool_word_vector(groups: DataFrame, token_vectors: DataFrame, keywords: DataFrame,

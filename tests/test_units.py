@@ -106,3 +106,33 @@ def test_best_threshold_brute_force(spark):
     accs = [((s >= t).astype(int) == y).mean() for t in ths]
     best = int(np.argmax(accs))
     assert abs(got["threshold"] - ths[best]) < 1e-9 and abs(got["accuracy"] - accs[best]) < 1e-12
+
+
+def test_subwords_of_odd_sentences(spark):
+    """Nulls, the mark between words, empty words and pieces that continue nothing: as piece by piece."""
+    rows = [["abcdefghi", "x", ""], ["ab\u0001cdefg", "h"], [None, "abcde"], [None, "a\u0001b"], [], ["\U0001d504bcde", "$1##"]]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, t array<string>")
+    got = {r.id: r.p for r in df.select("id", T.subword_pieces("t").alias("p")).collect()}
+    assert got[0] == ["abcd", "##efgh", "##i", "x", ""] and got[1] == ["ab\u0001c", "##defg", "h"]
+    assert got[4] == [] and got[5] == ["\U0001d504bcd", "##e", "$1##"]
+    pieces = [["##z", "[CLS]", "##y", "ab", "##cd", "E", "[PAD]", "##q", "", "##f", "aBcd"],
+              ["ab", None, "##c\u0001d", "AB", "[SEP]"], ["##z"], []]
+    df = spark.createDataFrame([(i, p, "ABCD") for i, p in enumerate(pieces)], "id int, p array<string>, k string")
+    words = lambda **o: [tuple(r) for r in T.group_subwords(df, "id", "p", **o).orderBy("id", "word_no").collect()]
+    assert words() == [(0, 0, "abcd", [3, 4]), (0, 1, "E", [5]), (0, 2, "f", [8, 9]), (0, 3, "aBcd", [10]),
+                       (1, 0, "abc\u0001d", [0, 1, 2]), (1, 1, "AB", [3])]
+    assert words(only="k") == [(0, 0, "abcd", [3, 4]), (0, 3, "aBcd", [10])]
+
+
+def test_only_the_keywords_words_are_shuffled(spark):
+    """tag_pool_word_vector: the rows that meet the keywords are the keyword's own words."""
+    from lexispark.plans import q_tagging, registry
+    registry.load_all()
+    seen, was = [], T.pool_word_vector
+    T.pool_word_vector = lambda g, *a: seen.append(g) or was(g, *a)
+    try:
+        registry.QUERIES["tag_pool_word_vector"](spark, "/root/testdata/sf0.001")
+    finally:
+        T.pool_word_vector = was
+    tokens = q_tagging.fx.tagged(spark, "/root/testdata/sf0.001").selectExpr("sum(size(tokens)) as n").first().n
+    assert seen[0].count() < tokens / 10
