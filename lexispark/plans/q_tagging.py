@@ -250,15 +250,16 @@ select s.sent_id, round(length(s.word) / s.c, 6) as v_len, round(s.st + (s.c - 1
   cast(s.c as bigint) as n_subtokens from s join f on f.sent_id = s.sent_id and f.word_no = s.word_no""")
 def tag_pool_word_vector(spark, sf):
     t = fx.tagged(spark, sf)
-    keyword = F.get(F.filter("tokens", lambda w: F.length(w) >= 8), 0).alias("keyword")
-    p = t.select("sent_id", F.concat(F.array(F.lit("[CLS]")), T.subword_pieces("tokens"),
-                                     F.array(F.lit("[SEP]"))).alias("pieces"), keyword)
+    long = F.filter("tokens", lambda w: F.length(w) >= 8)
+    pieces = F.concat(F.array(F.lit("[CLS]")), T.subword_pieces("tokens"), F.array(F.lit("[SEP]")))
+    p = t.select("sent_id", pieces.alias("pieces"), F.get(long, 0).alias("keyword"))
     # only the keyword's own words leave the row
     g = T.group_subwords(p, "sent_id", "pieces", only="keyword")
-    tv = p.select("sent_id", F.posexplode("pieces").alias("pos", "piece")).select(
+    # exploded where they are built: conditions on a named column would be computed before the rows are dealt, too
+    tv = t.select("sent_id", F.posexplode(pieces).alias("pos", "piece")).select(
         "sent_id", "pos", F.array(F.length(F.regexp_replace("piece", "^##", "")).cast("double"),
                                   F.col("pos").cast("double")).alias("vec"))
-    kw = t.select("sent_id", keyword).where(F.col("keyword").isNotNull())
+    kw = t.select("sent_id", F.explode(F.slice(long, 1, 1)).alias("keyword"))
     v = T.pool_word_vector(g, tv, kw, "sent_id")
     return v.select("sent_id", r6(F.element_at("vector", 1)).alias("v_len"),
                     r6(F.element_at("vector", 2)).alias("v_pos"), F.col("n_subtokens").cast("bigint"))

@@ -136,3 +136,22 @@ def test_only_the_keywords_words_are_shuffled(spark):
         T.pool_word_vector = was
     tokens = q_tagging.fx.tagged(spark, "/root/testdata/sf0.001").selectExpr("sum(size(tokens)) as n").first().n
     assert seen[0].count() < tokens / 10
+
+
+def test_words_are_lowered_once_in_the_bigram_model(spark):
+    df = spark.createDataFrame([(["A", "b", "a", "B"],), (["x"],), ([],), (None,), (["a", None, "b"],)], "tokens array<string>")
+    model = T.bigram_model(df)
+    got = {(r.prev, r.word, r.rank): r.score for r in model.collect()}
+    assert got == {("a", "b", 1): 2 / 3, ("a", None, 2): 1 / 3, ("b", "a", 1): 1.0}
+    plan = model._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == plan.count("Generate explode")
+
+
+def test_nothing_is_cut_before_the_rows_are_dealt(spark):
+    """tag_pool_word_vector: no array is built below the exchange that deals the documents over the cores."""
+    from lexispark.plans import registry
+    registry.load_all()
+    plan = registry.QUERIES["tag_pool_word_vector"](spark, "/root/testdata/sf0.001")._jdf.queryExecution() \
+        .optimizedPlan().toString().split("\n")
+    dealt = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert dealt and not any("split(" in plan[i + k] for i in dealt for k in (1, 2))
