@@ -345,10 +345,11 @@ def rank_report(ranks: DataFrame, rank: str = "rank", ks=(1, 5), by=()) -> DataF
 def bigram_model(sentences: DataFrame, tokens: str = "tokens", k: int = 5) -> DataFrame:
     """Top-k next words per previous word by bigram count (ties by word): a built-in,
     deterministic stand-in scorer for mask filling, learnt in Spark."""
-    t = F.transform(F.col(tokens), lambda x: F.lower(x))
-    pairs = sentences.select(F.explode(F.arrays_zip(
-        F.slice(t, 1, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("prev"),
-        F.slice(t, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("word"))).alias("z"))
+    # the lower-cased words are named once, and a pair is a word and the one behind it
+    both = let(F.transform(F.col(tokens), lambda x: F.lower(x)), lambda t: F.zip_with(
+        F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
+        lambda a, b: F.struct(a.alias("prev"), b.alias("word"))))
+    pairs = sentences.select(F.explode(both).alias("z"))
     counts = pairs.groupBy(F.col("z.prev").alias("prev"), F.col("z.word").alias("word")) \
         .agg(F.count(F.lit(1)).alias("n"))
     tot = counts.groupBy("prev").agg(F.sum("n").alias("_tot"))
