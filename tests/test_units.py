@@ -155,3 +155,20 @@ def test_nothing_is_cut_before_the_rows_are_dealt(spark):
         .optimizedPlan().toString().split("\n")
     dealt = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line]
     assert dealt and not any("split(" in plan[i + k] for i in dealt for k in (1, 2))
+
+
+def test_running_top_k_of_tiles_of_many_rows():
+    """Tiles of more rows than are multiplied at once, in which half of all similarities are equal."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (900, 3)).astype(float)
+    ids = rng.permutation(900).astype("<i8")
+
+    class Part:
+        def __init__(self, a, b):
+            self.ids, self.mat, self.carry = ids[a:b], x[a:b], [np.array([f"c{i}" for i in ids[a:b]], object)]
+    best = K._Best(Part(0, 700), 1)
+    for a, b in ((0, 5), (5, 300), (300, 890), (890, 900)):
+        best.meet(Part(a, b), 20)
+    for q in range(700):
+        want = ids[np.lexsort((ids, -(x @ x[q])))[:20]]
+        assert best.i[q].tolist() == want.tolist() and best.x[0][q].tolist() == [f"c{i}" for i in want]
