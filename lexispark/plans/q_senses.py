@@ -232,10 +232,14 @@ from res join te using (quote_id) group by all""")
 def wsd_fewshot_results(spark, sf):
     """Accuracy figures of the whole result table (its rows are compared by these sums)."""
     r = W.fewshot_results(items(spark, sf), vectors(spark, sf), _ITS, _SIZES, baseline_scope="a")
-    return r.groupBy("model", "n_items", "iteration", "lemma", "pos").agg(
+    by = ["model", "n_items", "iteration", "lemma", "pos"]
+    # first by the prediction too: the smallest and largest of the texts are then sought among few rows
+    told = r.groupBy(*by, "pred").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("true")).cast("bigint")).alias("n_right"),
         F.sum(F.col("year").cast("bigint")).alias("years"),
-        F.coalesce(F.sum(F.col("n_subtokens").cast("bigint")), F.lit(0)).alias("n_subtokens"),
+        F.coalesce(F.sum(F.col("n_subtokens").cast("bigint")), F.lit(0)).alias("n_subtokens"))
+    return told.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_right", "years", "n_subtokens")],
         F.min("pred").alias("first_pred"), F.max("pred").alias("last_pred"))
 
 

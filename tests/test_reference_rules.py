@@ -786,3 +786,25 @@ def test_keyword_search_runs_once_a_row(spark):
     for name in ("text_subtoken_span", "lex_find_keyword"):
         plan = registry.QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(r"(?U)(?<!\w)") == 1, name
+
+
+def test_fewshot_rows_are_told_without_a_sort(spark):
+    from lexispark.operators import fewshot as W
+    # two senses with the same vectors (a tie: the larger is told) and a lemma of one far sense and one near
+    rows = [(i, "l", f"s{i % 2}", 1500 + i, "n", [1.0, 1.0]) for i in range(8)]
+    rows += [(10 + i, "m", f"s{i % 2}", 1600, "v", [1.0, 1.0 * (i % 2)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "quote_id long, lemma string, sense string, year int, pos string, e array<double>")
+    vectors = df.select(F.lit("a").alias("model"), "quote_id", F.col("e").alias("embedding"), F.lit(2).alias("n_subtokens"))
+    out = W.fewshot_results(df.drop("e"), vectors, iterations=3, sizes=(1, 2))
+    # neither similarities nor predictions are sorted for an aggregate
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    runs = {(n, it) for n in ("1", "2") for it in range(3)} | {("full", 0)}
+    told = collections.Counter((r.model, r.quote_id) for r in got)
+    assert set(told.values()) == {len(runs)} and len(told) == 3 * 8       # half of 16 rows, three models
+    assert {(r.n_items, r.iteration) for r in got} == runs
+    assert {r.pred for r in got if r.model == "a" and r.lemma == "l"} == {"s1"}
+    assert all(r.pred == r.true for r in got if r.model == "a" and r.lemma == "m")
+    assert {r.pred for r in got if r.model == "majority"} == {"s0"}
+    assert {r.pred for r in got if r.model == "random"} == {"s0", "s1"}
+    assert {r.n_subtokens for r in got if r.model == "a"} == {2}
