@@ -131,35 +131,45 @@ def find_knee(x: np.ndarray, curves: np.ndarray, sensitivity: float = 1.0, degre
     The fitted curve and x are scaled to 0..1.  A local maximum of their difference is the knee if
     the difference falls below (maximum - sensitivity * mean step of x) before it rises to another
     maximum; a local minimum sets that bound to 0."""
-    out = np.full(len(curves), np.nan)
+    return _fitted_knees(x, np.ascontiguousarray(curves.T), {} if grids is None else grids, sensitivity, degree)
+
+
+def _fitted_knees(x: np.ndarray, curves: np.ndarray, grids: dict, sensitivity: float = 1.0,
+                  degree: int = 7) -> np.ndarray:
+    """``find_knee`` of the columns of ``curves`` (a row a point).
+
+    Equal years have equal fitted values.  Of the points between the first and the last of a year each is a
+    maximum and a minimum as much as the next, so one of them stands for all."""
+    out = np.full(curves.shape[1], np.nan)
     if len(x) < 2 or x[0] == x[-1]:
         return out
-    grids = {} if grids is None else grids
     key = (x.tobytes(), degree)
     if key not in grids:
         if len(grids) > 1000:
             grids.clear()
-        years, at, n = np.unique(x, return_inverse=True, return_counts=True)
-        grids[key] = (polynomial_basis(years, n.astype(np.float64), degree),
-                      np.flatnonzero(np.diff(x, prepend=-np.inf)), at)
-    basis, first_of, at = grids[key]
-    sums = np.add.reduceat(curves, first_of, axis=1).T
-    value = (basis @ (basis.T @ sums))[at]       # x by curve; equal years have equal values
+        years, first_of, n = np.unique(x, return_index=True, return_counts=True)
+        grids[key] = (years, polynomial_basis(years, n.astype(np.float64), degree), first_of,
+                      np.repeat(np.arange(len(years)), np.minimum(n, 3)),
+                      abs(np.diff((x - x[0]) / (x[-1] - x[0])).mean()))
+    years, basis, first_of, at, step = grids[key]
+    value = basis @ (basis.T @ np.add.reduceat(curves, first_of, axis=0))       # year by curve
     low, span = value.min(0), np.ptp(value, axis=0)
     ok = span > 1e-12 * np.maximum(1.0, np.abs(value).max(0))
-    xn = (x - x[0]) / (x[-1] - x[0])
-    d = (value - low) / np.where(ok, span, 1.0) - xn[:, None]
-    before, after = np.vstack([d[:1], d[:-1]]), np.vstack([d[1:], d[-1:]])
-    peak, dip = (d >= before) & (d >= after), (d <= before) & (d <= after)
-    at = np.arange(len(x))[:, None]
-    last_peak = np.maximum.accumulate(np.where(peak, at, -1), axis=0)
-    last_dip = np.maximum.accumulate(np.where(dip, at, -1), axis=0)
-    bound = np.where(last_dip >= last_peak, 0.0, np.take_along_axis(
-        d, np.maximum(last_peak, 0), 0) - sensitivity * abs(np.diff(xn).mean()))
+    xn = (years - years[0]) / (years[-1] - years[0])
+    d = ((value - low) / np.where(ok, span, 1.0) - xn[:, None])[at]
+    rises, falls = d[1:] >= d[:-1], d[1:] <= d[:-1]
+    peak, dip = np.ones((2, *d.shape), bool)
+    peak[1:], dip[1:] = rises, falls
+    peak[:-1] &= falls
+    dip[:-1] &= rises
+    place = np.arange(len(d), dtype=np.int32)[:, None]
+    last_peak = np.maximum.accumulate(np.where(peak, place, np.int32(-1)), axis=0)
+    last_dip = np.maximum.accumulate(np.where(dip, place, np.int32(-1)), axis=0)
+    bound = np.where(last_dip >= last_peak, 0.0, np.take_along_axis(d, np.maximum(last_peak, 0), 0) - sensitivity * step)
     fell = (last_peak >= 0)[:-1] & (d[1:] < bound[:-1]) & ok
     first = fell.argmax(0)
     found = fell.any(0)
-    out[found] = x[last_peak[first[found], np.flatnonzero(found)]]
+    out[found] = years[at[last_peak[first[found], np.flatnonzero(found)]]]
     return out
 
 
@@ -246,34 +256,41 @@ def chord_knees(x: np.ndarray, scores: np.ndarray, drawn: np.ndarray) -> np.ndar
     """(items, draws) knees of the chord form for scores (items, pool) over the ascending x, where each
     draw (draws, pool) leaves out some of the pool; nan where there is none.
 
-    One masked running sum gives the curves of all draws."""
-    run = np.cumsum(scores[:, None, :] * drawn, axis=2)
-    low = np.where(drawn, run, np.inf).min(2, keepdims=True)
-    high = np.where(drawn, run, -np.inf).max(2, keepdims=True)
-    x0 = np.where(drawn, x, np.inf).min(1, keepdims=True)
-    x1 = np.where(drawn, x, -np.inf).max(1, keepdims=True)
-    span, width = high - low, x1 - x0
-    ok = (span[..., 0] > 0) & np.isfinite(span[..., 0]) & (width[:, 0] > 0)
-    with np.errstate(invalid="ignore"):
-        d = (run - low) / np.where(span > 0, span, 1.0) - (x - x0) / np.where(width > 0, width, 1.0)
-    at = np.where(drawn, d, -np.inf).argmax(2)
-    return np.where(ok, x[at], np.nan)
+    A draw's rows of the pool are summed for all items at once."""
+    out = np.full((len(scores), len(drawn)), np.nan)
+    by_pool = np.ascontiguousarray(scores.T)
+    for j, use in enumerate(drawn):
+        at = np.flatnonzero(use)
+        if not len(at) or not x[at[-1]] > x[at[0]]:
+            continue
+        xn = (x[at] - x[at[0]]) / (x[at[-1]] - x[at[0]])
+        run = np.cumsum(by_pool[at], axis=0)
+        low = run.min(0)
+        span = run.max(0) - low
+        ok = (span > 0) & np.isfinite(span)
+        run -= low
+        run /= np.where(span > 0, span, 1.0)
+        run -= xn[:, None]
+        out[:, j] = np.where(ok, x[at[np.ascontiguousarray(run.T).argmax(1)]], np.nan)
+    return out
 
 
 def polynomial_knees(x: np.ndarray, scores: np.ndarray, drawn: np.ndarray, grids: dict) -> np.ndarray:
     """The same with the knee of a polynomial fit: one projection a draw for all items."""
     out = np.full((len(scores), len(drawn)), np.nan)
+    by_pool = np.ascontiguousarray(scores.T)
     for j, use in enumerate(drawn):
         if use.any():
-            out[:, j] = find_knee(x[use], np.cumsum(scores[:, use], axis=1), grids=grids)
+            out[:, j] = _fitted_knees(x[use], np.cumsum(by_pool[use], axis=0), grids)
     return out
 
 
-TILE = 16              # items whose draws are summed at once: TILE x draws x pool numbers
+TILE = 32              # items that are dated at once, in all models
 
 
-def _drawn_knees(method: str, sizes: Sequence[int]):
-    """Knees of every draw for tiles of items; a tile comes with the draw table."""
+def _draw_errors(method: str, sizes: Sequence[int]):
+    """Errors of every draw, summed over tiles of items; an item comes with its scores in all models and a tile
+    with the draw table."""
     def run(batches):
         grids: dict = {}
         for batch in batches:
@@ -288,36 +305,48 @@ def _drawn_knees(method: str, sizes: Sequence[int]):
         rank = np.frombuffer(ranks, ">i4").reshape(len(ids), -1)                # pool x iterations
         draws = np.array([(n, it) for it in range(rank.shape[1]) for n in sizes], np.int32)
         drawn = np.array([rank[:, it] <= n for n, it in draws])
-        points, n_items = r["_points"], len(r["item_id"])
+        # a curve is an item in a model
+        models, curves = r["_models"].value_lengths().to_numpy(), r["_models"].flatten()
+        starts, owner = np.cumsum(models) - models, np.repeat(np.arange(len(models)), models)
+        points, n_curves = curves.field("_points"), len(curves)
         lens, flat = points.value_lengths().to_numpy(), points.flatten()
         mine, value = flat.field("i").to_numpy(), flat.field("v").to_numpy()
         order = np.argsort(ids, kind="stable")
         at = order[np.minimum(np.searchsorted(ids[order], mine), len(ids) - 1)]
         known = ids[at] == mine
-        row, at = np.repeat(np.arange(n_items), lens)[known], at[known]
-        score, here = np.zeros((n_items, len(ids))), np.zeros((n_items, len(ids)), bool)
+        row, at = np.repeat(np.arange(n_curves), lens)[known], at[known]
+        score, here = np.zeros((n_curves, len(ids))), np.zeros((n_curves, len(ids)), bool)
         score[row, at], here[row, at] = value[known], True
-        cut = r["_th"].to_numpy(zero_copy_only=False).astype(np.float64)
-        kinds = [("raw", score)]
-        if not np.isnan(cut).all():
-            kinds.append(("threshold", (score > cut[:, None]) * 1.0))
-        # items that have a score for the same rows of the pool go together
+        # curves that have a score for the same rows of the pool go together
         same: dict[bytes, list[int]] = {}
-        for i in range(n_items):
+        for i in range(n_curves):
             same.setdefault(here[i].tobytes(), []).append(i)
-        for items in same.values():
-            use = drawn & here[items[0]]
-            some = np.flatnonzero(use.any(1))
-            for kind, value in kinds:
-                found = (chord_knees(years, value[items], use) if method == "chord"
-                         else polynomial_knees(years, value[items], use, grids))[:, some].ravel()
-                each = pa.array(np.repeat(items, len(some)))
+        cut = curves.field("_th").to_numpy(zero_copy_only=False).astype(np.float64)
+        truth = r["item_year"].to_numpy(zero_copy_only=False).astype(np.float64)[owner, None]
+        names: dict[str, list[int]] = {}
+        for i, name in enumerate(curves.field("model").to_pylist()):
+            names.setdefault(name, []).append(i)
+        for kind, value, asked in (("raw", score, np.ones(n_curves, bool)),
+                                   ("threshold", (score > cut[:, None]) * 1.0, ~np.isnan(cut))):
+            knee, has = np.full((n_curves, len(draws)), np.nan), np.zeros((n_curves, len(draws)), bool)
+            for group in same.values():
+                group = [i for i in group if asked[i]]
+                if group:
+                    use = drawn & here[group[0]]
+                    knee[group] = (chord_knees(years, value[group], use) if method == "chord"
+                                   else polynomial_knees(years, value[group], use, grids))
+                    has[group] = use.any(1)
+            missing = has & np.isnan(knee)
+            ok = ~np.logical_or.reduceat(missing, starts, axis=0)[owner] & has
+            error = np.where(ok, abs(knee - truth), np.nan)
+            for name, of in names.items():
+                some = np.flatnonzero(has[of].any(0))
+                told = error[of][:, some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(draws[some, 0], len(items))), pa.array(np.tile(draws[some, 1], len(items))),
-                     pa.array([kind]).take(pa.array(np.zeros(len(found), np.int64))),
-                     *[r[c].take(each) for c in ("model", "item_id", "item_year")],
-                     pa.array(found, mask=np.isnan(found))],
-                    names=["n", "iteration", "kind", "model", "item_id", "item_year", "knee"])
+                    [pa.array(draws[some, 0]), pa.array(draws[some, 1]), pa.array([kind] * len(some), pa.string()),
+                     pa.array([name] * len(some), pa.string()), pa.array(np.nansum(told, axis=0)),
+                     *[pa.array(c.sum(0)) for c in (~np.isnan(told), ok[of][:, some], missing[of][:, some])]],
+                    names=["n", "iteration", "kind", "model", "error", "n_errors", "n_items", "n_missing"])
     return run
 
 
@@ -352,35 +381,26 @@ def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], ite
     ``scores`` has a model column.  With ``thresholds`` (model, threshold) the knees of the
     thresholded counts follow with kind 'threshold'; kind 'raw' are those of the scores.
 
-    The score table is shuffled once: an item's scores are one array, as long as the bounded pool.
-    Tiles of items meet the one-row draw table (``draw_table``, broadcast), and a tile's draws are
-    0/1 rows over the pool under which one running sum gives all curves.
+    The score table is shuffled once: an item's scores are one array a model, as long as the bounded pool.
+    Tiles of items meet the one-row draw table (``draw_table``, broadcast), and a draw's curves are summed for
+    a tile at once.  A tile holds its items in all models, so what leaves it are sums of errors a draw.
     """
     from lexispark.operators.pairs import spread
     cuts = scores.select("model").distinct().withColumn("_th", F.lit(None).cast("double")) \
-        if thresholds is None else thresholds.select("model", F.col("threshold").alias("_th"))
-    arrays = spread(scores, "item_id").groupBy("item_id", "item_year", "model").agg(F.collect_list(F.struct(
+        if thresholds is None else thresholds.select("model", F.col("threshold").cast("double").alias("_th"))
+    item = ["item_id", "item_year"]
+    arrays = spread(scores, "item_id").groupBy(*item, "model").agg(F.collect_list(F.struct(
         F.col(bg_id).cast("bigint").alias("i"), F.col("score").cast("double").alias("v"))).alias("_points"))
-    tiles = packed(arrays.join(F.broadcast(cuts), "model", "left"), TILE).crossJoin(
+    # dealt by the item already: no second shuffle
+    items = arrays.join(F.broadcast(cuts), "model", "left").groupBy(*item).agg(
+        F.collect_list(F.struct("model", "_th", "_points")).alias("_models"))
+    tiles = packed(items.select("item_year", "_models"), TILE).crossJoin(
         F.broadcast(draw_table(bg, sizes, iterations, span, seed, bg_id, bg_year)))
-    kind = dict(scores.dtypes)
-    k = tiles.mapInArrow(_drawn_knees(method, list(sizes)), (
-        f"n int, iteration int, kind string, model string, item_id {kind['item_id']}, "
-        f"item_year {kind['item_year']}, knee double"))
-    return curve_mae(k)
-
-
-def curve_mae(knees: DataFrame) -> DataFrame:
-    """``mae`` of each draw where a knee's row has its item's year: one pass by item, one by draw."""
-    by = ["n", "iteration", "kind"]
-    per = knees.groupBy(*by, "item_id", "item_year").agg(
-        F.bool_and(F.col("knee").isNotNull()).alias("_ok"), F.collect_list(F.struct("model", "knee")).alias("_k"))
-    flat = per.select(*by, "item_year", "_ok", F.explode("_k").alias("_k")).select(
-        *by, "item_year", "_ok", "_k.model", "_k.knee")
-    return flat.groupBy(*by, "model").agg(
-        F.avg(F.when(F.col("_ok"), F.abs(F.col("knee") - F.col("item_year")))).alias("mae"),
-        F.sum(F.col("_ok").cast("int")).alias("n_items"),
-        F.sum(F.col("knee").isNull().cast("int")).alias("n_missing"))
+    sums = tiles.mapInArrow(_draw_errors(method, list(sizes)), (
+        "n int, iteration int, kind string, model string, error double, n_errors long, n_items long, n_missing long"))
+    return sums.groupBy("n", "iteration", "kind", "model").agg(
+        F.try_divide(F.sum("error"), F.sum("n_errors")).alias("mae"), F.sum("n_items").alias("n_items"),
+        F.sum("n_missing").alias("n_missing"))
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "model",

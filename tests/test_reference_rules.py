@@ -808,3 +808,50 @@ def test_fewshot_rows_are_told_without_a_sort(spark):
     assert {r.pred for r in got if r.model == "majority"} == {"s0"}
     assert {r.pred for r in got if r.model == "random"} == {"s0", "s1"}
     assert {r.n_subtokens for r in got if r.model == "a"} == {2}
+
+
+@pytest.mark.parametrize("method", ["chord", "polynomial"])
+def test_learning_curve_shuffles_no_knees(spark, method):
+    """Errors are summed where the curves are made: behind the knees there is one exchange, by draw and model."""
+    pool = [(i, 1450 + 10 * (i % 30)) for i in range(90)]
+    rows = [(item, 1450 + 25 * item, i, y, m, 0.8 if y < 1450 + 25 * item else 0.1 + 0.001 * i) for item in range(70)
+            for i, y in pool for m in "ab"]
+    s = spark.createDataFrame(rows, "item_id long, item_year int, bg_id long, bg_year int, model string, score double")
+    out = D.background_curve(s, spark.createDataFrame(pool, "bg_id long, bg_year int"), [3, 7], 2, method=method)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above = re.sub(r"#\d+", "", plan.split("MapInArrow")[0])
+    assert re.findall(r"hashpartitioning\((.*), \d+\)", above) == ["n, iteration, kind, model"]
+    got = out.collect()
+    assert {(r.n, r.iteration, r.kind, r.model, r.n_items + r.n_missing) for r in got} == {
+        (n, it, "raw", m, 70) for n in (3, 7) for it in range(2) for m in "ab"}
+    # a model that only few items have does not keep its draws from the others
+    few = D.background_curve(s.where("model = 'a' or item_id < 5"), spark.createDataFrame(
+        pool, "bg_id long, bg_year int"), [3], 1, method=method).collect()
+    assert {r.model: r.n_items + r.n_missing for r in few} == {"a": 70, "b": 5}
+
+
+def test_repeated_years_give_the_knee_of_all_points():
+    """Kneedle's steps over every point, where a year has one to six of them."""
+    rng = np.random.default_rng(3)
+    years = np.repeat(1450.0 + 10 * np.arange(40), rng.integers(1, 7, 40))
+    curves = np.cumsum(rng.random((60, len(years))) * (rng.integers(1500, 1800, 60)[:, None] > years), axis=1)
+    at = np.unique(years, return_inverse=True)[1]
+    xn = (years - years[0]) / (years[-1] - years[0])
+    got = D.find_knee(years, curves)
+    for c, k in zip(curves, got):
+        u, n = np.unique(years, return_counts=True)
+        basis = D.polynomial_basis(u, n.astype(float))
+        v = (basis @ (basis.T @ np.bincount(at, c)))[at]
+        d = (v - v.min()) / np.ptp(v) - xn
+        before, after = np.r_[d[0], d[:-1]], np.r_[d[1:], d[-1]]
+        want, bound, top = None, None, None
+        for i in range(len(d) - 1):
+            if d[i] >= before[i] and d[i] >= after[i]:
+                bound, top = d[i] - np.diff(xn).mean(), i
+            if d[i] <= before[i] and d[i] <= after[i]:
+                bound = 0.0
+            if top is not None and d[i + 1] < bound:
+                want = years[top]
+                break
+        assert want == (None if np.isnan(k) else k)
+    assert np.isfinite(got).any()
