@@ -855,3 +855,30 @@ def test_repeated_years_give_the_knee_of_all_points():
                 break
         assert want == (None if np.isnan(k) else k)
     assert np.isfinite(got).any()
+
+
+def test_entity_counts_of_random_sentences(spark):
+    """Chunks are found and compared for a batch of sentences at once, not tag by tag in the row."""
+    rng = np.random.default_rng(11)
+    pool = ["B-P", "I-P", "B-L", "I-L", "O", "x", "I-", None]
+    draw = lambda n: [pool[j] for j in rng.integers(0, 8, n)]
+    rows = []
+    for i in range(500):
+        tags = draw(rng.integers(0, 12))
+        preds = [t if rng.random() < 0.7 else draw(1)[0] for t in tags]
+        rows.append((i, tags, preds if i % 9 else preds[:-2] + draw(3)))       # some of another length
+    rows += [(500, None, ["B-P"]), (501, ["I-L"], None), (502, None, None), (503, [], [])]
+    df = spark.createDataFrame(rows, "id long, tags array<string>, preds array<string>")
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for _, tags, preds in rows:
+        g, p = chunks_by_hand(tags or []), chunks_by_hand(preds or [])
+        for k, some in enumerate((g, p, set(g) & set(p))):
+            for *_, kind in some:
+                want[kind][k] += 1
+    for parts in (1, 7):
+        per, overall = T.entity_metrics(df.repartition(parts), "id")
+        assert "transform(" not in per._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.tag: (r.precision, r.recall, r.support) for r in per.collect()}
+        assert got == {k: (pytest.approx(h / p), pytest.approx(h / g), g) for k, (g, p, h) in want.items()}
+        g, p, h = np.sum(list(want.values()), axis=0)
+        assert tuple(overall.first())[:2] == (pytest.approx(h / p), pytest.approx(h / g))
