@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from lexispark.functions.keys import rkey
 from lexispark.functions.text import year_bin
 from lexispark.operators.sampling import _list
-from lexispark.operators.tiles import packed
 
 
 def unpivot_pairs(pairs: DataFrame, span: int, s1="s1", s2="s2", y1="y1", y2="y2",
@@ -289,24 +288,27 @@ TILE = 32              # items that are dated at once, in all models
 
 
 def _draw_errors(method: str, sizes: Sequence[int]):
-    """Errors of every draw, summed over tiles of items; an item comes with its scores in all models and a tile
-    with the draw table."""
+    """Errors of every draw, summed over tiles of items; an item comes with its scores in all models, the first one
+    of a task with the draw table."""
     def run(batches):
-        grids: dict = {}
+        grids, drawing = {}, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                yield from tile({c: batch.column(c).slice(k, 1).flatten() for c in batch.schema.names
-                                 if c != "_ranks"}, batch.column("_ranks")[k].as_py(), grids)
+            if drawing is None and batch.num_rows:
+                drawing = drawn_rows(*[batch.column(c)[0].as_py() for c in ("_pool", "_pool_year", "_ranks")])
+            for k in range(0, batch.num_rows, TILE):
+                yield from tile(batch.slice(k, TILE), *drawing, grids)
+
+    def drawn_rows(ids, years, ranks):
+        ids, years = np.array(ids, np.int64), np.array(years, np.float64)
+        rank = np.frombuffer(ranks, ">i4").reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))   # pool x iterations
+        draws = np.array([(n, it) for it in range(rank.shape[1]) for n in sizes], np.int32)
+        return ids, years, draws, np.array([rank[:, it] <= n for n, it in draws])
 
-    def tile(r, ranks, grids):
-        ids, years = r["_pool"].to_numpy(), r["_pool_year"].to_numpy()
+    def tile(r, ids, years, draws, drawn, grids):
         if not len(ids):
             return
-        rank = np.frombuffer(ranks, ">i4").reshape(len(ids), -1)                # pool x iterations
-        draws = np.array([(n, it) for it in range(rank.shape[1]) for n in sizes], np.int32)
-        drawn = np.array([rank[:, it] <= n for n, it in draws])
         # a curve is an item in a model
-        models, curves = r["_models"].value_lengths().to_numpy(), r["_models"].flatten()
+        models, curves = r.column("_models").value_lengths().to_numpy(), r.column("_models").flatten()
         starts, owner = np.cumsum(models) - models, np.repeat(np.arange(len(models)), models)
         points, n_curves = curves.field("_points"), len(curves)
         lens, flat = points.value_lengths().to_numpy(), points.flatten()
@@ -322,7 +324,7 @@ def _draw_errors(method: str, sizes: Sequence[int]):
         for i in range(n_curves):
             same.setdefault(here[i].tobytes(), []).append(i)
         cut = curves.field("_th").to_numpy(zero_copy_only=False).astype(np.float64)
-        truth = r["item_year"].to_numpy(zero_copy_only=False).astype(np.float64)[owner, None]
+        truth = r.column("item_year").to_numpy(zero_copy_only=False).astype(np.float64)[owner, None]
         names: dict[str, list[int]] = {}
         for i, name in enumerate(curves.field("model").to_pylist()):
             names.setdefault(name, []).append(i)
@@ -382,8 +384,8 @@ def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], ite
     thresholded counts follow with kind 'threshold'; kind 'raw' are those of the scores.
 
     The score table is shuffled once: an item's scores are one array a model, as long as the bounded pool.
-    Tiles of items meet the one-row draw table (``draw_table``, broadcast), and a draw's curves are summed for
-    a tile at once.  A tile holds its items in all models, so what leaves it are sums of errors a draw.
+    Items meet the one-row draw table (``draw_table``, broadcast), and a draw's curves are summed for a tile of items
+    at once.  A tile holds its items in all models, so what leaves it are sums of errors a draw.
     """
     from lexispark.operators.pairs import spread
     cuts = scores.select("model").distinct().withColumn("_th", F.lit(None).cast("double")) \
@@ -394,9 +396,12 @@ def background_curve(scores: DataFrame, bg: DataFrame, sizes: Sequence[int], ite
     # dealt by the item already: no second shuffle
     items = arrays.join(F.broadcast(cuts), "model", "left").groupBy(*item).agg(
         F.collect_list(F.struct("model", "_th", "_points")).alias("_models"))
-    tiles = packed(items.select("item_year", "_models"), TILE).crossJoin(
-        F.broadcast(draw_table(bg, sizes, iterations, span, seed, bg_id, bg_year)))
-    sums = tiles.mapInArrow(_draw_errors(method, list(sizes)), (
+    # the draw table goes to a task once, with its first row
+    draws = draw_table(bg, sizes, iterations, span, seed, bg_id, bg_year)
+    begins = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    told = items.select("item_year", "_models", begins.alias("_first")).crossJoin(F.broadcast(draws)).select(
+        "item_year", "_models", *[F.when(F.col("_first"), F.col(c)).alias(c) for c in draws.columns])
+    sums = told.mapInArrow(_draw_errors(method, list(sizes)), (
         "n int, iteration int, kind string, model string, error double, n_errors long, n_items long, n_missing long"))
     return sums.groupBy("n", "iteration", "kind", "model").agg(
         F.try_divide(F.sum("error"), F.sum("n_errors")).alias("mae"), F.sum("n_items").alias("n_items"),
