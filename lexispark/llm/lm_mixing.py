@@ -98,7 +98,7 @@ class Mixer:
             self.weight = np.full((self.contexts, self.gates), 1.0 / self.contexts, np.float32)
             self.seen = np.zeros((2, self.bits * MAP_BINS), np.float64)
         self.square = np.full_like(self.weight, 1e-3)
-        self.shift = np.arange(self.bits)
+        self.shift = np.arange(self.bits, dtype=np.int32)
         self._refresh()
 
     @property
@@ -117,6 +117,7 @@ class Mixer:
 
     def _address(self, codes: np.ndarray, contexts: list[np.ndarray]):
         """Slots (code x bit) of each context, and the bits themselves."""
+        codes = codes.astype(np.int32)
         node = (1 << self.shift) | (codes[:, None] >> (self.bits - self.shift))
         bit = (codes[:, None] >> (self.bits - 1 - self.shift)) & 1
         spread = node.astype(np.uint32) * np.uint32(0x9E3779B1)
@@ -128,18 +129,22 @@ class Mixer:
 
     def _mix(self, x):
         """Gate and mixed log-odds of a 1, given the inputs (log-odds)."""
-        gate = np.broadcast_to(self.shift, x[0].shape)
+        gate = np.zeros(x[0].shape, np.int32)
+        gate += self.shift
         for k, v in enumerate(x[1:]):
-            gate = gate + (v != 0) * (self.bits << k)
-        z = self.weight[0].take(gate) * x[0]
+            gate += (v != 0) * np.int32(self.bits << k)
+        z = self.weight[0].take(gate)
+        z *= x[0]
         for k in range(1, self.contexts):
-            z += self.weight[k].take(gate) * x[k]
+            w = self.weight[k].take(gate)
+            w *= x[k]
+            z += w
         return gate, np.clip(z, -12, 12, out=z)
 
     def _adapt(self, x, bit) -> None:
         """Predict the bits, then move weights and map."""
         gate, z = self._mix(x)
-        error = (bit - 1.0 / (1.0 + np.exp(-z))).astype(np.float32)
+        error = bit.astype(np.float32) - np.float32(1) / (1 + np.exp(-z))
         g = gate.reshape(-1)
         times = np.maximum(np.bincount(g, minlength=self.gates), 1)
         for c, v in enumerate(x):
@@ -157,7 +162,7 @@ class Mixer:
         return np.log2(np.where(bit == 1, p, 1.0 - p).astype(np.float64)).sum(1)
 
     def _bin(self, z):
-        return (np.rint(np.clip(z, -8, 8) * 2).astype(np.intp) + (
+        return (np.rint(np.clip(z, -8, 8) * 2).astype(np.int32) + (
             MAP_BINS // 2 + self.shift * MAP_BINS))
 
     def learn(self, codes: np.ndarray, contexts: list[np.ndarray]) -> None:
@@ -165,8 +170,8 @@ class Mixer:
             part = slice(a, a + RUN)
             slots, bit = self._address(codes[part], [c[part] for c in contexts])
             self._adapt([self.odds.take(t) for t in slots], bit)
-            touched = np.concatenate([(2 * s + bit).reshape(-1) for s in slots])
-            self.n += np.bincount(touched, minlength=2 * self.size).reshape(-1, 2)
+            for s in slots:
+                _count(self.n, s, bit)
             self.since = getattr(self, "since", 0) + len(codes[part])
             if self.since >= REFRESH or self.codes <= REFRESH:
                 self.since = 0
@@ -214,7 +219,7 @@ class WordMixer(Mixer):
         self.size = 1 << self.bits
         self.base = []
         self.square = np.full_like(self.weight, 1e-3)
-        self.shift = np.arange(self.bits)
+        self.shift = np.arange(self.bits, dtype=np.int32)
         self._refresh()
 
     def _places(self, keys: np.ndarray, first: int):
@@ -222,10 +227,14 @@ class WordMixer(Mixer):
         A node that is met once only tells nothing in the block and shares place 0, which stays 0."""
         distinct, at, count = np.unique(keys, return_inverse=True, return_counts=True)
         place = np.empty((len(distinct), self.bits), np.int32)
+        new, before = _first_new(distinct, self.bits), np.append(0, np.cumsum(count))
         for d in range(self.bits):
-            group, start = _node_groups(distinct, self.bits - d)
-            often = np.add.reduceat(count, start) > 1
-            place[:, d] = np.where(often, first - 1 + np.cumsum(often), 0)[group]
+            start = np.flatnonzero(new <= d)
+            often = np.diff(before[start], append=before[-1]) > 1
+            node = np.cumsum(often, dtype=np.int32)
+            node += np.int32(first - 1)
+            node *= often
+            place[:, d] = np.repeat(node, np.diff(start, append=len(distinct)))
             first += int(often.sum())
         return place, at, first
 
@@ -237,18 +246,21 @@ class WordMixer(Mixer):
         for k in keys:
             place, at, end = self._places(k, end)
             held.append((place, at))
-        n, odds = np.zeros(2 * end, np.int32), np.zeros(end, np.float32)
+        n = np.zeros((end, 2), np.int32)
+        both = n.view(np.int64).reshape(-1)          # a node's two counts are read at once
         for a in range(0, len(codes), RUN):
             part = slice(a, a + RUN)
             (node,), bit = self._address(codes[part], [])
             slots = [place[at[part]] for place, at in held]
-            self._adapt([self.odds.take(node), *[odds.take(t) for t in slots]], bit)
-            self.n += np.bincount((2 * node + bit).reshape(-1), minlength=2 * self.size).reshape(-1, 2)
+            x = [self.odds.take(node)]
             for t in slots:
-                np.add.at(n, (2 * t + bit).reshape(-1), 1)
-                n[:2] = 0
-                t = t.reshape(-1)
-                odds[t] = _odds(n[2 * t], n[2 * t + 1])
+                c = both.take(t).view(np.int32).reshape(*t.shape, 2)
+                x.append(_odds(c[..., 0], c[..., 1]))
+            self._adapt(x, bit)
+            _count(self.n, node, bit)
+            for t in slots:
+                _count(n, t, bit)
+            n[0] = 0
             self._refresh()
 
     def log2_of(self, codes: np.ndarray, rows: list[np.ndarray], answers: np.ndarray) -> np.ndarray:
@@ -266,25 +278,37 @@ def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones.astype(np.float32) + np.float32(0.4)) / (zeros.astype(np.float32) + np.float32(0.4)))
 
 
-def _node_groups(keys: np.ndarray, low: int):
-    """(group of each key, first key of each group) of sorted keys that differ in the low bits only."""
-    top = keys >> _U(low)
-    new = np.ones(len(top), bool)
-    new[1:] = top[1:] != top[:-1]
-    return np.cumsum(new) - 1, np.flatnonzero(new)
+def _count(n: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> None:
+    """Add the bits met in slots to the counts of each slot.  Values of the counts' own type keep ``add.at`` fast."""
+    at = (2 * slots + bit).reshape(-1)
+    np.add.at(n.reshape(-1), at, np.ones(len(at), n.dtype))
+
+
+def _first_new(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Depth of the first node (from 0, ``bits`` if none) of each sorted distinct key that the key before it has not."""
+    out = np.zeros(len(keys), np.int8)
+    if len(keys):
+        # with x != 0 the topmost differing bit decides; no node is shared beyond the code
+        depth = np.zeros((1 << bits) + 1, np.int8)
+        for d in range(bits):
+            depth[1 << (bits - 1 - d):1 << (bits - d)] = d + 1
+        x = np.minimum(keys[1:] ^ keys[:-1], _U(1 << bits)).astype(np.int32)
+        out[1:] = depth.take(x)
+    return out
 
 
 def path_odds(keys: np.ndarray, count: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Log-odds (key x bit, in steps) along the codes of sorted distinct keys with their counts."""
-    out = np.empty((len(keys), bits), np.int8)
-    count = count.astype(np.float64)
+    out = np.empty((bits, len(keys)), np.int8)
+    count, code = count.astype(np.float64), (keys & _U((1 << bits) - 1)).astype(np.int16)
+    new = _first_new(keys, bits)
     for d in range(bits):
-        group, start = _node_groups(keys, bits - d)
-        bit = ((keys >> _U(bits - 1 - d)) & _U(1)).astype(np.float64)
-        both, ones = np.add.reduceat(count, start), np.add.reduceat(count * bit, start)
+        start = np.flatnonzero(new <= d)
+        ones = count * ((code >> (bits - 1 - d)) & 1)
+        both, ones = np.add.reduceat(count, start), np.add.reduceat(ones, start)
         steps = np.rint(np.clip(_odds(both - ones, ones) * ODDS_STEP, -127, 127)).astype(np.int8)
-        out[:, d] = steps[group]
-    return out
+        out[d] = np.repeat(steps, np.diff(start, append=len(keys)))
+    return out.T
 
 
 def word_mixer() -> WordMixer:
@@ -298,33 +322,31 @@ def byte_mixer() -> Mixer:
 WORDS, LETTERS = 0, 3     # table numbers of the two mixers
 
 
-class Tokens:
-    """Tokens of texts as numbers of distinct words, which are kept for a block."""
+class Words:
+    """Distinct words of a block and what their contexts are made of."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.hash = byte_hashes(names)
+        self.tail = byte_hashes([w[-2:] for w in names])
 
-    def __init__(self):
-        self.number = Numbers()
-        self.number[END]                      # number 0
-        self.hash = self.tail = np.zeros(0, _U)
 
-    def of(self, text) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all tokens, number of tokens of each text) of an Arrow array."""
-        words, size = word_numbers(text, self.number)
-        n = size + 1
-        out = np.zeros(len(words) + len(size), np.int64)
-        stop = np.zeros(len(out), bool)
-        stop[np.cumsum(n) - 1] = True
-        out[~stop] = words
-        new, self.number.new = self.number.new, []
-        self.hash = np.append(self.hash, byte_hashes(new))
-        self.tail = np.append(self.tail, byte_hashes([w[-2:] for w in new]))
-        return out, n
+def tokens_of(text, number: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all tokens, number of tokens of each text) of an Arrow array; the end has number 0."""
+    words, size = word_numbers(text, number)
+    n = size + 1
+    out = np.zeros(len(words) + len(size), np.int64)
+    stop = np.zeros(len(out), bool)
+    stop[np.cumsum(n) - 1] = True
+    out[~stop] = words
+    return out, n
 
 
 def code_of(h: np.ndarray) -> np.ndarray:
     return (mix64(h) >> _U(64 - BITS)).astype(np.int64)
 
 
-def word_keys(words: Tokens, tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+def word_keys(words: Words, tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Keys of every token, by context: the word before, the two words before, and the endings of
     the two before."""
     start = np.cumsum(n) - n
@@ -369,23 +391,50 @@ def _unpack(raw, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpacked(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _towards(odds: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Log-odds of a 1 (key x bit) as those of the key's own bits, or back.  They are alike for all keys that
-    are alone in their context, so they compress well."""
-    bit = (keys[:, None] >> np.arange(BITS - 1, -1, -1).astype(_U)) & _U(1)
-    return np.where(bit == 1, odds, -odds)
+def _signs(keys: np.ndarray) -> list[np.ndarray]:
+    """For each bit of the codes of keys, 1 where it is 1 and -1 where it is 0."""
+    code = (keys & _U((1 << BITS) - 1)).astype(np.int16)
+    return [(((code >> (BITS - 1 - d)) & 1) * 2 - 1).astype(np.int8) for d in range(BITS)]
 
 
 def _odds_cell(odds: np.ndarray, keys: np.ndarray, small: bool) -> bytes:
-    return _packed(_towards(odds, keys).tobytes()) if small else np.ascontiguousarray(odds.T).tobytes()
+    """Log-odds (bit x key).  Small: who has the keys knows which nodes a key shares with the one before it, so
+    only those of new nodes are told, as log-odds of the key's own bits, up to where they change no more."""
+    if not small:
+        return np.ascontiguousarray(odds).tobytes()
+    first = _first_new(keys, BITS)
+    own = [x * s for x, s in zip(odds, _signs(keys))]
+    last = first.copy()
+    for d in range(1, BITS):
+        last[(own[d] != own[d - 1]) & (first < d)] = d
+    told = [own[d][(first <= d) & (last >= d)] for d in range(BITS)]
+    return _packed(b"".join([len(keys).to_bytes(8, "little"), (last - first).tobytes(), *map(np.ndarray.tobytes, told)]))
 
 
 def _odds_of(cells, keys: np.ndarray) -> np.ndarray:
     """The log-odds (key x bit) in small cells that together are about these keys."""
-    odds = np.concatenate([np.frombuffer(_unpacked(x.as_buffer()), np.int8).reshape(-1, BITS) for x in cells])
-    if len(odds) != len(keys):
+    out, done = np.empty((len(keys), BITS), np.int8), 0
+    for cell in cells:
+        raw = _unpacked(cell.as_buffer())
+        n = int.from_bytes(raw[:8], "little")
+        mine, told = keys[done:done + n], np.frombuffer(raw, np.int8, offset=8)
+        if len(mine) != n:
+            break
+        first = _first_new(mine, BITS)
+        last, told = first + told[:n], told[n:]
+        own, row = np.zeros(n, np.int8), np.arange(n)
+        for d, sign in enumerate(_signs(mine)):
+            known = first <= d
+            here = known & (last >= d)
+            k = int(np.count_nonzero(here))
+            own[here], told = told[:k], told[k:]
+            # a node that is not new has the log-odds it has for the key before
+            x = own * sign
+            out[done:done + n, d] = x.take(np.maximum.accumulate(np.where(known, row, 0)))
+        done += n
+    if done != len(keys):
         raise ValueError("the contexts of a block are not those that were counted")
-    return _towards(odds, keys)
+    return out
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -405,19 +454,35 @@ def spelled(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
 
 
 def _blocked(block_bytes: int):
-    """A row for each block, a run of about block_bytes of text of a partition: its number, its rows as a
-    compressed Arrow stream, and the bytes of its texts."""
+    """A row for each block, a run of about block_bytes of text of a partition: its number, its bytes of text,
+    its rows (id, fold, tokens and bytes of each text) as a compressed Arrow stream, its distinct words in the
+    order of their numbers, and the numbers of its tokens."""
     def run(batches):
         from pyspark import TaskContext
         block, held, parts = TaskContext.get().partitionId() << 24, 0, []
 
         def row():
+            number, tokens, sizes = Numbers(), [], []
+            number[END]                      # number 0
+            for part in parts:
+                text = part.column("text")
+                for i in range(0, len(text), 1024):
+                    ids, n = tokens_of(text.slice(i, 1024), number)
+                    tokens.append(ids.astype(np.uint32))
+                    sizes.append(n)
+            rows = pa.table({
+                "doc_id": pa.chunked_array([x.column("doc_id") for x in parts]),
+                "held_out": pa.chunked_array([x.column("held_out") for x in parts]),
+                "n_tokens": np.concatenate(sizes),
+                "n_bytes": pa.chunked_array([
+                    pc.fill_null(pc.binary_length(x.column("text")), 0).cast(pa.int64()) for x in parts])})
             with (out := pa.BufferOutputStream()), pa.ipc.new_stream(
-                    out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(pa.Table.from_batches(parts).combine_chunks())
+                    out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(rows.combine_chunks())
             return pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.array([held])],
-                names=["block", "rows", "n_bytes"])
+                [pa.array([block]), pa.array([held]), *(pa.array([x], pa.binary()) for x in (
+                    out.getvalue().to_pybytes(), _pack_names(list(number)), _pack(np.concatenate(tokens))))],
+                names=["block", "n_bytes", "rows", "names", "tokens"])
         for batch in batches:
             first = 0
             for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
@@ -433,20 +498,28 @@ def _blocked(block_bytes: int):
     return run
 
 
-def _rows_of(cell) -> pa.Table:
-    """doc_id, text, held_out of a block."""
-    return pa.ipc.open_stream(cell.as_buffer()).read_all().combine_chunks()
+BLOCK_SQL = "block bigint, n_bytes bigint, rows binary, names binary, tokens binary"
+
+
+def _pack_names(names: list[str]) -> bytes:
+    """Words, one or more, as bytes; no word holds a line feed."""
+    return _packed("\n".join(names).encode())
 
 
-def _block_tokens(words: Tokens, rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    text = rows.column("text").chunk(0) if rows.column("text").num_chunks else pa.array([], pa.string())
-    return [words.of(text.slice(i, 1024)) for i in range(0, len(text), 1024)]
+def _names(cell) -> list[str]:
+    return _unpacked(cell.as_buffer()).decode().split("\n")
 
 
-LEARNED = pa.schema([("block", pa.int64()), ("word", pa.string()), ("kind", pa.int32()),
-                     ("place", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-LEARNED_SQL = "block bigint, word string, kind int, place bigint, a double, b double"
-KEYED_SQL = "block bigint, place bigint, keys binary, n binary"
+def _block(rows, names, tokens) -> tuple[pa.Table, Words, np.ndarray]:
+    """doc_id, held_out, n_tokens, n_bytes of a block's texts, its words, and the word number of every token."""
+    return (pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks(), Words(_names(names)),
+            _unpack(tokens.as_buffer(), "u4"))
+
+
+CELL_SQL = "block bigint, place bigint, keys binary, n binary"
+LEARNED = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("names", pa.binary()), ("n", pa.binary()),
+                     ("kind", pa.int32()), ("a", pa.float64()), ("b", pa.float64())])
+LEARNED_SQL = "block bigint, place bigint, names binary, n binary, kind int, a double, b double"
 
 
 def _learned(rows: int, **columns) -> pa.RecordBatch:
@@ -461,24 +534,56 @@ def _model_rows(mixer: Mixer, name: int):
                        a=np.asarray(a, np.float64), b=np.asarray(b, np.float64))
 
 
+def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal parts."""
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return list(zip(at, at[1:]))
+
+
+def _key_cells(block: int, keys: np.ndarray, count: np.ndarray, parts: int) -> dict:
+    """Sorted distinct keys with their counts, dealt over parts."""
+    part = part_of(keys, parts)
+    cuts, count = _cuts(part), np.minimum(count, 2 ** 32 - 1).astype(np.uint32)
+    return {"block": np.full(len(cuts), block, np.int64), "place": part[[a for a, _ in cuts]],
+            "keys": pa.array([_pack(np.diff(keys[a:b], prepend=_U(0))) for a, b in cuts], pa.binary()),
+            "n": pa.array([_pack(count[a:b]) for a, b in cuts], pa.binary())}
+
+
+def _dealt_words(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the words by part, parts in that order)."""
+    part = part_of(hashes, parts)
+    order = np.argsort(part, kind="stable")
+    return order, part[order]
+
+
+def _word_cells(block: int, names: list[str], hashes: np.ndarray, count: np.ndarray, parts: int) -> dict:
+    """Words with their counts, dealt over parts by hash."""
+    order, part = _dealt_words(hashes, parts)
+    cuts, names, count = _cuts(part), [names[i] for i in order.tolist()], count[order].astype(np.uint64)
+    return {"block": np.full(len(cuts), block, np.int64), "place": part[[a for a, _ in cuts]],
+            "keys": pa.array([_pack_names(names[a:b]) for a, b in cuts], pa.binary()),
+            "n": pa.array([_pack(count[a:b]) for a, b in cuts], pa.binary())}
+
+
 def _learn_words(parts: int):
-    """The two passes over the blocks.  The first gives rows of (block, word, its number there, training
-    count) and of a task's model, the second the keys of each block and part with their training counts."""
+    """The two passes over the blocks.  The first gives the words of each block and part with their training
+    counts and the rows of a task's model, the second the keys of each block and part with theirs."""
     def read(batches):
         for batch in batches:
-            for block, cell in zip(batch.column("block").to_pylist(), batch.column("rows")):
-                words, rows = Tokens(), _rows_of(cell)
-                tokens, n = (np.concatenate(x) for x in zip(*_block_tokens(words, rows)))
+            for block, *cells in zip(batch.column("block").to_pylist(), batch.column("rows"),
+                                     batch.column("names"), batch.column("tokens")):
+                rows, words, tokens = _block(*cells)
+                n = rows.column("n_tokens").to_numpy()
                 train = ~rows.column("held_out").to_numpy()
                 yield block, words, tokens, n, np.repeat(train, n)
 
     def learn(batches):
         mixer, any_block = word_mixer(), False
         for block, words, tokens, n, keep in read(batches):
-            names, any_block = list(words.number), True
-            counts = np.bincount(tokens[keep], minlength=len(names)).astype(float)
-            yield _learned(len(names), block=np.full(len(names), block, np.int64), word=names,
-                           place=np.arange(len(names)), a=counts)
+            any_block = True
+            counts = np.bincount(tokens[keep], minlength=len(words.names))
+            cells = _word_cells(block, words.names, words.hash, counts, parts)
+            yield _learned(len(cells["block"]), names=cells.pop("keys"), **cells)
             keys = word_keys(words, tokens, n)
             mixer.learn_block(code_of(words.hash)[tokens[keep]], [k[keep] for k in keys])
         if any_block:
@@ -488,27 +593,31 @@ def _learn_words(parts: int):
         for block, words, tokens, n, keep in read(batches):
             keys = word_keys(words, tokens, n)
             keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(at[np.tile(keep, len(at) // len(keep))], minlength=len(keys)).astype(np.uint32)
-            part = part_of(keys, parts)
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(cuts) - 1, block, np.int64)), pa.array(part[cuts[:-1]]),
-                pa.array([_pack(np.diff(keys[a:b], prepend=_U(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                pa.array([_pack(count[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                names=["block", "place", "keys", "n"])
+            count = np.bincount(at[np.tile(keep, len(at) // len(keep))], minlength=len(keys))
+            yield pa.RecordBatch.from_pydict(_key_cells(block, keys, count, parts))
     return learn, keyed
 
 
+ANSWER_SQL = "block bigint, place bigint, odds binary"
+
+
 def _answer_part(small: bool):
     """The log-odds that all training texts give the keys of each block in a part."""
     def run(rows: pa.Table) -> pa.Table:
         every, count, keys = _summed(rows)
-        odds = path_odds(every, count)
-        return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
-            [_odds_cell(odds[np.searchsorted(every, k)], k, small) for k in keys], pa.binary())})
+        return _answers(rows, keys, every, path_odds(every, count).T, small)
     return run
 
 
+def _answers(rows: pa.Table, keys: list[np.ndarray], every: np.ndarray, odds: np.ndarray, small: bool) -> pa.Table:
+    """The log-odds (bit x key) of all keys, told to each row's."""
+    def cell(k):
+        at = np.searchsorted(every, k)
+        return _odds_cell(odds[:, at], k, small)
+    return pa.table({"block": rows.column("block"), "place": rows.column("place"),
+                     "odds": pa.array([cell(k) for k in keys], pa.binary())})
+
+
 def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(distinct keys, their counts, keys of each row) of the keys of several blocks."""
     keys = [np.cumsum(_unpack(x.as_buffer(), "u8"), dtype=_U) for x in rows.column("keys")]
@@ -521,13 +630,7 @@ def _merge(parts: int):
     """The keys of a group of blocks in one place, merged and dealt over finer places."""
     def run(key, rows):
         keys, count, _ = _summed(rows)
-        part = part_of(keys, parts)
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        return pa.table({
-            "block": [key[0].as_py()] * (len(cuts) - 1), "place": part[cuts[:-1]],
-            "keys": pa.array([_pack(np.diff(keys[a:b], prepend=_U(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-            "n": pa.array([_pack(np.minimum(count[a:b], 2 ** 32 - 1).astype(np.uint32)) for a, b in zip(cuts, cuts[1:])],
-                          pa.binary())})
+        return pa.table(_key_cells(key[0].as_py(), keys, count, parts))
     return run
 
 
@@ -536,33 +639,107 @@ def _give_back(small: bool):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         every, _, keys = _summed(rows)
         odds = _odds_of(answers.sort_by("fine").column("odds"), every)
-        return pa.table({"block": rows.column("block"), "place": rows.column("place"), "odds": pa.array(
-            [_odds_cell(odds[np.searchsorted(every, k)], k, small) for k in keys], pa.binary())})
+        return _answers(rows, keys, every, odds.T, small)
     return run
 
 
 def answered(keyed: DataFrame, places: int, parts: int, n_blocks: int, fan: int, small: bool = False) -> DataFrame:
     """block, place, odds for the keys (block, place, keys, n) of each block in ``places`` ranges, by the
     counts of all blocks in ``parts`` ranges; odds as int8 by bit and key, or in small cells (``_odds_of``)."""
-    schema = "block bigint, place bigint, odds binary"
     if places >= parts:
-        return keyed.groupBy("place").applyInArrow(_answer_part(small), schema)
+        return keyed.groupBy("place").applyInArrow(_answer_part(small), ANSWER_SQL)
+    rows, merged, finer, groups = _level(keyed, places, parts, n_blocks, fan, _merge)
+    got = answered(merged, places * finer, parts, groups, fan, True)
+    return rows.groupBy("up", "place").cogroup(_coarser(got, finer).groupBy("up", "place")).applyInArrow(
+        _give_back(small), ANSWER_SQL)
+
+
+def _level(cells: DataFrame, places: int, parts: int, n_blocks: int, fan: int, merge):
+    """(cells with the number of their group of blocks, merged cells, finer places a place, groups)."""
     groups, finer = -(-n_blocks // fan), min(fan, -(-parts // places))
-    rows = keyed.withColumn("up", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    merged = settle(rows.groupBy("up", "place").applyInArrow(_merge(places * finer), KEYED_SQL), "merged", "zstd")
-    got = answered(merged, places * finer, parts, groups, fan, True).select(
-        F.col("block").alias("up"), F.floor(F.col("place") / finer).cast("bigint").alias("place"),
-        F.col("place").alias("fine"), "odds")
-    return rows.groupBy("up", "place").cogroup(got.groupBy("up", "place")).applyInArrow(_give_back(small), schema)
+    rows = cells.withColumn("up", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    merged = settle(rows.groupBy("up", "place").applyInArrow(merge(places * finer), CELL_SQL), "merged", "zstd")
+    return rows, merged, finer, groups
+
+
+def _coarser(got: DataFrame, finer: int) -> DataFrame:
+    return got.select(F.col("block").alias("up"), F.floor(F.col("place") / finer).cast("bigint").alias("place"),
+                      F.col("place").alias("fine"), "odds")
+
+
+COUNTED_SQL = f"{ANSWER_SQL}, names binary, total bigint, distinct bigint, single bigint"
+
+
+def _summed_words(rows: pa.Table) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+    """(distinct words, their counts, numbers of the words of each row) of the words of several blocks."""
+    number = Numbers()
+    at = [np.fromiter((number[w] for w in _names(x)), np.int64) for x in rows.column("keys")]
+    count = [_unpack(x.as_buffer(), "u8").astype(np.int64) for x in rows.column("n")]
+    total = np.zeros(len(number), np.int64)
+    for i, c in zip(at, count):
+        total[i] += c                        # a row holds a word once
+    return list(number), total, at
+
+
+def _count_part(rows: pa.Table) -> pa.Table:
+    """The training counts of the words of each block in a part, and a row without a block of the part's own."""
+    names, count, at = _summed_words(rows)
+    met = np.flatnonzero(count)
+    own = [_pack_names([names[i] for i in met.tolist()])] if len(met) else []
+    cells, k = rows.num_rows, len(own)
+    return pa.table({
+        "block": pa.concat_arrays([rows.column("block").combine_chunks(), pa.nulls(k, pa.int64())]),
+        "place": pa.concat_arrays([rows.column("place").combine_chunks(), pa.nulls(k, pa.int64())]),
+        "odds": pa.array([_pack(count[i]) for i in at] + [None] * k, pa.binary()),
+        "names": pa.array([None] * cells + own, pa.binary()),
+        **{name: pa.array([None] * cells + [int(v)] * k, pa.int64()) for name, v in (
+            ("total", count.sum()), ("distinct", len(met)), ("single", (count == 1).sum()))}})
+
+
+def _merge_words(parts: int):
+    def run(key, rows):
+        names, count, _ = _summed_words(rows)
+        return pa.table(_word_cells(key[0].as_py(), names, byte_hashes(names), count, parts))
+    return run
+
+
+def _give_back_words(parts: int):
+    """The counts of merged words, handed to the blocks that the words came from."""
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        names, _, at = _summed_words(rows)
+        order, _ = _dealt_words(byte_hashes(names), parts)
+        count = np.empty(len(names), np.int64)
+        count[order] = _counts_of(answers.sort_by("fine").column("odds"))
+        return pa.table({"block": rows.column("block"), "place": rows.column("place"),
+                         "odds": pa.array([_pack(count[i]) for i in at], pa.binary())})
+    return run
+
+
+def _counts_of(cells) -> np.ndarray:
+    return np.concatenate([_unpack(x.as_buffer(), "i8") for x in cells])
+
+
+def counted(cells: DataFrame, places: int, parts: int, n_blocks: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """The training counts of the words of each block, dealt and merged as the keys are in ``answered``, and for
+    each part its distinct words (those that occur), their number, their tokens and how many occur once."""
+    if places >= parts:
+        got = settle(cells.groupBy("place").applyInArrow(_count_part, COUNTED_SQL), "counts", "zstd")
+        return (got.filter("block is not null").select("block", "place", "odds"),
+                got.filter("block is null").select("names", "total", "distinct", "single"))
+    rows, merged, finer, groups = _level(cells, places, parts, n_blocks, fan, _merge_words)
+    got, found = counted(merged, places * finer, parts, groups, fan)
+    return rows.groupBy("up", "place").cogroup(_coarser(got, finer).groupBy("up", "place")).applyInArrow(
+        _give_back_words(places * finer), ANSWER_SQL), found
 
 
 def _learn_letters(batches):
     mixer = byte_mixer()
     for batch in batches:
-        words = [w for w in batch.column("word").to_pylist() if w]
-        for a in range(0, len(words), 4096):
-            data, context, _ = spelled(words[a:a + 4096])
-            mixer.learn(data, context)
+        for cell in batch.column("names"):
+            words = [w for w in _names(cell) if w]
+            for a in range(0, len(words), 4096):
+                data, context, _ = spelled(words[a:a + 4096])
+                mixer.learn(data, context)
     if mixer.codes:
         yield from _model_rows(mixer, LETTERS)
 
@@ -581,11 +758,11 @@ class Scores:
         return word_mixer().load(WORDS, *args), byte_mixer().load(LETTERS, *args)
 
 
-def _score_blocks(shared):
+def _score_blocks(shared, places: int):
     key = uuid.uuid4().hex
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        s: Scores = shared.value
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        s = Scores(*shared.value)
         held = worker_memo("mixers", dict)       # of one model at a time
         if held.get("key") != key:
             held.clear()
@@ -594,23 +771,22 @@ def _score_blocks(shared):
         # tokens with the same bits as a code: the count at the last bit of the empty context
         leaf = np.arange(1 << BITS)
         bucket = mixer.n[(1 << (BITS - 1)) | (leaf >> 1), leaf & 1].astype(np.float64)
-        parts = words.filter(pc.is_valid(words.column("odds"))).sort_by("place")
-        known = words.filter(pc.is_valid(words.column("c")))
-        tokens, out = Tokens(), []
-        docs = _rows_of(docs.column("rows")[0])
+        told = told.sort_by("place")
+        parts, known = (told.column(x).drop_null() for x in ("odds", "c"))
+        docs, words, tokens = _block(*(docs.column(x)[0] for x in ("rows", "names", "tokens")))
+        n_tokens, out = docs.column("n_tokens").to_numpy(), []
         escape = math.log10((s.single + 0.5) / (s.total + 1.0))
         stay = math.log10(1.0 - (s.single + 0.5) / (s.total + 1.0))
-        read = _block_tokens(tokens, docs)
         # the block's distinct keys, in the order in which the parts answer them
-        keys = word_keys(tokens, *(np.concatenate(x) for x in zip(*read)))
+        keys = word_keys(words, tokens, n_tokens)
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        answers = _odds_of(parts.column("odds"), distinct)
-        rows, done = at.astype(np.int32).reshape(len(keys), -1), 0
+        answers = _odds_of(parts, distinct)
+        rows = at.astype(np.int32).reshape(len(keys), -1)
         del keys, distinct, at
-        new = list(tokens.number)
+        new = words.names
         c = np.zeros(len(new))
-        c[known.column("place").to_numpy()] = known.column("c").to_numpy()
-        code = code_of(tokens.hash)
+        c[_dealt_words(words.hash, places)[0]] = _counts_of(known)
+        code = code_of(words.hash)
         # known: share of the tokens with its bits; unknown: its spelling
         cost, spell = np.full(len(new), escape), np.zeros(len(new))
         k = c > 0
@@ -621,8 +797,11 @@ def _score_blocks(shared):
             bits = np.bincount(word, letters.log2(data, context), len(odd[a:a + 4096]))
             spell[odd[a:a + 4096]] = bits / LOG2_10
         base = np.log10((c + 0.5) / (s.total + 0.5 * (s.distinct + 1)))
-        for ids, n in read:
-            here, done = rows[:, done:done + len(ids)], done + len(ids)
+        done = 0
+        for i in range(0, len(n_tokens), 1024):
+            n = n_tokens[i:i + 1024]
+            part = slice(done, done + int(n.sum()))
+            ids, here, done = tokens[part], rows[:, part], part.stop
             value = cost[ids]
             k = c[ids] > 0
             value[k] += mixer.log2_of(code[ids[k]], [r[k] for r in here], answers) / LOG2_10
@@ -635,7 +814,7 @@ def _score_blocks(shared):
                          "n_tokens": n, "n_known": n_known,
                          "train_tokens": np.full(len(n), s.total, np.int64), "base_score": b,
                          "score": v, "spelled_score": v + letter,
-                         "n_bytes": pc.fill_null(pc.binary_length(docs.column("text")), 0).cast(pa.int64())})
+                         "n_bytes": docs.column("n_bytes")})
     return run
 
 
@@ -646,35 +825,32 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     fold = crc_fold(F.col("doc_id"))
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", (fold == held_out).alias("held_out"))
-    blocks = settle(rows.mapInArrow(
-        _blocked(block_bytes), "block bigint, rows binary, n_bytes bigint"), "blocks", "zstd")
+    blocks = settle(rows.mapInArrow(_blocked(block_bytes), BLOCK_SQL), "blocks", "zstd")
     # weights and maps are learnt from LEARN_BYTES of text or more, however small the partitions are
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     tasks, parts = max(1, -(-n_bytes // LEARN_BYTES)), max(1, -(-n_bytes // PART_BYTES))
-    learn, keyed = _learn_words(min(parts, FAN))
-    learned = settle(blocks.select("block", "rows").coalesce(tasks).mapInArrow(learn, LEARNED_SQL), "learned", "zstd")
-    words = learned.filter("kind is null").select("block", "word", "place", "a")
-    counts = settle(words.groupBy("word").agg(F.sum("a").cast("bigint").alias("c"))
-                    .filter("c > 0"), "counts")
-    total, distinct, single = counts.agg(
-        F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("bigint"))).first()
+    dealt = min(parts, FAN), parts, max(1, -(-n_bytes // block_bytes)), FAN
+    learn, keyed = _learn_words(dealt[0])
+    blocks = blocks.drop("n_bytes")
+    learned = settle(blocks.coalesce(tasks).mapInArrow(learn, LEARNED_SQL), "learned", "zstd")
+    counts, found = counted(learned.filter("kind is null").select(
+        "block", "place", F.col("names").alias("keys"), "n"), *dealt)
+    total, distinct, single = found.agg(F.sum("total"), F.sum("distinct"), F.sum("single")).first()
     model = (learned.filter("kind is not null").select("kind", "place", "a", "b")
-             .union(counts.select("word").coalesce(tasks).mapInArrow(_learn_letters, LEARNED_SQL)
+             .union(found.select("names").coalesce(tasks).mapInArrow(_learn_letters, LEARNED_SQL)
                     .select("kind", "place", "a", "b"))
              .groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     # as many rows as the spelling model has slots and the empty context nodes, whatever the corpus
     got = settle(model, "model").toArrow()
-    shared = spark.sparkContext.broadcast(Scores(
+    shared = spark.sparkContext.broadcast((
         {k: got.column(k).to_numpy() for k in ("kind", "place", "a", "b")},
         int(total or 0), int(distinct or 0), int(single or 0)))
     # keys are made again wherever they are read: on disk they would take as much as the shuffle of them
-    answers = answered(blocks.select("block", "rows").mapInArrow(keyed, KEYED_SQL), min(parts, FAN),
-                       parts, max(1, -(-n_bytes // block_bytes)), FAN, small=True)
-    found = words.join(counts, "word").select("block", "place", "c").unionByName(
-        answers, allowMissingColumns=True)
-    scored = (blocks.drop("n_bytes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        _score_blocks(shared),
+    answers = answered(blocks.mapInArrow(keyed, CELL_SQL), *dealt, small=True)
+    told = answers.unionByName(counts.withColumnRenamed("odds", "c"), allowMissingColumns=True)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        _score_blocks(shared, dealt[0]),
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-        "base_score double, score double, spelled_score double, n_bytes bigint"))
+        "base_score double, score double, spelled_score double, n_bytes bigint")
     return scored.withColumn("bits_per_byte", -F.col("spelled_score") * F.lit(LOG2_10)
                              / F.greatest(F.col("n_bytes"), F.lit(1))).drop("n_bytes")

@@ -214,3 +214,46 @@ def test_disk_of_a_run(spark, tmp_path, monkeypatch):
     keys = sent[0].selectExpr("sum(octet_length(keys) + octet_length(n))").first()[0]
     odds = sent[1].selectExpr("sum(octet_length(odds))").first()[0]
     assert keys + odds < 2.2 * text
+
+
+def test_answers_tell_each_node_once():
+    """Answers are whole again where the keys are known, and take about a byte a key."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 44, 30_000).astype(np.uint64)
+    every = np.unique(hashes[rng.zipf(1.3, 300_000) % 30_000] << np.uint64(12)
+                      | (rng.zipf(1.5, 300_000) % 4096).astype(np.uint64))
+    odds = M.path_odds(every, rng.zipf(1.6, len(every)) % 1000)
+    mine = np.sort(rng.choice(every, len(every) // 2, replace=False))
+    want = odds[np.searchsorted(every, mine)]
+    cut = len(mine) // 3
+    cells = pa.array([M._odds_cell(want[a:b].T, mine[a:b], True) for a, b in ((0, cut), (cut, cut), (cut, len(mine)))],
+                     pa.binary())
+    assert (M._odds_of(cells, mine) == want).all()
+    assert sum(len(x.as_buffer()) for x in cells) < 0.8 * len(M._packed(towards(want, mine)))
+
+
+def towards(odds, keys):
+    """What was sent before: the log-odds of all bits of every key, as those of the key's own bits."""
+    bit = keys[:, None] >> np.arange(M.BITS - 1, -1, -1).astype(np.uint64) & np.uint64(1)
+    return np.where(bit == 1, odds, -odds).tobytes()
+
+
+def test_words_travel_in_cells(spark, monkeypatch):
+    """No row a word is written, and counts reached level by level are those of all texts."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    kept, settle = {}, M.settle
+
+    def told(d, name, codec="snappy"):
+        kept.setdefault(name, []).append(settle(d, name, codec))
+        return kept[name][-1]
+    monkeypatch.setattr(M, "settle", told)
+    monkeypatch.setattr(M, "PART_BYTES", 20_000)
+    monkeypatch.setattr(M, "FAN", 3)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    check(M.score_texts(docs, block_bytes=30_000).collect(), rows)
+    blocks = kept["blocks"][0].count()
+    assert len(kept["merged"]) >= 4           # levels of words and of keys
+    assert kept["learned"][0].filter("kind is null").count() <= 3 * blocks
+    assert kept["counts"][0].filter("block is null").selectExpr("sum(total)").first()[0] == sum(
+        len(tokens(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)
