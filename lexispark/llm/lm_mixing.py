@@ -57,7 +57,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Numbers, byte_hashes, crc_fold, mix64, settle, word_numbers, worker_memo
+from lexispark.llm.common import (
+    Numbers, byte_hashes, crc_fold, mix64, open_out, settle, shared_folder, word_numbers, worker_memo, write_once,
+)
 
 _U = np.uint64
 BITS = 12                  # bits of a known token's code
@@ -381,14 +383,37 @@ def _unpacked(raw) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _pack(a: np.ndarray) -> bytes:
+def _planes(a: np.ndarray) -> bytes:
     """The bytes of an array by significance, which compress better."""
-    return _packed(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
-def _unpack(raw, kind) -> np.ndarray:
+def _from_planes(raw, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(_unpacked(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).reshape(-1)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Compressed numbers; of those of eight bytes, small and large ones apart."""
+    if a.itemsize < 8:
+        return _packed(_planes(a))
+    a = a.view(_U)
+    large = a >= _U(1 << BITS)
+    return _packed(b"".join([len(a).to_bytes(8, "little"), np.packbits(large).tobytes(),
+                             _planes(a[~large].astype("u2")), _planes(a[large])]))
+
+
+def _unpack(raw, kind) -> np.ndarray:
+    raw = memoryview(_unpacked(raw))
+    if np.dtype(kind).itemsize < 8:
+        return _from_planes(raw, kind)
+    n = int.from_bytes(raw[:8], "little")
+    flags = 8 + -(-n // 8)
+    large = np.unpackbits(np.frombuffer(raw[8:flags], np.uint8), count=n).astype(bool)
+    middle = flags + 2 * int(np.count_nonzero(~large))
+    out = np.empty(n, _U)
+    out[~large], out[large] = _from_planes(raw[flags:middle], "u2"), _from_planes(raw[middle:], "u8")
+    return out.view(kind)
 
 
 def _signs(keys: np.ndarray) -> list[np.ndarray]:
@@ -407,8 +432,18 @@ def _odds_cell(odds: np.ndarray, keys: np.ndarray, small: bool) -> bytes:
     last = first.copy()
     for d in range(1, BITS):
         last[(own[d] != own[d - 1]) & (first < d)] = d
-    told = [own[d][(first <= d) & (last >= d)] for d in range(BITS)]
-    return _packed(b"".join([len(keys).to_bytes(8, "little"), (last - first).tobytes(), *map(np.ndarray.tobytes, told)]))
+    told, by_first = [], np.argsort(first, kind="stable")
+    for d, rows in _told(first, last):
+        told.append(own[d][rows].tobytes())
+    return _packed(b"".join([len(keys).to_bytes(8, "little"), (last - first)[by_first].tobytes(), *told]))
+
+
+def _told(first: np.ndarray, last: np.ndarray):
+    """The keys of which a bit's log-odds are told, bit by bit; keys alike in their first and last are together."""
+    order = np.argsort(first.astype(np.int16) * (BITS + 1) + last, kind="stable")
+    first, last = first[order], last[order]
+    for d in range(BITS):
+        yield d, order[(first <= d) & (last >= d)]
 
 
 def _odds_of(cells, keys: np.ndarray) -> np.ndarray:
@@ -421,13 +456,12 @@ def _odds_of(cells, keys: np.ndarray) -> np.ndarray:
         if len(mine) != n:
             break
         first = _first_new(mine, BITS)
-        last, told = first + told[:n], told[n:]
-        own, row = np.zeros(n, np.int8), np.arange(n)
-        for d, sign in enumerate(_signs(mine)):
-            known = first <= d
-            here = known & (last >= d)
-            k = int(np.count_nonzero(here))
-            own[here], told = told[:k], told[k:]
+        last, told = first.copy(), told[n:]
+        last[np.argsort(first, kind="stable")] += np.frombuffer(raw, np.int8, n, 8)
+        own, row, signs = np.zeros(n, np.int8), np.arange(n), _signs(mine)
+        for d, here in _told(first, last):
+            sign, known = signs[d], first <= d
+            own[here], told = told[:len(here)], told[len(here):]
             # a node that is not new has the log-odds it has for the key before
             x = own * sign
             out[done:done + n, d] = x.take(np.maximum.accumulate(np.where(known, row, 0)))
@@ -453,10 +487,11 @@ def spelled(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
     return data, out, word
 
 
-def _blocked(block_bytes: int):
-    """A row for each block, a run of about block_bytes of text of a partition: its number, its bytes of text,
-    its rows (id, fold, tokens and bytes of each text) as a compressed Arrow stream, its distinct words in the
-    order of their numbers, and the numbers of its tokens."""
+def _blocked(block_bytes: int, folder: str):
+    """A row for each block, a run of about block_bytes of text of a partition: its number, file and bytes of text.
+    The block is a file in the folder that all tasks share, as whoever works on it reads it whole: its rows (id,
+    fold, tokens and bytes of each text) as a compressed Arrow stream, its distinct words, most frequent first,
+    and the places of its tokens among them."""
     def run(batches):
         from pyspark import TaskContext
         block, held, parts = TaskContext.get().partitionId() << 24, 0, []
@@ -479,10 +514,14 @@ def _blocked(block_bytes: int):
             with (out := pa.BufferOutputStream()), pa.ipc.new_stream(
                     out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(rows.combine_chunks())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([held]), *(pa.array([x], pa.binary()) for x in (
-                    out.getvalue().to_pybytes(), _pack_names(list(number)), _pack(np.concatenate(tokens))))],
-                names=["block", "n_bytes", "rows", "names", "tokens"])
+            tokens, names = np.concatenate(tokens), list(number)
+            order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            cells = out.getvalue().to_pybytes(), _pack_names([names[i] for i in order.tolist()]), _pack(place[tokens])
+            uri = f"{folder}/{block}"
+            write_once(uri, [x for cell in cells for x in (len(cell).to_bytes(8, "little"), cell)])
+            return pa.RecordBatch.from_pydict({"block": [block], "uri": [uri], "n_bytes": [held]})
         for batch in batches:
             first = 0
             for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
@@ -498,40 +537,32 @@ def _blocked(block_bytes: int):
     return run
 
 
-BLOCK_SQL = "block bigint, n_bytes bigint, rows binary, names binary, tokens binary"
-
-
 def _pack_names(names: list[str]) -> bytes:
     """Words, one or more, as bytes; no word holds a line feed."""
     return _packed("\n".join(names).encode())
 
 
-def _names(cell) -> list[str]:
-    return _unpacked(cell.as_buffer()).decode().split("\n")
+def _names(raw) -> list[str]:
+    return _unpacked(raw).decode().split("\n")
 
 
-def _block(rows, names, tokens) -> tuple[pa.Table, Words, np.ndarray]:
-    """doc_id, held_out, n_tokens, n_bytes of a block's texts, its words, and the word number of every token."""
-    return (pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks(), Words(_names(names)),
-            _unpack(tokens.as_buffer(), "u4"))
+def _block(uri: str) -> tuple[pa.Table, Words, np.ndarray]:
+    """doc_id, held_out, n_tokens, n_bytes of a block's texts, its words, and the word of every token."""
+    files, path = open_out(uri)
+    with files.open_input_stream(path, compression=None) as f:
+        rows, names, tokens = (f.read(int.from_bytes(f.read(8), "little")) for _ in range(3))
+    return pa.ipc.open_stream(rows).read_all().combine_chunks(), Words(_names(names)), _unpack(tokens, "u4")
 
 
 CELL_SQL = "block bigint, place bigint, keys binary, n binary"
-LEARNED = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("names", pa.binary()), ("n", pa.binary()),
-                     ("kind", pa.int32()), ("a", pa.float64()), ("b", pa.float64())])
-LEARNED_SQL = "block bigint, place bigint, names binary, n binary, kind int, a double, b double"
-
-
-def _learned(rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type)
-        for f in LEARNED], schema=LEARNED)
+MODEL_SQL = "kind int, place bigint, a double, b double"
 
 
 def _model_rows(mixer: Mixer, name: int):
     for kind, at, a, b in mixer.rows(name):
-        yield _learned(len(at), kind=np.full(len(at), kind, "i4"), place=at.astype(np.int64),
-                       a=np.asarray(a, np.float64), b=np.asarray(b, np.float64))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(at), kind, "i4")), pa.array(at.astype(np.int64)), pa.array(np.asarray(a, np.float64)),
+            pa.array(np.asarray(b, np.float64))], names=["kind", "place", "a", "b"])
 
 
 def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
@@ -549,16 +580,17 @@ def _key_cells(block: int, keys: np.ndarray, count: np.ndarray, parts: int) -> d
             "n": pa.array([_pack(count[a:b]) for a, b in cuts], pa.binary())}
 
 
-def _dealt_words(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the words by part, parts in that order)."""
-    part = part_of(hashes, parts)
-    order = np.argsort(part, kind="stable")
-    return order, part[order]
+def _dealt_words(names: list[str], hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the words by part and name, parts in that order)."""
+    order = pc.array_sort_indices(pa.array(names, pa.string())).to_numpy()
+    part = part_of(hashes, parts)[order]
+    by_part = np.argsort(part, kind="stable")
+    return order[by_part], part[by_part]
 
 
 def _word_cells(block: int, names: list[str], hashes: np.ndarray, count: np.ndarray, parts: int) -> dict:
     """Words with their counts, dealt over parts by hash."""
-    order, part = _dealt_words(hashes, parts)
+    order, part = _dealt_words(names, hashes, parts)
     cuts, names, count = _cuts(part), [names[i] for i in order.tolist()], count[order].astype(np.uint64)
     return {"block": np.full(len(cuts), block, np.int64), "place": part[[a for a, _ in cuts]],
             "keys": pa.array([_pack_names(names[a:b]) for a, b in cuts], pa.binary()),
@@ -566,24 +598,25 @@ def _word_cells(block: int, names: list[str], hashes: np.ndarray, count: np.ndar
 
 
 def _learn_words(parts: int):
-    """The two passes over the blocks.  The first gives the words of each block and part with their training
-    counts and the rows of a task's model, the second the keys of each block and part with theirs."""
+    """The three passes over the blocks: the words of each block and part with their training counts, the rows of a
+    task's model, and the keys of each block and part with their training counts."""
     def read(batches):
         for batch in batches:
-            for block, *cells in zip(batch.column("block").to_pylist(), batch.column("rows"),
-                                     batch.column("names"), batch.column("tokens")):
-                rows, words, tokens = _block(*cells)
+            for block, uri in zip(batch.column("block").to_pylist(), batch.column("uri").to_pylist()):
+                rows, words, tokens = _block(uri)
                 n = rows.column("n_tokens").to_numpy()
                 train = ~rows.column("held_out").to_numpy()
                 yield block, words, tokens, n, np.repeat(train, n)
 
+    def worded(batches):
+        for block, words, tokens, _, keep in read(batches):
+            counts = np.bincount(tokens[keep], minlength=len(words.names))
+            yield pa.RecordBatch.from_pydict(_word_cells(block, words.names, words.hash, counts, parts))
+
     def learn(batches):
         mixer, any_block = word_mixer(), False
-        for block, words, tokens, n, keep in read(batches):
+        for _, words, tokens, n, keep in read(batches):
             any_block = True
-            counts = np.bincount(tokens[keep], minlength=len(words.names))
-            cells = _word_cells(block, words.names, words.hash, counts, parts)
-            yield _learned(len(cells["block"]), names=cells.pop("keys"), **cells)
             keys = word_keys(words, tokens, n)
             mixer.learn_block(code_of(words.hash)[tokens[keep]], [k[keep] for k in keys])
         if any_block:
@@ -595,7 +628,7 @@ def _learn_words(parts: int):
             keys, at = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(at[np.tile(keep, len(at) // len(keep))], minlength=len(keys))
             yield pa.RecordBatch.from_pydict(_key_cells(block, keys, count, parts))
-    return learn, keyed
+    return worded, learn, keyed
 
 
 ANSWER_SQL = "block bigint, place bigint, odds binary"
@@ -673,7 +706,7 @@ COUNTED_SQL = f"{ANSWER_SQL}, names binary, total bigint, distinct bigint, singl
 def _summed_words(rows: pa.Table) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
     """(distinct words, their counts, numbers of the words of each row) of the words of several blocks."""
     number = Numbers()
-    at = [np.fromiter((number[w] for w in _names(x)), np.int64) for x in rows.column("keys")]
+    at = [np.fromiter((number[w] for w in _names(x.as_buffer())), np.int64) for x in rows.column("keys")]
     count = [_unpack(x.as_buffer(), "u8").astype(np.int64) for x in rows.column("n")]
     total = np.zeros(len(number), np.int64)
     for i, c in zip(at, count):
@@ -685,7 +718,7 @@ def _count_part(rows: pa.Table) -> pa.Table:
     """The training counts of the words of each block in a part, and a row without a block of the part's own."""
     names, count, at = _summed_words(rows)
     met = np.flatnonzero(count)
-    own = [_pack_names([names[i] for i in met.tolist()])] if len(met) else []
+    own = [_pack_names(sorted(names[i] for i in met.tolist()))] if len(met) else []
     cells, k = rows.num_rows, len(own)
     return pa.table({
         "block": pa.concat_arrays([rows.column("block").combine_chunks(), pa.nulls(k, pa.int64())]),
@@ -707,7 +740,7 @@ def _give_back_words(parts: int):
     """The counts of merged words, handed to the blocks that the words came from."""
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         names, _, at = _summed_words(rows)
-        order, _ = _dealt_words(byte_hashes(names), parts)
+        order, _ = _dealt_words(names, byte_hashes(names), parts)
         count = np.empty(len(names), np.int64)
         count[order] = _counts_of(answers.sort_by("fine").column("odds"))
         return pa.table({"block": rows.column("block"), "place": rows.column("place"),
@@ -736,7 +769,9 @@ def _learn_letters(batches):
     mixer = byte_mixer()
     for batch in batches:
         for cell in batch.column("names"):
-            words = [w for w in _names(cell) if w]
+            words = [w for w in _names(cell.as_buffer()) if w]
+            # not by name: a run of alike words would teach the weights too much of itself
+            words = [words[i] for i in np.argsort(byte_hashes(words)).tolist()]
             for a in range(0, len(words), 4096):
                 data, context, _ = spelled(words[a:a + 4096])
                 mixer.learn(data, context)
@@ -758,10 +793,10 @@ class Scores:
         return word_mixer().load(WORDS, *args), byte_mixer().load(LETTERS, *args)
 
 
-def _score_blocks(shared, places: int):
+def _score_blocks(shared, places: int, folder: str):
     key = uuid.uuid4().hex
 
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+    def run(told: pa.Table) -> pa.Table:
         s = Scores(*shared.value)
         held = worker_memo("mixers", dict)       # of one model at a time
         if held.get("key") != key:
@@ -773,7 +808,7 @@ def _score_blocks(shared, places: int):
         bucket = mixer.n[(1 << (BITS - 1)) | (leaf >> 1), leaf & 1].astype(np.float64)
         told = told.sort_by("place")
         parts, known = (told.column(x).drop_null() for x in ("odds", "c"))
-        docs, words, tokens = _block(*(docs.column(x)[0] for x in ("rows", "names", "tokens")))
+        docs, words, tokens = _block(f"{folder}/{told.column('block')[0].as_py()}")
         n_tokens, out = docs.column("n_tokens").to_numpy(), []
         escape = math.log10((s.single + 0.5) / (s.total + 1.0))
         stay = math.log10(1.0 - (s.single + 0.5) / (s.total + 1.0))
@@ -785,7 +820,7 @@ def _score_blocks(shared, places: int):
         del keys, distinct, at
         new = words.names
         c = np.zeros(len(new))
-        c[_dealt_words(words.hash, places)[0]] = _counts_of(known)
+        c[_dealt_words(new, words.hash, places)[0]] = _counts_of(known)
         code = code_of(words.hash)
         # known: share of the tokens with its bits; unknown: its spelling
         cost, spell = np.full(len(new), escape), np.zeros(len(new))
@@ -825,20 +860,20 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     fold = crc_fold(F.col("doc_id"))
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", (fold == held_out).alias("held_out"))
-    blocks = settle(rows.mapInArrow(_blocked(block_bytes), BLOCK_SQL), "blocks", "zstd")
+    folder = shared_folder(spark, "texts")
+    blocks = settle(rows.mapInArrow(_blocked(block_bytes, folder), "block bigint, uri string, n_bytes bigint"), "blocks")
+    n_bytes, n_blocks = blocks.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    n_bytes, n_blocks = n_bytes or 0, max(1, n_blocks)
     # weights and maps are learnt from LEARN_BYTES of text or more, however small the partitions are
-    n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     tasks, parts = max(1, -(-n_bytes // LEARN_BYTES)), max(1, -(-n_bytes // PART_BYTES))
-    dealt = min(parts, FAN), parts, max(1, -(-n_bytes // block_bytes)), FAN
-    learn, keyed = _learn_words(dealt[0])
-    blocks = blocks.drop("n_bytes")
-    learned = settle(blocks.coalesce(tasks).mapInArrow(learn, LEARNED_SQL), "learned", "zstd")
-    counts, found = counted(learned.filter("kind is null").select(
-        "block", "place", F.col("names").alias("keys"), "n"), *dealt)
+    dealt = min(parts, FAN), parts, n_blocks, FAN
+    worded, learn, keyed = _learn_words(dealt[0])
+    blocks = blocks.select("block", "uri")
+    learned = settle(blocks.repartition(tasks).mapInArrow(learn, MODEL_SQL), "learned", "zstd")
+    blocks = blocks.repartition(n_blocks)
+    counts, found = counted(blocks.mapInArrow(worded, CELL_SQL), *dealt)
     total, distinct, single = found.agg(F.sum("total"), F.sum("distinct"), F.sum("single")).first()
-    model = (learned.filter("kind is not null").select("kind", "place", "a", "b")
-             .union(found.select("names").coalesce(tasks).mapInArrow(_learn_letters, LEARNED_SQL)
-                    .select("kind", "place", "a", "b"))
+    model = (learned.union(found.select("names").coalesce(tasks).mapInArrow(_learn_letters, MODEL_SQL))
              .groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     # as many rows as the spelling model has slots and the empty context nodes, whatever the corpus
     got = settle(model, "model").toArrow()
@@ -848,8 +883,8 @@ def score_texts(docs: DataFrame, held_out: int = 1, block_bytes: int = BLOCK_BYT
     # keys are made again wherever they are read: on disk they would take as much as the shuffle of them
     answers = answered(blocks.mapInArrow(keyed, CELL_SQL), *dealt, small=True)
     told = answers.unionByName(counts.withColumnRenamed("odds", "c"), allowMissingColumns=True)
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        _score_blocks(shared, dealt[0]),
+    scored = told.groupBy("block").applyInArrow(
+        _score_blocks(shared, dealt[0], folder),
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double, spelled_score double, n_bytes bigint")
     return scored.withColumn("bits_per_byte", -F.col("spelled_score") * F.lit(LOG2_10)
