@@ -28,7 +28,7 @@ The counts that score are those of all training texts.  A block's distinct (cont
 are sorted 64-bit keys: 44 bits of the context's hash, then the code, so the counters of a node are
 the counts of a range of keys.  Keys are dealt into parts by range, about PART_BYTES of text each;
 a part adds the counts of all blocks and answers every block's keys with the log-odds along their
-codes (in steps of 1/ODDS_STEP).  A block sends FAN rows at most: beyond FAN parts, the keys of about FAN blocks
+codes (in steps of 1/ODDS_STEP), those of a node once.  A block sends FAN rows at most: beyond FAN parts, the keys of about FAN blocks
 are first merged (their counts added) and only then dealt further, level by level, and the answers come
 back the same way; so rows grow with the text times the number of levels, and a context that
 occurs everywhere reaches its part once from each merged group.  This table grows with the training texts, no two contexts share a
@@ -36,8 +36,10 @@ counter (but for equal 44 bits), and no task or driver holds more than a part of
 model, only the 2^BITS counts without context, the weights and the map are broadcast; the spelling
 model has 2^SLOT_BITS slots a context, a few MB at any size.
 
-Texts are cut into blocks of about BLOCK_BYTES.  A block's distinct words are joined with the
-global counts, and block and words meet again in one co-group, so no task holds all words.
+Texts are cut into blocks of about BLOCK_BYTES, and into words once: a block is one file in the shared folder
+(its words, and its tokens as their places) that each pass reads.  Words and their training counts go to parts
+by hash and come back as counts, in cells of many words and over the same levels as the keys, so no task
+holds all words.  A block is scored by the task that its answers reach.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is not held out and
 is learned from; rows with equal ids are learned from and scored one by one; without training

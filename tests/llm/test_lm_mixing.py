@@ -257,3 +257,29 @@ def test_words_travel_in_cells(spark, monkeypatch):
     assert "word" not in kept["learned"][0].columns and kept["merged"][0].count() <= 9 * blocks
     assert kept["counts"][0].filter("block is null").selectExpr("sum(total)").first()[0] == sum(
         len(tokens(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)
+
+
+def test_packed_numbers_are_whole():
+    """Numbers come back as they were; steps between keys that share contexts take less than as bytes alone."""
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 44, 20_000).astype(np.uint64)
+    keys = np.unique(hashes[rng.integers(0, 20_000, 60_000)] << np.uint64(20)
+                     | rng.integers(0, 4096, 60_000).astype(np.uint64))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    for a, kind in ((steps, "u8"), (steps[:0], "u8"), (np.array([0, 4095, 4096, 2 ** 63], np.uint64), "u8"),
+                    (np.arange(9), "i8"), (rng.integers(0, 2 ** 32, 77).astype(np.uint32), "u4")):
+        assert (M._unpack(M._pack(a), kind) == a).all() and len(M._unpack(M._pack(a), kind)) == len(a)
+    plain = np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T).tobytes()
+    assert len(M._pack(steps)) < 0.95 * len(M._packed(plain))
+
+
+def test_blocks_do_not_travel(spark, monkeypatch):
+    """What is settled and shuffled of a block is its number; its texts are in a file."""
+    kept, settle = {}, M.settle
+    monkeypatch.setattr(M, "settle", lambda d, name, codec="snappy": kept.setdefault(name, settle(d, name, codec)))
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    got = M.score_texts(docs, block_bytes=100_000)
+    assert got.count() == docs.count()
+    assert kept["blocks"].columns == ["block", "uri", "n_bytes"] and kept["blocks"].count() > 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapCoGroupsInArrow" not in plan
