@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.arrays import l2_normalize
 from lexispark.functions.keys import r6
 from lexispark.operators import knn as K
-from lexispark.operators.ivf import recall
+from lexispark.operators.ivf import recall, unpacked
 from lexispark.plans.registry import register
 from lexispark.sources import fixtures as fx
 from lexispark.sources.io import settle
@@ -71,9 +71,9 @@ def knn_neighbors(spark, sf_dir):
 def knn_approx(spark, sf_dir):
     """Neighbours by the inverted-file index, with each query's recall against the exact search."""
     items, exact = _neighbours(spark, sf_dir, carry=())
-    found = settle(K.knn_approx(items, K_NEIGHBOURS, id_col="quote_id"), "knn-approx")
-    told = recall(found, exact).select("qid", "recall")
-    return found.join(told, "qid").select("qid", "rank", "nid", r6("sim").alias("sim"), r6("recall").alias("recall"))
+    found = settle(K.knn_approx(items, K_NEIGHBOURS, id_col="quote_id", packed=True), "knn-approx")
+    told = unpacked(recall(found, exact), "recall")
+    return told.select("qid", "rank", "nid", r6("sim").alias("sim"), r6("recall").alias("recall"))
 
 
 @register("retrieval_by_lemma", _retrieval_sql("lemma"))

@@ -664,6 +664,65 @@ def test_approximate_neighbours_edges(spark):
     assert got == [(3, 1, 3), (3, 2, 4), (4, 1, 3), (4, 2, 4), (5, 1, 5), (5, 2, 3)]
 
 
+def shuffled_bytes(df):
+    """Bytes that the shuffles of a query write, without what was settled before."""
+    df.collect()
+
+    def walk(node):
+        name, held = node.nodeName(), node.metrics().get("shuffleBytesWritten")
+        inner = node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in name else None
+        kids = [node.children().apply(i) for i in range(node.children().size())] + ([inner] if inner is not None else [])
+        return (held.get().value() if held.isDefined() else 0) + sum(map(walk, kids))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_approximate_neighbours_shuffle_lists_and_not_candidates(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(3000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<float>")
+    # 2,219 bytes a vector while candidates left the tasks; a list goes to a block once, 4 blocks on 4 cores
+    assert shuffled_bytes(K.knn_approx(df.repartition(4), 10, most=100)) < 3000 * 1000
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_all_lists_and_all_candidates_are_the_exact_search(spark, kind):
+    """Also where vectors are equal, of other lengths, or in lists of several parts."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(900, 6)).astype(np.float32)
+    m[rng.permutation(900)[:60]] = m[7]
+    m[300:400] = 2 * m[200:300]
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(m)], f"id long, embedding array<{kind}>")
+    packed = K.knn_approx(df.repartition(3), 12, probes=900, most=50, refine=75, packed=True)
+    got = {r.qid: [(x.nid, x.sim) for x in r.near] for r in packed.collect()}
+    unit = m.astype(float) / np.sqrt((m.astype(float) ** 2).sum(1))[:, None]
+    sims = unit @ unit.T
+    assert sorted(got) == list(range(0, 2700, 3))
+    for q in range(900):
+        want = sorted(range(900), key=lambda j: (-round(sims[q, j], 9), j))[:12]
+        assert [x[0] for x in got[q * 3]] == [j * 3 for j in want]
+        assert np.allclose([x[1] for x in got[q * 3]], sims[q, want], atol=1e-12)
+    from lexispark.operators import ivf
+    exact = K.knn(df, 12, metric="cosine")
+    told = ivf.recall(packed, exact)
+    assert told.where("recall = 1 and hits = 12 and size(near) = 12").count() == 900
+    rows = ivf.unpacked(told, "recall")
+    assert rows.columns == ["qid", "rank", "nid", "sim", "recall"] and rows.count() == 900 * 12
+    assert ivf.recall(rows.drop("recall"), exact).where("recall = 1").count() == 900
+
+
+def test_blocks_hold_every_part_of_every_list_once():
+    from lexispark.operators import ivf
+    rng = np.random.default_rng(8)
+    c, sizes = rng.normal(size=(90, 4)), rng.integers(0, 700, 90)
+    sizes[[3, 50]] = 0, 9000                # nothing nearest to it; a list that could not be split
+    home = ivf.blocks(c, sizes, 7)
+    assert sorted(home["block"].unique()) == list(range(7)) and not home.duplicated(["list", "part"]).any()
+    assert set(home["list"]) == set(np.flatnonzero(sizes)) and (home["list"] == 50).sum() == 5
+    n = (sizes / ivf._parts(sizes))[home["list"]]
+    assert np.bincount(home["block"], n).max() <= sizes.sum() / 7 + ivf.QUERY_TILE
+    assert sorted(ivf.in_order(np.zeros((40, 3)))) == list(range(40))
+
+
 def test_no_shared_folder_is_an_error_on_a_cluster(spark):
     from types import SimpleNamespace
     from lexispark.session import checkpoint_dir
