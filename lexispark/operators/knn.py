@@ -1,10 +1,10 @@
 """Neighbour retrieval.
 
 Exact top-k uses a grid of tiles.  Partitions pack their vectors into tiles of TILE_ROWS rows (one
-row a tile: ids, matrix bytes, carried labels).  Tiles of queries are put together to blocks, as many as
-keep all cores busy, and every tile of targets meets every block: cells are (block, stripe of targets), a
-cell's task holds one block, one tile of targets and the running top-k of its queries.  So the targets are
-sent once a block, and the shuffle grows with the table while blocks of BLOCK_BYTES can be that few.  Where
+row a tile: ids, matrix bytes as stored, lengths, carried labels).  Tiles of queries are put together to
+blocks, as many as keep all cores busy, and every tile of targets meets every block: cells are (block, stripe
+of targets), a cell's task holds one block, one tile of targets and the running top-k of its queries.  So the
+targets are sent once a block, and the shuffle grows with the table while blocks of BLOCK_BYTES can be that few.  Where
 there are fewer blocks than cores, targets are dealt over stripes and the k best of each are merged by a window.
 A target is looked at further only if it beats the k-th best that a query has so far; ids and labels are
 gathered for these only, so a task's arrays are bounded by TILE_ROWS x TILE_ROWS and the block.  Work is
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.functions.arrays import l2_normalize
+from lexispark.functions.arrays import sq_norm
 from lexispark.functions.keys import r6
 
 TILE_ROWS = 2048
@@ -32,21 +32,22 @@ STRIPE_BYTES = 512 << 20    # vectors that a task reads as targets
 def _tile_schema(carry):
     fields = [T.StructField("tile", T.LongType()), T.StructField("within", T.StringType()),
               T.StructField("ids", T.BinaryType()),
-              T.StructField("mat", T.BinaryType()), T.StructField("d", T.IntegerType())]
+              T.StructField("mat", T.BinaryType()), T.StructField("norm", T.BinaryType()),
+              T.StructField("d", T.IntegerType())]
     fields += [T.StructField(f"c_{c}", T.ArrayType(T.StringType())) for c in carry]
     return T.StructType(fields)
 
 
-def _packer(carry, tile_rows: int):
+def _packer(carry, tile_rows: int, stored):
     def run(batches):
         from pyspark import TaskContext
         number, seq = TaskContext.get().partitionId(), 0
         held: dict[str, list] = {}          # rows of each set that wait for a full tile
 
         def emit(pdf, within):
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
+            mat = np.stack([np.asarray(v, dtype=stored) for v in pdf["vec"]])
             row = {"tile": [number << 32 | seq], "within": [within], "ids": [pdf["id"].to_numpy("<i8").tobytes()],
-                   "mat": [mat.tobytes()], "d": [mat.shape[1]]}
+                   "mat": [mat.tobytes()], "norm": [pdf["norm"].to_numpy(np.float64).tobytes()], "d": [mat.shape[1]]}
             for c in carry:
                 row[f"c_{c}"] = [pdf[c].to_numpy(object)]
             return pd.DataFrame(row)
@@ -67,11 +68,13 @@ def _packer(carry, tile_rows: int):
 
 
 class _Tile:
-    """One row of a batch: a view of its vectors, and its labels."""
+    """One row of a batch: its vectors, as doubles divided by their lengths, and its labels."""
 
     def __init__(self, batch, i, carry):
         self.ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<i8")
-        self.mat = np.frombuffer(batch.column("mat")[i].as_buffer(), np.float64).reshape(len(self.ids), -1)
+        mat, d = batch.column("mat")[i].as_buffer(), batch.column("d")[i].as_py()
+        mat = np.frombuffer(mat, "<f4" if mat.size == 4 * d * len(self.ids) else "<f8").reshape(len(self.ids), d)
+        self.mat = mat / np.frombuffer(batch.column("norm")[i].as_buffer(), np.float64)[:, None]
         self.carry = [np.array(batch.column(f"c_{c}")[i].as_py(), dtype=object) for c in carry]
 
 
@@ -79,8 +82,8 @@ class _Best:
     """The running top-k of one tile of queries: similarities, ids and labels, best first."""
 
     def __init__(self, tile, n_carry):
-        # the tile's memory is the batch's, which goes
-        self.ids, self.mat, self.carry = tile.ids.copy(), tile.mat.copy(), tile.carry
+        # the ids' memory is the batch's, which goes
+        self.ids, self.mat, self.carry = tile.ids.copy(), tile.mat, tile.carry
         self.s, self.i = np.empty((len(self.ids), 0)), np.empty((len(self.ids), 0), np.int64)
         self.x = [np.empty((len(self.ids), 0), object) for _ in range(n_carry)]
 
@@ -185,14 +188,18 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embeddin
     """
     carry = list(carry)
     within = F.lit("") if by is None else F.col(by).cast("string")
+    # floats travel as floats, with their lengths, and are normalised where they are multiplied
+    kind, stored = ("array<float>", "<f4") if dict(vectors.dtypes)[vec_col] == "array<float>" else (
+        "array<double>", "<f8")
     v = vectors.select(F.col(id_col).cast("bigint").alias("id"), within.alias("within"),
-                       F.col(vec_col).cast("array<double>").alias("vec"),
+                       F.col(vec_col).cast(kind).alias("vec"),
                        *[F.col(c).cast("string").alias(c) for c in carry]).where(
         F.col("vec").isNotNull() & F.col("within").isNotNull())
-    if metric == "cosine":
-        v = v.withColumn("vec", l2_normalize("vec")).where(F.col("vec").isNotNull())
+    # a zero vector has no length to divide by
+    v = v.withColumn("norm", F.sqrt(sq_norm("vec"))).where(F.col("norm") > 0) if metric == "cosine" else \
+        v.withColumn("norm", F.lit(1.0))
     # read several times below: one packing for all, kept in the shared checkpoint folder
-    tiles = v.mapInPandas(_packer(carry, tile_rows), _tile_schema(carry)).checkpoint()
+    tiles = v.mapInPandas(_packer(carry, tile_rows, stored), _tile_schema(carry)).checkpoint()
     tasks = 2 * v.sparkSession.sparkContext.defaultParallelism
     n_tiles, d = tiles.agg(F.count(F.lit(1)), F.coalesce(F.max("d"), F.lit(1))).first()
     span = max(1, min(-(-n_tiles // tasks), BLOCK_BYTES // (tile_rows * (8 * d + 24 * k))))
@@ -204,7 +211,7 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embeddin
     if stripes is None:
         stripes = max(1, min(n_tiles, max(tasks * span // max(n_tiles, 1),
                                           -(-n_tiles * tile_rows * 8 * d // STRIPE_BYTES))))
-    wide = ["ids", "mat", *[f"c_{c}" for c in carry]]
+    wide = ["ids", "mat", "norm", "d", *[f"c_{c}" for c in carry]]
     named = tiles.drop("within").join(F.broadcast(names), "tile")
     met = named.join(F.broadcast(names.select("cell", "within").distinct().select(
         F.col("cell").alias("asked"), F.col("within").alias("_w"))), F.col("within") == F.col("_w")).select(

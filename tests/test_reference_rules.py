@@ -608,6 +608,20 @@ def test_sets_share_one_grid(spark):
             assert rows.nid.tolist() == sorted(range(len(x)), key=lambda j: (-sims[q, j], j))[:6]
 
 
+@pytest.mark.parametrize("metric", ["ip", "cosine"])
+def test_floats_travel_as_floats(spark, metric):
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(600, 32)).astype(np.float32)
+    m[9] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<float>")
+    wide = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    a, b = (K.knn(x.repartition(4), 5, metric=metric, tile_rows=64, stripes=1) for x in (df, wide))
+    rows = [sorted((r.qid, r.rank, r.nid, r.sim) for r in x.collect()) for x in (a, b)]
+    assert rows[0] == rows[1] and len(rows[0]) == 5 * (600 if metric == "ip" else 599)
+    # 10 tiles meet 10 blocks: 128 bytes a vector where doubles are 256
+    assert shuffled_bytes(a) < 0.7 * shuffled_bytes(b)
+
+
 def recall_of(spark, df, k=10, **options):
     from lexispark.operators import ivf
     found = K.knn_approx(df, k, **options).cache()
